@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing",)
+MODULES = ("mixing", "bpe")
 
 
 def _each(what: str) -> dict:
