@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "bpe")
+MODULES = ("mixing", "bpe", "substrings")
 
 
 def _each(what: str) -> dict:
