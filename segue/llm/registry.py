@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "bpe", "substrings")
+MODULES = ("mixing", "bpe", "substrings", "jaccard")
 
 
 def _each(what: str) -> dict:
