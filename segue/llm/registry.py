@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "bpe", "substrings", "jaccard")
+MODULES = ("mixing", "bpe", "substrings", "jaccard", "language")
 
 
 def _each(what: str) -> dict:
