@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "bpe", "substrings", "jaccard", "language")
+MODULES = ("mixing", "bpe", "substrings", "jaccard", "language", "attention", "topk", "descent", "licenses")
 
 
 def _each(what: str) -> dict:
