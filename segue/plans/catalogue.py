@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import io_plans, scalar_plans, table_plans
+from . import io_plans, ml_plans, scalar_plans, signal_plans, table_plans
 
-MODULES = (scalar_plans, table_plans, io_plans)
+MODULES = (scalar_plans, table_plans, io_plans, signal_plans, ml_plans)
 
 
 def queries() -> dict:
