@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-import importlib
+import corpus_pipeline
 
-MODULES = ("mixing", "bpe", "substrings", "jaccard", "language", "attention", "topk", "descent", "licenses")
+from . import attention, bpe, descent, jaccard, language, licenses, mixing, quotes, substrings, topk
 
-
-def _each(what: str) -> dict:
-    found: dict = {}
-    for name in MODULES:
-        found |= getattr(importlib.import_module(f"segue.llm.{name}"), what)
-    return found
+MODULES = (jaccard, descent, bpe, quotes, mixing, licenses, attention, language, substrings, topk)
 
 
 def queries() -> dict:
-    return _each("QUERIES")
+    found: dict = {}
+    for module in MODULES:
+        found |= module.QUERIES
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return _each("ORACLE")
+    found: dict[str, str] = {}
+    for module in MODULES:
+        found |= module.ORACLE
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
