@@ -113,13 +113,18 @@ def escape(c: Column) -> Column:
     return c
 
 
+def two_places(c: Column) -> Column:
+    """A number with two decimals, half to even of its exact binary value."""
+    return F.call_function("format_number", c, F.lit("0.00"))
+
+
 def _attrs(**cells: Column) -> Column:
     return F.concat(*[x for k, c in cells.items() for x in (F.lit(f' {k}="'), escape(c), F.lit('"'))])
 
 
 def rekordbox_xml(rows: DataFrame, names: DataFrame) -> DataFrame:
     """Lines of one collection per cluster; rows also have camelot_key and bpm_mean, names (cluster_id, name)."""
-    bpm = F.format_string("%.2f", F.coalesce(F.nullif("bpm", F.lit(0.0)), "bpm_mean"))
+    bpm = two_places(F.coalesce(F.nullif("bpm", F.lit(0.0)), "bpm_mean"))
     seconds = F.coalesce("duration", F.lit(0.0)).cast("bigint").cast("string")
     track = _attrs(
         TrackID=F.col("seq").cast("string"), Name=X.display_title(), Artist=F.coalesce("artist", F.lit("")), TotalTime=seconds, AverageBpm=bpm,
@@ -141,7 +146,7 @@ def traktor_nml(rows: DataFrame, names: DataFrame) -> DataFrame:
     rows = rows.withColumn("entries", n).join(names, "cluster_id")
     folder, file = F.regexp_extract("path", "^(.*/)[^/]*$", 1), F.element_at(F.split("path", "/"), -1)
     tag = lambda name, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"      <{name}>"), escape(c), F.lit(f"</{name}>")))
-    bpm = F.format_string("%.2f", F.coalesce(F.nullif("bpm", F.lit(0.0)), "bpm_mean"))
+    bpm = two_places(F.coalesce(F.nullif("bpm", F.lit(0.0)), "bpm_mean"))
     body = F.array(
         F.when(F.col("seq") == 1, F.concat(F.lit("  <COLLECTION"), _attrs(ENTRIES=F.col("entries")), F.lit(">"))), F.concat(F.lit("    <ENTRY"), _attrs(PRIMARYKEY=F.col("path")), F.lit(">")), tag("TITLE", F.col("title")), tag("ARTIST", F.col("artist")),
         F.concat(F.lit("      <LOCATION"), _attrs(DIR=folder, FILE=file, VOLUME=F.lit("")), F.lit(" />")), F.concat(F.lit("      <TEMPO"), _attrs(BPM=bpm), F.lit(" />")), tag("KEY", F.col("camelot_key")),

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def history(plays: DataFrame, key: str = "path", time: str = "ts", late: str = "10 minutes") -> DataFrame:
     """(key, times_used, last_used) of a batch or a stream of plays."""
+    plays = plays.withColumn(time, F.col(time).cast("timestamp"))
     if plays.isStreaming:
         plays = plays.withWatermark(time, late)
     return plays.groupBy(key).agg(F.count("*").alias("times_used"), F.date_format(F.max(time), "yyyy-MM-dd").alias("last_used"))
@@ -16,6 +17,7 @@ def history(plays: DataFrame, key: str = "path", time: str = "ts", late: str = "
 
 def windowed(plays: DataFrame, key: str = "path", time: str = "ts", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Plays in tumbling windows; windows that the watermark has passed are final."""
+    plays = plays.withColumn(time, F.col(time).cast("timestamp"))
     return plays.withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count("*").alias("plays"))
 
 
