@@ -36,6 +36,9 @@ STRONG, WEAK = 0.5, 0.3
 #: Rows that seeds are drawn from, and rows whose silhouette is measured, at most.
 SAMPLE, SILHOUETTE = 4096, 2000
 
+#: Vectors that are held as one matrix, at most.
+IN_MEMORY = 1 << 16
+
 
 def zscore(rows: DataFrame, columns: tuple[str, ...] = SPACE) -> DataFrame:
     """``z``: each column less its mean over its population deviation (1 where that is 0)."""
@@ -49,26 +52,57 @@ def weighted(rows: DataFrame, weights: np.ndarray) -> DataFrame:
     return rows.withColumn("x", F.array(*[F.get("z", F.lit(j)) * float(w) for j, w in enumerate(np.sqrt(weights))]))
 
 
-def sums(rows: DataFrame, column: str, work, size: int) -> np.ndarray:
-    """The sum over tasks of ``work`` (matrix -> array of a fixed size)."""
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size)
-        for batch in batches:
-            if len(batch):
-                total += work(np.stack(batch[column].to_numpy()))
-        yield pd.DataFrame({"s": [total.tolist()]})
-
-    parts = rows.select(column).mapInPandas(each, "s array<double>")
-    out = parts.select(F.posexplode("s").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).toPandas()
-    found = np.zeros(size)
-    found[out.k.to_numpy()] = out.v.to_numpy()
-    return found
+class Points:
+    """A column of vectors to pass over again and again.
 
+    Up to ``IN_MEMORY`` rows they are held as one matrix here, for a pass over
+    so few is shorter than a job; beyond, every pass is a job over the rows.
+    Either way a pass is the same sums.
+    """
 
-def covariance(rows: DataFrame, column: str, d: int) -> tuple[int, np.ndarray, np.ndarray]:
+    def __init__(self, rows: DataFrame, column: str):
+        self.column = column
+        self.rows = rows.select(column).persist()
+        head = self.rows.limit(IN_MEMORY + 1).toArrow().column(column).combine_chunks()
+        self.local = None
+        if len(head) <= IN_MEMORY:
+            width = len(head[0]) if len(head) else 0
+            self.local = head.flatten().to_numpy(zero_copy_only=False).reshape(len(head), width)
+
+    def __enter__(self) -> Points:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.rows.unpersist()
+
+    def sums(self, work, size: int) -> np.ndarray:
+        """The sum over tasks of ``work`` (matrix -> array of a fixed size)."""
+        if self.local is not None:
+            return np.asarray(work(self.local), float) if len(self.local) else np.zeros(size)
+        column = self.column
+
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(size)
+            for batch in batches:
+                if len(batch):
+                    total += work(np.stack(batch[column].to_numpy()))
+            yield pd.DataFrame({"s": [total.tolist()]})
+
+        parts = self.rows.mapInPandas(each, "s array<double>")
+        out = parts.select(F.posexplode("s").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).toPandas()
+        found = np.zeros(size)
+        found[out.k.to_numpy()] = out.v.to_numpy()
+        return found
+
+    def sample(self, most: int) -> np.ndarray:
+        """At most so many of the vectors, by a hash of them."""
+        picked = self.rows.withColumn("h", F.xxhash64(F.col(self.column))).orderBy("h").limit(most).select(self.column).toArrow().column(self.column).combine_chunks()
+        return picked.flatten().to_numpy(zero_copy_only=False).reshape(len(picked), -1)
+
+
+def covariance(points: Points, d: int) -> tuple[int, np.ndarray, np.ndarray]:
     """(n, mean, population covariance) in one pass."""
-    s = sums(rows, column, lambda x: np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()]), 1 + d + d * d)
+    s = points.sums(lambda x: np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()]), 1 + d + d * d)
     n = max(s[0], 1)
     mean = s[1 : 1 + d] / n
     return int(s[0]), mean, s[1 + d :].reshape(d, d) / n - np.outer(mean, mean)
@@ -90,7 +124,12 @@ def pca_weights(rows: DataFrame, column: str = "z", d: int = len(SPACE), boots:
     The resamples are Poisson counts drawn per row from a hash of the row, so
     all covariances come from one pass and reruns agree.
     """
-    n, _, cov = covariance(rows, column, d)
+    with Points(rows, column) as points:
+        return _pca_weights(points, d, boots, seed)
+
+
+def _pca_weights(points: Points, d: int, boots: int, seed: int) -> tuple[np.ndarray, float]:
+    n, _, cov = covariance(points, d)
     weights, k = communalities(cov, n)
     size = 1 + d + d * d
 
@@ -100,7 +139,7 @@ def pca_weights(rows: DataFrame, column: str = "z", d: int = len(SPACE), boots:
         outer = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
         return np.concatenate([counts.sum(axis=1, keepdims=True), counts @ x, counts @ outer], axis=1).ravel()
 
-    boot = sums(rows, column, work, boots * size).reshape(boots, size)
+    boot = points.sums(work, boots * size).reshape(boots, size)
     found = []
     for b in boot:
         m = max(b[0], 1)
@@ -158,25 +197,24 @@ def seeds(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return np.stack(chosen)
 
 
-def bounded_sample(rows: DataFrame, column: str, most: int) -> np.ndarray:
-    picked = rows.select(column).withColumn("h", F.xxhash64(F.col(column))).orderBy("h").limit(most).collect()
-    return np.array([r[column] for r in picked], dtype=float)
-
-
 def distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centers.T + (centers * centers).sum(axis=1), 0)
 
 
 def fit(rows: DataFrame, ks: list[int], *, column: str = "x", restarts: int = 10, turns: int = 60, seed: int = 42) -> dict[int, KMeans]:
     """The best of some restarts for each number of clusters."""
-    rows = rows.select(column).persist()
-    sample = bounded_sample(rows, column, SAMPLE)
+    with Points(rows, column) as points:
+        return _fit(points, ks, restarts, turns, seed)
+
+
+def _fit(points: Points, ks: list[int], restarts: int, turns: int, seed: int) -> dict[int, KMeans]:
+    sample = points.sample(SAMPLE)
     d = sample.shape[1]
     rng = np.random.default_rng(seed)
     models = [seeds(sample, k, rng) for k in ks for _ in range(restarts)]
     at = np.cumsum([0, *(len(m) * (d + 1) + 1 for m in models)])
 
-    for turn in range(turns):
+    for _ in range(turns):
         now = list(models)
 
         def work(x: np.ndarray, now=now) -> np.ndarray:
@@ -189,7 +227,7 @@ def fit(rows: DataFrame, ks: list[int], *, column: str = "x", restarts: int = 10
                 out += [total.ravel(), count, [gap.min(axis=1).sum()]]
             return np.concatenate(out)
 
-        s = sums(rows, column, work, int(at[-1]))
+        s = points.sums(work, int(at[-1]))
         still, inertia = True, []
         for i, centers in enumerate(now):
             part = s[at[i] : at[i + 1]]
@@ -200,7 +238,6 @@ def fit(rows: DataFrame, ks: list[int], *, column: str = "x", restarts: int = 10
             inertia.append(part[-1])
         if still:
             break
-    rows.unpersist()
     best: dict[int, KMeans] = {}
     for i, k in enumerate(k for k in ks for _ in range(restarts)):
         if k not in best or inertia[i] < best[k].inertia:
@@ -247,8 +284,9 @@ def choose_k(rows: DataFrame, n: int, *, column: str = "x", least: int = 2, most
     ks = list(range(least, min(most + 1, n)))
     if not ks:
         return least, {}
-    models = fit(rows, ks, column=column, restarts=restarts)
-    sample = bounded_sample(rows, column, SILHOUETTE)
+    with Points(rows, column) as points:
+        models = _fit(points, ks, restarts, 60, 42)
+        sample = points.sample(SILHOUETTE)
     scores = [silhouette(sample, distances(sample, models[k].centers).argmin(axis=1)) if k > 1 else -1.0 for k in ks]
     drops = np.abs(np.diff([models[k].inertia for k in ks]))
     elbow = least + int(np.argmax(drops)) if len(drops) else least
@@ -259,9 +297,13 @@ def choose_k(rows: DataFrame, n: int, *, column: str = "x", least: int = 2, most
 
 def ewkm(rows: DataFrame, centers: np.ndarray, *, column: str = "z", gamma: float = 1.0, turns: int = MOST_TURNS) -> tuple[np.ndarray, np.ndarray]:
     """Centres and per-cluster weights, refined until they stay (entropy-weighted k-means)."""
+    with Points(rows, column) as points:
+        return _ewkm(points, centers, gamma, turns)
+
+
+def _ewkm(points: Points, centers: np.ndarray, gamma: float, turns: int) -> tuple[np.ndarray, np.ndarray]:
     k, d = centers.shape
     weights = np.full((k, d), 1 / d)
-    rows = rows.select(column).persist()
     for _ in range(turns):
 
         def work(x: np.ndarray, centers=centers, weights=weights) -> np.ndarray:
@@ -269,7 +311,7 @@ def ewkm(rows: DataFrame, centers: np.ndarray, *, column: str = "z", gamma: floa
             hot = np.eye(k)[label]
             return np.concatenate([hot.sum(axis=0), (hot.T @ x).ravel(), (hot.T @ (x * x)).ravel()])
 
-        s = sums(rows, column, work, k + 2 * k * d)
+        s = points.sums(work, k + 2 * k * d)
         count, total, squares = s[:k], s[k : k + k * d].reshape(k, d), s[k + k * d :].reshape(k, d)
         full = count[:, None] > 0
         n = np.maximum(count, 1)[:, None]
@@ -282,7 +324,6 @@ def ewkm(rows: DataFrame, centers: np.ndarray, *, column: str = "z", gamma: floa
         centers, weights = moved, fresh
         if still:
             break
-    rows.unpersist()
     return centers, weights
 
 
@@ -361,9 +402,10 @@ def genre_scale(known: DataFrame) -> DataFrame:
 
 def embedding_block(vectors: DataFrame, components: int = 12) -> DataFrame:
     """(pos, block): scaled principal components of the embeddings."""
-    rows = vectors.select("pos", F.col("embedding").cast("array<double>").alias("v")).persist()
+    rows = vectors.select("pos", F.col("embedding").cast("array<double>").alias("v"))
     d = len(rows.first().v)
-    _, mean, cov = covariance(rows, "v", d)
+    with Points(rows, "v") as points:
+        _, mean, cov = covariance(points, d)
     values, vectors_ = np.linalg.eigh(cov)
     axes = vectors_[:, ::-1][:, : min(components, d)].T
     scale = np.sqrt(np.maximum(values[::-1][: len(axes)], 1e-300))

@@ -152,7 +152,8 @@ def test_scaling_and_weights(spark):
     df = spark.createDataFrame([(r.tolist(),) for r in m], "z array<double>")
     weights, width = M.pca_weights(df, boots=50)
     assert weights.sum() == pytest.approx(1) and 0 < width < 0.3
-    n, mean, cov = M.covariance(df, "z", 8)
+    with M.Points(df, "z") as points:
+        n, mean, cov = M.covariance(points, 8)
     assert n == 100 and np.allclose(cov, np.cov(m.T, bias=True)) and np.allclose(mean, 0)
     assert M.valid_weights(dict.fromkeys(M.SPACE, 1 / 8)) and not M.valid_weights(dict.fromkeys(M.SPACE, 0.2))
     assert M.apply_overrides(np.ones(8), {"bpm": 0.5})[0] == 0.5
@@ -168,6 +169,14 @@ def test_ewkm_weights_follow_spread(spark):
     assert np.allclose(centers, [[0, 0], [6, 6]], atol=1)
 
 
+def test_passes_agree_at_either_size(spark, monkeypatch):
+    x, rows = blobs(spark)
+    here = M.fit(rows, [2, 3], restarts=2)
+    monkeypatch.setattr(M, "IN_MEMORY", 5)
+    there = M.fit(rows, [2, 3], restarts=2)
+    assert all(np.allclose(here[k].centers, there[k].centers) and here[k].inertia == pytest.approx(there[k].inertia) for k in (2, 3))
+
+
 def test_constraint():
     assert M.constraint(100, 0, 2, 10, 25, None) == 4
     assert M.constraint(100, 7200, 2, 10, None, 3600.0) == 2
