@@ -121,3 +121,9 @@ def nearest(tracks: DataFrame, centroids: DataFrame, columns: tuple[str, ...] =
     gap = lambda x: F.sqrt(sum(((F.col(c) - x[f"c_{c}"]) ** 2 for c in columns), F.lit(0.0)))
     best = F.array_min(F.transform("centroids", lambda x: F.struct(F.round(gap(x), 9).alias("distance"), x["cluster_id"].alias("cluster_id"))))
     return both.withColumn("best", best).select("pos", "best.cluster_id", "best.distance")
+
+
+def single_chapter(rows: DataFrame, target_min: float = 120.0) -> DataFrame:
+    """One chapter of all tracks, for libraries of fewer tracks than clusters."""
+    total = F.sum(F.coalesce("duration", F.lit(0.0))) / 60.0
+    return rows.agg(F.lit("Intro").alias("name"), F.least(total, F.lit(0.89 * target_min)).alias("target_duration_min"), total.alias("actual_duration_min"), F.count("*").alias("n_tracks"))

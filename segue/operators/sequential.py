@@ -124,7 +124,7 @@ def duration_build(rows: DataFrame, distances: DataFrame, target_min: float, tol
     """Both passes: what is left of the first is offered to clusters by distance, in the order of positions.
 
     rows: cluster_id, pos, duration, distance; distances: pos, cluster_id, distance
-    (all equal where the reference's spaces differ in length). The second pass
+    (all equal where the two spaces differ in length). The second pass
     is one fold over what is left, whose state is the clusters' durations.
     """
     limit = target_min * 60 * (1 + tolerance)

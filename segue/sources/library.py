@@ -90,3 +90,19 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
 def missing_from(rows: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     """The rows that a cache hasn't."""
     return rows.join(cache.select(key), key, "left_anti")
+
+
+def footer(files: DataFrame) -> DataFrame:
+    """How many files, and their bytes."""
+    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
+def replace_crate(crate_tracks: DataFrame, crate_id: int, locations: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Crate rows after a crate was written anew from wanted (location); unknown locations are left out."""
+    ours = wanted.join(locations, "location").select(F.lit(crate_id).cast("long").alias("crate_id"), F.col("id").alias("track_id")).distinct()
+    return crate_tracks.where(F.col("crate_id") != crate_id).unionByName(ours)
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Old rows with new ones in place of those of the same key."""
+    return missing_from(old, new, key).unionByName(new)
