@@ -292,7 +292,7 @@ def stripped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     every word go, rows that lose none keep their text as it is."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
-    late = late_windows(keyed(docs, id_col, text_col), scratch, width)
+    late = scratch.result(late_windows(keyed(docs, id_col, text_col), scratch, width))
     did, key, starts = free_names(docs.columns, "late_id", "late_key", "late_starts")
     late = late.select(F.col("doc_id").alias(did), F.col("tkey").alias(key), F.col("starts").alias(starts))
     text = F.col(text_col).cast("string")

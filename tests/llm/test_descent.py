@@ -53,3 +53,9 @@ def test_few_and_none(spark):
     assert run(spark, []) == []
     rows = [(5, 1, [1.0, 0.0]), (3, 1, [1.0, 0.01]), (4, 2, [1.0, 0.0])]
     assert run(spark, rows) == by_hand(rows)
+
+
+def test_query_by_brute_force(spark):
+    rows = [(r.vec_id, r.label, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    got = descent.op2_embedding_dedup(spark, "/root/testdata/sf0.01").collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == by_hand(rows)
