@@ -14,6 +14,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ._text import mix64
 
 Fields = dict[str, np.ndarray]
 
@@ -105,3 +108,46 @@ def grouped(keys: list[np.ndarray], values: np.ndarray, names: list[str]) -> pa.
     offsets = (np.append(heads, n) * values.dtype.itemsize).astype(np.int32)
     blob = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
     return pa.Table.from_arrays([*(pa.array(k[heads]) for k in keys), blob], names)
+
+
+#: Bits of the filter in ``likely``; fixed, whatever the number of keys.
+FILTER_BITS, FILTER_SLOTS = 23, 64
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    flags = np.zeros((FILTER_SLOTS, (1 << FILTER_BITS) // FILTER_SLOTS), bool)
+    for batch in batches:
+        flags.ravel()[_spots(batch.column(0))] = True
+    used = np.flatnonzero(flags.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([np.packbits(flags[k]).tobytes() for k in used], pa.binary())], ["slot", "bits"])
+
+
+def _spots(keys: pa.Array) -> np.ndarray:
+    return (mix64(keys.to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _either(rows: pa.Table) -> pa.Table:
+    bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in rows.column("bits").to_pylist()])
+    return pa.table({"slot": rows.column("slot").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+
+def likely(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose long ``key`` may be among those of ``wanted``.
+
+    A bit map of fixed size goes to all tasks, so that rows that a join would
+    drop needn't be shuffled first. With more keys it lets more rows by; it
+    never drops one that the join needs.
+    """
+    found = wanted.select(key).mapInArrow(_bits, "slot int, bits binary").groupBy("slot").applyInArrow(_either, "slot int, bits binary")
+    flags = np.zeros((FILTER_SLOTS, (1 << FILTER_BITS) // FILTER_SLOTS // 8), np.uint8)
+    for r in found.collect():
+        flags[r.slot] = np.frombuffer(r.bits, np.uint8)
+    shared = df.sparkSession.sparkContext.broadcast(flags.ravel())
+    spot = df.columns.index(key)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _spots(batch.column(spot))
+            yield batch.filter(pa.array(shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1))
+
+    return df.where(F.col(key).isNotNull()).mapInArrow(work, df.schema)

@@ -8,37 +8,39 @@ prefixes are exchanged, and of them only shingles that two classes have go on.
 
 Groups: each class is compared with one leader that it shares most prefix
 shingles with; classes found similar to their leaders, step by step, form a
-group. Matrix: for each group the union of its members' shared prefix shingles.
-For a query class and another group, the number of the query's prefix shingles
-in the group's union bounds the overlap with any member; only groups whose
-bound reaches the threshold are opened, and their members of fitting size are
+group. Matrix: for each group, by size of its members, the union of their shared
+prefix shingles. For a query class and another group, the query's prefix
+shingles in that union bound the overlap with any of these members; only where
+the bound reaches the threshold is the group opened, and those of these members
+that themselves share enough prefix shingles with the query are
 compared with the query on whole sets. Links inside a group need no opening,
 for they cannot change the components. Every link between groups is found.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import Scratch, free_names, table
 from ._components import components
-from ._exchange import Outbox, exchange, first_of, last_of, schema_of
+from ._exchange import Outbox, exchange, first_of, last_of, likely, schema_of
 from ._text import BYTE_CODE, LOWER, Run, mix64, runs, span_hashes, window_hashes
 
 SHINGLE = 5
 NUM, DEN = 80, 100
 
-SKETCH_BITS, SLOTS = 20, 64
+SKETCH_BITS, SLOTS = 23, 64
 
 #: Shingles of member sets that are compared with a leader in one group of rows.
 MEMBERS = 200_000
 
-PREFIX = {"tok": "u8", "fp": "i8", "n": "u4", "lead": "i8", "lead_n": "u4", "done": "u1"}
+PREFIX = {"tok": "u8", "fp": "i8", "w": "u2", "lead": "i8", "done": "u1"}
 
 
 class Sets:
@@ -71,96 +73,110 @@ class Sets:
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows' set sizes and names; at the end the task's shingle counts."""
+    """Rows' set sizes and names; at the end the task's shingle counts (255 at most)."""
     names = ["doc_id", "tkey", "n", "fp", "slot", "counts"]
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    counts = np.zeros(1 << SKETCH_BITS, np.uint8)
     for batch in batches:
         for run in runs(batch.column("text")):
             sets = Sets(run)
-            counts += np.bincount((sets.tok >> np.uint64(48 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+            cell, c = np.unique(sets.tok >> np.uint64(48 - SKETCH_BITS), return_counts=True)
+            counts[cell] = np.minimum(counts[cell].astype(np.int64) + c, 255)
             rows = batch.slice(run.first, run.rows)
             nothing = pa.nulls(run.rows, pa.int32()), pa.nulls(run.rows, pa.binary())
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("tkey"), pa.array(sets.n.astype(np.int64)), pa.array(sets.prints()), *nothing], names)
     if counts.any():
-        parts = [x.astype("<i4").tobytes() for x in counts.reshape(SLOTS, -1)]
+        parts = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(SLOTS, -1)]
         void = pa.nulls(SLOTS, pa.int64())
         yield pa.RecordBatch.from_arrays([void, void, void, void, pa.array(range(SLOTS), pa.int32()), pa.array(parts, pa.binary())], names)
 
 
-def _add_counts(rows: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, "<i4").astype(np.int64) for x in rows.column("counts").to_pylist())
-    return pa.table({"slot": rows.column("slot").slice(0, 1), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
-
-
-def shingle_levels(sketch: DataFrame) -> np.ndarray:
+def shingle_levels(sketch: DataFrame, shingles: int) -> np.ndarray:
     """How common the shingles of each sketch cell are (0: not uncommonly so).
 
-    The sketch has a fixed number of cells, whatever the input's size.
+    The sketch has a fixed number of cells, whatever the input's size; it only
+    orders shingles, so a fuller sketch costs time, not links.
     """
-    counts = np.zeros((SLOTS, (1 << SKETCH_BITS) // SLOTS))
-    for r in sketch.groupBy("slot").applyInArrow(_add_counts, "slot int, counts binary").collect():
-        counts[r.slot] = np.frombuffer(r.counts, "<i8")
-    usual = 4 * counts.mean() + 1
-    return np.clip(np.floor(np.log2(np.maximum(counts.ravel(), 1) / usual)) + 1, 0, 15).astype(np.uint8)
+    usual = 4 * shingles / (1 << SKETCH_BITS) + 1
+
+    def level(rows: pa.Table) -> pa.Table:
+        total = np.zeros((1 << SKETCH_BITS) // SLOTS, np.int64)
+        for x in rows.column("counts").to_pylist():
+            total += np.frombuffer(zlib.decompress(x), np.uint8)
+        out = np.clip(np.floor(np.log2(np.maximum(total, 1) / usual)) + 1, 0, 15).astype(np.uint8)
+        return pa.table({"slot": rows.column("slot").slice(0, 1), "levels": pa.array([out.tobytes()], pa.binary())})
+
+    levels = np.zeros((SLOTS, (1 << SKETCH_BITS) // SLOTS), np.uint8)
+    for r in sketch.groupBy("slot").applyInArrow(level, "slot int, levels binary").collect():
+        levels[r.slot] = np.frombuffer(r.levels, np.uint8)
+    return levels.ravel()
 
 
 def _combine_prefixes(x: dict) -> tuple[dict, np.ndarray]:
     """One entry per shingle and class. A shingle that two classes of the task
-    have is known to be shared: its entries are done, and two of them go on."""
-    order = np.lexsort([x["fp"], x["n"], x["tok"]])
-    tok, fp, n = x["tok"][order], x["fp"][order], x["n"][order]
+    have is known to be shared: its entries are done, and two of them go on.
+
+    A class's weight is how many of its prefix shingles the task shares; of a
+    shingle's classes the heaviest leads, for it is most like the others.
+    """
+    order = np.lexsort([x["fp"], x["tok"]])
+    tok, fp = x["tok"][order], x["fp"][order]
     new = np.ones(len(tok), bool)
     new[1:] = (tok[1:] != tok[:-1]) | (fp[1:] != fp[:-1])
-    tok, fp, n = tok[new], fp[new], n[new]
+    tok, fp = tok[new], fp[new]
+    _, which = np.unique(fp, return_inverse=True)
+    shared = fp[first_of(tok)] != fp[last_of(tok)]
+    weight = np.bincount(which, weights=shared).astype(np.int64)[which]
+    order = np.lexsort([fp, -weight, tok])
+    tok, fp, weight, shared = tok[order], fp[order], weight[order], shared[order]
     first, last = first_of(tok), last_of(tok)
-    shared = fp[first] != fp[last]
     here = np.arange(len(tok))
     edge = shared & ((first == here) | (last == here))
     at = np.concatenate([here, here[edge]])
-    fields = {"tok": tok[at], "fp": fp[at], "n": n[at], "lead": fp[first][at], "lead_n": n[first][at]}
+    fields = {"tok": tok[at], "fp": fp[at], "w": np.minimum(weight[at], 65535), "lead": fp[first][at]}
     fields["done"] = np.concatenate([shared.astype(np.uint8), np.full(int(edge.sum()), 2, np.uint8)])
     spots = mix64(fields["tok"])
     over = fields["done"] == 1
+    fields["lead"][~over] = 0  # only those that are done need it; zeros pack well
     spots[over] = mix64(fields["fp"][over].view(np.uint64) + np.uint64(7))
-    return fields, spots
+    return {k: fields[k].astype(t) for k, t in PREFIX.items()}, spots
 
 
 def _shared_prefixes(x: dict) -> pa.Table:
-    """(tok, fp, n, lead, lead_n): entries of shingles that two classes have."""
+    """(tok, fp, lead): entries of shingles that two classes have."""
+    out = {k: x[k][x["done"] == 1] for k in ("tok", "fp", "lead")}
     asked = np.flatnonzero(x["done"] != 1)
-    order = asked[np.lexsort([x["fp"][asked], x["n"][asked], x["tok"][asked]])]
-    tok, fp, n, done = (x[k][order] for k in ("tok", "fp", "n", "done"))
-    first, last = first_of(tok), last_of(tok)
-    out = {k: x[k][x["done"] == 1] for k in ("tok", "fp", "n", "lead", "lead_n")}
-    if len(tok):
-        # entries in a task that are the shingle's only ones there, and the tasks' leaders
-        found = (fp[first] != fp[last]) & ((done == 0) | (fp != fp[first]))
-        mine = {"tok": tok, "fp": fp, "n": n, "lead": fp[first], "lead_n": n[first]}
+    if len(asked):
+        order = asked[np.lexsort([x["fp"][asked], x["tok"][asked]])]
+        tok, fp = x["tok"][order], x["fp"][order]
+        asked = order[fp[first_of(tok)] != fp[last_of(tok)]]
+        order = asked[np.lexsort([x["fp"][asked], -x["w"][asked].astype(np.int64), x["tok"][asked]])]
+        tok, fp, done = (x[k][order] for k in ("tok", "fp", "done"))
+        lead = fp[first_of(tok)] if len(tok) else fp
+        # entries that are the shingle's only ones in their task, and the tasks' leaders
+        found = (done == 0) | (fp != lead)
+        mine = {"tok": tok, "fp": fp, "lead": lead}
         out = {k: np.concatenate([v, mine[k][found]]) for k, v in out.items()}
-    kinds = {"tok": np.int64, "fp": np.int64, "n": np.int32, "lead": np.int64, "lead_n": np.int32}
-    return pa.table({k: pa.array(v.astype(kinds[k])) for k, v in out.items()})
+    return pa.table({k: pa.array(v.astype(np.int64)) for k, v in out.items()})
 
 
-SHARED = "tok long, fp long, n int, lead long, lead_n int"
+SHARED = "tok long, fp long, lead long"
 
 
 def _send_prefixes(buckets: int, levels, num: int, den: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        box = Outbox(PREFIX, buckets, _combine_prefixes)
-        level_of = levels.value.astype(np.uint64)
+        box = Outbox({"tok": "u8", "fp": "i8"}, buckets, _combine_prefixes)
+        level_of = levels.value
         for batch in batches:
             for run in runs(batch.column("text")):
                 sets = Sets(run)
                 if not len(sets.tok):
                     continue
-                level = level_of[(sets.tok >> np.uint64(48 - SKETCH_BITS)).astype(np.int64)]
+                level = level_of[(sets.tok >> np.uint64(48 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
                 key = np.sort(sets.row.astype(np.uint64) << np.uint64(52) | level << np.uint64(48) | sets.tok)
                 least = -(-num * sets.n // den)
                 place = np.arange(len(key)) - np.repeat(sets.first[:-1], sets.n)
                 head = place <= np.repeat(sets.n - least, sets.n)
-                row = sets.row[head]
-                fp, n, nothing = sets.prints()[row], sets.n[row], np.zeros(int(head.sum()), np.int64)
-                box.add(tok=key[head] & np.uint64((1 << 48) - 1), fp=fp, n=n, lead=nothing, lead_n=nothing, done=nothing)
+                box.add(tok=key[head] & np.uint64((1 << 48) - 1), fp=sets.prints()[sets.row[head]])
                 yield from box.full()
         yield from box.close()
 
@@ -191,7 +207,7 @@ def _links(num: int, den: int):
     return work
 
 
-def compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
+def compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
     """(a, b): those of the pairs (fp, lead, n) whose whole sets are similar.
 
     The members that are to be compared with a leader are dealt to groups of
@@ -200,15 +216,46 @@ def compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, den
     load = pairs.groupBy("lead").agg(F.ceil(F.sum("n") / MEMBERS).alias("parts"))
     dealt = pairs.join(load, "lead").select("fp", "lead", F.pmod(F.xxhash64("fp"), F.col("parts")).alias("part"))
     asks = dealt.union(dealt.select(F.col("lead").alias("fp"), "lead", "part").distinct())
-    asks = asks.join(classes.select("fp", "rep"), "fp").select(F.col("rep.doc_id").alias("doc_id"), F.col("rep.tkey").alias("tkey"), "fp", "lead", "part")
-    texts = docs.join(asks, ["doc_id", "tkey"]).select("fp", "lead", "part", "text")
+    asks = scratch.keep(asks.join(classes.select("fp", "rep"), "fp").select(F.col("rep.doc_id").alias("doc_id"), F.col("rep.tkey").alias("tkey"), "fp", "lead", "part"))
+    texts = likely(docs, "tkey", asks).join(asks, ["doc_id", "tkey"]).select("fp", "lead", "part", "text")
     return texts.groupBy("lead", "part").applyInArrow(_links(num, den), "a long, b long")
 
 
 def needed(nq: Column, ns: Column, num: int, den: int) -> Column:
-    """Fewest shared prefix shingles of two sets of these sizes that are similar."""
-    suffix = F.ceil(F.lit(num) * F.greatest(nq, ns) / F.lit(den))
-    return F.lit(num) * (nq + ns) / F.lit(num + den) - suffix
+    """Fewest shared prefix shingles of two similar sets of these sizes.
+
+    Similar sets share num (nq + ns) / (num + den) shingles, and of those no
+    more than ceil(num n / den) - 1, with n the larger, lie behind the prefixes.
+    """
+    return F.ceil(F.lit(num) * (nq + ns) / F.lit(num + den)) - F.ceil(F.lit(num) * F.greatest(nq, ns) / F.lit(den)) + 1
+
+
+def bounds(shared: DataFrame, roots: DataFrame, size: DataFrame, scratch: Scratch, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The token-group matrix at work: the qualifying (fp, n, other, m), and the groups' members.
+
+    The matrix holds, for each group and size m of its members, the union of
+    these members' shared prefix shingles. How many of a class's t shingles are
+    in it bounds what the class shares with any of them. Where k are needed,
+    the k - 1 most frequent can't suffice: the bound reaches k only if one of
+    the others is there, so only these look a group up, and to find one there
+    is to qualify.
+    """
+    root = roots.select(F.col("node").alias("fp"), "root")
+    step = F.floor(F.log("n") / F.log(F.lit(den / num))).cast("int")  # sizes that can be similar are a step apart at most
+    member = scratch.keep(shared.select("tok", "fp").join(root, "fp", "left").select("tok", "fp", F.coalesce("root", "fp").alias("grp")).distinct())
+    apart = member.groupBy("tok").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("df")).where("lo < hi").select("tok", "df")
+    apart = member.join(apart, "tok").join(size, "fp").withColumn("step", step)
+    mine = Window.partitionBy("fp")
+    apart = apart.withColumn("r", F.row_number().over(mine.orderBy("df", "tok"))).withColumn("t", F.count("*").over(mine)).drop("df")
+    apart = scratch.keep(apart)
+    matrix = scratch.keep(apart.select("tok", F.col("grp").alias("other"), F.col("n").alias("m"), "step").distinct())
+    asks = apart.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
+    rare = F.col("r") <= F.col("t") - needed(F.col("n"), F.col("m"), num, den) + 1
+    close = F.lit(den) * F.least("n", "m") >= F.lit(num) * F.greatest("n", "m")
+    both = asks.join(matrix, ["tok", "step"]).where(F.col("grp") != F.col("other")).where(close & rare)
+    found = both.select("fp", "n", "other", "m").distinct()
+    own = scratch.keep(apart.groupBy("fp").agg(F.first("n").alias("m"), F.first("grp").alias("other"), F.collect_list("tok").alias("toks")))
+    return found.join(own.select("fp", "toks"), "fp"), own.select(F.col("fp").alias("lead"), "m", "other", F.col("toks").alias("lead_toks"))
 
 
 def joined(docs: DataFrame, scratch: Scratch, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -217,43 +264,42 @@ def joined(docs: DataFrame, scratch: Scratch, num: int = NUM, den: int = DEN) ->
     survey = docs.mapInArrow(_survey, "doc_id long, tkey long, n long, fp long, slot int, counts binary")
     survey = scratch.keep(survey)
     rows = survey.where("slot IS NULL").select("doc_id", "tkey", "n", "fp")
-    levels = spark.sparkContext.broadcast(shingle_levels(survey.where("slot IS NOT NULL").select("slot", "counts")))
+    shingles = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    levels = spark.sparkContext.broadcast(shingle_levels(survey.where("slot IS NOT NULL").select("slot", "counts"), shingles))
     classes = rows.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.min(F.struct("doc_id", "tkey")).alias("rep"))
     classes = scratch.keep(classes)
+    size = classes.select("fp", F.col("n").cast("int").alias("n"))
 
     buckets = max(128, 2 * docs.rdd.getNumPartitions())
     sent = docs.select("text").mapInArrow(_send_prefixes(buckets, levels, num, den), schema_of(PREFIX))
     shared = scratch.keep(exchange(sent, PREFIX, _shared_prefixes, SHARED))
 
     fits = lambda a, b: F.lit(den) * F.least(a, b) >= F.lit(num) * F.greatest(a, b)
-    stars = shared.where("fp <> lead").where(fits(F.col("n"), F.col("lead_n"))).groupBy("fp", "n", "lead").count()
-    stars = stars.groupBy("fp", "n").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead"))
-    links = scratch.keep(compare(scratch.keep(stars), classes, docs, num, den))
-    groups = scratch.keep(components(links, scratch))
-
-    member = scratch.keep(
-        shared.select("tok", "fp", "n").distinct().join(groups.select(F.col("node").alias("fp"), "root"), "fp", "left").select("tok", "fp", "n", F.coalesce("root", "fp").alias("grp"))
-    )
-    apart = member.groupBy("tok").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("tok")
-    apart = scratch.keep(member.join(apart, "tok"))
-    matrix = apart.select("tok", F.col("grp").alias("other")).distinct()
-    seen = apart.join(matrix, "tok").where("grp <> other").groupBy("fp", "n", "other").agg(F.count("*").alias("c"))
-    sized = classes.select("fp", F.col("n").cast("int").alias("m")).join(groups.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "m", F.coalesce("root", "fp").alias("other"))
-    sizes = sized.groupBy("other").agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
-    lo = F.greatest("lo", F.ceil(F.lit(num) * F.col("n") / F.lit(den)))
-    hi = F.least("hi", F.floor(F.lit(den) * F.col("n") / F.lit(num)))
-    bound = F.least(needed(F.col("n"), lo, num, den), needed(F.col("n"), hi, num, den)) - 1
-    opened = seen.join(sizes, "other").where(lo <= hi).where(F.col("c") >= bound).select("fp", "n", "other")
-    pairs = opened.join(sized.withColumnRenamed("fp", "lead"), "other").where(fits(F.col("n"), F.col("m")))
-    pairs = pairs.select(
-        F.greatest("fp", "lead").alias("fp"), F.least("fp", "lead").alias("lead"), F.when(F.col("fp") > F.col("lead"), F.col("n")).otherwise(F.col("m")).alias("n")
-    ).distinct()
-    pairs = scratch.keep(pairs.join(stars.select("fp", "lead"), ["fp", "lead"], "left_anti"))
-    if pairs.isEmpty():
-        roots = groups
-    else:
-        more = compare(pairs, classes, docs, num, den)
-        roots = scratch.keep(components(links.union(more), scratch))
+    stars = shared.where("fp <> lead").groupBy("fp", "lead").count()
+    stars = stars.join(size, "fp").join(size.select(F.col("fp").alias("lead"), F.col("n").alias("m")), "lead").where(fits(F.col("n"), F.col("m")))
+    stars = scratch.keep(stars.groupBy("fp", "n").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead")))
+    links = scratch.keep(compare(stars, classes, docs, scratch, num, den))
+    roots = scratch.keep(components(links, scratch))
+
+    # first against each qualifying group's hub, which draws most of what is left into groups; then all the rest
+    tested = stars.select(F.greatest("fp", "lead").alias("fp"), F.least("fp", "lead").alias("lead"))
+    for whole in (False, True):
+        seen, members = bounds(shared, roots, size, scratch, num, den)
+        if not whole:
+            degree = links.groupBy("b").agg(F.count("*").alias("links"))
+            hubs = degree.join(members, F.col("b") == F.col("lead")).groupBy("other").agg(F.max_by("lead", F.struct("links", "lead")).alias("lead"))
+            members = members.join(hubs, ["other", "lead"], "left_semi")
+        # of an opened group, the members that share enough prefix shingles with the class
+        enough = F.size(F.array_intersect("toks", "lead_toks")) >= needed(F.col("n"), seen["m"], num, den)
+        same = (seen["other"] == members["other"]) & (seen["m"] == members["m"])
+        pairs = seen.join(members, same & enough).select("fp", "n", "lead", seen["m"]).select(
+            F.greatest("fp", "lead").alias("fp"), F.least("fp", "lead").alias("lead"), F.when(F.col("fp") > F.col("lead"), F.col("n")).otherwise(F.col("m")).alias("n")
+        ).distinct()
+        pairs = scratch.keep(pairs.join(tested, ["fp", "lead"], "left_anti"))
+        if not pairs.isEmpty():
+            links = scratch.keep(links.union(compare(pairs, classes, docs, scratch, num, den)))
+            roots = scratch.keep(components(links, scratch))
+            tested = tested.union(pairs.select("fp", "lead"))
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.col("rep.doc_id").alias("least"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(names, "root").select("fp", "component_id")

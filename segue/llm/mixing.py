@@ -90,7 +90,7 @@ def mix(
         rows.join(targets, "skey")
         .withColumn("step", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0))
         .withColumn("spot", _hash48(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-        .withColumn("size_class", F.floor(F.log2(F.col("size") + 1.0) * 4).cast("int"))
+        .withColumn("size_class", F.floor(F.log2(F.col("size") + 1.5) * 4).cast("int"))
         .withColumn("salt", F.pmod("spot", F.ceil(F.sqrt(F.col("n_docs").cast("double")))).cast("long"))
     )
     bucket = ["skey", "size_class", "salt"]
@@ -151,7 +151,7 @@ placed AS (
   FROM rows JOIN targets USING (skey)),
 ordered AS (
   SELECT *, CAST('0x' || substr(md5('7|' || skey), 1, 12) AS BIGINT) % 1048576 / 1048576.0::DOUBLE AS u,
-    row_number() OVER (PARTITION BY skey ORDER BY CAST(floor(log2(size + 1.0::DOUBLE) * 4) AS INT), spot % CAST(ceil(sqrt(n_docs)) AS BIGINT), size, spot, doc_id) AS k
+    row_number() OVER (PARTITION BY skey ORDER BY CAST(floor(log2(size + 1.5::DOUBLE) * 4) AS INT), spot % CAST(ceil(sqrt(n_docs)) AS BIGINT), size, spot, doc_id) AS k
   FROM placed),
 taken AS (SELECT *, CAST(least(floor(k * step + u) - floor((k - 1) * step + u), 3) AS BIGINT) AS copies FROM ordered)
 SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken FROM taken
