@@ -70,3 +70,33 @@ def five_rhythms(known: DataFrame) -> DataFrame:
     phase = X.five_rhythms(F.col("bpm"), F.col("rms_energy"))
     rank = X.lookup(F.col("phase"), {p: k for k, p in enumerate(PHASES)})
     return ordered(known.withColumn("phase", phase), rank, F.col("rms_energy"))
+
+
+def require(tracks: DataFrame, features: DataFrame, key: str = "pos") -> DataFrame:
+    """The tracks, if all of them have features; else an error that names one that hasn't."""
+    missing = tracks.join(features.select(key), key, "left_anti").select(key).first()
+    if missing is not None:
+        raise ValueError(f"missing features for track {missing[0]}")
+    return tracks
+
+
+def move(order: DataFrame, cluster: str, source: int, target: int) -> DataFrame:
+    """A playlist's order after its track at ``source`` was moved to ``target``; the others close up."""
+    seq = F.col("seq")
+    low, high, step = (source, target, -1) if source < target else (target, source, 1)
+    shifted = F.when(seq == source, F.lit(target)).when(seq.between(low, high), seq + step).otherwise(seq)
+    return order.withColumn("seq", F.when(F.col("cluster_id") == cluster, shifted).otherwise(seq).cast("int"))
+
+
+def remove(order: DataFrame, cluster: str, pos: int) -> DataFrame:
+    """A playlist's order without a track; those behind it close up."""
+    gone = (F.col("cluster_id") == cluster) & (F.col("pos") == pos)
+    return order.where(~gone).withColumn("seq", F.row_number().over(Window.partitionBy("cluster_id").orderBy("seq")))
+
+
+def append(order: DataFrame, cluster: str, tracks: DataFrame) -> DataFrame:
+    """A playlist's order with some tracks (pos) at its end, by position; those it has stay where they are."""
+    new = tracks.select("pos").distinct().join(order.where(F.col("cluster_id") == cluster).select("pos"), "pos", "left_anti")
+    last = order.where(F.col("cluster_id") == cluster).agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
+    rank = F.row_number().over(Window.orderBy("pos"))
+    return order.unionByName(new.crossJoin(F.broadcast(last)).select(F.lit(cluster).alias("cluster_id"), "pos", (F.col("last") + rank).cast("int").alias("seq")))

@@ -224,3 +224,16 @@ def test_stream_equals_batch(spark, views, tmp_path):
     q.awaitTermination()
     got = {tuple(r) for r in spark.table("history_test").collect()}
     assert got == {tuple(r) for r in plays.history(events).collect()}
+
+
+def test_orders_are_edited(spark):
+    order = spark.createDataFrame([("a", 10 + k, k) for k in range(1, 6)] + [("b", 99, 1)], "cluster_id string, pos long, seq int")
+    a = lambda df: [r.pos for r in df.where("cluster_id = 'a'").orderBy("seq").collect()]
+    assert a(sequencing.move(order, "a", 2, 4)) == [11, 13, 14, 12, 15]
+    assert a(sequencing.move(order, "a", 5, 1)) == [15, 11, 12, 13, 14]
+    assert a(sequencing.remove(order, "a", 13)) == [11, 12, 14, 15]
+    more = spark.createDataFrame([(30,), (11,), (20,)], "pos long")
+    assert a(sequencing.append(order, "a", more)) == [11, 12, 13, 14, 15, 20, 30]
+    assert sequencing.move(order, "a", 2, 4).where("cluster_id = 'b'").first().seq == 1
+    with pytest.raises(ValueError, match="missing features for track 99"):
+        sequencing.require(order, order.where("pos < 90"))
