@@ -27,7 +27,7 @@ ROWS_BITS = 16
 UNKNOWN = "und"
 
 #: Bounds of the training sample: texts in all, languages, and bytes of a text.
-SAMPLE, LANGUAGES, SAMPLE_TEXT = 4000, 1000, 20_000
+SAMPLE, LANGUAGES, SAMPLE_TEXT = 2000, 1000, 20_000
 
 LETTERS = np.full(256, 32, np.uint8)
 LETTERS[65:91] = LETTERS[97:123] = np.arange(97, 123)
@@ -89,15 +89,17 @@ def train(texts: list[str], labels: list[str], *, width: int = 16, epochs: int =
     """Descent on two thirds of the texts, calibration on the rest."""
     names = sorted(set(labels))
     rng = np.random.default_rng(seed)
-    table_ = rng.normal(0, 0.1, (1 << ROWS_BITS, width))
+    table_ = rng.normal(0, 0.1, (1 << ROWS_BITS, width)).astype(np.float32)
     linear, bias = np.zeros((width, len(names))), np.zeros(len(names))
     wanted = np.array([names.index(x) for x in labels])
     docs = []
-    for run in runs(pa.array(texts, pa.large_string())):
+    for run in runs(pa.array(texts, pa.large_string()), chunk=1 << 18):
         spots, owners = subwords(run)
         order = np.argsort(owners, kind="stable")
         cuts = np.searchsorted(owners[order], np.arange(run.rows + 1))
-        docs += [np.unique(spots[order][a:b], return_counts=True) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # kept narrow, for the driver holds them all
+            distinct, times = np.unique(spots[order[a:b]], return_counts=True)
+            docs.append((distinct.astype(np.uint16), times.astype(np.float32)))
     order = rng.permutation(len(docs))
     fit, check = order[len(order) // 3 :], order[: len(order) // 3]
     for turn in range(epochs):
@@ -116,7 +118,7 @@ def train(texts: list[str], labels: list[str], *, width: int = 16, epochs: int =
             linear -= step * mean.T @ error
             bias -= step * error.mean(axis=0)
             sizes = np.diff(np.append(heads, len(spots)))
-            np.subtract.at(table_, spots, step * 40 * share[:, None] * np.repeat(back, sizes, axis=0))
+            np.subtract.at(table_, spots, (step * 40 * share[:, None] * np.repeat(back, sizes, axis=0)).astype(np.float32))
         rng.shuffle(fit)
     model = Model(names, table_ @ linear if len(names) <= width else table_, np.eye(len(names)) if len(names) <= width else linear, bias)
     held = [k for k in check if len(docs[k][0])]
