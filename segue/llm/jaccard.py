@@ -245,12 +245,18 @@ def bounds(shared: DataFrame, roots: DataFrame, size: DataFrame, scratch: Scratc
     member = scratch.keep(shared.select("tok", "fp").join(root, "fp", "left").select("tok", "fp", F.coalesce("root", "fp").alias("grp")).distinct())
     apart = member.groupBy("tok").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("df")).where("lo < hi").select("tok", "df")
     apart = member.join(apart, "tok").join(size, "fp").withColumn("step", step)
+    # spare: most shared shingles that a group may need for this one to be among those that look it up
     mine = Window.partitionBy("fp")
-    apart = apart.withColumn("r", F.row_number().over(mine.orderBy("df", "tok"))).withColumn("t", F.count("*").over(mine)).drop("df")
-    apart = scratch.keep(apart)
+    spare = F.count("*").over(mine) - F.row_number().over(mine.orderBy("df", "tok")) + 1
+    apart = scratch.keep(apart.withColumn("spare", spare.cast("int")).drop("df"))
     matrix = scratch.keep(apart.select("tok", F.col("grp").alias("other"), F.col("n").alias("m"), "step").distinct())
     asks = apart.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
-    rare = F.col("r") <= F.col("t") - needed(F.col("n"), F.col("m"), num, den) + 1
+    # sizes of the step that fit the class; what they need is least at an end, but for rounding
+    edge = lambda k: F.pow(F.lit(den / num), F.col("step") + k)
+    low = F.greatest(F.ceil(F.lit(num) * F.col("n") / F.lit(den)), F.floor(edge(0)))
+    high = F.least(F.floor(F.lit(den) * F.col("n") / F.lit(num)), F.ceil(edge(1)))
+    asks = asks.where(low <= high).where(F.least(needed(F.col("n"), low, num, den), needed(F.col("n"), high, num, den)) - 2 <= F.col("spare"))
+    rare = needed(F.col("n"), F.col("m"), num, den) <= F.col("spare")
     close = F.lit(den) * F.least("n", "m") >= F.lit(num) * F.greatest("n", "m")
     both = asks.join(matrix, ["tok", "step"]).where(F.col("grp") != F.col("other")).where(close & rare)
     found = both.select("fp", "n", "other", "m").distinct()
@@ -281,25 +287,28 @@ def joined(docs: DataFrame, scratch: Scratch, num: int = NUM, den: int = DEN) ->
     links = scratch.keep(compare(stars, classes, docs, scratch, num, den))
     roots = scratch.keep(components(links, scratch))
 
-    # first against each qualifying group's hub, which draws most of what is left into groups; then all the rest
-    tested = stars.select(F.greatest("fp", "lead").alias("fp"), F.least("fp", "lead").alias("lead"))
-    for whole in (False, True):
-        seen, members = bounds(shared, roots, size, scratch, num, den)
-        if not whole:
-            degree = links.groupBy("b").agg(F.count("*").alias("links"))
-            hubs = degree.join(members, F.col("b") == F.col("lead")).groupBy("other").agg(F.max_by("lead", F.struct("links", "lead")).alias("lead"))
-            members = members.join(hubs, ["other", "lead"], "left_semi")
-        # of an opened group, the members that share enough prefix shingles with the class
-        enough = F.size(F.array_intersect("toks", "lead_toks")) >= needed(F.col("n"), seen["m"], num, den)
-        same = (seen["other"] == members["other"]) & (seen["m"] == members["m"])
-        pairs = seen.join(members, same & enough).select("fp", "n", "lead", seen["m"]).select(
-            F.greatest("fp", "lead").alias("fp"), F.least("fp", "lead").alias("lead"), F.when(F.col("fp") > F.col("lead"), F.col("n")).otherwise(F.col("m")).alias("n")
-        ).distinct()
-        pairs = scratch.keep(pairs.join(tested, ["fp", "lead"], "left_anti"))
-        if not pairs.isEmpty():
-            links = scratch.keep(links.union(compare(pairs, classes, docs, scratch, num, den)))
-            roots = scratch.keep(components(links, scratch))
-            tested = tested.union(pairs.select("fp", "lead"))
+    # classes unlike their leader are compared with the hub of the leader's group
+    degree = links.groupBy("b").agg(F.count("*").alias("links")).join(roots, F.col("b") == F.col("node"))
+    hubs = degree.groupBy("root").agg(F.max_by("b", F.struct("links", "b")).alias("hub"))
+    failed = stars.join(links.select(F.col("a").alias("fp"), F.col("b").alias("lead")), ["fp", "lead"], "left_anti")
+    failed = failed.join(roots.withColumnRenamed("node", "lead"), "lead").join(hubs, "root").where("hub <> lead").select("fp", F.col("hub").alias("lead"), "n")
+    failed = scratch.keep(failed.join(size.select(F.col("fp").alias("lead"), F.col("n").alias("m")), "lead").where(fits(F.col("n"), F.col("m"))).drop("m"))
+    ordered = lambda df: df.select(F.greatest("fp", "lead").alias("fp"), F.least("fp", "lead").alias("lead"))
+    tested = ordered(stars).union(ordered(failed))
+    if not failed.isEmpty():
+        links = scratch.keep(links.union(compare(failed, classes, docs, scratch, num, den)))
+        roots = scratch.keep(components(links, scratch))
+
+    seen, members = bounds(shared, roots, size, scratch, num, den)
+    # of an opened group, the members that share enough prefix shingles with the class
+    enough = F.size(F.array_intersect("toks", "lead_toks")) >= needed(F.col("n"), seen["m"], num, den)
+    same = (seen["other"] == members["other"]) & (seen["m"] == members["m"])
+    pairs = seen.join(members, same & enough).select("fp", "n", "lead", seen["m"])
+    larger = F.when(F.col("fp") > F.col("lead"), F.col("n")).otherwise(F.col("m")).alias("n")
+    pairs = pairs.select(F.greatest("fp", "lead").alias("fp"), F.least("fp", "lead").alias("lead"), larger).distinct()
+    pairs = scratch.keep(pairs.join(tested, ["fp", "lead"], "left_anti"))
+    if not pairs.isEmpty():
+        roots = scratch.keep(components(links.union(compare(pairs, classes, docs, scratch, num, den)), scratch))
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.col("rep.doc_id").alias("least"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(names, "root").select("fp", "component_id")

@@ -45,7 +45,7 @@ def compare(spark, rows):
     assert {r.doc_id for r in kept.collect()} == want
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_against_brute_force(spark, seed):
     rng = random.Random(seed)
     word = lambda: rng.choice("abcdefghij") + rng.choice("xyz") * rng.randint(1, 2)
