@@ -7,7 +7,9 @@ the neighbours of a node, in either direction, are compared with each other,
 and each node keeps the best it has met. A list is saturated when all its
 entries reach the threshold; such lists may grow, and where a component of the
 threshold graph still has one, the component's nodes are compared all with all
-in tiles, so links in groups of any size are counted without listing them. An
+in tiles, so links in groups of any size are counted without listing them. What a
+comparison joins stays joined outside the lists (its bridges), so full lists
+part no component. An
 audit compares a bounded sample of nodes with all rows; while its recall is
 under the goal, new hyperplanes are added.
 """
@@ -33,7 +35,7 @@ NEAR, NEAR_FULL, TABLES, TURNS, ROUNDS = 8, 32, 12, 2, 3
 #: Nodes of a cell, nodes compared at once, audited nodes, and the recall that the audit asks for.
 CELL, TILE, AUDIT, GOAL = 64, 512, 400, 0.99
 
-EDGE = "u long, v long, s double"
+EDGE = "u long, v long, s double, bridge boolean"
 
 
 def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,38 +79,77 @@ def _best(s: np.ndarray, ids: np.ndarray, worst: np.ndarray, most: int) -> tuple
     return np.repeat(ids, good.sum(axis=1)), ids[top[good]], value[good]
 
 
-def _cell(rows: pa.Table) -> pa.Table:
-    ids, x = rows.column("nid").to_numpy(), from_blobs(rows.column("x"))
-    u, v, s = [], [], []
-    for at in range(0, len(ids), TILE):  # a part is about TILE; in any case bounded
-        some = slice(at, at + TILE)
-        sim = x[some] @ x[some].T
-        np.fill_diagonal(sim, -2)
-        a, b, c = _best(sim, ids[some], np.full(len(sim), -1.5), 4)
-        u.append(a), v.append(b), s.append(c)
-    return pa.table({"u": pa.array(np.concatenate(u), pa.int64()), "v": pa.array(np.concatenate(v), pa.int64()), "s": pa.array(np.concatenate(s), pa.float64())})
+def _joined(hit: np.ndarray) -> np.ndarray:
+    """Of each node of a stack of symmetric graphs, the least node that it is joined to."""
+    n = hit.shape[-1]
+    least = np.broadcast_to(np.arange(n), hit.shape[:-1])
+    while True:
+        near = np.minimum(least, np.where(hit, least[..., None, :], n).min(axis=-1, initial=n))
+        near = np.take_along_axis(near, near, axis=-1)
+        if np.array_equal(near, least):
+            return least
+        least = near
 
 
-def _local(rows: pa.Table) -> pa.Table:
+def _star(hit: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from nodes to the least node that they are joined to; of all that ``hit`` joins."""
+    some = np.flatnonzero(hit.any(axis=1))
+    least = _joined(hit[np.ix_(some, some)])
+    far = least != np.arange(len(some))
+    return ids[some[far]], ids[some[least[far]]]
+
+
+def _edges(found: list, joined: list) -> pa.Table:
+    """Found (u, v, s) for the lists, and (u, v) that are joined."""
+    none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    u, v, s = (np.concatenate(c) for c in zip(none, *found, *((a, b, np.full(len(a), np.nan)) for a, b in joined), strict=True))
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "s": pa.array(s, pa.float64()), "bridge": pa.array(np.isnan(s))})
+
+
+def _cell(threshold: float):
+    def work(rows: pa.Table) -> pa.Table:
+        ids, x = rows.column("nid").to_numpy(), from_blobs(rows.column("x"))
+        found, joined = [], []
+        for at in range(0, len(ids), TILE):  # a part is about TILE; in any case bounded
+            some = slice(at, at + TILE)
+            sim = x[some] @ x[some].T
+            np.fill_diagonal(sim, -2)
+            found.append(_best(sim, ids[some], np.full(len(sim), -1.5), 4))
+            joined.append(_star(sim >= threshold, ids[some]))
+        return _edges(found, joined)
+
+    return work
+
+
+def _local(threshold: float):
     """Neighbours of each centre, compared with each other."""
-    centre, ids, worst = (rows.column(k).to_numpy() for k in ("centre", "nid", "worst"))
-    order = np.argsort(centre, kind="stable")
-    centre, ids, worst = centre[order], ids[order], worst[order]
-    x = from_blobs(rows.column("x").take(pa.array(order)))
-    heads = np.flatnonzero(np.concatenate([[True], centre[1:] != centre[:-1]]))
-    size = np.diff(np.append(heads, len(centre)))
-    out = []
-    for n in np.unique(size[size > 1]).tolist():
-        for some in np.array_split(heads[size == n], max(1, int((size == n).sum()) * n // 20_000)):
-            at = some[:, None] + np.arange(n)
-            sim = x[at] @ x[at].transpose(0, 2, 1)
-            sim[:, np.arange(n), np.arange(n)] = -2
-            best = sim.argmax(axis=2)
-            value = np.take_along_axis(sim, best[:, :, None], axis=2)[:, :, 0]
-            good = value > worst[at] + 1e-12
-            out.append((ids[at][good], ids[np.take_along_axis(at, best, axis=1)][good], value[good]))
-    u, v, s = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "s": pa.array(s, pa.float64())})
+
+    def work(rows: pa.Table) -> pa.Table:
+        centre, ids, worst = (rows.column(k).to_numpy() for k in ("centre", "nid", "worst"))
+        order = np.argsort(centre, kind="stable")
+        centre, ids, worst = centre[order], ids[order], worst[order]
+        x = from_blobs(rows.column("x").take(pa.array(order)))
+        heads = np.flatnonzero(np.concatenate([[True], centre[1:] != centre[:-1]]))
+        size = np.diff(np.append(heads, len(centre)))
+        found, joined = [], []
+        for n in np.unique(size[size > 1]).tolist():
+            for some in np.array_split(heads[size == n], max(1, int((size == n).sum()) * n // 20_000)):
+                at = some[:, None] + np.arange(n)
+                sim = x[at] @ x[at].transpose(0, 2, 1)
+                sim[:, np.arange(n), np.arange(n)] = -2
+                best = sim.argmax(axis=2)
+                value = np.take_along_axis(sim, best[:, :, None], axis=2)[:, :, 0]
+                good = value > worst[at] + 1e-12
+                found.append((ids[at][good], ids[np.take_along_axis(at, best, axis=1)][good], value[good]))
+                hit = sim >= threshold
+                hit |= hit.transpose(0, 2, 1)
+                full = hit.any(axis=(1, 2))
+                least = _joined(hit[full])
+                far = least != np.arange(n)
+                joined.append((ids[at[full]][far], ids[np.take_along_axis(at[full], least, axis=1)][far]))
+        return _edges(found, joined)
+
+    return work
 
 
 def _tile(threshold: float):
@@ -184,13 +225,20 @@ def near_copies(vectors: DataFrame, *, id_col: str = "vec_id", label_col: str =
     truth = nodes.mapInArrow(_audit(spark.sparkContext.broadcast(asked), threshold), "nid long, true long").groupBy("nid").agg(F.sum("true").alias("true"))
     truth = scratch.keep(truth)
 
-    graph = None
+    graph, bridges = None, []
+
+    def taken(df: DataFrame) -> DataFrame:
+        """The edges for the lists; what is joined is put aside."""
+        edges = scratch.keep(df)
+        bridges.append(edges.where("bridge").select("u", "v"))
+        return edges.where("NOT bridge").select("u", "v", "s")
+
     for turn in range(ROUNDS):
         codes = scratch.keep(nodes.mapInArrow(_codes(turn), "nid long, grp long, t int, code long"))
         cell = ["t", "grp", "code"]
         parts = codes.groupBy(*cell).agg(F.ceil(F.count("*") / TILE).alias("parts")).where("parts >= 1")
         dealt = codes.join(parts, cell).withColumn("part", F.pmod(F.xxhash64("nid", "t"), F.col("parts")))
-        first = dealt.join(nodes.select("nid", "x"), "nid").groupBy(*cell, "part").applyInArrow(_cell, EDGE)
+        first = taken(dealt.join(nodes.select("nid", "x"), "nid").groupBy(*cell, "part").applyInArrow(_cell(threshold), EDGE))
         graph = scratch.keep(_trim(first if graph is None else first.union(graph), threshold))
         for _ in range(TURNS):
             worst = graph.groupBy("u").agg(F.when(F.count("*") >= NEAR, F.min("s")).otherwise(F.lit(-1.0)).alias("worst"))
@@ -199,9 +247,12 @@ def near_copies(vectors: DataFrame, *, id_col: str = "vec_id", label_col: str =
             both = both.distinct().withColumn("r", F.row_number().over(most)).where(F.col("r") <= 2 * NEAR).select("centre", "nid")
             members = nodes.select("nid", "x").join(worst, nodes["nid"] == worst["u"], "left").select("nid", "x", F.coalesce("worst", F.lit(-1.0)).alias("worst"))
             packs = F.pmod(F.xxhash64("centre"), F.lit(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-            met = both.join(members, "nid").withColumn("pack", packs).groupBy("pack").applyInArrow(_local, EDGE)
+            met = taken(both.join(members, "nid").withColumn("pack", packs).groupBy("pack").applyInArrow(_local(threshold), EDGE))
             graph = scratch.keep(_trim(graph.union(met), threshold))
-        near = scratch.keep(graph.where(F.col("s") >= threshold).select("u", "v"))
+        near = graph.where(F.col("s") >= threshold).select("u", "v")
+        for more in bridges:
+            near = near.union(more)
+        near = scratch.keep(near.distinct())
         roots = scratch.keep(components(near, scratch))
         members = roots.withColumnRenamed("node", "nid").join(nodes.select("nid", "x", "mult"), "nid")
         tiles = roots.groupBy("root").agg(F.ceil(F.count("*") / TILE).alias("tiles"))

@@ -59,3 +59,16 @@ def test_query_by_brute_force(spark):
     rows = [(r.vec_id, r.label, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
     got = descent.op2_embedding_dedup(spark, "/root/testdata/sf0.01").collect()
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == by_hand(rows)
+
+
+def test_bridged_full_groups(spark):
+    """Two dense groups whose cross pairs reach the threshold, each larger than a full list."""
+    rng = np.random.default_rng(8)
+    a, b = np.linalg.qr(rng.normal(size=(24, 2)))[0].T
+    rows = []
+    for centre in (a, 0.96 * a + 0.28 * b):
+        rows += [(len(rows) + k, 1, (centre + rng.normal(0, 0.01, 24)).tolist()) for k in range(45)]
+    rows += [(len(rows) + k, 1, rng.normal(size=24).tolist()) for k in range(100)]
+    want = by_hand(rows)
+    assert want[0][1] > 44 and want[60][2] == 0
+    assert run(spark, rows) == want
