@@ -66,9 +66,21 @@ def test_bridged_full_groups(spark):
     rng = np.random.default_rng(8)
     a, b = np.linalg.qr(rng.normal(size=(24, 2)))[0].T
     rows = []
-    for centre in (a, 0.96 * a + 0.28 * b):
-        rows += [(len(rows) + k, 1, (centre + rng.normal(0, 0.01, 24)).tolist()) for k in range(45)]
-    rows += [(len(rows) + k, 1, rng.normal(size=24).tolist()) for k in range(100)]
+    for centre in (a, 0.96 * a + 0.28 * b):  # far closer within than hyperplanes part
+        rows += [(len(rows) + k, 1, (centre + rng.normal(0, 1e-5, 24)).tolist()) for k in range(45)]
     want = by_hand(rows)
     assert want[0][1] > 44 and want[60][2] == 0
     assert run(spark, rows) == want
+
+
+def test_a_hot_group_hides_no_lost_pairs(spark, monkeypatch):
+    """With cells too fine for pairs, the audit sees what is lost beside a hot group."""
+    for name, value in (("CELL", 1e-9), ("TURNS", 0), ("ROUNDS", 1)):
+        monkeypatch.setattr(descent, name, value)
+    rng = np.random.default_rng(9)
+    hot, rows = rng.normal(size=24), []
+    rows += [(k, 1, (hot + rng.normal(0, 0.001, 24)).tolist()) for k in range(200)]
+    for _ in range(60):
+        centre = rng.normal(size=24)
+        rows += [(len(rows) + k, 1, (centre + rng.normal(0, 0.16, 24)).tolist()) for k in range(2)]
+    assert run(spark, rows) == by_hand(rows)
