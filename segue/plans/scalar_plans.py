@@ -62,12 +62,25 @@ def mood_class(v: Views):
 PAIRS = """WITH keyed AS (SELECT pos, camelot_key AS a, lag(camelot_key) OVER (ORDER BY pos) AS b FROM features WHERE pos <= 2000)"""
 
 
+#: Positions in a range that one task orders.
+RANGE = 1 << 16
+
+
 def _pairs(v: Views):
-    """Each key with that of the track before, by position."""
-    now = v.features.where("pos <= 2000").select("pos", F.col("camelot_key").alias("a"))
+    """Each key with that of the track before, by position; for all tracks.
+
+    Tracks are dealt by ranges of positions; within one the track before is a
+    lag, and a range's first track takes the last key of the ranges before.
+    """
     from pyspark.sql import Window
 
-    return now.withColumn("b", F.lag("a").over(Window.orderBy("pos")))
+    part = F.floor(F.col("pos") / RANGE)
+    now = v.features.select("pos", F.col("camelot_key").alias("a"), part.alias("part"))
+    last = now.groupBy("part").agg(F.max_by("a", "pos").alias("last"))
+    carry = last.select("part", F.lag("last").over(Window.orderBy("part")).alias("last"))
+    inside = Window.partitionBy("part").orderBy("pos")
+    ranked = now.withColumn("b", F.lag("a").over(inside)).withColumn("r", F.row_number().over(inside))
+    return ranked.join(carry, "part").select("pos", "a", F.when(F.col("r") == 1, F.col("last")).otherwise(F.col("b")).alias("b"))
 
 
 @query(f"{PAIRS} SELECT pos, a, b, {compatible('a', 'b')} AS compatible FROM keyed WHERE a IS NOT NULL AND b IS NOT NULL")

@@ -237,3 +237,19 @@ def test_orders_are_edited(spark):
     assert sequencing.move(order, "a", 2, 4).where("cluster_id = 'b'").first().seq == 1
     with pytest.raises(ValueError, match="missing features for track 99"):
         sequencing.require(order, order.where("pos < 90"))
+
+
+def test_harmonic_pairs_cover_all_tracks(spark, monkeypatch):
+    """Every track has a row, with the key of the one before, also where ranges meet and past position 2000."""
+    from segue.plans import scalar_plans
+    from segue.sources.fixtures import Views
+
+    monkeypatch.setattr(scalar_plans, "RANGE", 100)
+    sf = "/root/testdata/sf0.1"
+    keys = [(r.pos, r.camelot_key) for r in Views(spark, sf).features.select("pos", "camelot_key").orderBy("pos").collect()]
+    want = [(pos, a, before) for (pos, a), before in zip(keys, [None, *(k for _, k in keys)], strict=False)]
+    assert keys[-1][0] > 2000
+    got = scalar_plans.CATALOGUE.queries["harmonic_score"](spark, sf).orderBy("pos").collect()
+    assert [(r.pos, r.a, r.b) for r in got] == want
+    pairs = scalar_plans.CATALOGUE.queries["harmonic_bool"](spark, sf).select("pos").orderBy("pos").collect()
+    assert [r.pos for r in pairs] == [pos for pos, a, b in want if a is not None and b is not None]
