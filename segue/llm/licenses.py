@@ -7,9 +7,11 @@ and the gaps between anchors are aligned the same way, after equal words at
 their ends. Coverage is the share of the notice's words that are aligned.
 
 No text is aligned that cannot reach the least coverage: the words that a text
-and a notice have in common, counted, bound it from above. Stretches stand
-around each occurrence of those of the notice's words that are rarest in the
-text, so a notice that is repeated is found as well.
+and a notice have in common, counted, bound it from above. The same bound is
+slid over the text: every stretch of a notice's length and a quarter that holds
+enough of its words is aligned, so a notice that is repeated is found as well.
+Wider stretches stand around each occurrence of those of the notice's words
+that are rarest in the text.
 """
 
 from __future__ import annotations
@@ -114,6 +116,25 @@ def plain_words(run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return (span_hashes(BYTE_CODE[data], starts, ends) if len(starts) else np.empty(0, np.uint64)), first, starts, ends
 
 
+def full_stretches(words: list[int], hits: list[int], have: list[int], width: int, need: float) -> list[tuple[int, int]]:
+    """Stretches of ``width`` words at most, from one notice word to another, that hold ``need`` of the notice's words.
+
+    ``hits`` are the notice's words in the text; ``have`` is how often each is in the notice.
+    """
+    seen, total, a, out = Counter(), 0, 0, []
+    for i in hits:
+        seen[words[i]] += 1
+        total += seen[words[i]] <= have[words[i]]
+        while hits[a] <= i - width:
+            w = words[hits[a]]
+            total -= seen[w] <= have[w]
+            seen[w] -= 1
+            a += 1
+        if total >= need:
+            out.append((hits[a], i + 1))
+    return out
+
+
 def best_notice(words: list[int], t: Templates, which: list[int], least: float) -> tuple | None:
     """(coverage, words aligned, notice, first, last) of the best notice in a text.
 
@@ -127,14 +148,15 @@ def best_notice(words: list[int], t: Templates, which: list[int], least: float)
     for k in which:
         notice = t.words[k]
         n, slack = len(notice), len(notice) // 4 + 2
+        hits = sorted(i for w in set(notice) for i in at.get(w, ()))
+        stretches = set(full_stretches(words, hits, t.counts[k].tolist(), n + slack, least * n))
         rare = sorted((len(at[w]), j) for j, w in enumerate(notice) if w in at)
-        for _, j in rare[:AROUND]:
-            for p in at[notice[j]]:
-                lo = max(0, p - j - slack)
-                pairs = patience(words[lo : p - j + n + slack], notice)
-                if len(pairs) >= least * n:
-                    found = (len(pairs) / n, len(pairs), -k, lo + pairs[0][0], lo + pairs[-1][0])
-                    best = max(best, found) if best else found
+        stretches |= {(max(0, p - j - slack), p - j + n + slack) for _, j in rare[:AROUND] for p in at[notice[j]]}
+        for lo, hi in stretches:
+            pairs = patience(words[lo:hi], notice)
+            if len(pairs) >= least * n:
+                found = (len(pairs) / n, len(pairs), -k, lo + pairs[0][0], lo + pairs[-1][0])
+                best = max(best, found) if best else found
     return best
 
 

@@ -74,3 +74,14 @@ def test_query(spark):
         for name in ("mit-line", "gpl-3.0-line", "apache-2.0-line", "cc-by-nc-4.0-line"):
             if licenses.NOTICES[name] in r.text:
                 assert got[r.doc_id].coverage == 1
+
+
+def test_a_notice_whose_rarest_words_stand_elsewhere():
+    """A variant without three words, which the text has once each far away, and its other words twice."""
+    notice = licenses.NOTICES["isc"].lower().replace(",", "").replace(".", "").replace("/", " ").split()
+    gone = [w for w in dict.fromkeys(notice) if notice.count(w) == 1][:3]
+    variant = [w for w in notice if w not in gone]
+    far = " ".join(f"{w} " + "zzz " * 60 for w in gone)
+    far += " ".join(f"{w} " + "zzz " * 60 for w in sorted(set(variant)))
+    name, coverage = by_hand(" ".join(variant) + " zzz" * 100 + " " + far)
+    assert name == "isc" and coverage == len(variant) / len(notice)
