@@ -80,18 +80,24 @@ def exchange(sent: DataFrame, dtypes: dict[str, str], work: Callable[[Fields], p
     return sent.groupBy("bucket").applyInArrow(lambda rows: work(unpack(rows, dtypes)), schema)
 
 
-def first_of(sorted_keys: np.ndarray) -> np.ndarray:
-    """For each element of a sorted array, the index of the first that equals it."""
-    n = len(sorted_keys)
-    head = np.ones(n, bool)
-    head[1:] = sorted_keys[1:] != sorted_keys[:-1]
-    return np.maximum.accumulate(np.where(head, np.arange(n), 0))
-
-
-def last_of(sorted_keys: np.ndarray) -> np.ndarray:
-    n = len(sorted_keys)
-    tail = np.ones(n, bool)
-    tail[:-1] = sorted_keys[1:] != sorted_keys[:-1]
+def _heads(sorted_keys: tuple[np.ndarray, ...]) -> np.ndarray:
+    head = np.zeros(len(sorted_keys[0]), bool)
+    head[:1] = True
+    for k in sorted_keys:
+        head[1:] |= k[1:] != k[:-1]
+    return head
+
+
+def first_of(*sorted_keys: np.ndarray) -> np.ndarray:
+    """For each place of sorted arrays, the first place that has the same of all."""
+    head = _heads(sorted_keys)
+    return np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+
+
+def last_of(*sorted_keys: np.ndarray) -> np.ndarray:
+    head = _heads(sorted_keys)
+    n = len(head)
+    tail = np.append(head[1:], True)[:n]
     return np.minimum.accumulate(np.where(tail, np.arange(n), n)[::-1])[::-1]
 
 
@@ -100,11 +106,7 @@ def grouped(keys: list[np.ndarray], values: np.ndarray, names: list[str]) -> pa.
     n = len(values)
     order = np.lexsort([values, *reversed(keys)])
     keys, values = [k[order] for k in keys], np.ascontiguousarray(values[order])
-    head = np.zeros(n, bool)
-    head[:1] = True
-    for k in keys:
-        head[1:] |= k[1:] != k[:-1]
-    heads = np.flatnonzero(head)
+    heads = np.flatnonzero(_heads(tuple(keys)))
     offsets = (np.append(heads, n) * values.dtype.itemsize).astype(np.int32)
     blob = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
     return pa.Table.from_arrays([*(pa.array(k[heads]) for k in keys), blob], names)

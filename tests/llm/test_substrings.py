@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from segue.llm import substrings
-from segue.llm._text import runs
+from segue.llm._text import mix64
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -77,14 +77,44 @@ def test_long_text_and_empty(spark):
     assert substrings.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_levels_are_local():
-    rng = np.random.default_rng(0)
-    for letters in (2, 3, 20):
-        codes = rng.integers(1, letters + 1, 3000).astype(np.uint64)
-        whole = substrings.border_levels(codes, np.array([0]))
-        for at in rng.integers(40, 2900, 200):
-            part = substrings.border_levels(codes[at - 12 : at + 13].copy(), np.array([0]))
-            assert part[12] == whole[at]
+@pytest.mark.parametrize("width", [1, 3, 10, 44, 100])
+def test_other_widths(spark, width):
+    compare(spark, passages(5, "abcdefgh", 40), width=width)
+
+
+def test_width_of_nothing_is_refused(spark):
+    with pytest.raises(ValueError, match="word"):
+        substrings.dedup(spark.createDataFrame([], "doc_id long, text string"), width=0)
+
+
+@pytest.mark.parametrize("letters", [1, 2, 3, 20, 5000])
+def test_symbols_depend_on_their_spans_alone(letters):
+    rng = np.random.default_rng(letters)
+    names = mix64(np.arange(1, letters + 1, dtype=np.uint64))
+    codes = np.concatenate([names[rng.integers(0, letters, 3000)], np.tile(names[: min(letters, 3)], 200)])
+    whole, _ = substrings.parse(codes, np.array([0]), 50)
+    seen = lambda symbols, a, b: {(int(n), int(x) - a, int(lo) - a, int(hi) - a) for n, x, lo, hi in zip(symbols.name, symbols.at, symbols.lo, symbols.hi, strict=True) if lo >= a and hi <= b}
+    for at in rng.integers(0, len(codes) - 50, 60):
+        part, _ = substrings.parse(codes[at : at + 50].copy(), np.array([0]), 50)
+        for all_, some in zip(whole, part, strict=True):
+            assert (np.diff(all_.lo) >= 0).all() and (np.diff(all_.hi) >= 0).all()
+            assert seen(some, 0, 50) == seen(all_, at, at + 50)
+
+
+def test_long_symbols_carry_long_repeats():
+    rng = np.random.default_rng(1)
+    names = mix64(np.arange(1, 20_001, dtype=np.uint64))
+    shared = rng.integers(0, 20_000, 4000)
+    found = []
+    for _ in range(2):
+        codes = names[np.concatenate([rng.integers(0, 20_000, int(rng.integers(50, 90))), shared, rng.integers(0, 20_000, 70)])]
+        found.append(substrings.parse(codes, np.array([0]), 50)[1])
+    (a, begin, end), (b, _, _) = found
+    covered = np.zeros(len(codes) + 200, bool)
+    for x, y in zip(begin[np.isin(a, b)], end[np.isin(a, b)], strict=True):
+        assert y - x >= 50
+        covered[x:y] = True
+    assert covered.sum() > 3800
 
 
 def test_query_by_brute_force(spark):
