@@ -2,13 +2,17 @@
 
 Every component of the candidates of a block is one sorted list; a query reads
 a list from its high end where its own component is positive, else from the
-low end. After each depth of reading, a candidate's score lies between what has
-been read of it plus the lists' far ends, and the same plus the places reached.
-A query stops when no candidate but a few can reach the k-th best lower bound
-(that of earlier blocks of the task included); the few are then resolved by
-their whole scores. Bounds of all queries of a block come from one product of
-matrices at a time. Query blocks meet candidate blocks on the query block's
-number; each meeting gives k rows a query at most.
+low end. Lists are read in steps to the ``DEPTHS``. What has been read is added
+up, so after each step a candidate's score lies between that plus the lists'
+far ends, and that plus the places reached. A query stops when no candidate but
+a few can reach the k-th best lower bound (or that of earlier blocks); the few
+are then resolved by their whole scores. At the lists' end both bounds are the
+score. Bounds of all queries of a block come from one product of matrices.
+
+Query blocks meet cells of candidate blocks in a grid, every cell of bounded
+size. Cells come in waves, each several times as large as all before, and the
+k-th best score of the waves before goes along with a query; so a query brings
+k rows out of the first wave's cells, and few more out of each later wave.
 """
 
 from __future__ import annotations
@@ -24,77 +28,79 @@ from ._common import Scratch, table
 from ._vectors import blob_column, from_blobs, matrix_parts
 
 K, SCALE = 20, 64
-DEPTHS = (0.25, 0.6)
-QUERIES_IN_BLOCK, ROWS_IN_BLOCK = 1024, 4096
+
+#: Shares of the lists that are read before bounds are looked at.
+DEPTHS = (0.125, 0.375, 0.75, 1.0)
+
+#: Queries and candidates that meet at once; candidates of a cell; cells of the first wave, and of the next for each before.
+QUERIES_IN_BLOCK, ROWS_IN_BLOCK, ROWS_IN_CELL, WAVE, GROWTH = 1024, 4096, 16384, 64, 7
 
 #: Candidates per k that a query resolves at once when it stops.
 FEW = 4
 
+LEAST = np.iinfo(np.int64).min + 1
+
 
-def best_of_block(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, rids: np.ndarray, k: int, floor: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the rows (by index) and scores of its k best in a block.
+def best_of_block(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, rids: np.ndarray, k: int, floor: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """For each query the rows (by index) and scores of its k best in a block, and the share of the lists that it read.
 
     ``rows`` are in the order of ids. ``own`` are the queries' row numbers,
     which ``rids`` holds for the rows. ``floor`` has k-th best scores known so
     far; rows below are left out. Ties go to the smaller id.
     """
     n, dims = rows.shape
+    share = np.ones(len(queries))
     if n == 0 or len(queries) == 0:
-        return [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(queries)
+        return [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(queries), share
     reach = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * dims
     kind = np.float32 if reach < 1 << 24 else np.float64 if reach < 1 << 53 else np.int64
+    nothing = kind(-np.inf) if kind is not np.int64 else LEAST - 1
     x, q = rows.astype(kind), queries.astype(kind)
-    signed = np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], axis=1).T
+    high, low = np.maximum(q, 0).T, np.minimum(q, 0).T
     order = np.argsort(x, axis=0, kind="stable")
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.broadcast_to(np.arange(n)[:, None], order.shape), axis=0)
     ends = np.take_along_axis(x, order, axis=0)
     mine = {int(r): i for i, r in enumerate(rids)}
     self_at = np.array([mine.get(int(r), -1) for r in own])
+    floor = floor.astype(np.float64 if kind is not np.int64 else np.int64)
     out: list = [None] * len(q)
     open_ = np.arange(len(q))
-
-    def choose(some: np.ndarray, exact: np.ndarray) -> None:
-        """exact: rows by queries, whole scores."""
-        key = exact.astype(np.int64)
-        least = np.iinfo(np.int64).min
-        has = self_at[some] >= 0
-        key[self_at[some][has], np.flatnonzero(has)] = least
-        if n > k:
-            kth = np.partition(key, n - k, axis=0)[n - k]
-        else:
-            kth = np.full(len(some), least + 1)
-        kth = np.maximum(kth, np.maximum(floor[some], least + 1))
-        for j, i in enumerate(some.tolist()):
-            at = np.flatnonzero(key[:, j] >= kth[j])
-            at = at[np.argsort(-key[at, j], kind="stable")][:k]
-            out[i] = (at, key[at, j])
-
-    if kind is not np.int64:
-        for share in DEPTHS:
-            depth = int(share * n)
-            if depth == 0 or n <= FEW * k or not len(open_):
-                continue
-            top, low = place >= n - depth, place < depth
-            upper = np.concatenate([np.where(top, x, ends[n - depth]), np.where(low, x, ends[depth - 1])], axis=1) @ signed[:, open_]
-            lower = np.concatenate([np.where(top, x, ends[0]), np.where(low, x, ends[-1])], axis=1) @ signed[:, open_]
-            has = self_at[open_] >= 0
-            lower[self_at[open_][has], np.flatnonzero(has)] = -np.inf
-            upper[self_at[open_][has], np.flatnonzero(has)] = -np.inf
-            kth = np.maximum(np.partition(lower, n - k, axis=0)[n - k], floor[open_])
-            alive = upper >= kth
-            done = alive.sum(axis=0) <= FEW * k
-            for j in np.flatnonzero(done).tolist():
-                i = open_[j]
-                at = np.flatnonzero(alive[:, j])
-                s = np.rint(x[at].astype(np.float64) @ q[i].astype(np.float64)).astype(np.int64)
-                at, s = at[s >= floor[i]], s[s >= floor[i]]
-                best = np.argsort(-s, kind="stable")[:k]
-                out[i] = (at[best], s[best])
-            open_ = open_[~done]
-    if len(open_):
-        choose(open_, x @ q[open_].T)  # every list read to its end
-    return out
+    read = np.zeros((n, len(q)), kind)
+    before = 0
+    for depth_share in DEPTHS:
+        depth = n if depth_share >= 1 else int(depth_share * n)
+        if depth <= before:
+            continue
+        # the next part of each list, from either end
+        high_new, low_new = (place >= n - depth) & (place < n - before), (place < depth) & (place >= before)
+        read += np.where(high_new, x, 0) @ high[:, open_] + np.where(low_new, x, 0) @ low[:, open_]
+        before = depth
+        lower = upper = read
+        if depth < n:
+            high_left, low_left = place < n - depth, place >= depth
+            rest = lambda far_high, far_low: np.where(high_left, far_high, 0) @ high[:, open_] + np.where(low_left, far_low, 0) @ low[:, open_]  # noqa: B023, E731
+            upper = read + rest(ends[n - depth - 1], ends[depth])
+            lower = read + rest(ends[0], ends[-1])
+        has = self_at[open_] >= 0
+        lower, upper = (b.copy() if b is read else b for b in (lower, upper))
+        for bound in (lower, upper):
+            bound[self_at[open_][has], np.flatnonzero(has)] = nothing
+        kth = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(open_), nothing)
+        kth = np.maximum(kth, floor[open_])
+        alive = upper >= kth
+        done = np.ones(len(open_), bool) if depth == n else alive.sum(axis=0) <= FEW * k
+        for j in np.flatnonzero(done).tolist():
+            i = open_[j]
+            at = np.flatnonzero(alive[:, j])
+            s = np.rint(read[at, j]).astype(np.int64) if depth == n else rows[at] @ queries[i]
+            at, s = at[s >= floor[i]], s[s >= floor[i]]
+            best = np.argsort(-s, kind="stable")[:k]
+            out[i], share[i] = (at[best], s[best]), depth / n
+        open_, read = open_[~done], read[:, ~done]
+        if not len(open_):
+            break
+    return out, share
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,33 +119,20 @@ def _block(rows: pa.Table) -> pa.Table:
     small = np.abs(x).max(initial=0) < 1 << 15
     data = x.astype(np.int16) if small else x
     cells = [rows.column("qb").slice(0, 1), rows.column("width").slice(0, 1)]
-    blobs = [rows.column("rid").to_numpy().astype(np.int64).tobytes(), rows.column("vec_id").to_numpy().astype(np.int64).tobytes(), data.tobytes()]
-    return pa.Table.from_arrays([*cells, pa.array([bool(small)]), *(pa.array([b], pa.binary()) for b in blobs)], ["qb", "width", "small", "rids", "ids", "x"])
-
+    blobs = [rows.column(c).to_numpy().astype(np.int64).tobytes() for c in ("rid", "vec_id", "floor")]
+    return pa.Table.from_arrays([*cells, pa.array([bool(small)]), *(pa.array([b], pa.binary()) for b in [*blobs, data.tobytes()])], ["qb", "width", "small", "rids", "ids", "floor", "x"])
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of candidates of one width, rows in the order of ids."""
-    held: dict[int, list] = {}
 
-    def give(width: int) -> pa.RecordBatch:
-        rids, ids, x = (np.concatenate(c) for c in zip(*held.pop(width), strict=True))
-        order = np.lexsort([rids, ids])
-        rids, ids, x = rids[order], ids[order], x[order]
-        small = bool(np.abs(x).max(initial=0) < 1 << 15)
-        blobs = [rids.tobytes(), ids.tobytes(), (x.astype(np.int16) if small else x).tobytes()]
-        return pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.array([small]), *(pa.array([b], pa.binary()) for b in blobs)], ["width", "small", "rids", "ids", "x"])
-
-    for batch in batches:
-        widths = batch.column("width").to_numpy()
-        for width in np.unique(widths).tolist():
-            part = batch.filter(pa.array(widths == width))
-            for at in range(0, part.num_rows, ROWS_IN_BLOCK):
-                p = part.slice(at, ROWS_IN_BLOCK)
-                held.setdefault(width, []).append((p.column("rid").to_numpy().astype(np.int64), p.column("vec_id").to_numpy().astype(np.int64), from_blobs(p.column("x"), np.int64)))
-                if sum(len(h[0]) for h in held[width]) >= ROWS_IN_BLOCK:
-                    yield give(width)
-    for width in list(held):
-        yield give(width)
+def _candidates(rows: pa.Table) -> pa.Table:
+    """Blocks of the candidates of one cell and width, rows in the order of ids."""
+    order = np.lexsort([rows.column("rid").to_numpy(), rows.column("vec_id").to_numpy()])
+    x = from_blobs(rows.column("x"), np.int64)
+    ids, rids = (rows.column(c).to_numpy().astype(np.int64) for c in ("vec_id", "rid"))
+    small = bool(np.abs(x).max(initial=0) < 1 << 15)
+    cuts = [order[at : at + ROWS_IN_BLOCK] for at in range(0, len(order), ROWS_IN_BLOCK)]
+    same = [pa.array(np.full(len(cuts), rows.column(c)[0].as_py(), np.int32)) for c in ("cell", "width")]
+    blobs = [pa.array([(v[c]).tobytes() for c in cuts], pa.binary()) for v in (rids, ids, x.astype(np.int16) if small else x)]
+    return pa.Table.from_arrays([*same, pa.array([small] * len(cuts)), *blobs], ["cell", "width", "small", "rids", "ids", "x"])
 
 
 def _numbers(width: int, small: bool, blob: bytes) -> np.ndarray:
@@ -147,31 +140,31 @@ def _numbers(width: int, small: bool, blob: bytes) -> np.ndarray:
 
 
 def _meet(k: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floors: dict[int, np.ndarray] = {}  # k-th best scores of a query block's queries in this task
-        for batch in batches:
-            for r in range(batch.num_rows):
-                c = {name: batch.column(name)[r].as_py() for name in batch.schema.names}
-                queries = _numbers(c["width"], c["q_small"], c["q_x"])
-                own, q_ids = np.frombuffer(c["q_rids"], np.int64), np.frombuffer(c["q_ids"], np.int64)
-                rids, ids = np.frombuffer(c["rids"], np.int64), np.frombuffer(c["ids"], np.int64)
-                key = (c["qb"], c["width"])
-                floor = floors.setdefault(key, np.full(len(own), np.iinfo(np.int64).min + 1))
-                best = best_of_block(queries, own, _numbers(c["width"], c["small"], c["x"]), ids, rids, k, floor)
+    """One query block and the candidate blocks of a cell."""
+
+    def work(asked: pa.Table, given: pa.Table) -> pa.Table:
+        found = {c: [np.empty(0, np.int64)] for c in ("q_rid", "query_id", "vec_id", "rid", "score")}
+        for c in asked.to_pylist():
+            queries = _numbers(c["width"], c["small"], c["x"])
+            own, q_ids, floor = (np.frombuffer(c[name], np.int64).copy() for name in ("rids", "ids", "floor"))
+            for g in given.to_pylist():
+                rids, ids = np.frombuffer(g["rids"], np.int64), np.frombuffer(g["ids"], np.int64)
+                best, _ = best_of_block(queries, own, _numbers(g["width"], g["small"], g["x"]), ids, rids, k, floor)
                 for i, (_, s) in enumerate(best):
                     if len(s) == k:
                         floor[i] = max(floor[i], s[-1])
                 sizes = [len(a) for a, _ in best]
-                at = np.concatenate([a for a, _ in best]) if best else np.empty(0, np.int64)
-                score = np.concatenate([s for _, s in best]) if best else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(own, sizes)), pa.array(np.repeat(q_ids, sizes)), pa.array(ids[at]), pa.array(rids[at]), pa.array(score.astype(np.int64))],
-                    ["q_rid", "query_id", "vec_id", "rid", "score"],
-                )
+                at = np.concatenate([a for a, _ in best])
+                for name, part in (("q_rid", np.repeat(own, sizes)), ("query_id", np.repeat(q_ids, sizes)), ("vec_id", ids[at]), ("rid", rids[at]), ("score", np.concatenate([s for _, s in best]))):
+                    found[name].append(part)
+        return pa.table({name: np.concatenate(parts) for name, parts in found.items()})
 
     return work
 
 
+FOUND = "q_rid long, query_id long, vec_id long, rid long, score long"
+
+
 def top_k(vectors: DataFrame, is_query: Column | None = None, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): each query row's k highest inner products.
 
@@ -188,18 +181,33 @@ def top_k(vectors: DataFrame, is_query: Column | None = None, *, id_col: str = "
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"), cond.alias("asks"))
     rows = scratch.keep(rows.withColumn("rid", F.monotonically_increasing_id()))
     packed = "rid long, vec_id long, width int, x binary"
-    n = rows.where("asks").count()
-    blocks = max(1, -(-n // QUERIES_IN_BLOCK))
-    asked = rows.where("asks").select("rid", "vec_id", "embedding").mapInArrow(_pack, packed)
-    asked = asked.withColumn("qb", F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int")).groupBy("qb", "width")
-    asked = asked.applyInArrow(_block, "qb int, width int, small boolean, rids binary, ids binary, x binary")
-    asked = asked.select("qb", "width", *[F.col(c).alias(f"q_{c}") for c in ("small", "rids", "ids", "x")])
-    given = rows.select("rid", "vec_id", "embedding").mapInArrow(_pack, packed).mapInArrow(_blocks, "width int, small boolean, rids binary, ids binary, x binary")
-    given = given.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = given.join(asked, ["qb", "width"]).mapInArrow(_meet(k), "q_rid long, query_id long, vec_id long, rid long, score long")
-    order = Window.partitionBy("q_rid").orderBy(F.desc("score"), "vec_id", "rid")
-    out = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return scratch.result(out.select("query_id", "rank", "vec_id", "score"))
+    n, whole = rows.agg(F.count_if("asks"), F.count("*")).first()
+    blocks, cells = max(1, -(-n // QUERIES_IN_BLOCK)), max(1, -(-whole // ROWS_IN_CELL))
+    queries = rows.where("asks").select("rid", "vec_id", "embedding").mapInArrow(_pack, packed)
+    queries = queries.withColumn("qb", F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int"))
+    given = rows.select("rid", "vec_id", "embedding").mapInArrow(_pack, packed)
+    given = given.withColumn("cell", F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(cells)).cast("int"))
+    given = given.groupBy("cell", "width").applyInArrow(_candidates, "cell int, width int, small boolean, rids binary, ids binary, x binary")
+    given = scratch.keep(given)
+
+    best, at = None, 0
+    while at < cells:
+        upto = min(cells, max(WAVE, at * (1 + GROWTH)))
+        asked = queries.withColumn("floor", F.lit(int(LEAST)))
+        if best is not None:  # what a later row must reach
+            floors = best.where(F.col("rank") == k).select(F.col("q_rid").alias("rid"), F.col("score").alias("reached"))
+            asked = queries.join(floors, "rid", "left").withColumn("floor", F.coalesce("reached", F.lit(int(LEAST)))).drop("reached")
+        asked = asked.groupBy("qb", "width").applyInArrow(_block, "qb int, width int, small boolean, rids binary, ids binary, floor binary, x binary")
+        asked = asked.withColumn("cell", F.explode(F.sequence(F.lit(at), F.lit(upto - 1))))
+        wave = given.where(F.col("cell").between(at, upto - 1)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        key = ["qb", "cell", "width"]
+        met = asked.groupBy(*key).cogroup(wave.groupBy(*key)).applyInArrow(_meet(k), FOUND)
+        if best is not None:
+            met = met.union(best.drop("rank"))
+        order = Window.partitionBy("q_rid").orderBy(F.desc("score"), "vec_id", "rid")
+        best = scratch.keep(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        at = upto
+    return scratch.result(best.select("query_id", "rank", "vec_id", "score"))
 
 
 def op10_exact_topk(spark, sf_dir: str) -> DataFrame:

@@ -43,12 +43,34 @@ def test_lists_stop_early():
     rng = np.random.default_rng(2)
     x = (rng.pareto(1.2, (3000, 4)) * 10).astype(np.int64)
     q = rng.integers(1, 5, (30, 4))
-    best = topk.best_of_block(q, np.arange(-30, 0), x, np.arange(3000), np.arange(3000), 10, np.full(30, -(1 << 62)))
+    best, read = topk.best_of_block(q, np.arange(-30, 0), x, np.arange(3000), np.arange(3000), 10, np.full(30, -(1 << 62)))
+    assert (read < 1).sum() >= 20
     for i, (at, s) in enumerate(best):
         want = np.lexsort([np.arange(3000), -(x @ q[i])])[:10]
         assert at.tolist() == want.tolist() and s.tolist() == (x @ q[i])[want].tolist()
 
 
+@pytest.mark.parametrize("top", [3, 1 << 20, 1 << 29])
+def test_numbers_of_any_size(top):
+    rng = np.random.default_rng(4)
+    x, q = rng.integers(-top, top, (500, 8)), rng.integers(-top, top, (20, 8))
+    q[:5] = x[:5]
+    best, _ = topk.best_of_block(q, np.arange(20), x, np.arange(500), np.arange(500), 7, np.full(20, topk.LEAST))
+    for i, (at, s) in enumerate(best):
+        scores = x @ q[i]
+        want = [j for j in np.lexsort([np.arange(500), -scores]).tolist() if j != i][:7]
+        assert at.tolist() == want and s.tolist() == scores[want].tolist()
+
+
+def test_cells_in_waves(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS_IN_CELL", 40)
+    monkeypatch.setattr(topk, "QUERIES_IN_BLOCK", 7)
+    monkeypatch.setattr(topk, "WAVE", 2)
+    rng = np.random.default_rng(3)
+    rows = [(k // 2, e) for k, e in enumerate(rng.normal(0, 0.2, (600, 6)).tolist())]
+    assert run(spark, rows, 5) == by_hand(rows, 5)
+
+
 def test_query(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
     got = topk.op10_exact_topk(spark, "/root/testdata/sf0.01").collect()
