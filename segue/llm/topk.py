@@ -6,7 +6,7 @@ low end. Lists are read in steps to the ``DEPTHS``. What has been read is added
 up, so after each step a candidate's score lies between that plus the lists'
 far ends, and that plus the places reached. A query stops when no candidate but
 a few can reach the k-th best lower bound (or that of earlier blocks); the few
-are then resolved by their whole scores. At the lists' end both bounds are the
+are then resolved to their whole scores. At the lists' end both bounds are the
 score. Bounds of all queries of a block come from one product of matrices.
 
 Query blocks meet cells of candidate blocks in a grid, every cell of bounded
@@ -30,13 +30,13 @@ from ._vectors import blob_column, from_blobs, matrix_parts
 K, SCALE = 20, 64
 
 #: Shares of the lists that are read before bounds are looked at.
-DEPTHS = (0.125, 0.375, 0.75, 1.0)
+DEPTHS = (0.125, 0.5, 0.75, 0.9, 1.0)
 
 #: Queries and candidates that meet at once; candidates of a cell; cells of the first wave, and of the next for each before.
 QUERIES_IN_BLOCK, ROWS_IN_BLOCK, ROWS_IN_CELL, WAVE, GROWTH = 1024, 4096, 16384, 64, 7
 
-#: Candidates per k that a query resolves at once when it stops.
-FEW = 4
+#: A query stops when so many candidates for each of the k, or this share of the block, are left to resolve.
+FEW, SHARE = 4, 1 / 16
 
 LEAST = np.iinfo(np.int64).min + 1
 
@@ -89,7 +89,7 @@ def best_of_block(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: n
         kth = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(open_), nothing)
         kth = np.maximum(kth, floor[open_])
         alive = upper >= kth
-        done = np.ones(len(open_), bool) if depth == n else alive.sum(axis=0) <= FEW * k
+        done = np.ones(len(open_), bool) if depth == n else alive.sum(axis=0) <= max(FEW * k, SHARE * n)
         for j in np.flatnonzero(done).tolist():
             i = open_[j]
             at = np.flatnonzero(alive[:, j])

@@ -71,6 +71,17 @@ def test_cells_in_waves(spark, monkeypatch):
     assert run(spark, rows, 5) == by_hand(rows, 5)
 
 
+def test_lists_stop_before_the_end_on_the_vectors_given(spark):
+    x = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").collect() if r.embedding and all(v is not None and math.isfinite(v) for v in r.embedding)])
+    x = np.floor(64 * x).astype(np.int64)
+    q = np.arange(0, len(x), 20)
+    best, read = topk.best_of_block(x[q], q, x, np.arange(len(x)), np.arange(len(x)), 20, np.full(len(q), topk.LEAST))
+    assert (read < 1).mean() > 0.8
+    floor = np.array([s[-1] for _, s in best])
+    again, sooner = topk.best_of_block(x[q], q, x, np.arange(len(x)), np.arange(len(x)), 20, floor)
+    assert sooner.mean() < read.mean() and all(np.array_equal(a, b) for (_, a), (_, b) in zip(best, again, strict=True))
+
+
 def test_query(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
     got = topk.op10_exact_topk(spark, "/root/testdata/sf0.01").collect()
