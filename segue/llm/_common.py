@@ -6,8 +6,10 @@ executors share; a local folder is set only where the session names none.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,25 +17,35 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; set from a temporary one where unset."""
+    """The shared checkpoint folder; a temporary one where none is named and all runs on this machine."""
     sc = spark.sparkContext
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not conf and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="segue-checkpoint-"))
     return conf or sc.getCheckpointDir()
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Parquet tables of one operator run in the shared folder.
 
     ``keep`` writes a table and reads it back (lineage is cut); ``result``
-    checkpoints the final frame and drops every table of the run.
+    checkpoints the final frame and drops every table of the run. The tables
+    of a run that fails are dropped once nothing refers to it.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/segue-{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.drop = weakref.finalize(self, _delete, spark, self.path)
+        self.drop.atexit = False
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -41,13 +53,7 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
     def result(self, df: DataFrame) -> DataFrame:
-        shared_dir(self.spark)
         out = df.checkpoint(eager=True)
         self.drop()
         return out

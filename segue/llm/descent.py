@@ -5,8 +5,9 @@ node. First lists come from random hyperplanes: the nodes of a cell, dealt to
 parts of bounded size, are compared with each other. Then the graph is refined:
 the neighbours of a node, in either direction, are compared with each other,
 and each node keeps the best it has met. A list is saturated when all its
-entries reach the threshold; such lists may grow, and where a component of the
-threshold graph still has one, the component's nodes are compared all with all
+entries reach the threshold; such lists may grow. A component of the threshold
+graph whose lists link all its nodes with each other is settled by them; where
+lists are full or have gaps, the component's nodes are compared all with all
 in tiles, so links in groups of any size are counted without listing them. What a
 comparison joins stays joined outside the lists (its bridges), so full lists
 part no component. An
@@ -38,6 +39,9 @@ NEAR, NEAR_FULL, TABLES, TURNS, ROUNDS = 8, 32, 12, 2, 3
 #: Nodes of a cell, nodes compared at once, audited nodes, and the recall that the audit asks for.
 CELL, TILE, AUDIT, GOAL = 64, 512, 400, 0.99
 
+#: Centres whose neighbours are compared in one group of rows, about.
+CENTRES = 1000
+
 #: Audited nodes that should have a few links; so many times the audited nodes are taken where fewer have.
 LINKED, MORE = 100, 8
 
@@ -216,11 +220,12 @@ def _audit(shared, threshold: float):
             groups, mult, ids = (batch.column(k).to_numpy() for k in ("grp", "mult", "nid"))
             for grp, asked, x in shared.value:
                 at = np.flatnonzero(groups == grp)
-                for lo in range(0, len(at), 4096):
-                    some = at[lo : lo + 4096]
+                for lo in range(0, len(at), TILE):
+                    some = at[lo : lo + TILE]
                     hit = x @ from_blobs(batch.column("x").take(pa.array(some))).T >= threshold
                     hit &= asked[:, None] != ids[some][None, :]
-                    for k, n in zip(asked.tolist(), (hit @ mult[some]).tolist(), strict=True):
+                    rows, columns = np.nonzero(hit)
+                    for k, n in zip(asked.tolist(), np.bincount(rows, weights=mult[some][columns], minlength=len(asked)).astype(np.int64).tolist(), strict=True):
                         found[k] = found.get(k, 0) + n
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["nid", "true"])
 
@@ -284,7 +289,7 @@ def near_copies(vectors: DataFrame, *, id_col: str = "vec_id", label_col: str =
             most = Window.partitionBy("centre").orderBy(F.desc("s"), "nid")
             both = both.distinct().withColumn("r", F.row_number().over(most)).where(F.col("r") <= 2 * NEAR).select("centre", "nid")
             members = nodes.select("nid", "x").join(worst, nodes["nid"] == worst["u"], "left").select("nid", "x", F.coalesce("worst", F.lit(-1.0)).alias("worst"))
-            packs = F.pmod(F.xxhash64("centre"), F.lit(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+            packs = F.pmod(F.xxhash64("centre"), F.lit(max(8, -(-whole // CENTRES))))
             met = taken(both.join(members, "nid").withColumn("pack", packs).groupBy("pack").applyInArrow(_local(threshold), EDGE))
             graph = scratch.keep(_trim(graph.union(met), threshold))
         near = graph.where(F.col("s") >= threshold).select("u", "v")
@@ -292,9 +297,16 @@ def near_copies(vectors: DataFrame, *, id_col: str = "vec_id", label_col: str =
             near = near.union(more)
         near = scratch.keep(near.distinct())
         roots = scratch.keep(components(near, scratch))
-        members = roots.withColumnRenamed("node", "nid").join(nodes.select("nid", "x", "mult"), "nid")
-        counted = _in_tiles(members, "root").groupBy("root", "lo", "hi").applyInArrow(_tile(threshold), "nid long, links long").groupBy("nid").agg(F.sum("links").alias("links"))
-        counted = scratch.keep(counted)
+        # a component whose lists link all its nodes with each other is settled; others have full lists or gaps, and are compared in tiles
+        pairs = graph.where(F.col("s") >= threshold).select(F.least("u", "v").alias("node"), F.greatest("u", "v").alias("other")).distinct()
+        pairs = pairs.join(roots, "node").groupBy("root").agg(F.count("*").alias("pairs"))
+        members = scratch.keep(roots.withColumnRenamed("node", "nid").join(nodes.select("nid", "mult"), "nid"))
+        found = members.groupBy("root").agg(F.count("*").alias("size"), F.sum("mult").alias("all")).join(pairs, "root", "left")
+        found = found.select("root", "all", F.coalesce(F.col("pairs") * 2 == F.col("size") * (F.col("size") - 1), F.lit(False)).alias("settled"))
+        members = scratch.keep(members.join(found, "root"))
+        tiled = members.where("NOT settled").select("root", "nid", "mult").join(nodes.select("nid", "x"), "nid")
+        counted = _in_tiles(tiled, "root").groupBy("root", "lo", "hi").applyInArrow(_tile(threshold), "nid long, links long").groupBy("nid").agg(F.sum("links").alias("links"))
+        counted = scratch.keep(counted.union(members.where("settled").select("nid", F.col("all") - F.col("mult"))))
         share = F.least("true", F.coalesce("links", F.lit(0))) / F.col("true")
         recall = {r.few: r.recall for r in truth.join(counted, "nid", "left").groupBy("few").agg(F.avg(share).alias("recall")).collect()}
         if all(x >= GOAL for x in recall.values()) and not unseen:

@@ -26,8 +26,8 @@ GRAMS = (3, 4)
 ROWS_BITS = 16
 UNKNOWN = "und"
 
-#: Bounds of the training sample: texts in all, languages, and bytes of a text.
-SAMPLE, LANGUAGES, SAMPLE_TEXT = 2000, 1000, 20_000
+#: Bounds of the training sample: texts in all, and bytes of a text.
+SAMPLE, SAMPLE_TEXT = 2000, 20_000
 
 LETTERS = np.full(256, 32, np.uint8)
 LETTERS[65:91] = LETTERS[97:123] = np.arange(97, 123)
@@ -145,22 +145,26 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     text = F.col(text_col).cast("string")
     rows = docs.where(~held_out(F.col(id_col), mod, rest)).select(text.alias("text"), F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(F.col(id_col), text), F.lit(1 << 30)).alias("spot"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").where(F.octet_length("text").between(1, SAMPLE_TEXT))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
+    if not languages:
         return Model([UNKNOWN], np.zeros((1 << ROWS_BITS, 1)), np.eye(1), np.zeros(1))
-    each = max(2, SAMPLE // len(counts))
-    cut = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int(min(1.0, 1.2 * each / n) * (1 << 30)))) for k, n in counts.items()])
-    chosen = rows.where(F.col("spot") < cut).orderBy("spot").limit(2 * SAMPLE).select("text", "lang", "spot").collect()
+    cut = F.least(F.lit(1.0), F.lit(1.2 * SAMPLE / languages) / F.col("n")) * (1 << 30)
+    chosen = rows.join(counts, "lang").where(F.col("spot") < F.greatest(cut, F.lit(1.0))).orderBy("spot").limit(2 * SAMPLE).select("text", "lang", "spot").collect()
+    if not chosen:
+        chosen = rows.orderBy("spot").limit(2 * SAMPLE).select("text", "lang", "spot").collect()
     chosen.sort(key=lambda r: (r.spot, r.lang, r.text))
     return train([r.text for r in chosen], [r.lang for r in chosen])
 
 
-def has_letter(run: Run, row: int) -> bool:
-    raw = run.data[run.offsets[row] : run.offsets[row + 1]]
-    low = LOWER[raw]
-    if ((low >= 97) & (low <= 122)).any():
-        return True
-    return any(map(str.isalpha, raw[raw >= 128].tobytes().decode("utf-8", "ignore")))
+def has_letter(run: Run) -> np.ndarray:
+    """Whether each row of a run has a letter of any script."""
+    low = LOWER[run.data]
+    upto = np.concatenate([[0], np.cumsum((low >= 97) & (low <= 122))])[run.offsets]
+    found = np.diff(upto) > 0
+    for r in np.flatnonzero(~found).tolist():
+        found[r] = any(map(str.isalpha, run.text(r).decode("utf-8", "ignore")))
+    return found
 
 
 def _predict(model):
@@ -173,7 +177,7 @@ def _predict(model):
                 p = m.scores(run)
                 best = p.argmax(axis=1)
                 score = p[np.arange(run.rows), best]
-                lettered = np.array([has_letter(run, r) for r in range(run.rows)], bool)
+                lettered = has_letter(run)
                 lang = np.where(lettered, names[best], UNKNOWN)
                 score = np.where(lettered, score, 0.0)
                 rows = batch.slice(run.first, run.rows)
@@ -199,7 +203,12 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 
 def accepted(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """The documents that identification does not reject, with all their columns."""
+    """The documents that identification does not reject, with all their columns.
+
+    Texts that are null, empty or without a letter go, and those whose score is
+    under the calibrated bound. Columns of any names stay as they are; repeated
+    rows are judged alike, each for itself. An empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema, spot = docs.schema, docs.columns.index(text_col)
     names = [f"c{k}" for k in range(len(docs.columns))]
@@ -217,7 +226,7 @@ def accepted(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return identify(docs, fit(docs)).drop("rejected")
+    return identify(docs, fit(docs))
 
 
 QUERIES = {"op8_language_id": op8_language_id}

@@ -6,12 +6,13 @@ notice are anchors; the longest increasing subsequence of their places is kept,
 and the gaps between anchors are aligned the same way, after equal words at
 their ends. Coverage is the share of the notice's words that are aligned.
 
-No text is aligned that cannot reach the least coverage: the words that a text
-and a notice have in common, counted, bound it from above. The same bound is
-slid over the text: every stretch of a notice's length and a quarter that holds
-enough of its words is aligned, so a notice that is repeated is found as well.
-Wider stretches stand around each occurrence of those of the notice's words
-that are rarest in the text.
+A stretch is a number of words in a row, from a word of the notice to another;
+``WIDER`` says how much longer than the notice the widest may be, for words put
+in. Every place of the text where a notice word stands ends such a stretch, one
+of each width. No stretch is aligned that cannot reach the least coverage: the
+words that it and the notice have in common, counted, bound it from above, and
+the counts are slid over the text. So a notice that is repeated, or has some
+words elsewhere in the text, is found as well.
 """
 
 from __future__ import annotations
@@ -29,15 +30,15 @@ from ._text import BYTE_CODE, Run, runs, span_hashes
 
 LEAST = 0.75
 
-#: How many of a notice's words, rarest in the text first, stretches stand around.
-AROUND = 3
+#: Most words of a stretch, by the notice's words: a quarter more, and as many again.
+WIDER = (1.25, 2.0)
 
 PLAIN = np.full(256, 32, np.uint8)
 PLAIN[48:58] = np.arange(48, 58)
 PLAIN[65:91] = PLAIN[97:123] = np.arange(97, 123)
 PLAIN[128:] = np.arange(128, 256)
 
-#: Fixed: notices by name, as their publishers word them.
+#: Fixed: notices by name, in the words of their publishers; of the long ones the grant and its conditions.
 NOTICES = {
     "mit-line": "Released under the MIT License.",
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
@@ -135,8 +136,13 @@ def full_stretches(words: list[int], hits: list[int], have: list[int], width: in
     return out
 
 
-def best_notice(words: list[int], t: Templates, which: list[int], least: float) -> tuple | None:
-    """(coverage, words aligned, notice, first, last) of the best notice in a text.
+def widths(n: int) -> list[int]:
+    """Most words of the stretches for a notice of n words."""
+    return [int(n * x) + 2 for x in WIDER]
+
+
+def found_notices(words: list[int], t: Templates, which: list[int], least: float) -> list[tuple]:
+    """(coverage, words aligned, -notice, first, last) of each notice's best stretch, best first.
 
     Words that are in no notice have the number -1.
     """
@@ -144,20 +150,20 @@ def best_notice(words: list[int], t: Templates, which: list[int], least: float)
     for i, w in enumerate(words):
         if w >= 0:
             at.setdefault(w, []).append(i)
-    best = None
+    out = []
     for k in which:
-        notice = t.words[k]
-        n, slack = len(notice), len(notice) // 4 + 2
+        notice, best = t.words[k], None
+        n = len(notice)
         hits = sorted(i for w in set(notice) for i in at.get(w, ()))
-        stretches = set(full_stretches(words, hits, t.counts[k].tolist(), n + slack, least * n))
-        rare = sorted((len(at[w]), j) for j, w in enumerate(notice) if w in at)
-        stretches |= {(max(0, p - j - slack), p - j + n + slack) for _, j in rare[:AROUND] for p in at[notice[j]]}
-        for lo, hi in stretches:
+        stretches = {x for width in widths(n) for x in full_stretches(words, hits, t.counts[k].tolist(), width, least * n)}
+        for lo, hi in sorted(stretches):
             pairs = patience(words[lo:hi], notice)
             if len(pairs) >= least * n:
                 found = (len(pairs) / n, len(pairs), -k, lo + pairs[0][0], lo + pairs[-1][0])
                 best = max(best, found) if best else found
-    return best
+        if best:
+            out.append(best)
+    return sorted(out, reverse=True)
 
 
 def _scan(notices: dict[str, str], least: float):
@@ -177,27 +183,29 @@ def _scan(notices: dict[str, str], least: float):
                 number = np.where(hit, spot, -1)
                 for r in np.flatnonzero(may.any(axis=1)).tolist():
                     words = number[first[r] : first[r + 1]].tolist()
-                    found[r] = best_notice(words, t, np.flatnonzero(may[r]).tolist(), least)
-                cells = [[None if x is None else y(r, x) for r, x in enumerate(found)] for y in (
+                    found[r] = found_notices(words, t, np.flatnonzero(may[r]).tolist(), least)
+                names_found = [[t.names[-x[2]] for x in some or ()] for some in found]
+                cells = [[y(r, x[0]) if x else None for r, x in enumerate(found)] for y in (
                     lambda r, x: t.names[-x[2]], lambda r, x: x[0], lambda r, x: x[1], lambda r, x: x[3], lambda r, x: x[4],
                     lambda r, x: run.data[starts[first[r] + x[3]] : ends[first[r] + x[4]]].tobytes().decode("utf-8", "replace"),
                 )]
                 kinds = [pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
                 names = ["license", "coverage", "n_aligned", "first_word", "last_word", "found_text"]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(run.first, run.rows), *(pa.array(c, k) for c, k in zip(cells, kinds, strict=True))], ["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(run.first, run.rows), *(pa.array(c, k) for c, k in zip(cells, kinds, strict=True)), pa.array(names_found, pa.list_(pa.string()))], ["doc_id", *names, "licenses"])
 
     return work
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", notices: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
-    """One row per input row: doc_id, license, coverage, n_aligned, first_word, last_word, found_text.
+    """One row per input row: doc_id, license, coverage, n_aligned, first_word, last_word, found_text, licenses.
 
-    The notice with the highest coverage, of equals the longest, then the first
+    licenses names all notices that reach ``least`` somewhere in the text, the
+    best first; none where none does. The other columns tell of the notice with the highest coverage, of equals the longest, then the first
     by order; all null where none reaches ``least``, as for null and empty
     texts. Whole texts are scanned; rows are scanned each for themselves, so
     repeated rows come out as often as they came in. Other columns aren't read.
     """
-    schema = "doc_id long, license string, coverage double, n_aligned long, first_word long, last_word long, found_text string"
+    schema = "doc_id long, license string, coverage double, n_aligned long, first_word long, last_word long, found_text string, licenses array<string>"
     return ids_and_text(docs, id_col, text_col).mapInArrow(_scan(notices or NOTICES, least), schema)
 
 

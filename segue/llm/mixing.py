@@ -68,6 +68,7 @@ def mix(
     most: float = 3.0,
     share: float = 1.0,
     seed: int = 7,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, copies, taken.
 
@@ -76,12 +77,14 @@ def mix(
     source whose texts are all empty has target 0 and no copies. Columns other
     than the three named are not read, so their names cannot clash. An empty
     table gives an empty result. ``seed`` fixes the offsets: reruns agree.
+    Columns to ``carry`` come along, under their own names.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         word_count(F.col(text_col)).alias("size"),
+        F.struct(F.lit(0).alias("_"), *carry).alias("carried"),
     )
     rows = scratch.keep(rows).withColumn("skey", F.coalesce(F.concat(F.lit("="), "source"), F.lit("~")))
     targets = scratch.keep(source_targets(rows, weights, most, share)).drop("source")
@@ -98,7 +101,7 @@ def mix(
     up_to = Window.partitionBy("skey").orderBy("size_class", "salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*bucket, F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("ahead"))
 
-    inside = Window.partitionBy(*bucket).orderBy("size", "spot", "doc_id")
+    inside = Window.partitionBy(*bucket).orderBy("size", "spot", "doc_id", *[F.col("carried")[c] for c in carry])
     offset = _hash48(F.concat(F.lit(f"{seed}|"), "skey")) % F.lit(1 << 20) / F.lit(float(1 << 20))
     crossed = lambda k: F.floor(k * F.col("step") + F.col("u"))
     out = (
@@ -107,19 +110,27 @@ def mix(
         .withColumn("k", F.col("ahead") + F.col("rank"))
         .withColumn("u", offset)
         .withColumn("copies", F.least(crossed(F.col("k")) - crossed(F.col("k") - 1), F.ceil(F.lit(float(most)))).cast("long"))
-        .select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col("carried")[c].alias(c) for c in carry])
     )
     return scratch.result(out)
 
 
-def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it."""
-    (copies,) = free_names(docs.columns, "copies")
-    chosen = mix(docs, id_col=id_col, **options).where("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias(copies))
-    chosen = chosen.groupBy("_mix_id").agg(F.sum(copies).alias(copies), F.count("*").alias("_mix_n"))
-    both = docs.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col("_mix_id")))
-    each = F.explode(F.sequence(F.lit(1), F.ceil(F.col(copies) / F.col("_mix_n")).cast("int")))
-    return both.select(*docs.columns, each.alias("_mix_each")).drop("_mix_each")
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents themselves, each as often as the mix takes it.
+
+    Rows are told apart by all their columns (128 bits), so rows that share an
+    id are taken each for itself, and rows that are the same in every column
+    together as often as all of them are. Null ids, texts and sources are as in
+    ``mix``; column names may be any. An empty table stays empty.
+    """
+    kinds = dict(docs.dtypes)
+    cells = [F.map_entries(c) if kinds[c].startswith("map") else F.col(c) for c in docs.columns]
+    low, high, copies, n = free_names(docs.columns, "row_low", "row_high", "copies", "rows")
+    keyed = docs.withColumn(low, F.xxhash64(*cells)).withColumn(high, F.xxhash64(F.lit(1), *reversed(cells)))
+    chosen = mix(keyed, carry=(low, high), **options).groupBy(low, high).agg(F.sum("copies").alias(copies), F.count("*").alias(n))
+    both = keyed.join(chosen.where(F.col(copies) > 0), [low, high])
+    once = both.where(F.col(n) == 1).unionByName(both.where(F.col(n) > 1).dropDuplicates([low, high]))
+    return once.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -68,11 +68,12 @@ def _last_before(asks: DataFrame, has: DataFrame) -> DataFrame:
 
 
 def link(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per input row: conv_id, turn, role, body, n_quotes, n_linked, reply_to, thread, depth.
+    """One row per input row: conv_id, turn, role, body, n_quotes, n_linked, reply_to, thread, depth, place.
 
     body is the text without quotes. reply_to is a turn of the same conversation
     or null; thread is the turn that its thread of replies began with, depth the
-    number of replies from there. Messages of a null conversation or turn are
+    number of replies from there. place counts a conversation's messages in reply
+    order: by thread, then turn, then role and body; null where thread is. Messages of a null conversation or turn are
     parsed but not linked. Where rows share a turn, what they quote is found in
     all of them, and replies to that turn follow the thread of the least. Null
     and empty texts have an empty body and no quotes. Other columns aren't read.
@@ -115,12 +116,19 @@ def link(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "tur
     out = out.join(hop, ["conv", "reply_to"], "left")
     thread = F.coalesce("to", "reply_to", "turn").alias("thread")
     depth = F.when(F.col("reply_to").isNull(), 0).otherwise(F.coalesce("steps", F.lit(0)) + 1).cast("long").alias("depth")
-    return scratch.result(out.select(F.col("conv").alias("conv_id"), "turn", "role", "body", "n_quotes", "n_linked", "reply_to", thread, depth))
-
-
-def threads(linked: DataFrame) -> DataFrame:
-    """Linked messages in reply order: by conversation, thread and turn."""
-    return linked.orderBy("conv_id", "thread", "turn", "role", "body")
+    out = scratch.keep(out.select(F.col("conv").alias("conv_id"), "turn", "role", "body", "n_quotes", "n_linked", "reply_to", thread, depth))
+    return scratch.result(_placed(out))
+
+
+def _placed(linked: DataFrame) -> DataFrame:
+    """Messages with their place; only counts of spans of threads are summed over a whole conversation."""
+    span, known = F.floor(F.col("thread") / SPAN), F.col("conv_id").isNotNull() & F.col("thread").isNotNull()
+    rows = linked.where(known).withColumn("span", span)
+    before = Window.partitionBy("conv_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = rows.groupBy("conv_id", "span").agg(F.count("*").alias("n")).select("conv_id", "span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("conv_id", "span").orderBy("thread", "turn", "role", "body")
+    rows = rows.withColumn("place", F.row_number().over(inside)).join(ahead, ["conv_id", "span"]).withColumn("place", F.col("place") + F.col("ahead"))
+    return rows.drop("span", "ahead").unionByName(linked.where(~known).withColumn("place", F.lit(None).cast("long")))
 
 
 def op4_chat_format(spark, sf_dir: str) -> DataFrame:

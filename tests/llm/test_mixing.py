@@ -65,3 +65,20 @@ def test_against_sql_and_documents(spark):
 
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_documents_are_rows(spark):
+    """Rows that share an id, or all columns, and columns of the names that are used inside."""
+    same = [(7, f"w{k % 3} " * (5 + k % 3), "a", k, k % 2) for k in range(300)]
+    more = [(7, "w0 w0", "a", 0, 0)] * 300 + [(None, None, None, 1, 1), (8, "", "b", 1, 1), (9, "x y z " * 400, "b", 1, 1)]
+    df = spark.createDataFrame(same + more, "doc_id long, text string, source string, _mix_id long, rows int")
+    kept = mixing.mixed_documents(df)
+    assert kept.columns == df.columns
+    copies = mixing.mix(df, carry=("_mix_id",))
+    assert copies.columns[-1] == "_mix_id"
+    want = {(r[0], r[1]): r[2] for r in copies.groupBy("doc_id", "size").sum("copies").collect() if r[2]}
+    size = mixing.word_count(mixing.F.col("text")).alias("size")
+    assert {(r[0], r[1]): r[2] for r in kept.groupBy("doc_id", size).count().collect()} == want
+    most = df.groupBy(*df.columns).count().join(kept.groupBy(*kept.columns).agg(mixing.F.count("*").alias("taken")), df.columns)
+    assert all(r.taken <= 3 * r["count"] for r in most.collect())
+    assert mixing.mixed_documents(df.limit(0)).count() == 0

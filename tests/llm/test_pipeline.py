@@ -50,3 +50,15 @@ def test_stages_keep_the_columns_and_their_decisions(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and out.count() > 0
+
+
+def test_no_rows_and_names_used_inside(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    odd = docs.selectExpr("*", "1 AS keys", "'t' AS tkey", "2 AS starts", "3 AS copies", "4 AS _text", "true AS rejected", "map('a', 1) AS row_low", "doc_id AS component_id", "5 AS c0")
+    for some in (odd, odd.limit(0)):
+        docs = some
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SF)
+            assert docs.columns == odd.columns
+        assert (docs.count() > 0) == (some is odd)
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]

@@ -104,3 +104,15 @@ def test_query(spark):
     rows = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").collect()]
     got = [[r.conv_id, r.turn, r.role, r.body, r.n_quotes, r.n_linked, r.reply_to, r.thread, r.depth] for r in quotes.op4_chat_format(spark, "/root/testdata/sf0.01").collect()]
     assert sorted(map(str, got)) == by_hand(rows)
+
+
+def test_places_are_reply_order(spark):
+    got = quotes.op4_chat_format(spark, "/root/testdata/sf0.001").collect()
+    by_conv = {}
+    for r in got:
+        by_conv.setdefault(r.conv_id, []).append(r)
+    for rows in by_conv.values():
+        rows.sort(key=lambda r: (r.thread, r.turn, r.role or "", r.body or ""))
+        assert [r.place for r in rows] == list(range(1, len(rows) + 1))
+    df = spark.createDataFrame([(1, None, "u", "hi"), (None, 1, "u", "hi"), (1, 200, "u", "yo"), (1, 2, "u", "yes")], "conv_id long, turn long, role string, text string")
+    assert sorted(((r.turn, r.place) for r in quotes.link(df).collect()), key=str) == [(1, None), (2, 1), (200, 2), (None, None)]
