@@ -1,7 +1,9 @@
 """The corpus pipeline: five stages over ``documents``, each one operator.
 
 A stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents``, whatever their names. In
+every stage an empty table stays empty, and repeated rows are rows each for
+itself but where a stage says otherwise.
 """
 
 from __future__ import annotations
@@ -14,17 +16,26 @@ from segue.llm._common import Scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in no language that is known, go."""
+    """Documents without a letter (null and empty texts too), or in no language that is known, go."""
     return language.accepted(docs, language.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the least id."""
+    """One document of each group of near copies stays, the one with the least id.
+
+    Rows of one id and text stay or go together. Texts without words, null ones
+    too, are near to nothing and stay; a null id counts as the least.
+    """
     return jaccard.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has go; what is left of a text stays."""
+    """Passages that an earlier document has go; what is left of a text stays.
+
+    A document that loses every word goes. Null texts, texts shorter than a
+    window and rows without an id stay as they are; rows of one id take nothing
+    from each other.
+    """
     out = substrings.stripped(docs)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -32,12 +43,16 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it.
+
+    A null source is one of its own. Null and empty texts bring no words, and
+    are sampled as all others are.
+    """
     return mixing.mixed_documents(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and whether the ids decode to the text."""
+    """doc_id, n_tokens, ids, and the hash of what the ids decode to; null texts count as empty."""
     out = bpe.round_trip(docs, bpe.default_path())
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -55,11 +70,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written to the shared folder and reread."""
+    """All stages over the documents, each written to the shared folder and reread; the tables between are dropped."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = scratch.keep(docs)
-    return docs
+    return scratch.result(docs)
