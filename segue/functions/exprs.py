@@ -145,11 +145,11 @@ def closer_reason(duration: Column) -> Column:
 
 
 def freshness(times_used: C, last_used: C, as_of: Column) -> Column:
-    """1 if unused; else falls with use and recovers over 30 days; an unreadable date counts as long ago."""
+    """1 if never used; else falls with use and recovers over 30 days; an unreadable date counts as long ago."""
     n = F.coalesce(col(times_used), F.lit(0))
     days = F.coalesce(F.datediff(as_of, col(last_used).try_cast("date")), F.lit(30))
     used = F.greatest(F.lit(0.0), 1 - F.log(n + 1) / F.log(F.lit(31.0)))
-    return F.when((n == 0) | col(last_used).isNull(), 1.0).otherwise(used * F.least(F.lit(1.0), days / 30.0))
+    return F.when(col(times_used).isNull() | (F.coalesce(col(last_used).cast("string"), F.lit("")) == ""), 1.0).otherwise(used * F.least(F.lit(1.0), days / 30.0))
 
 
 def bpm_bucket(bpm: C) -> Column:

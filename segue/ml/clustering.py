@@ -128,14 +128,34 @@ def pca_weights(rows: DataFrame, column: str = "z", d: int = len(SPACE), boots:
         return _pca_weights(points, d, boots, seed)
 
 
+#: Chances that a Poisson number of mean one is at most 0, 1, 2 and so on.
+POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 18)]))
+
+
+def row_draws(x: np.ndarray, boots: int, seed: int) -> np.ndarray:
+    """How often each resample takes each row, by a hash of the row: the same however rows are cut into batches."""
+    bits = np.ascontiguousarray(x, np.float64).view(np.uint64)
+    hashes = np.zeros(len(x), np.uint64)
+    for column in bits.T:
+        hashes = _scramble(hashes * np.uint64(3) + column)
+    turns = _scramble(np.arange(1, boots + 1, dtype=np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
+    u = (_scramble(hashes[None, :] ^ turns[:, None]) >> np.uint64(11)) * 2.0**-53
+    return np.searchsorted(POISSON, u, side="right").astype(float)
+
+
+def _scramble(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
 def _pca_weights(points: Points, d: int, boots: int, seed: int) -> tuple[np.ndarray, float]:
     n, _, cov = covariance(points, d)
     weights, k = communalities(cov, n)
     size = 1 + d + d * d
 
     def work(x: np.ndarray) -> np.ndarray:
-        rng = np.random.default_rng([seed, int(np.abs(x).sum() * 1e6) % (1 << 31), len(x)])
-        counts = rng.poisson(1.0, (boots, len(x))).astype(float)
+        counts = row_draws(x, boots, seed)
         outer = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
         return np.concatenate([counts.sum(axis=1, keepdims=True), counts @ x, counts @ outer], axis=1).ravel()
 
@@ -295,23 +315,31 @@ def choose_k(rows: DataFrame, n: int, *, column: str = "x", least: int = 2, most
     return (wanted if wanted and abs(wanted - k) <= 2 else k), models
 
 
-def ewkm(rows: DataFrame, centers: np.ndarray, *, column: str = "z", gamma: float = 1.0, turns: int = MOST_TURNS) -> tuple[np.ndarray, np.ndarray]:
-    """Centres and per-cluster weights, refined until they stay (entropy-weighted k-means)."""
+def ewkm(rows: DataFrame, centers: np.ndarray, *, column: str = "z", gamma: float = 1.0, turns: int = MOST_TURNS, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entropy-weighted k-means: centres and weights that the labels are made with, and the weights after them.
+
+    It ends as soon as a turn labels all rows as the one before did; the labels
+    before the first are those of ``centers`` under the weights ``start``.
+    """
     with Points(rows, column) as points:
-        return _ewkm(points, centers, gamma, turns)
+        return _ewkm(points, centers, gamma, turns, start)
 
 
-def _ewkm(points: Points, centers: np.ndarray, gamma: float, turns: int) -> tuple[np.ndarray, np.ndarray]:
+def _ewkm(points: Points, centers: np.ndarray, gamma: float, turns: int, start: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     k, d = centers.shape
     weights = np.full((k, d), 1 / d)
+    before = centers, np.tile(start, (k, 1)) if start is not None else None
     for _ in range(turns):
 
-        def work(x: np.ndarray, centers=centers, weights=weights) -> np.ndarray:
-            label = (weights[None] * (x[:, None, :] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
+        def work(x: np.ndarray, centers=centers, weights=weights, before=before) -> np.ndarray:
+            nearest = lambda c, w: (w[None] * (x[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            label = nearest(centers, weights)
+            changed = len(x) if before[1] is None else (label != nearest(*before)).sum()
             hot = np.eye(k)[label]
-            return np.concatenate([hot.sum(axis=0), (hot.T @ x).ravel(), (hot.T @ (x * x)).ravel()])
+            return np.concatenate([[changed], hot.sum(axis=0), (hot.T @ x).ravel(), (hot.T @ (x * x)).ravel()])
 
-        s = points.sums(work, k + 2 * k * d)
+        s = points.sums(work, 1 + k + 2 * k * d)
+        still, s = s[0] == 0, s[1:]
         count, total, squares = s[:k], s[k : k + k * d].reshape(k, d), s[k + k * d :].reshape(k, d)
         full = count[:, None] > 0
         n = np.maximum(count, 1)[:, None]
@@ -320,11 +348,11 @@ def _ewkm(points: Points, centers: np.ndarray, gamma: float, turns: int) -> tupl
         log = -spread / gamma
         soft = np.exp(log - log.max(axis=1, keepdims=True))
         fresh = np.where(full, soft / soft.sum(axis=1, keepdims=True), 1 / d)
-        still = np.allclose(moved, centers, atol=1e-9) and np.allclose(fresh, weights, atol=1e-9)
+        before = centers, weights
         centers, weights = moved, fresh
         if still:
             break
-    return centers, weights
+    return *before, weights
 
 
 @dataclass
@@ -370,8 +398,8 @@ def cluster(known: DataFrame, *, k: int | None = None, genre: str | None = None,
     importance = np.tile(spread / spread.sum() if spread.sum() > 0 else np.full(len(SPACE), 1 / len(SPACE)), (k, 1))
     labelled = first.withColumn("cluster_id", F.col("label").cast("string"))
     if use_ewkm and extra is None and n >= LEAST_FOR_EWKM:
-        centers, importance = ewkm(placed, model.centers / np.sqrt(weights))
-        labelled = assign(first.withColumnRenamed("label", "nearest"), centers, "z", importance).withColumn("cluster_id", F.col("label").cast("string"))
+        centers, used, importance = ewkm(placed, model.centers / np.sqrt(np.maximum(weights, 1e-12)), start=weights)
+        labelled = assign(first.withColumnRenamed("label", "nearest"), centers, "z", used).withColumn("cluster_id", F.col("label").cast("string"))
         if dedup == "reference":
             labelled = labelled.where("label = nearest")
     return Clustering(labelled.select("pos", "cluster_id", "z", "x"), model.centers, importance, source)

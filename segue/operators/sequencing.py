@@ -17,15 +17,18 @@ def ordered(rows: DataFrame, *keys: Column, cluster: str = "cluster_id") -> Data
 
 
 def sequence(known: DataFrame, strategy: str) -> DataFrame:
-    """The cluster's tracks in the order of a strategy; an unknown one keeps positions."""
+    """The cluster's tracks in the order of a strategy; ``fixed`` keeps positions, an unknown one is an error."""
     bpm = F.coalesce("bpm", F.lit(0.0))
     keys = {
         "ramp": [F.col("rms_energy").asc()], "build": [F.col("energy_gradient").desc()], "descent": [F.col("rms_energy").desc()],
         "bpm_asc": [bpm.asc()], "bpm_desc": [bpm.desc()], "intro_asc": [F.col("intro_length_secs").asc()], "intro_desc": [F.col("intro_length_secs").desc()],
+        "fixed": [],
     }
     if strategy == "alternating":
         return alternating(known)
-    return ordered(known, *keys.get(strategy, []))
+    if strategy not in keys:
+        raise ValueError(f"unknown strategy {strategy!r}; there are {', '.join([*keys, 'alternating'])}")
+    return ordered(known, *keys[strategy])
 
 
 def alternating(known: DataFrame) -> DataFrame:
@@ -100,3 +103,36 @@ def append(order: DataFrame, cluster: str, tracks: DataFrame) -> DataFrame:
     last = order.where(F.col("cluster_id") == cluster).agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
     rank = F.row_number().over(Window.orderBy("pos"))
     return order.unionByName(new.crossJoin(F.broadcast(last)).select(F.lit(cluster).alias("cluster_id"), "pos", (F.col("last") + rank).cast("int").alias("seq")))
+
+
+#: A library's and a playlist's columns that can be sorted by, and what stands for a missing cell.
+SORTS = {"title": "", "artist": "", "genre": "", "mood": "", "path": "", "bpm": 0.0, "duration": 0.0, "rms_energy": 0.0, "year": 0}
+
+
+#: Positions in a range of rows without a cell.
+PART = 1 << 16
+
+
+def sort_by(rows: DataFrame, column: str, descending: bool = False, within: str | None = None) -> DataFrame:
+    """``seq`` by a column, texts in any case; ties keep positions. With ``within``, in each of its values.
+
+    Without it the order is global: only counts of ranges of cells (texts by
+    their first letters, numbers by whole ones, missing cells by position) are
+    summed over all, and places inside a range are counted in it.
+    """
+    if column not in SORTS:
+        raise ValueError(f"can't sort by {column!r}; there are {', '.join(SORTS)}")
+    text = SORTS[column] == ""
+    cell = F.coalesce(column, F.lit(SORTS[column]))
+    cell = F.lower(cell) if text else cell
+    way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    if within is not None:
+        return ordered(rows, cell.desc() if descending else cell.asc(), cluster=within)
+    bare = cell == F.lit(SORTS[column])
+    spot = {"sort_cell": cell, "sort_head": F.substring(cell, 1, 3) if text else F.floor(cell), "sort_bare": bare, "sort_part": F.when(bare, F.floor(F.col("pos") / PART)).otherwise(0)}
+    keyed = rows.withColumns(spot)
+    part = ["sort_head", "sort_bare", "sort_part"]
+    before = Window.orderBy(way("sort_head"), F.col("sort_bare").asc() if descending else F.col("sort_bare").desc(), "sort_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = keyed.groupBy(*part).agg(F.count("*").alias("n")).select(*part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("sort_ahead"))
+    keyed = keyed.withColumn("sort_rank", F.row_number().over(Window.partitionBy(*part).orderBy(way("sort_cell"), "pos"))).join(ahead, part)
+    return keyed.withColumn("seq", F.col("sort_ahead") + F.col("sort_rank")).drop(*spot, "sort_ahead", "sort_rank")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from segue.functions import exprs as X
+from segue.functions.words import ADJECTIVE_RANK
 from segue.sources.fixtures import AS_OF, Views
 
 from .base import Catalogue
@@ -59,7 +60,7 @@ def mood_class(v: Views):
     return v.features.select("pos", X.mood().alias("mood"))
 
 
-PAIRS = """WITH keyed AS (SELECT pos, camelot_key AS a, lag(camelot_key) OVER (ORDER BY pos) AS b FROM features WHERE pos <= 2000)"""
+PAIRS = """WITH keyed AS (SELECT pos, camelot_key AS a, lag(camelot_key) OVER (ORDER BY pos) AS b FROM features)"""
 
 
 #: Positions in a range that one task orders.
@@ -210,18 +211,6 @@ def track_view(v: Views):
     )
 
 
-#: Adjectives by kind, kinds in the order in which English puts them.
-ADJECTIVES = {
-    "Opinion": "Dark Ethereal Minimal Deep Intense Subtle Bright Raw Polished Gritty Smooth Rough Clean Pure Harsh",
-    "Size": "Vast Dense Massive Compact Expansive Intimate Wide Narrow",
-    "Age": "Late Ancient New Fresh Vintage Modern Classic",
-    "Shape": "Geometric Flowing Angular Curved Round Linear Jagged",
-    "Color": "Midnight Amber Azure Crimson Golden Silver Obsidian",
-    "Origin": "Nordic Urban Tribal Industrial Tropical Cosmic Digital Analog",
-    "Material": "Metallic Organic Synthetic Wooden Crystal",
-    "Purpose": "Driving Hypnotic Dancing Focusing Relaxing Energizing",
-}
-ADJECTIVE_RANK = {w: k for k, words in enumerate(ADJECTIVES.values()) for w in words.split()}
 _WORDS = list(ADJECTIVE_RANK) + ["Percussive", "Loud", "Vocal"]
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from segue.functions import exprs as X
 from segue.operators import playlists as P
 from segue.operators import sequencing as S
+from segue.operators import tags as T
 from segue.sources.fixtures import AS_OF, Views
 
 from .base import Catalogue
@@ -190,6 +191,28 @@ def tag_store(v: Views):
     return v.tags.groupBy("pos").agg(F.array_join(F.array_sort(F.collect_set(F.lower(F.trim("tag")))), ",").alias("tags"))
 
 
+@query("""WITH named AS (SELECT DISTINCT pos, lower(trim(tag)) AS t FROM (SELECT pos, tag FROM tags UNION ALL SELECT pos, genre FROM tracks WHERE genre IS NOT NULL))
+SELECT pos, string_agg(t, ',' ORDER BY t) AS tags FROM named WHERE t <> '' AND t <> 'house' AND NOT (pos % 5 = 0) AND NOT EXISTS (SELECT 1 FROM tags g WHERE g.pos = named.pos AND lower(trim(g.tag)) = named.t AND length(named.t) > 6) GROUP BY pos""")
+def tag_edits(v: Views):
+    """A tag store after each track's genre was added, long tags taken away, one tag everywhere, and some tracks' tags cleared."""
+    store = T.add(T.store(v.tags, "pos"), v.tracks.select("pos", F.col("genre").alias("tag")), "pos")
+    store = T.remove(store, v.tags.where(F.length(F.trim("tag")) > 6), "pos")
+    store = T.clear(T.remove_everywhere(store, "House"), v.tracks.where("pos % 5 = 0"), "pos")
+    return store.select("pos", F.array_join("tags", ",").alias("tags"))
+
+
+@query("SELECT pos, row_number() OVER (ORDER BY lower(coalesce(title, '')), pos) AS seq FROM tracks")
+def library_sort(v: Views):
+    """The whole library by title."""
+    return S.sort_by(v.tracks, "title").select("pos", "seq")
+
+
+@query("SELECT cluster_id, pos, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY coalesce(bpm, 0) DESC, pos) AS INT) AS seq FROM tracks")
+def playlist_sort(v: Views):
+    """Each playlist by tempo, fastest first."""
+    return S.sort_by(v.tracks, "bpm", descending=True, within="cluster_id").select("cluster_id", "pos", "seq")
+
+
 @query("""SELECT cluster_id, sum(coalesce(duration, 0)) AS total_duration, round(avg(nullif(bpm, 0)), 6) AS avg_bpm, round(avg(rms_energy), 6) AS avg_energy FROM tracks LEFT JOIN features USING (pos) GROUP BY cluster_id""")
 def timeline_footer(v: Views):
     rows = v.tracks.join(v.features, "pos", "left").groupBy("cluster_id")

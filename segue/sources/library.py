@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +59,7 @@ def rekordbox(spark: SparkSession, path: str) -> DataFrame:
 
 def json_store(spark: SparkSession, path: str, value: str) -> DataFrame:
     """(path, value) of a JSON object with one entry per path; a corrupt file has none."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     entries = F.from_json("value", f"map<string,{value}>")
     return text.select(F.explode(entries).alias("path", "entry")).select("path", "entry")
 
@@ -106,3 +109,25 @@ def replace_crate(crate_tracks: DataFrame, crate_id: int, locations: DataFrame,
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Old rows with new ones in place of those of the same key."""
     return missing_from(old, new, key).unionByName(new)
+
+
+def save_json(rows: DataFrame, path: str, key: str = "path", entry: str = "entry") -> int:
+    """Writes a JSON object with one entry per key to a local file, by key, and tells how many; what ``json_store`` reads.
+
+    Entries that are empty arrays or null are left out. The file takes the old
+    one's place when it is whole. Rows come to the driver a partition at a time.
+    """
+    cell = F.to_json(F.struct(F.col(entry).alias("e")))
+    lines = rows.where(F.col(entry).isNotNull()).orderBy(key).select(F.to_json(F.struct(F.col(key).alias("k"))).alias("k"), cell.alias("e"))
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    n = 0
+    with open(f"{path}.new", "w", encoding="utf-8") as out:
+        out.write("{")
+        for r in lines.toLocalIterator():
+            value = json.loads(r.e)["e"]
+            if value != []:
+                out.write(f"{',' if n else ''}\n  {json.dumps(json.loads(r.k)['k'])}: {json.dumps(value, sort_keys=True)}")
+                n += 1
+        out.write("\n}\n" if n else "}\n")
+    os.replace(f"{path}.new", path)
+    return n

@@ -69,7 +69,7 @@ def test_peaks_are_apart_and_maximal(values, distance):
 def test_sequences_are_permutations(views):
     known = views.known.persist()
     n = known.count()
-    for name in ("ramp", "build", "descent", "alternating", "bpm_asc", "bpm_desc", "none"):
+    for name in ("ramp", "build", "descent", "alternating", "bpm_asc", "bpm_desc", "fixed"):
         out = sequencing.sequence(known, name).select("cluster_id", "pos", "seq").toPandas()
         assert len(out) == n and not out.duplicated(["cluster_id", "seq"]).any()
     for out in (sequential.harmonic(known), sequential.timbre(known)):
@@ -163,7 +163,7 @@ def test_ewkm_weights_follow_spread(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(0, [0.1, 2], (50, 2)), rng.normal(6, [2, 0.1], (50, 2))])
     rows = spark.createDataFrame([(r.tolist(),) for r in x], "z array<double>")
-    centers, weights = M.ewkm(rows, np.array([[0.0, 0.0], [6.0, 6.0]]))
+    centers, _, weights = M.ewkm(rows, np.array([[0.0, 0.0], [6.0, 6.0]]))
     assert np.allclose(weights.sum(axis=1), 1)
     assert weights[0, 0] > weights[0, 1] and weights[1, 1] > weights[1, 0]
     assert np.allclose(centers, [[0, 0], [6, 6]], atol=1)
@@ -253,3 +253,70 @@ def test_harmonic_pairs_cover_all_tracks(spark, monkeypatch):
     assert [(r.pos, r.a, r.b) for r in got] == want
     pairs = scalar_plans.CATALOGUE.queries["harmonic_bool"](spark, sf).select("pos").orderBy("pos").collect()
     assert [r.pos for r in pairs] == [pos for pos, a, b in want if a is not None and b is not None]
+
+
+def test_row_draws_are_the_rows_own():
+    x = np.random.default_rng(0).normal(size=(5000, 3))
+    whole = M.row_draws(x, 20, 1)
+    assert np.array_equal(whole, np.concatenate([M.row_draws(x[:77], 20, 1), M.row_draws(x[77:], 20, 1)], axis=1))
+    assert abs(whole.mean() - 1) < 0.02 and abs(whole.var() - 1) < 0.05 and abs(np.corrcoef(whole[0], whole[1])[0, 1]) < 0.05
+
+
+def test_ewkm_ends_where_labels_stay(spark):
+    """Labels that the first turn keeps end it: they are made with even weights."""
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(0, 0.1, (50, 2)), rng.normal(9, 0.1, (50, 2))])
+    rows = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "pos long, z array<double>")
+    centers, used, after = M.ewkm(rows, np.array([[0.0, 0.0], [9.0, 9.0]]), start=np.array([0.5, 0.5]))
+    assert np.array_equal(centers, [[0, 0], [9, 9]]) and np.allclose(used, 0.5) and not np.allclose(after, 0.5, atol=1e-12)
+
+
+def test_strategies_and_sorts(spark):
+    from segue.operators import sequencing as S
+
+    rows = spark.createDataFrame([(1, "b", 120.0, "x"), (2, "A", None, "x"), (3, None, 99.0, "y"), (4, "a", 120.0, "y")], "pos long, title string, bpm double, cluster_id string")
+    with pytest.raises(ValueError, match="ramp"):
+        S.sequence(rows, "no such")
+    with pytest.raises(ValueError, match="title"):
+        S.sort_by(rows, "size")
+    order = lambda df: [r.pos for r in df.orderBy("seq").collect()]
+    assert order(S.sort_by(rows, "title")) == [3, 2, 4, 1]
+    assert order(S.sort_by(rows, "bpm", descending=True)) == [1, 4, 3, 2]
+    assert order(S.sort_by(rows, "bpm", within="cluster_id").where("cluster_id = 'x'")) == [2, 1]
+
+
+def test_freshness_of_blank_and_unused(spark):
+    rows = spark.createDataFrame([(None, None), (0, "2024-01-30"), (3, ""), (3, "no date"), (0, None)], "n int, d string")
+    got = [r[0] for r in rows.select(X.freshness("n", "d", F.lit("2024-01-31").cast("date"))).collect()]
+    assert got[0] == got[2] == got[4] == 1 and abs(got[1] - 1 / 30) < 1e-9 and 0 < got[3] < 1
+
+
+def test_chapters():
+    from segue.operators.chapters import Chapters, default_chapters
+
+    c = Chapters()
+    a, b, d = c.create(), c.create("Peak"), c.create()
+    assert (a.id, a.name, b.name, d.name) == ("chapter-1", "Chapter 1", "Peak", "Chapter 3")
+    assert c.reorder(0, 2) and not c.reorder(1, 1) and not c.reorder(0, 3) and not c.reorder(-1, 0)
+    assert [x.id for x in c.all()] == ["chapter-2", "chapter-3", "chapter-1"]
+    assert c.rename("chapter-3", "End") and not c.rename("chapter-9", "x") and c.get("chapter-3").name == "End" and c.get("x") is None
+    assert c.remove("chapter-2") and not c.remove("chapter-2") and len(c) == 2
+    assert c.create().id == "chapter-4"
+    c.clear()
+    assert len(c) == 0 and c.create().id == "chapter-1"
+    assert [(x.id, x.name) for x in default_chapters()] == [("intro", "Intro"), ("build", "Build"), ("peak", "Peak"), ("outro", "Outro")]
+
+
+def test_tag_edits(spark):
+    from segue.operators import tags as T
+
+    store = T.store(spark.createDataFrame([("a", " Dark "), ("a", "dark"), ("b", "Deep"), ("c", " ")], "path string, tag string"))
+    one = lambda df: {r.path: list(r.tags) for r in df.collect()}
+    assert one(store) == {"a": ["dark"], "b": ["deep"]}
+    more = T.add(store, spark.createDataFrame([("a", "Airy"), ("d", "DEEP"), ("d", "")], "path string, tag string"))
+    assert one(more) == {"a": ["airy", "dark"], "b": ["deep"], "d": ["deep"]}
+    assert one(T.remove(more, spark.createDataFrame([("a", "DARK"), ("b", "deep")], "path string, tag string"))) == {"a": ["airy"], "d": ["deep"]}
+    assert one(T.remove_everywhere(more, " Deep")) == {"a": ["airy", "dark"]}
+    assert one(T.clear(more, spark.createDataFrame([("a",)], "path string"))) == {"b": ["deep"], "d": ["deep"]}
+    assert [r.path for r in T.search(more, "DEEP").orderBy("path").collect()] == ["b", "d"]
+    assert [r.tag for r in T.all_tags(more).orderBy("tag").collect()] == ["airy", "dark", "deep"]
