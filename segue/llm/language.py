@@ -29,6 +29,9 @@ UNKNOWN = "und"
 #: Bounds of the training sample: texts in all, and bytes of a text.
 SAMPLE, SAMPLE_TEXT = 2000, 20_000
 
+#: Languages whose counts are broadcast, at most.
+FEW_LANGUAGES = 10_000
+
 LETTERS = np.full(256, 32, np.uint8)
 LETTERS[65:91] = LETTERS[97:123] = np.arange(97, 123)
 LETTERS[128:] = np.arange(128, 256)
@@ -143,16 +146,17 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     of up to ``SAMPLE_TEXT`` bytes, chosen by a hash of id and text.
     """
     text = F.col(text_col).cast("string")
-    rows = docs.where(~held_out(F.col(id_col), mod, rest)).select(text.alias("text"), F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(F.col(id_col), text), F.lit(1 << 30)).alias("spot"))
+    rows = docs.where(~held_out(F.col(id_col), mod, rest)).select(text.alias("text"), F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(F.col(id_col), text), F.lit(1 << 62)).alias("spot"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").where(F.octet_length("text").between(1, SAMPLE_TEXT))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     languages = counts.count()
     if not languages:
         return Model([UNKNOWN], np.zeros((1 << ROWS_BITS, 1)), np.eye(1), np.zeros(1))
-    cut = F.least(F.lit(1.0), F.lit(1.2 * SAMPLE / languages) / F.col("n")) * (1 << 30)
-    chosen = rows.join(counts, "lang").where(F.col("spot") < F.greatest(cut, F.lit(1.0))).orderBy("spot").limit(2 * SAMPLE).select("text", "lang", "spot").collect()
-    if not chosen:
-        chosen = rows.orderBy("spot").limit(2 * SAMPLE).select("text", "lang", "spot").collect()
+    counts = F.broadcast(counts) if languages <= FEW_LANGUAGES else counts
+    cut = F.greatest(F.least(F.lit(1.0), F.lit(1.2 * SAMPLE / languages) / F.col("n")), F.lit(1e-9)) * (1 << 62)
+    spots = [r.spot for r in rows.select("lang", "spot").join(counts, "lang").where(F.col("spot") < cut).orderBy("spot").limit(2 * SAMPLE).select("spot").collect()]
+    some = rows.where(F.col("spot").isin(spots)) if spots else rows.orderBy("spot")
+    chosen = some.limit(2 * SAMPLE).select("text", "lang", "spot").collect()
     chosen.sort(key=lambda r: (r.spot, r.lang, r.text))
     return train([r.text for r in chosen], [r.lang for r in chosen])
 
