@@ -91,10 +91,9 @@ def harmonic_score(a: C, b: C) -> Column:
     return F.when(~ok, 0).when(full, 2).when(gap == 0, 1).otherwise(0)
 
 
-def compatibility(a: str, b: str) -> Column:
-    """Mix score of two tracks, given the aliases of their rows."""
+def mix_score(a: str, b: str, key: Column) -> Column:
+    """Mix score of two tracks, given the aliases of their rows and 1 or 0 for keys that fit or don't."""
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
-    key = F.when(F.coalesce(harmonic_compatible(x("camelot_key"), y("camelot_key")), F.lit(False)), 1.0).otherwise(0.0)
     return (
         0.3 * F.greatest(F.lit(0.0), 1 - F.abs(x("bpm") - y("bpm")) / 20)
         + 0.3 * key
@@ -103,6 +102,12 @@ def compatibility(a: str, b: str) -> Column:
     )
 
 
+def compatibility(a: str, b: str) -> Column:
+    """Mix score of two tracks, given the aliases of their rows."""
+    fits = F.coalesce(harmonic_compatible(f"{a}.camelot_key", f"{b}.camelot_key"), F.lit(False))
+    return mix_score(a, b, F.when(fits, 1.0).otherwise(0.0))
+
+
 def transition_color(score: Column) -> Column:
     return F.when(score.isNull(), "gray").when(score >= 0.8, "green").when(score >= 0.5, "amber").otherwise("red")
 

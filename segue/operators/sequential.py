@@ -7,6 +7,7 @@ worth of tracks. Naming runs over cluster profiles only.
 from __future__ import annotations
 
 import random
+from bisect import bisect_left
 from collections.abc import Iterable
 
 import numpy as np
@@ -22,7 +23,7 @@ ORDER = "cluster_id string, pos long, seq int"
 def _number_letter(key: str | None) -> tuple[int, str] | None:
     if not key or key[-1] not in "AB" or not key[:-1].isdigit():
         return None
-    return int(key[:-1]), key[-1]
+    return (int(key[:-1]), key[-1]) if 1 <= int(key[:-1]) <= 12 else None
 
 
 def key_score(a: str | None, b: str | None) -> int:
@@ -49,13 +50,71 @@ def _walk(rows: pd.DataFrame, start: int, choose) -> pd.DataFrame:
     return pd.DataFrame({"cluster_id": out.cluster_id.to_numpy(), "pos": out.pos.to_numpy(), "seq": np.arange(1, len(out) + 1, dtype=np.int32)})
 
 
+class _Shelf:
+    """Tracks by energy, then place; the nearest that is left is found without passing over those taken."""
+
+    def __init__(self, places: list[int], rms: list[float]):
+        self.places = sorted(places, key=lambda i: (rms[i], i))
+        self.rms = [rms[i] for i in self.places]
+        self.at = {i: k for k, i in enumerate(self.places)}
+        self.up, self.down = list(range(len(places) + 1)), list(range(len(places) + 1))
+
+    @staticmethod
+    def _root(of: list[int], k: int) -> int:
+        while of[k] != k:
+            of[k] = of[of[k]]
+            k = of[k]
+        return k
+
+    def take(self, i: int) -> None:
+        k = self.at[i]
+        self.up[k], self.down[k + 1] = k + 1, k
+
+    def nearest(self, x: float) -> tuple[float, int] | None:
+        """(gap, place); of equal gaps the first place."""
+        split, found = bisect_left(self.rms, x), []
+        above = self._root(self.up, split)
+        if above < len(self.rms):
+            found.append((abs(x - self.rms[above]), self.places[above]))
+        below = self._root(self.down, split) - 1
+        if below >= 0:
+            k = self._root(self.up, bisect_left(self.rms, self.rms[below]))
+            found.append((abs(x - self.rms[k]), self.places[k]))
+        return min(found, default=None)
+
+
 def harmonic(known: DataFrame) -> DataFrame:
-    """From the loudest track on, the best matching key next, then the nearest energy."""
+    """From the loudest track on, the best matching key next, then the nearest energy.
+
+    The tracks that are left stand by key in order of energy, so a step asks
+    each key once, in the logarithm of its tracks.
+    """
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos").reset_index(drop=True)
         keys, rms = rows.camelot_key.tolist(), rows.rms_energy.tolist()
-        return _walk(rows, int(np.argmax(rms)), lambda i, left: min(left, key=lambda j: (-key_score(keys[i], keys[j]), abs(rms[i] - rms[j]), j)))
+        by_key: dict[str | None, list[int]] = {}
+        for i, k in enumerate(keys):
+            by_key.setdefault(k if _number_letter(k) else None, []).append(i)
+        shelves = {k: _Shelf(places, rms) for k, places in by_key.items()}
+        ranks = {a: sorted((-key_score(a, b), str(b), b) for b in shelves) for a in shelves}
+        at, path = int(np.argmax(rms)), []
+        while True:
+            path.append(at)
+            home = keys[at] if keys[at] in shelves else None
+            shelves[home].take(at)
+            best = None
+            for score, _, key in ranks[home]:
+                if best is not None and score > best[0]:
+                    break
+                near = shelves[key].nearest(rms[at])
+                if near is not None and (best is None or near < best[1]):
+                    best = score, near
+            if best is None:
+                break
+            at = best[1][1]
+        out = rows.iloc[path]
+        return pd.DataFrame({"cluster_id": out.cluster_id.to_numpy(), "pos": out.pos.to_numpy(), "seq": np.arange(1, len(out) + 1, dtype=np.int32)})
 
     return known.select("cluster_id", "pos", "camelot_key", "rms_energy").groupBy("cluster_id").applyInPandas(work, ORDER)
 

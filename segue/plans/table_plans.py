@@ -9,6 +9,7 @@ from segue.functions import exprs as X
 from segue.operators import playlists as P
 from segue.operators import sequencing as S
 from segue.operators import tags as T
+from segue.operators.nexttracks import next_tracks
 from segue.sources.fixtures import AS_OF, Views
 
 from .base import Catalogue
@@ -87,15 +88,10 @@ def block_range_join(v: Views):
 
 @query(f"""WITH {KNOWN}, good AS (SELECT * FROM known WHERE bpm > 0)
 SELECT a AS pos, b AS other, rank, score FROM (SELECT x.pos AS a, y.pos AS b, round({compat_of('x', 'y')}, 9) AS score, CAST(row_number() OVER (PARTITION BY x.pos ORDER BY round({compat_of('x', 'y')}, 9) DESC, y.pos) AS INT) AS rank
-FROM good x JOIN good y ON x.pos <> y.pos AND x.pos % 100 = 0) WHERE rank <= 5""")
+FROM good x JOIN good y ON x.pos <> y.pos) WHERE rank <= 5""")
 def compat_pairs_topn(v: Views):
-    """The five best next tracks of each track that is asked for, over the whole library."""
-    good = v.known.where("bpm > 0").select("pos", "bpm", "camelot_key", "rms_energy", "brightness")
-    asked = good.where("pos % 100 = 0").alias("x")
-    both = asked.join(good.alias("y"), F.col("x.pos") != F.col("y.pos"))
-    scored = both.select(F.col("x.pos").alias("pos"), F.col("y.pos").alias("other"), F.round(X.compatibility("x", "y"), 9).alias("score"))
-    order = Window.partitionBy("pos").orderBy(F.desc("score"), "other")
-    return scored.withColumn("rank", F.row_number().over(order)).where("rank <= 5")
+    """The five best next tracks of each track, over the whole library."""
+    return next_tracks(v.known.where("bpm > 0"))
 
 
 # -- aggregations
