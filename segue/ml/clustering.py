@@ -33,8 +33,8 @@ TYPICAL_BPM = {"techno": 125.0, "house": 120.0, "ambient": 100.0, "dnb": 170.0,
 LEAST_FOR_PCA, LEAST_FOR_EWKM, BOOTSTRAPS, MOST_CI, VARIANCE, MOST_TURNS = 40, 80, 200, 0.3, 0.90, 100
 STRONG, WEAK = 0.5, 0.3
 
-#: Rows that seeds are drawn from, and rows whose silhouette is measured, at most.
-SAMPLE, SILHOUETTE = 4096, 2000
+#: Rows that seeds are drawn from, at most, and rows whose silhouette is measured where they don't fit in memory.
+SAMPLE, SILHOUETTE = 4096, 1000
 
 #: Vectors that are held as one matrix, at most.
 IN_MEMORY = 1 << 16
@@ -271,21 +271,48 @@ def assign(rows: DataFrame, centers: np.ndarray, column: str = "x", weights: np.
     return rows.withColumn("label", F.array_min(cells)["k"])
 
 
-def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
-    """Mean Euclidean silhouette."""
-    kinds = np.unique(labels)
-    if len(kinds) < 2:
-        return -1.0
-    gap = np.sqrt(distances(x, x))
-    sums_ = np.stack([gap[:, labels == k].sum(axis=1) for k in kinds], axis=1)
-    counts = np.array([(labels == k).sum() for k in kinds])
-    own = np.searchsorted(kinds, labels)
-    size = counts[own]
-    inner = sums_[np.arange(len(x)), own] / np.maximum(size - 1, 1)
-    outer = sums_ / counts
-    outer[np.arange(len(x)), own] = np.inf
-    outer = outer.min(axis=1)
-    return float(np.where(size > 1, (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300), 0.0).mean())
+def silhouettes(points: Points, models: list[np.ndarray]) -> list[float]:
+    """The mean Euclidean silhouette of the rows under each model's labels.
+
+    Distances are to all rows, whatever their number. The mean is over all rows
+    that are held in memory, else over a sample of ``SILHOUETTE`` of them, as
+    the distances of all rows to all would be a square of the library.
+    """
+    width = sum(map(len, models))
+    if not width:
+        return []
+
+    def hot(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.eye(len(m))[distances(x, m).argmin(axis=1)] for m in models], axis=1)
+
+    asked = points.local if points.local is not None else points.sample(SILHOUETTE)
+    if not len(asked):
+        return [-1.0] * len(models)
+    own, starts = hot(asked), np.cumsum([0, *map(len, models)])
+    counts = points.sums(lambda x: hot(x).sum(axis=0), width)
+    if points.local is None:
+        sums = points.sums(lambda x: (np.sqrt(distances(asked, x)) @ hot(x)).ravel(), len(asked) * width).reshape(len(asked), width)
+        total = _scores(sums, own > 0, counts, starts)
+    else:
+        total, step = np.zeros(len(models)), max(1, (1 << 24) // len(asked))
+        for at in range(0, len(asked), step):
+            sums = np.sqrt(distances(asked[at : at + step], asked)) @ own
+            total += _scores(sums, own[at : at + step] > 0, counts, starts)
+    several = [(counts[a:b] > 0).sum() > 1 for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    return [float(t) / len(asked) if many else -1.0 for t, many in zip(total, several, strict=True)]
+
+
+def _scores(sums: np.ndarray, own: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Per model, the sum of the rows' silhouettes, from the sums of their distances to each cluster."""
+    out = []
+    for a, b in zip(starts[:-1], starts[1:], strict=True):
+        mine = own[:, a:b]
+        size = (mine * counts[a:b]).sum(axis=1)
+        inner = (sums[:, a:b] * mine).sum(axis=1) / np.maximum(size - 1, 1)
+        outer = np.where(mine | (counts[a:b] == 0), np.inf, sums[:, a:b] / np.maximum(counts[a:b], 1)).min(axis=1)
+        gap = np.where(np.isfinite(outer), (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300), 0.0)
+        out.append(np.where(size > 1, gap, 0.0).sum())
+    return np.array(out)
 
 
 def constraint(n: int, duration: float, least: int, most: int, target_tracks: int | None, target_duration: float | None) -> int | None:
@@ -298,16 +325,14 @@ def constraint(n: int, duration: float, least: int, most: int, target_tracks: in
 def choose_k(rows: DataFrame, n: int, *, column: str = "x", least: int = 2, most: int = 10, wanted: int | None = None, restarts: int = 10) -> tuple[int, dict[int, KMeans]]:
     """The number of clusters by elbow and silhouette, held to what is wanted within two.
 
-    An empty range of counts gives the least. The silhouette is that of a
-    sample of ``SILHOUETTE`` rows where there are more.
+    An empty range of counts gives the least.
     """
     ks = list(range(least, min(most + 1, n)))
     if not ks:
         return least, {}
     with Points(rows, column) as points:
         models = _fit(points, ks, restarts, 60, 42)
-        sample = points.sample(SILHOUETTE)
-    scores = [silhouette(sample, distances(sample, models[k].centers).argmin(axis=1)) if k > 1 else -1.0 for k in ks]
+        scores = [-1.0] * (ks[0] < 2) + silhouettes(points, [models[k].centers for k in ks if k > 1])
     drops = np.abs(np.diff([models[k].inertia for k in ks]))
     elbow = least + int(np.argmax(drops)) if len(drops) else least
     best = ks[int(np.argmax(scores))]
