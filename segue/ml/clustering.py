@@ -194,6 +194,13 @@ def apply_overrides(base: np.ndarray, overrides: dict[str, float]) -> np.ndarray
     return out
 
 
+def timbre_overrides(slider: float) -> dict[str, float]:
+    """The weights that the slider for alike timbre sets, from 0 (none) to 1; brightness gets the value itself."""
+    if not 0 <= slider <= 1:
+        raise ValueError(f"the slider goes from 0 to 1, not {slider}")
+    return {"brightness": 1.0 + 2.0 * slider} if slider > 0 else {}
+
+
 def valid_weights(weights: dict[str, float | None]) -> bool:
     """All features, none negative, in sum 1."""
     values = [weights.get(c) for c in SPACE]

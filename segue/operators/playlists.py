@@ -85,6 +85,15 @@ def energy_blocks(energy: DataFrame) -> DataFrame:
     )
 
 
+def custom_block(energy: DataFrame, name: str, lo: float = 0.0, hi: float = 1.0, minutes: float = 60.0) -> DataFrame:
+    """A block of one's own: its length and range of energy as given, and the clusters in the range; none is no fault."""
+    inside = energy.where(F.col("energy").between(lo, hi))
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("energy", "cluster_id"))), lambda x: x["cluster_id"]), ",")
+    return inside.agg(F.count("*").alias("n_clusters"), ids.alias("cluster_ids")).select(
+        F.lit(name).alias("block"), F.lit(float(minutes)).alias("target_duration_min"), F.lit(float(lo)).alias("energy_min"), F.lit(float(hi)).alias("energy_max"), "n_clusters", "cluster_ids"
+    )
+
+
 def apply_arc(energy: DataFrame, arc: str) -> DataFrame:
     """Clusters in the order of the arc's places nearest to their energy; places may be shared."""
     e = F.coalesce("energy", F.lit(0.5))

@@ -38,9 +38,9 @@ def intro_length(frames: DataFrame) -> DataFrame:
 
 
 def structure(frames: DataFrame) -> DataFrame:
-    """Where a track's intro ends and its outro begins, in ms, and the cue points there."""
+    """Where a track's intro ends and its outro begins, in ms, the cue points there, and its breakdowns, of which none are told."""
     out = first_over(frames, 0.2, "peak").select("pos", (F.coalesce("first", F.lit(0)) * HOP_MS).alias("intro_end_ms"), (F.coalesce("last", "end") * HOP_MS).alias("outro_start_ms"))
-    return out.withColumn("cues", F.create_map(F.lit("cue_1_ms"), "intro_end_ms", F.lit("cue_2_ms"), "outro_start_ms"))
+    return out.withColumn("cues", F.create_map(F.lit("cue_1_ms"), "intro_end_ms", F.lit("cue_2_ms"), "outro_start_ms")).withColumn("breakdowns", F.array().cast("array<double>"))
 
 
 def brightness(frames: DataFrame, rate: int = RATE) -> DataFrame:
@@ -66,6 +66,13 @@ def mean_pool(vectors: DataFrame, key: str, column: str = "embedding") -> DataFr
     return long.groupBy(key, "at").agg(F.avg("x").alias("x")).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("mean"))
 
 
+def labelled(activations: Column, labels: list[str] | None) -> Column:
+    """(tag, conf) structs, the most confident first, equal ones in the labels' order; numbers for labels that don't match in number."""
+    number = lambda x, k: F.struct((-x.cast("double")).alias("less"), k.alias("k"))
+    name = (lambda k: F.when(F.size(activations) == len(labels), F.get(F.array(*map(F.lit, labels)), k)).otherwise(k.cast("string"))) if labels else (lambda k: k.cast("string"))
+    return F.transform(F.array_sort(F.transform(activations, number)), lambda x: F.struct(name(x["k"]).alias("tag"), (-x["less"]).alias("conf")))
+
+
 def infer_genre(tags: Column) -> Column:
     """The genre of the most confident tag that names one; tags are (tag, conf) structs."""
     ordered = F.array_sort(tags, lambda a, b: F.when(a["conf"] > b["conf"], -1).when(a["conf"] < b["conf"], 1).otherwise(0))

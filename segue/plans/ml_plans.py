@@ -78,6 +78,13 @@ def cluster_dedup(v: Views):
     return v.known.join(near, "pos").where("home = cluster_id").select("cluster_id", "pos")
 
 
+@query("SELECT feature, CASE WHEN feature = 'brightness' THEN 1.5::DOUBLE ELSE 0.125::DOUBLE END AS weight FROM (SELECT unnest(['bpm', 'rms_energy', 'brightness', 'sub_bass_energy', 'kick_energy', 'bass_harmonics', 'percussiveness', 'onset_strength']) AS feature)")
+def timbre_weights(v: Views):
+    """Equal weights under the timbre slider at a quarter."""
+    weights = M.apply_overrides(M.np.full(len(M.SPACE), 1 / len(M.SPACE)), M.timbre_overrides(0.25))
+    return v.spark.createDataFrame([(c, float(w)) for c, w in zip(M.SPACE, weights, strict=True)], "feature string, weight double")
+
+
 @query()
 def pca_weights(v: Views):
     weights, width = M.pca_weights(_zs(v))

@@ -33,6 +33,25 @@ def structure_bounds(v: Views):
     return signal.structure(v.frames).select("pos", F.round("intro_end_ms", 6).alias("intro_end_ms"), F.round("outro_start_ms", 6).alias("outro_start_ms"))
 
 
+@query("WITH m AS (SELECT pos, max(rms) AS m FROM frames GROUP BY pos) SELECT f.pos, round(coalesce(min(idx) FILTER (rms > 0.2::DOUBLE * m), 0) * (512000.0::DOUBLE / 22050), 6) AS cue_1_ms, round(coalesce(max(idx) FILTER (rms > 0.2::DOUBLE * m), max(idx)) * (512000.0::DOUBLE / 22050), 6) AS cue_2_ms, 0 AS n_breakdowns FROM frames f JOIN m USING (pos) GROUP BY f.pos")
+def structure_cues(v: Views):
+    out = signal.structure(v.frames)
+    return out.select("pos", *[F.round(F.col("cues")[c], 6).alias(c) for c in ("cue_1_ms", "cue_2_ms")], F.size("breakdowns").alias("n_breakdowns"))
+
+
+@query("SELECT pos, CAST(row_number() OVER (PARTITION BY pos ORDER BY conf DESC, k) AS INT) AS rank, CAST(k AS VARCHAR) AS tag, conf FROM (SELECT pos, CAST(unnest(embedding) AS DOUBLE) AS conf, generate_subscripts(embedding, 1) - 1 AS k FROM chroma)")
+def top_tags(v: Views):
+    """Activations by size, under numbers, as no labels match them."""
+    tags = v.chroma.select("pos", F.posexplode(signal.labelled(F.col("embedding"), ["techno", "house"])).alias("k", "t"))
+    return tags.select("pos", (F.col("k") + 1).cast("int").alias("rank"), "t.tag", "t.conf")
+
+
+@query("WITH a AS (SELECT pos, unnest([rms_energy, brightness, onset_strength]) AS prob, unnest(['calm', 'dark', 'warm']) AS mood, generate_subscripts([1, 2, 3], 1) AS k FROM features) SELECT pos, CAST(row_number() OVER (PARTITION BY pos ORDER BY prob DESC, k) AS INT) AS rank, mood, prob FROM a")
+def moods_build(v: Views):
+    moods = v.features.select("pos", F.posexplode(signal.labelled(F.array("rms_energy", "brightness", "onset_strength"), ["calm", "dark", "warm"])).alias("k", "t"))
+    return moods.select("pos", (F.col("k") + 1).cast("int").alias("rank"), F.col("t.tag").alias("mood"), F.col("t.conf").alias("prob"))
+
+
 @query("WITH c AS (SELECT *, 1000.0::DOUBLE + (idx * 37 % 50) * 100 AS centroid FROM frames), g AS (SELECT pos, quantile_cont(rms, 0.25) AS gate, avg(centroid) AS plain FROM c GROUP BY pos) SELECT c.pos, round(least(greatest(coalesce(sum(centroid * rms) FILTER (rms > gate) / sum(rms) FILTER (rms > gate), any_value(plain)) / 11025.0::DOUBLE, 0), 1), 6) AS brightness FROM c JOIN g USING (pos) GROUP BY c.pos")
 def brightness_weighted(v: Views):
     frames = v.frames.withColumn("centroid", 1000.0 + (F.col("idx") * 37 % 50) * 100)

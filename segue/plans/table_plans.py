@@ -96,6 +96,13 @@ def compat_pairs_topn(v: Views):
 
 # -- aggregations
 
+
+@query(f"""WITH {KNOWN}, e AS (SELECT cluster_id, avg(rms_energy) AS energy FROM known GROUP BY cluster_id)
+SELECT 'Custom' AS block, 45.0::DOUBLE AS target_duration_min, 0.48::DOUBLE AS energy_min, 0.52::DOUBLE AS energy_max, count(*) AS n_clusters, coalesce(string_agg(cluster_id, ',' ORDER BY energy, cluster_id), '') AS cluster_ids FROM e WHERE energy BETWEEN 0.48::DOUBLE AND 0.52::DOUBLE""")
+def custom_block(v: Views):
+    return P.custom_block(P.cluster_energy(v.known), "Custom", 0.48, 0.52, 45)
+
+
 _MEANS = ", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in X.FEATURES)
 
 

@@ -57,7 +57,36 @@ def _median(s: np.ndarray, axis: int, width: int = 31) -> np.ndarray:
     pad = [(0, 0), (0, 0)]
     pad[axis] = (width // 2, width // 2)
     windows = np.lib.stride_tricks.sliding_window_view(np.pad(s, pad, mode="reflect" if s.shape[axis] > width // 2 else "edge"), width, axis=axis)
-    return np.median(windows, axis=-1)
+    step = 1024  # frames at a time, as a median holds all windows it looks at
+    return np.concatenate([np.median(windows[:, at : at + step], axis=-1) for at in range(0, s.shape[1], step)], axis=1)
+
+
+def tempo(y: np.ndarray) -> float | None:
+    """Whole beats a minute, from the autocorrelation of the first minute's onsets; null for silence and scraps.
+
+    Lags are weighed by their distance in octaves from 120 beats a minute.
+    """
+    y = y[: 60 * RATE]
+    if len(y) < 100 or np.abs(y).max() < 1e-4:
+        return None
+    s = np.log1p(100 * np.abs(np.fft.rfft(frames_of(y) * np.hanning(WINDOW), axis=1)))
+    onset = np.maximum(0, np.diff(s, axis=0)).mean(axis=1) if len(s) > 1 else np.zeros(1)
+    onset = onset - onset.mean()
+    n = len(onset)
+    again = np.fft.irfft(np.abs(np.fft.rfft(onset, 2 * n)) ** 2)[:n]
+    lags = np.arange(1, n)
+    beats = 60.0 * RATE / HOP / lags
+    heard = (beats >= 30) & (beats <= 300)
+    if not heard.any() or again[0] <= 0:
+        return None
+    lags, beats = lags[heard], beats[heard]
+    score = again[lags] * np.exp(-0.5 * np.log2(beats / 120) ** 2)
+    at = int(lags[score.argmax()])
+    left, mid, right = again[at - 1], again[at], again[at + 1] if at + 1 < n else again[at]
+    bend = left - 2 * mid + right
+    shift = 0.5 * (left - right) / bend if bend < 0 else 0.0
+    found = float(round(60.0 * RATE / HOP / (at + np.clip(shift, -0.5, 0.5))))
+    return found if score.max() > 0 and found > 0 else None
 
 
 def _mel(n: int = 40) -> np.ndarray:
@@ -85,8 +114,7 @@ def analyse(y: np.ndarray) -> dict:
     centroid = (hz[:, None] * s).sum(axis=0) / np.maximum(total, 1e-12)
     loud = rms > np.percentile(rms, 25)
     bright = (centroid[loud] * rms[loud]).sum() / rms[loud].sum() if loud.any() else centroid.mean()
-    small = s[:, : 60 * RATE // HOP]  # the harmonic and percussive parts of the first minute
-    steady, struck = _median(small, 1), _median(small, 0)
+    steady, struck = _median(s, 1), _median(s, 0)
     mask = struck**2 / np.maximum(steady**2 + struck**2, 1e-12)
     norm = lambda x: np.sqrt((x**2).mean())
     power = s**2 + 1e-10
@@ -96,7 +124,7 @@ def analyse(y: np.ndarray) -> dict:
     upto = np.cumsum(s, axis=0)
     rolloff = hz[(upto >= 0.85 * np.maximum(upto[-1], 1e-12)).argmax(axis=0)]
     voice = (hz >= 200) & (hz < 800)
-    steady_part = small * (1 - mask)
+    steady_part = s * (1 - mask)
     slope = np.polyfit(np.arange(len(rms)), rms, 1)[0] if len(rms) > 1 else 0.0
     minutes = len(rms) * HOP / (RATE * 60)
     over = np.flatnonzero(rms > 0.5 * rms.mean())
@@ -108,10 +136,10 @@ def analyse(y: np.ndarray) -> dict:
     clear = chroma.std() >= 0.015 and chroma.max() >= 1.5 * chroma.mean()
     return {
         "rms_energy": clip(rms.mean() / 0.3), "brightness": clip(bright / (RATE / 2)), "sub_bass_energy": _share(s, hz, 20, 60), "kick_energy": _share(s, hz, 60, 120), "bass_harmonics": _share(s, hz, 120, 250),
-        "percussiveness": clip(norm(small * mask) / max(norm(small), 1e-12)), "onset_strength": clip(np.maximum(0, np.diff(s, axis=1)).mean() / 10 if s.shape[1] > 1 else 0),
+        "percussiveness": clip(norm(s * mask) / max(norm(s), 1e-12)), "onset_strength": clip(np.maximum(0, np.diff(s, axis=1)).mean() / 10 if s.shape[1] > 1 else 0),
         "dynamic_range": clip((rms.max() - rms.min()) / (0.3 + 1e-9)), "energy_gradient": float(np.clip(slope, -0.001, 0.001) / 0.001), "drop_density": clip((rms > rms.mean() + 2 * rms.std()).sum() / minutes / 10),
         "spectral_flatness": clip((np.exp(np.log(power).mean(axis=0)) / power.mean(axis=0)).mean()), "zero_crossing_rate": clip((np.diff(np.signbit(y)) != 0).mean() / 0.5 if len(y) > 1 else 0),
-        "mfcc_variance": clip((dct @ mel).var(axis=1).mean() / 100), "spectral_rolloff_85": clip(rolloff.mean() / (RATE / 2)), "vocal_presence": clip(steady_part[voice].sum() / (small.sum() + 1e-9) * 10),
+        "mfcc_variance": clip((dct @ mel).var(axis=1).mean() / 100), "spectral_rolloff_85": clip(rolloff.mean() / (RATE / 2)), "vocal_presence": clip(steady_part[voice].sum() / (steady_part.sum() + 1e-9) * 10),
         "intro_length_secs": float(over[0] * HOP / RATE) if len(over) else 0.0, "camelot_key": X.CHROMA_CAMELOT[int(chroma.argmax())] if clear else None,
     }
 
@@ -129,6 +157,23 @@ def _analyse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["path", "file_hash", *NAMES, "camelot_key", "error"]).astype({c: object for c in ("path", "file_hash", "camelot_key", "error")})
 
 
+def _tempo_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for path, content in zip(batch.path, batch.content, strict=True):
+            try:
+                rows.append((path, tempo(read_wav(bytes(content)))))
+            except (wave.Error, EOFError, ValueError):
+                rows.append((path, None))
+        yield pd.DataFrame(rows, columns=["path", "bpm"]).astype({"path": object, "bpm": "Float64"})
+
+
+def tempos(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, bpm): the estimated tempo of the WAV files below a folder; null where there is none or no sound."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(X.suffix("path") == ".wav")
+    return files.select("path", "content").mapInPandas(_tempo_files, "path string, bpm double")
+
+
 def features(spark: SparkSession, folder: str, cache: DataFrame | None = None) -> DataFrame:
     """Feature rows of the WAV files below a folder, one per path.
 

@@ -7,7 +7,9 @@ parallel. Writing goes through a local file, as SQLite itself does.
 
 from __future__ import annotations
 
+import os
 import sqlite3
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +32,21 @@ TABLES = {
 }
 
 
+#: Fixed: where a library's file is looked for, by platform, below the home folder (on Windows, the local data folder).
+PLACES = {
+    "linux": (".mixxx/mixxxdb.sqlite", ".var/app/org.mixxx.Mixxx/.mixxx/mixxxdb.sqlite"),
+    "darwin": ("Library/Application Support/Mixxx/mixxxdb.sqlite",),
+    "win32": ("Mixxx/mixxxdb.sqlite",),
+}
+
+
+def discover(home: str | None = None, platform: str = sys.platform) -> str | None:
+    """The first library file that is there, or None."""
+    root = home or (os.environ.get("LOCALAPPDATA") if platform == "win32" else os.path.expanduser("~"))
+    found = (os.path.join(root, place) for place in PLACES.get(platform, ()) if root)
+    return next((path for path in found if os.path.exists(path)), None)
+
+
 def quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 

@@ -36,6 +36,27 @@ def test_features_of_tones():
     assert all(-1 <= v <= 1 for k, v in noise.items() if k not in ("camelot_key", "intro_length_secs"))
 
 
+def test_tempo(spark, tmp_path):
+    for bpm in (90, 120, 140, 174):
+        y, rng = np.zeros(audio.RATE * 20), np.random.default_rng(0)
+        for t in np.arange(0, 19.5, 60 / bpm):
+            y[int(t * audio.RATE) :][:1500] += rng.normal(0, 0.3, 1500) * np.exp(-np.arange(1500) / 300)
+        assert abs(audio.tempo(y) - bpm) <= 1
+    (tmp_path / "a.wav").write_bytes(wav(y))
+    (tmp_path / "b.wav").write_bytes(b"not audio")
+    found = {r.path.rsplit("/", 1)[-1]: r.bpm for r in audio.tempos(spark, str(tmp_path)).collect()}
+    assert abs(found["a.wav"] - 174) <= 1 and found["b.wav"] is None
+    assert audio.tempo(np.zeros(5000)) is None and audio.tempo(np.ones(50)) is None
+
+
+def test_library_is_found(tmp_path):
+    assert sqlite.discover(str(tmp_path), "linux") is None and sqlite.discover(str(tmp_path), "plan9") is None
+    for place in reversed(sqlite.PLACES["linux"]):
+        (tmp_path / place).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / place).write_bytes(b"")
+        assert sqlite.discover(str(tmp_path), "linux") == str(tmp_path / place)
+
+
 def test_stereo_and_rate():
     y = np.repeat(tone(100, rate=44100), 2)
     assert abs(len(audio.read_wav(wav(y, rate=44100, channels=2))) - 44100) <= 1
