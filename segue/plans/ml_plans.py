@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from segue.functions import exprs as X
@@ -85,6 +86,63 @@ def timbre_weights(v: Views):
     return v.spark.createDataFrame([(c, float(w)) for c, w in zip(M.SPACE, weights, strict=True)], "feature string, weight double")
 
 
+# -- clusterings whose right answer is planted: three blobs of tracks, told by the position
+
+
+def _planted(v: Views):
+    """Known tracks whose tempo and features stand in three blobs far apart."""
+    blob, p = F.col("pos") % 3, F.col("pos")
+    at = {c: F.element_at(F.array(F.lit(0.2), F.lit(0.5), F.lit(0.8)), (F.pmod(blob + j, F.lit(3)) + 1).cast("int")) + (p * (7 + j) % 13) / 200 for j, c in enumerate(X.FEATURES)}
+    tempo = F.when(F.col("bpm").isNotNull(), 90 + blob * 40 + (p * 37 % 11) / 10)
+    return v.known.withColumns({**at, "bpm": tempo, "resolved": F.when(p % 2 == 0, "techno").otherwise("house")})
+
+
+def _led(labelled):
+    """(pos, leader): the least position of each track's cluster, as labels have no order."""
+    return labelled.select("pos", F.min("pos").over(Window.partitionBy("cluster_id")).alias("leader"))
+
+
+_LED = f"WITH {KNOWN} SELECT pos, min(pos) OVER (PARTITION BY pos % 3) AS leader FROM known WHERE bpm IS NOT NULL"
+
+
+@query(_LED)
+def kmeans_planted(v: Views):
+    """k-means with chosen weights and refinement; what is relabelled would be missing."""
+    return _led(M.cluster(_planted(v), k=3, restarts=3).labelled)
+
+
+@query(_LED)
+def auto_k_planted(v: Views):
+    """The number of clusters found too."""
+    return _led(M.cluster(_planted(v), most=6, restarts=3).labelled)
+
+
+@query(_LED)
+def mixed_genre_planted(v: Views):
+    known = _planted(v)
+    return _led(M.cluster(known, k=3, restarts=3, bpm_scale=M.genre_scale(known)).labelled)
+
+
+@query(f"WITH {KNOWN} SELECT pos, min(pos) OVER (PARTITION BY pos % 2, pos % 3) AS leader FROM known WHERE bpm IS NOT NULL")
+def per_genre_planted(v: Views):
+    return _led(M.per_genre(_planted(v), k=3, restarts=3))
+
+
+@query(_LED)
+def block_pca_planted(v: Views):
+    """Embeddings in the same blobs: a place of one of three axes."""
+    known = _planted(v)
+    near = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda j: F.when(j == F.col("pos") % 3, 5.0).otherwise((F.col("pos") * (j + 3) % 17) / 100))
+    return _led(M.cluster(known, k=3, restarts=3, extra=M.embedding_block(known.select("pos", near.alias("embedding")), 2)).labelled)
+
+
+@query("SELECT pos, min(pos) OVER (PARTITION BY pos % 3) AS leader FROM tracks WHERE bpm IS NOT NULL")
+def bpm_kmeans_planted(v: Views):
+    tempo = 90 + F.col("pos") % 3 * 40 + (F.col("pos") * 37 % 11) / 10
+    rows = M.zscore(v.tracks.where("bpm IS NOT NULL").select("pos", tempo.alias("bpm")), ("bpm",)).withColumn("x", F.col("z"))
+    return _led(M.assign(rows, M.fit(rows, [3], restarts=3)[3].centers).withColumn("cluster_id", F.col("label").cast("string")))
+
+
 @query()
 def pca_weights(v: Views):
     weights, width = M.pca_weights(_zs(v))

@@ -86,7 +86,22 @@ def infer_genre(v: Views):
     return v.features.select("pos", signal.infer_genre(F.array(*[tag(k) for k in range(3)])).alias("genre"))
 
 
-@query()
+def recursive(sql: str):
+    """Records a query whose text is recursive."""
+
+    def put(f):
+        query(sql)(f)
+        CATALOGUE.oracle[f.__name__] = "WITH RECURSIVE" + CATALOGUE.oracle[f.__name__].removeprefix("WITH")
+        return f
+
+    return put
+
+
+@recursive("""WITH steps AS (SELECT *, lag(rms) OVER (PARTITION BY pos ORDER BY idx) AS before FROM frames), flat AS (SELECT *, count(*) FILTER (before IS NULL OR before <> rms) OVER (PARTITION BY pos ORDER BY idx) AS run FROM steps),
+runs AS (SELECT pos, run, min(idx) AS lo, max(idx) AS hi, any_value(rms) AS rms FROM flat GROUP BY pos, run), sided AS (SELECT *, lag(rms) OVER w AS l, lead(rms) OVER w AS r FROM runs WINDOW w AS (PARTITION BY pos ORDER BY run)),
+high AS (SELECT pos, quantile_cont(rms, 0.75) AS height FROM frames GROUP BY pos), tops AS (SELECT pos, (lo + hi) // 2 AS p, row_number() OVER (PARTITION BY pos ORDER BY rms DESC, lo DESC) AS i FROM sided JOIN high USING (pos) WHERE l < rms AND r < rms AND rms >= height),
+kept AS (SELECT pos, i, [p] AS ps FROM tops WHERE i = 1 UNION ALL SELECT t.pos, t.i, CASE WHEN len(list_filter(k.ps, lambda q: abs(q - t.p) < 5)) = 0 THEN list_append(k.ps, t.p) ELSE k.ps END FROM kept k JOIN tops t ON t.pos = k.pos AND t.i = k.i + 1)
+SELECT pos, round(unnest(ps) * (512000.0::DOUBLE / 22050), 6) AS drop_ms FROM (SELECT pos, arg_max(ps, i) AS ps FROM kept GROUP BY pos)""")
 def drops_peaks(v: Views):
     return signal.drops(v.frames, distance=5).select("pos", F.round("drop_ms", 6).alias("drop_ms"))
 
@@ -102,17 +117,6 @@ def _walk_sql(cols: str, start: str, step: str, pool: str = "SELECT * FROM known
     return text.replace("WITH RECURSIVE ", "WITH ", 1)
 
 
-def recursive(sql: str):
-    """Records a query whose text is recursive."""
-
-    def put(f):
-        query(sql)(f)
-        CATALOGUE.oracle[f.__name__] = "WITH RECURSIVE" + CATALOGUE.oracle[f.__name__].removeprefix("WITH")
-        return f
-
-    return put
-
-
 @recursive(_walk_sql("camelot_key, rms_energy", "rms_energy DESC", f"{score_of('w.camelot_key', 'k.camelot_key')} DESC, abs(w.rms_energy - k.rms_energy)"))
 def seq_harmonic(v: Views):
     return sequential.harmonic(v.known)
@@ -142,14 +146,24 @@ def _with_distance(v: Views):
     return rows.select("cluster_id", "pos", "duration", F.round(gap, 9).alias("distance")), centroids
 
 
-@recursive(f"""WITH {KNOWN}, {_CENTRE}, d AS (SELECT k.cluster_id, k.pos, coalesce(k.duration, 0) AS d, row_number() OVER (PARTITION BY k.cluster_id ORDER BY {_DIST}, k.pos) AS i FROM known k JOIN cent c USING (cluster_id)),
-f AS (SELECT cluster_id, pos, i, d > 0 AND d <= 1980 AS taken, CASE WHEN d > 0 AND d <= 1980 THEN d ELSE 0 END AS total FROM d WHERE i = 1 UNION ALL SELECT d.cluster_id, d.pos, d.i, d.d > 0 AND f.total + d.d <= 1980, CASE WHEN d.d > 0 AND f.total + d.d <= 1980 THEN f.total + d.d ELSE f.total END FROM f JOIN d ON d.cluster_id = f.cluster_id AND d.i = f.i + 1)
+_PHASE1 = f"""{KNOWN}, {_CENTRE}, d AS (SELECT k.cluster_id, k.pos, coalesce(k.duration, 0) AS d, row_number() OVER (PARTITION BY k.cluster_id ORDER BY {_DIST}, k.pos) AS i FROM known k JOIN cent c USING (cluster_id)),
+f AS (SELECT cluster_id, pos, i, d > 0 AND d <= 1980 AS taken, CASE WHEN d > 0 AND d <= 1980 THEN d ELSE 0 END AS total FROM d WHERE i = 1 UNION ALL SELECT d.cluster_id, d.pos, d.i, d.d > 0 AND f.total + d.d <= 1980, CASE WHEN d.d > 0 AND f.total + d.d <= 1980 THEN f.total + d.d ELSE f.total END FROM f JOIN d ON d.cluster_id = f.cluster_id AND d.i = f.i + 1)"""
+
+
+@recursive(f"""WITH {_PHASE1}
 SELECT cluster_id, pos, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY i) AS INT) AS seq FROM f WHERE taken""")
 def duration_fill_phase1(v: Views):
     return sequential.fill(_with_distance(v)[0], 30 * 60 * 1.1)
 
 
-@query()
+_OFFER = "round(sqrt(" + " + ".join(f"(x.{c} - c.c_{c}) ** 2" for c in X.FEATURES) + "), 9)"
+
+
+@recursive(f"""WITH {_PHASE1}, used AS (SELECT list(coalesce(u, 0) ORDER BY cluster_id) AS u FROM (SELECT DISTINCT cluster_id FROM known) LEFT JOIN (SELECT cluster_id, max(total) AS u FROM f GROUP BY cluster_id) USING (cluster_id)),
+homes AS (SELECT list(cluster_id ORDER BY cluster_id) AS names FROM cent), rest AS (SELECT k.pos, k.duration AS d, row_number() OVER (ORDER BY k.pos) AS i FROM known k WHERE k.duration > 0 AND k.pos NOT IN (SELECT pos FROM f WHERE taken)),
+offers AS MATERIALIZED (SELECT r.pos, r.d, r.i, list(list_position(h.names, c.cluster_id) ORDER BY {_OFFER}, c.cluster_id) AS o FROM rest r JOIN features x USING (pos), cent c, homes h GROUP BY r.pos, r.d, r.i),
+dealt AS (SELECT CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS i, u, CAST(NULL AS BIGINT) AS home FROM used UNION ALL SELECT pos, i, list_transform(u, lambda x, k: CASE WHEN k = home THEN x + d ELSE x END), home FROM (SELECT o.pos, o.i, o.d, z.u, CAST(list_filter(o.o, lambda c: z.u[c] + o.d <= 1980)[1] AS BIGINT) AS home FROM dealt z JOIN offers o ON o.i = z.i + 1))
+SELECT cluster_id, pos, 1 AS pass FROM f WHERE taken UNION ALL SELECT names[home], pos, 2 FROM dealt, homes WHERE home IS NOT NULL""")
 def duration_build(v: Views):
     rows, centroids = _with_distance(v)
     packed = centroids.agg(F.collect_list(F.struct("cluster_id", *[f"c_{c}" for c in X.FEATURES])).alias("all"))
