@@ -75,6 +75,15 @@ def five_rhythms(known: DataFrame) -> DataFrame:
     return ordered(known.withColumn("phase", phase), rank, F.col("rms_energy"))
 
 
+def fresh(known: DataFrame, history: DataFrame, as_of: Column, least: float = 0.1) -> DataFrame:
+    """By freshness times energy, the greatest first; tracks that are less fresh than ``least`` go.
+
+    history: pos, times_used, last_used; tracks without a row were never played.
+    """
+    rows = known.join(history, "pos", "left").withColumn("freshness", X.freshness("times_used", "last_used", as_of)).where(F.col("freshness") >= least)
+    return ordered(rows, F.round(F.col("freshness") * F.col("rms_energy"), 9).desc())
+
+
 def require(tracks: DataFrame, features: DataFrame, key: str = "pos") -> DataFrame:
     """The tracks, if all of them have features; else an error that names one that hasn't."""
     missing = tracks.join(features.select(key), key, "left_anti").select(key).first()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from segue.functions import exprs as X
 from segue.ml import clustering as M
+from segue.operators import selecting
 from segue.sources.fixtures import Views
 
 from .base import Catalogue
@@ -190,6 +191,4 @@ def mixed_genre(v: Views):
 @query("SELECT cluster_id, n, dur, CASE WHEN n > 25 OR dur > 25 * 60 THEN greatest(1, CAST(trunc(25 * 60 / (dur / n)) AS INT)) END AS split_size FROM (SELECT cluster_id, count(*) AS n, sum(coalesce(duration, 0)) AS dur FROM tracks GROUP BY cluster_id)")
 def split_rule(v: Views):
     """The part size of clusters that are over 25 tracks or 25 minutes."""
-    per = v.tracks.groupBy("cluster_id").agg(F.count("*").alias("n"), F.sum(F.coalesce("duration", F.lit(0.0))).alias("dur"))
-    over = (F.col("n") > 25) | (F.col("dur") > 25 * 60)
-    return per.withColumn("split_size", F.when(over, F.greatest(F.lit(1), (25 * 60 / (F.col("dur") / F.col("n"))).cast("int"))))
+    return selecting.split_sizes(v.tracks)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from segue.functions import exprs as X
+from segue.operators import selecting as C
 from segue.functions.words import ADJECTIVE_RANK
 from segue.sources.fixtures import AS_OF, Views
 
@@ -166,24 +167,19 @@ def year_parse(v: Views):
 @query("""SELECT pos, kind FROM (SELECT pos, unnest(CASE WHEN vocal_presence BETWEEN 0 AND 0.3 THEN ['Any', 'Instrumental'] WHEN vocal_presence BETWEEN 0.6 AND 1.0 THEN ['Any', 'Vocal'] ELSE ['Any'] END) AS kind
  FROM tracks JOIN features USING (pos))""")
 def vocal_filter(v: Views):
-    p = F.col("vocal_presence")
-    kinds = F.array_compact(F.array(F.lit("Any"), F.when(p.between(0, 0.3), "Instrumental"), F.when(p.between(0.6, 1.0), "Vocal")))
+    kinds = F.array_compact(F.array(*[F.when(C.vocal(k), k) for k in ("Any", *C.VOCAL)]))
     return v.known.select("pos", F.explode(kinds).alias("kind"))
 
 
 @query(f"SELECT pos FROM tracks WHERE contains(lower({TITLE}), '12') OR contains(lower(artist), '12') OR contains(CAST(CAST(trunc(bpm) AS BIGINT) AS VARCHAR), '12')")
 def track_search(v: Views):
-    text = F.lit("12")
-    hit = F.contains(F.lower(X.display_title()), text) | F.contains(F.lower("artist"), text) | F.contains(F.col("bpm").cast("bigint").cast("string"), text)
-    return v.tracks.where(hit).select("pos")
+    return C.search(v.tracks, "12").select("pos")
 
 
 @query(f"""SELECT t.pos FROM tracks t WHERE lower(regexp_extract(path, '\\.[^./]+$')) = '.flac' AND (contains(lower({TITLE}), '1') OR contains(lower(coalesce(artist, '')), '1'))
  AND EXISTS (SELECT 1 FROM tags g WHERE g.pos = t.pos AND contains(lower(g.tag), 'a'))""")
 def library_filter(v: Views):
-    text = F.contains(F.lower(X.display_title()), F.lit("1")) | F.contains(F.lower(F.coalesce("artist", F.lit(""))), F.lit("1"))
-    found = v.tracks.where((X.suffix("path") == ".flac") & text)
-    return found.join(v.tags.where(F.contains(F.lower("tag"), F.lit("a"))), "pos", "left_semi").select("pos")
+    return C.library(v.tracks, v.tags, text="1", suffix=".flac", tag="a").select("pos")
 
 
 @query(f"SELECT path FROM tracks JOIN tags USING (pos) WHERE lower(trim(tag)) = (SELECT min(lower(trim(tag))) FROM tags)")

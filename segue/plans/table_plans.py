@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from segue.functions import exprs as X
 from segue.operators import playlists as P
+from segue.operators import selecting as C
 from segue.operators import sequencing as S
 from segue.operators import tags as T
 from segue.operators.nexttracks import next_tracks
@@ -57,13 +58,9 @@ def genre_resolve(v: Views):
     """Override by path, by path under the root, by file name; then tags; then inference; else unknown."""
     t, p = v.tracks, F.col("pos")
     below, name = F.regexp_replace("path", "^/music/", ""), F.element_at(F.split("path", "/"), -1)
-    some = lambda k, key, g: t.where(p % 50 == k).select(key.alias("name"), F.lit(g).alias("g"))
+    some = lambda k, key, g: t.where(p % 50 == k).select(key.alias("name"), F.lit(g).alias("genre"))
     overrides = some(1, F.col("path"), "house").union(some(2, below, "dnb")).union(some(3, name, "ambient"))
-    for k, key in enumerate((F.col("path"), below, name)):
-        side = overrides.select(F.col("name").alias(f"n{k}"), F.col("g").alias(f"g{k}"))
-        t = t.join(side, key == F.col(f"n{k}"), "left")
-    tag = F.lower(F.trim("genre"))
-    return t.select("pos", F.coalesce("g0", "g1", "g2", F.when(tag.isin(*X.KNOWN_GENRES), tag), F.when(p % 7 == 0, "techno"), F.lit("unknown")).alias("genre"))
+    return C.resolve_genre(t, overrides, "/music", F.when(p % 7 == 0, "techno")).select("pos", F.col("resolved").alias("genre"))
 
 
 _AVG = ", ".join(f"avg({c}) AS c_{c}" for c in X.FEATURES)
@@ -83,7 +80,7 @@ BLOCK_ROWS = [("low", 0.0, 0.35), ("mid", 0.3, 0.7), ("high", 0.65, 1.0)]
 @query("SELECT pos, block FROM (SELECT f.pos, b.block, row_number() OVER (PARTITION BY f.pos ORDER BY b.k) AS r FROM features f JOIN (VALUES (0, 'low', 0.0, 0.35), (1, 'mid', 0.3, 0.7), (2, 'high', 0.65, 1.0)) b(k, block, lo, hi) ON f.rms_energy BETWEEN b.lo AND b.hi) WHERE r = 1")
 def block_range_join(v: Views):
     """The first block whose range of energy holds a track."""
-    return v.features.select("pos", F.coalesce(*[F.when(F.col("rms_energy").between(lo, hi), name) for name, lo, hi in BLOCK_ROWS]).alias("block")).where("block IS NOT NULL")
+    return v.features.select("pos", C.block_of(F.col("rms_energy"), BLOCK_ROWS).alias("block")).where("block IS NOT NULL")
 
 
 @query(f"""WITH {KNOWN}, good AS (SELECT * FROM known WHERE bpm > 0)
@@ -159,8 +156,7 @@ def salience(v: Views):
 @query("""WITH votes AS (SELECT cluster_id, lower(trim(genre)) AS genre, count(*) AS n FROM tracks WHERE genre IS NOT NULL GROUP BY 1, 2)
 SELECT cluster_id, genre, n FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, genre) AS r FROM votes) WHERE r = 1""")
 def genre_vote(v: Views):
-    votes = v.tracks.where("genre IS NOT NULL").groupBy("cluster_id", F.lower(F.trim("genre")).alias("genre")).agg(F.count("*").alias("n"))
-    return votes.withColumn("r", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("n"), "genre"))).where("r = 1").drop("r")
+    return C.genre_vote(v.tracks)
 
 
 @query("""SELECT cluster_id, count(*) AS track_count, sum(coalesce(duration, 0)) AS total_duration, coalesce(min(rms_energy), 0.0::DOUBLE) AS energy_min, coalesce(max(rms_energy), 1.0::DOUBLE) AS energy_max,
@@ -168,13 +164,7 @@ def genre_vote(v: Views):
  ELSE concat(CAST(CAST(sum(coalesce(duration, 0)) AS BIGINT) // 60 AS VARCHAR), ':', lpad(CAST(CAST(sum(coalesce(duration, 0)) AS BIGINT) % 60 AS VARCHAR), 2, '0')) END AS duration_str
 FROM tracks LEFT JOIN features USING (pos) GROUP BY cluster_id""")
 def chapter_summary(v: Views):
-    out = v.tracks.join(v.features, "pos", "left").groupBy("cluster_id").agg(
-        F.count("*").alias("track_count"), F.sum(F.coalesce("duration", F.lit(0.0))).alias("total_duration"), F.coalesce(F.min("rms_energy"), F.lit(0.0)).alias("energy_min"), F.coalesce(F.max("rms_energy"), F.lit(1.0)).alias("energy_max")
-    )
-    s = F.col("total_duration").cast("bigint")
-    two = lambda x: F.lpad(x.cast("string"), 2, "0")
-    long = F.concat_ws(":", F.floor(s / 3600).cast("string"), two(F.floor(s % 3600 / 60)), two(s % 60))
-    return out.withColumn("duration_str", F.when(s >= 3600, long).otherwise(X.minutes_seconds(F.col("total_duration"))))
+    return C.chapter_summary(v.tracks, v.features)
 
 
 @query("SELECT user_id AS pos, count(*) AS times_used, strftime(CAST(max(ts) AS DATE), '%Y-%m-%d') AS last_used FROM events WHERE event_type = 'purchase' GROUP BY user_id")
@@ -330,9 +320,7 @@ def seq_anchored_ramp(v: Views):
 @query(f"""WITH {KNOWN}, fresh AS (SELECT k.*, CASE WHEN h.times_used IS NULL OR h.last_used IS NULL THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - ln(h.times_used + 1) / ln(31.0::DOUBLE)) * least(1.0::DOUBLE, date_diff('day', h.last_used, DATE '{AS_OF}') / 30.0::DOUBLE) END AS f FROM known k LEFT JOIN history h USING (pos))
 SELECT cluster_id, pos, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY round(f * rms_energy, 9) DESC, pos) AS INT) AS seq FROM fresh WHERE f >= 0.1""")
 def seq_fresh(v: Views):
-    f = X.freshness("times_used", "last_used", F.lit(AS_OF).cast("date"))
-    rows = v.known.join(v.history, "pos", "left").withColumn("f", f).where("f >= 0.1")
-    return S.ordered(rows, F.round(F.col("f") * F.col("rms_energy"), 9).desc()).select("cluster_id", "pos", "seq")
+    return S.fresh(v.known, v.history, F.lit(AS_OF).cast("date")).select("cluster_id", "pos", "seq")
 
 
 _PHASE = "CASE WHEN bpm IS NULL OR bpm <= 0 THEN 'lyrical' WHEN bpm > 135 OR rms_energy > 0.75 THEN 'chaos' WHEN bpm < 85 OR rms_energy < 0.25 THEN 'stillness' WHEN bpm < 115 AND rms_energy < 0.5 THEN 'flowing' WHEN bpm >= 115 AND bpm < 135 AND rms_energy >= 0.4 AND rms_energy < 0.7 THEN 'staccato' ELSE 'lyrical' END"
@@ -352,18 +340,13 @@ def cumulative_offsets(v: Views):
 SELECT cluster_id, pos, score, CASE WHEN score IS NULL THEN 'gray' WHEN score >= 0.8 THEN 'green' WHEN score >= 0.5 THEN 'amber' ELSE 'red' END AS color FROM s""")
 def transition_scores(v: Views):
     """Mix score with the next track, and its colour."""
-    row = F.struct("bpm", "camelot_key", "rms_energy", "brightness")
-    order = Window.partitionBy("cluster_id").orderBy("pos")
-    rows = v.known.select("cluster_id", "pos", row.alias("x"), F.lead(row).over(order).alias("y"))
-    score = F.when(F.col("x.bpm").isNotNull() & F.col("y.bpm").isNotNull(), F.round(X.compatibility("x", "y"), 9))
-    return rows.select("cluster_id", "pos", score.alias("score")).withColumn("color", X.transition_color(F.col("score")))
+    return C.transitions(v.known)
 
 
 @query(f"""WITH {KNOWN}, p AS (SELECT cluster_id, pos, camelot_key AS a, lag(camelot_key) OVER (PARTITION BY cluster_id ORDER BY pos) AS b FROM known)
 SELECT cluster_id, pos, CASE WHEN a IS NULL OR b IS NULL THEN 'gray' WHEN {compatible('a', 'b')} THEN CASE WHEN left(a, length(a) - 1) = left(b, length(b) - 1) AND right(a, 1) <> right(b, 1) THEN 'amber' ELSE 'green' END ELSE 'red' END AS dot FROM p""")
 def adjacent_key_dot(v: Views):
-    order = Window.partitionBy("cluster_id").orderBy("pos")
-    return v.known.withColumn("before", F.lag("camelot_key").over(order)).select("cluster_id", "pos", X.key_dot("before", "camelot_key").alias("dot"))
+    return C.key_dots(v.known)
 
 
 _ENERGY = f"{KNOWN}, e AS (SELECT cluster_id, avg(rms_energy) AS energy, count(*) AS track_count FROM known GROUP BY cluster_id)"
