@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import attention, bpe, descent, jaccard, language, licenses, mixing, quotes, substrings, topk
+from . import attention, bpe, codes, descent, jaccard, language, licenses, mixing, quotes, substrings, suffixes, topk, whitening
 
-MODULES = (jaccard, descent, bpe, quotes, mixing, licenses, attention, language, substrings, topk)
+MODULES = (jaccard, descent, bpe, quotes, mixing, licenses, attention, language, substrings, topk, suffixes, whitening, codes)
 
 
 def queries() -> dict:
