@@ -35,7 +35,7 @@ from . import induction
 from ._common import Scratch, buckets_for, table
 from ._exchange import Outbox, exchange, first_of, grouped, last_of, pack, schema_of, unpack
 from ._text import BYTE_CODE, Run, gather, mix64, runs, span_hashes, spread, window_hashes
-from .substrings import _ranges, keyed
+from .substrings import keyed
 
 WIDTH = 50
 
@@ -49,7 +49,7 @@ SEGMENT, LONGEST, HELD = 1 << 22, 2048, 1 << 18
 IN_SHARD, HOT, HOT_SHARE = 1 << 17, 4096, 1 / (1 << 18)
 
 ANCHORS = {"key": "u8", "doc": "u4", "doc_high": "u4", "n": "u4", "done": "u1"}
-PIECES = {"key": "u8", "size": "u4", "doc": "i8", "tkey": "i8", "pos": "u4", "n": "u4"}
+PIECES = {"size": "u4", "doc": "u4", "doc_high": "u4", "tkey": "i8", "pos": "u4", "n": "u4"}
 
 
 def anchors(codes: np.ndarray, width: int, k: int) -> np.ndarray:
@@ -165,7 +165,8 @@ def _send_anchors(buckets: int, width: int):
 
 
 class Pieces:
-    """Pieces of text of a task. Of equal ones only the least document's go on, the text once."""
+    """Pieces of text of a task. Of equal ones only the least document's go on,
+    the text once; the others' windows are late, and go to their document's bucket in ranges."""
 
     def __init__(self, buckets: int, width: int):
         self.buckets, self.width = buckets, width
@@ -181,40 +182,44 @@ class Pieces:
     def close(self) -> Iterator[pa.RecordBatch]:
         if not self.held:
             return
-        x = {k: np.concatenate([f[k] for f in self.fields]).astype(t, copy=False) for k, t in PIECES.items() if k != "n"}
+        x = {k: np.concatenate([f[k] for f in self.fields]).astype(t, copy=False) for k, t in (("key", "u8"), ("size", "i8"), ("doc", "i8"), ("tkey", "i8"), ("pos", "u4"))}
         flat = np.concatenate(self.data)
+        begin = np.cumsum(x["size"]) - x["size"]
         self.fields, self.data, self.held = [], [], 0
-        same = distinct(flat, x["size"].astype(np.int64))
+        same = distinct(flat, x["size"])
         order = np.lexsort([x["doc"], same])
         first = first_of(same[order])
-        least = x["doc"][order][first]
-        x = {k: v[order] for k, v in x.items()}
-        late = x["doc"] != least
-        yield from self._packed(x, flat, order, first, late)
-
-    def _packed(self, x: dict, flat: np.ndarray, order: np.ndarray, first: np.ndarray, late: np.ndarray) -> Iterator[pa.RecordBatch]:
-        size = x["size"].astype(np.int64)
-        whole = np.empty(len(size), np.int64)
-        whole[order] = size
-        begins = (np.cumsum(whole) - whole)[order]
-        repeat = first != np.arange(len(first))
-        fields = dict(x)
-        fields["n"] = np.where(late, size - (self.width - 1), 0).astype(np.uint32)
-        fields["size"] = np.where(repeat, 0, size).astype(np.uint32)
-        spots = mix64(x["key"])
-        spots[late] = mix64(x["doc"][late].astype(np.uint64))
+        asks = x["doc"][order] == x["doc"][order][first]
+        late = _merged({c: x[c][order[~asks]] for c in ("doc", "tkey", "pos")} | {"n": x["size"][order[~asks]] - (self.width - 1)})
+        once = np.where(first == np.arange(len(first)), x["size"][order], 0)[asks]  # a piece's text goes with its first place
+        order = order[asks]
+        spots = np.concatenate([mix64(x["key"][order]), mix64(late["doc"].astype(np.uint64))])
         bucket = (spots % np.uint64(self.buckets)).astype(np.int64)
-        batch = pack(fields, bucket)
+        none = np.zeros(len(late["doc"]), np.int64)
+        doc = _split(np.concatenate([x["doc"][order], late["doc"]]))
+        both = {"size": np.concatenate([once, none]), **doc, **{c: np.concatenate([x[c][order], late[c]]) for c in ("tkey", "pos")}, "n": np.concatenate([np.zeros(len(order), np.int64), late["n"]])}
+        batch = pack({c: both[c].astype(t, copy=False) for c, t in PIECES.items()}, bucket)
         inner = np.argsort(bucket, kind="stable")
-        lengths = fields["size"][inner].astype(np.int64)
-        text = gather(flat, begins[inner], lengths)
-        ends = np.cumsum(lengths)
+        lengths = both["size"][inner]
+        text = gather(flat, np.concatenate([begin[order], none])[inner], lengths)
         tail = np.flatnonzero(np.append(bucket[inner][1:] != bucket[inner][:-1], True))
-        cuts = np.append(0, ends[tail]).astype(np.int64)
-        blob = pa.array([text[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
+        cuts = np.append(0, np.cumsum(lengths)[tail]).tolist()
+        blob = pa.array([text[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
         yield pa.RecordBatch.from_arrays([*batch.columns, blob], [*batch.schema.names, "data"])
 
 
+def _merged(x: dict) -> dict:
+    """Ranges of places, those that follow on each other as one."""
+    order = np.lexsort([x["pos"], x["tkey"], x["doc"]])
+    doc, tkey, pos, n = (x[c][order] for c in ("doc", "tkey", "pos", "n"))
+    pos = pos.astype(np.int64)
+    new = np.ones(len(pos), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (tkey[1:] != tkey[:-1]) | (pos[1:] != pos[:-1] + n[:-1])
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(pos))[: len(at)] - 1
+    return {"doc": doc[at], "tkey": tkey[at], "pos": pos[at], "n": pos[last] + n[last] - pos[at]}
+
+
 def distinct(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A number for each of the strings that lie in ``flat`` one behind the other; equal strings have one."""
     ends = np.append(0, np.cumsum(size))
@@ -257,12 +262,14 @@ def _send_pieces(buckets: int, width: int, hot):
     return work
 
 
-def _late_places(width: int, flat: np.ndarray, size: np.ndarray, key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _late_places(width: int, flat: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(piece, place) of the windows that a piece of a smaller document has, too.
 
     Pieces are distinct; ``doc`` is the least document that has each.
     """
     begin = np.cumsum(size) - size
+    s = Stretches(flat, np.append(begin, len(flat)), width, spans_of(width)[0])
+    key = s.key[np.searchsorted(s.row, np.arange(len(size)))]  # of the first window, and so of all
     group = np.unique(key, return_inverse=True)[1]
     several = np.flatnonzero(np.bincount(group)[group] > 1)
     none = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -311,39 +318,35 @@ def _shard(width: int):
     def work(rows: pa.Table) -> pa.Table:
         x = unpack(rows, PIECES)
         flat = np.frombuffer(b"".join(rows.column("data").to_pylist()), np.uint8)
+        x = {"doc": _docs(x), "size": x["size"].astype(np.int64), "tkey": x["tkey"], "pos": x["pos"].astype(np.int64), "n": x["n"].astype(np.int64)}
         over = x["n"] > 0
         late = [{c: x[c][over] for c in ("doc", "tkey", "pos", "n")}]
         if not over.all():
             asks = {c: v[~over] for c, v in x.items()}
             sent = asks["size"] > 0
-            same = distinct(flat, asks["size"][sent].astype(np.int64))
+            same = distinct(flat, asks["size"][sent])
             piece = same[np.cumsum(sent) - 1]
             _, one = np.unique(same, return_index=True)
-            size = asks["size"][sent][one].astype(np.int64)
-            begin = (np.cumsum(asks["size"][sent].astype(np.int64)) - asks["size"][sent])[one].astype(np.int64)
+            size = asks["size"][sent][one]
+            begin = (np.cumsum(asks["size"][sent]) - asks["size"][sent])[one]
             doc = np.full(len(one), np.iinfo(np.int64).max)
             np.minimum.at(doc, piece, asks["doc"])
             after = asks["doc"] > doc[piece]
-            late.append({c: asks[c][after] for c in ("doc", "tkey", "pos")} | {"n": (size[piece[after]] - (width - 1)).astype(np.uint32)})
-            which, place = _late_places(width, gather(flat, begin, size), size, asks["key"][sent][one], doc)
+            late.append({c: asks[c][after] for c in ("doc", "tkey", "pos")} | {"n": size[piece[after]] - (width - 1)})
+            which, place = _late_places(width, gather(flat, begin, size), size, doc)
             # each late window at all places of the least document's piece
             mine = np.flatnonzero(~after)
             mine = mine[np.argsort(piece[mine], kind="stable")]
             lo, hi = np.searchsorted(piece[mine], which), np.searchsorted(piece[mine], which, side="right")
             of, step = spread(hi - lo)
             at = mine[lo[of] + step]
-            late.append(_in_ranges(asks["doc"][at], asks["tkey"][at], asks["pos"][at].astype(np.int64) + place[of]))
-        out = {c: np.concatenate([p[c] for p in late]) for c in ("doc", "tkey", "pos", "n")}
+            late.append({"doc": asks["doc"][at], "tkey": asks["tkey"][at], "pos": asks["pos"][at] + place[of], "n": np.ones(len(at), np.int64)})
+        out = _merged({c: np.concatenate([p[c] for p in late]) for c in ("doc", "tkey", "pos", "n")})
         return grouped([out["doc"], out["tkey"]], out["pos"].astype(np.uint64) << np.uint64(32) | out["n"].astype(np.uint64), ["doc_id", "tkey", "starts"])
 
     return work
 
 
-def _in_ranges(doc: np.ndarray, tkey: np.ndarray, pos: np.ndarray) -> dict:
-    out = _ranges({"doc": doc, "tkey": tkey, "pos": pos.astype(np.uint32)})
-    return {c: out[c] for c in ("doc", "tkey", "pos", "n")}
-
-
 def late_windows(docs: DataFrame, scratch: Scratch, width: int = WIDTH) -> DataFrame:
     """(doc_id, tkey, starts array<binary>) for rows with windows that an earlier document has. ``docs`` has doc_id, text and tkey."""
     spark = docs.sparkSession
