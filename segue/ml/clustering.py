@@ -1,19 +1,24 @@
 """Scaling, weights, k-means with restarts, number of clusters, and refinement.
 
-A fit keeps all restarts of all cluster counts going at once: each round is one
-pass over the rows, in which every task adds up the sums of every model, and
-only these sums (models x clusters x features) meet. Seeds are drawn from a
-bounded sample. Statistics are the population's.
+Equal rows are counted first, so rows are distinct vectors with weights. A fit
+keeps all restarts of all cluster counts going at once: each round is one pass
+over the rows, in which every task adds up the sums of every model, and only
+these sums (models x clusters x features) meet. Seeds come from all rows by a
+few rounds of oversampling (k-means||): a row is drawn by its squared distance
+from what is drawn so far, and what is drawn weighs what it stands for. Draws
+are hashed from the distinct vectors, so reruns agree. Statistics are the
+population's.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segue.functions import exprs as X
@@ -33,12 +38,15 @@ TYPICAL_BPM = {"techno": 125.0, "house": 120.0, "ambient": 100.0, "dnb": 170.0,
 LEAST_FOR_PCA, LEAST_FOR_EWKM, BOOTSTRAPS, MOST_CI, VARIANCE, MOST_TURNS = 40, 80, 200, 0.3, 0.90, 100
 STRONG, WEAK = 0.5, 0.3
 
-#: Rows that seeds are drawn from, at most, and rows whose silhouette is measured where they don't fit in memory.
-SAMPLE, SILHOUETTE = 4096, 1000
+#: Rounds of drawing seeds, and draws of a round for each centre.
+SEED_ROUNDS, OVERSAMPLING = 5, 2
 
-#: Vectors that are held as one matrix, at most.
+#: Distinct vectors that are held as one matrix, at most: a pass over so few is shorter than a job.
 IN_MEMORY = 1 << 16
 
+#: Beyond memory, cells that bound the silhouette, step by step, and rows that are then measured at once.
+CELLS, REFINED = (64, 512, 4096), 2048
+
 
 def zscore(rows: DataFrame, columns: tuple[str, ...] = SPACE) -> DataFrame:
     """``z``: each column less its mean over its population deviation (1 where that is 0)."""
@@ -53,21 +61,22 @@ def weighted(rows: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 class Points:
-    """A column of vectors to pass over again and again.
+    """A column of vectors to pass over again and again, equal ones as one with a weight.
 
-    Up to ``IN_MEMORY`` rows they are held as one matrix here, for a pass over
-    so few is shorter than a job; beyond, every pass is a job over the rows.
-    Either way a pass is the same sums.
+    Up to ``IN_MEMORY`` distinct vectors they are held as one matrix here;
+    beyond, every pass is a job over the rows. Either way a pass does the same.
     """
 
     def __init__(self, rows: DataFrame, column: str):
-        self.column = column
-        self.rows = rows.select(column).persist()
-        head = self.rows.limit(IN_MEMORY + 1).toArrow().column(column).combine_chunks()
+        self.rows = rows.groupBy(F.col(column).alias("v")).agg(F.count("*").cast("double").alias("w")).persist()
+        head = self.rows.limit(IN_MEMORY + 1).toArrow().combine_chunks()
         self.local = None
         if len(head) <= IN_MEMORY:
-            width = len(head[0]) if len(head) else 0
-            self.local = head.flatten().to_numpy(zero_copy_only=False).reshape(len(head), width)
+            v = head.column("v").combine_chunks()
+            width = len(v[0]) if len(v) else 0
+            x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), width)
+            order = np.lexsort(x.T[::-1]) if width else np.arange(len(v))
+            self.local = x[order], head.column("w").to_numpy()[order]
 
     def __enter__(self) -> Points:
         return self
@@ -76,33 +85,59 @@ class Points:
         self.rows.unpersist()
 
     def sums(self, work, size: int) -> np.ndarray:
-        """The sum over tasks of ``work`` (matrix -> array of a fixed size)."""
+        """The sum over tasks of ``work`` (matrix, weights -> array of a fixed size)."""
         if self.local is not None:
-            return np.asarray(work(self.local), float) if len(self.local) else np.zeros(size)
-        column = self.column
+            return np.asarray(work(*self.local), float) if len(self.local[0]) else np.zeros(size)
 
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros(size)
             for batch in batches:
                 if len(batch):
-                    total += work(np.stack(batch[column].to_numpy()))
-            yield pd.DataFrame({"s": [total.tolist()]})
+                    total += work(np.stack(batch["v"].to_numpy()), batch["w"].to_numpy())
+            used = np.flatnonzero(total)
+            yield pd.DataFrame({"k": used.astype(np.int32), "s": total[used]})
 
-        parts = self.rows.mapInPandas(each, "s array<double>")
-        out = parts.select(F.posexplode("s").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).toPandas()
+        out = self.rows.mapInPandas(each, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).toPandas()
         found = np.zeros(size)
-        found[out.k.to_numpy()] = out.v.to_numpy()
+        found[out.k.to_numpy()] = out.s.to_numpy()
         return found
 
-    def sample(self, most: int) -> np.ndarray:
-        """At most so many of the vectors, by a hash of them."""
-        picked = self.rows.withColumn("h", F.xxhash64(F.col(self.column))).orderBy("h").limit(most).select(self.column).toArrow().column(self.column).combine_chunks()
-        return picked.flatten().to_numpy(zero_copy_only=False).reshape(len(picked), -1)
+    def first_by(self, key, models: int) -> list[np.ndarray]:
+        """For each model the row of the least key; ``key`` is (matrix, weights -> rows x models)."""
+        least = lambda x, w: [(m, float(k[at]), x[at].tolist()) for m, k in enumerate(key(x, w).T) for at in [int(k.argmin())]]
+        if self.local is not None:
+            return [np.array([v]) for _, _, v in least(*self.local)]
+
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    yield pd.DataFrame(least(np.stack(batch["v"].to_numpy()), batch["w"].to_numpy()), columns=["m", "key", "v"])
+
+        out = self.rows.mapInPandas(each, "m int, key double, v array<double>").groupBy("m").agg(F.min_by("v", "key").alias("v")).orderBy("m").collect()
+        return [np.array([r.v]) for r in out]
+
+    def drawn(self, chance, models: int) -> list[np.ndarray]:
+        """For each model the rows whose draw comes out; ``chance`` is (matrix, weights -> rows x models, true for those)."""
+        if self.local is not None:
+            x, _ = self.local
+            return [x[hit] for hit in chance(*self.local).T]
+
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    x = np.stack(batch["v"].to_numpy())
+                    at, m = np.nonzero(chance(x, batch["w"].to_numpy()))
+                    if len(at):
+                        yield pd.DataFrame({"m": m.astype(np.int32), "v": x[at].tolist()})
+
+        out = self.rows.mapInPandas(each, "m int, v array<double>").collect()
+        found = [np.array(sorted(r.v for r in out if r.m == m)) for m in range(models)]
+        return found
 
 
 def covariance(points: Points, d: int) -> tuple[int, np.ndarray, np.ndarray]:
     """(n, mean, population covariance) in one pass."""
-    s = points.sums(lambda x: np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()]), 1 + d + d * d)
+    s = points.sums(lambda x, w: np.concatenate([[w.sum()], w @ x, (x.T @ (x * w[:, None])).ravel()]), 1 + d + d * d)
     n = max(s[0], 1)
     mean = s[1 : 1 + d] / n
     return int(s[0]), mean, s[1 + d :].reshape(d, d) / n - np.outer(mean, mean)
@@ -121,26 +156,57 @@ def communalities(cov: np.ndarray, n: int, keep: int | None = None, target: floa
 def pca_weights(rows: DataFrame, column: str = "z", d: int = len(SPACE), boots: int = BOOTSTRAPS, seed: int = 42) -> tuple[np.ndarray, float]:
     """Weights and the width of their widest bootstrap interval.
 
-    The resamples are Poisson counts drawn per row from a hash of the row, so
-    all covariances come from one pass and reruns agree.
+    The resamples are Poisson counts drawn per distinct row from its hash, of a
+    mean of as many as are equal, so all covariances come from one pass, equal
+    rows are drawn each for itself, and reruns agree.
     """
     with Points(rows, column) as points:
         return _pca_weights(points, d, boots, seed)
 
 
-#: Chances that a Poisson number of mean one is at most 0, 1, 2 and so on.
-POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 18)]))
+#: Rows of a group of equal ones whose resampled numbers are drawn at once, at most.
+DRAWN_AT_ONCE = 1 << 16
+
 
+@lru_cache(maxsize=32)
+def _poisson(mean: int) -> tuple[int, np.ndarray]:
+    """(first, chances): the chance that a Poisson number is at most first, first + 1 and so on."""
+    reach = 20 + int(12 * np.sqrt(mean))
+    first = max(0, mean - reach)
+    n = np.arange(1, mean + reach + 1)
+    log = np.concatenate([[0.0], np.cumsum(np.log(mean / n))]) - mean
+    return first, np.minimum(np.cumsum(np.exp(log[first:])), 1.0)
 
-def row_draws(x: np.ndarray, boots: int, seed: int) -> np.ndarray:
-    """How often each resample takes each row, by a hash of the row: the same however rows are cut into batches."""
-    bits = np.ascontiguousarray(x, np.float64).view(np.uint64)
-    hashes = np.zeros(len(x), np.uint64)
-    for column in bits.T:
-        hashes = _scramble(hashes * np.uint64(3) + column)
-    turns = _scramble(np.arange(1, boots + 1, dtype=np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
-    u = (_scramble(hashes[None, :] ^ turns[:, None]) >> np.uint64(11)) * 2.0**-53
-    return np.searchsorted(POISSON, u, side="right").astype(float)
+
+def value_hash(x: np.ndarray) -> np.ndarray:
+    """A hash of each row's values."""
+    out = np.zeros(len(x), np.uint64)
+    for column in np.ascontiguousarray(x + 0.0, np.float64).view(np.uint64).T:
+        out = _scramble(out * np.uint64(3) + column + np.uint64(1))
+    return out
+
+
+def draws(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """A number in (0, 1) for each hash, another one for another turn."""
+    salt = _scramble(np.array([turn % (1 << 64)], np.uint64) + np.uint64(0x9E3779B97F4A7C15))[0]
+    return ((_scramble(hashes ^ salt) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def row_draws(x: np.ndarray, w: np.ndarray, boots: int, seed: int) -> np.ndarray:
+    """How often each resample takes the rows of each group of equal ones, by a hash of the row."""
+    hashes = value_hash(x)
+    out = np.zeros((boots, len(x)))
+    left, bit = w.astype(np.int64), 0
+    while left.any():  # a Poisson number is the sum of those of the binary parts of its mean
+        size = min(1 << bit, DRAWN_AT_ONCE)
+        times = np.where(left & 1, 1, 0) << max(0, bit - 16)
+        first, chances = _poisson(size)
+        for turn in range(int(times.max())):
+            some = np.flatnonzero(times > turn)
+            for b in range(boots):
+                out[b, some] += first + np.minimum(np.searchsorted(chances, draws(hashes[some], (seed << 40) + (bit << 32) + (turn << 16) + b)), len(chances) - 1)
+        left, bit = left >> 1, bit + 1
+    return out
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -154,8 +220,8 @@ def _pca_weights(points: Points, d: int, boots: int, seed: int) -> tuple[np.ndar
     weights, k = communalities(cov, n)
     size = 1 + d + d * d
 
-    def work(x: np.ndarray) -> np.ndarray:
-        counts = row_draws(x, boots, seed)
+    def work(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        counts = row_draws(x, w, boots, seed)
         outer = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
         return np.concatenate([counts.sum(axis=1, keepdims=True), counts @ x, counts @ outer], axis=1).ravel()
 
@@ -201,6 +267,13 @@ def timbre_overrides(slider: float) -> dict[str, float]:
     return {"brightness": 1.0 + 2.0 * slider} if slider > 0 else {}
 
 
+def slider_weights(rows: DataFrame, slider: Column) -> DataFrame:
+    """Each row once for every feature: ``feature`` and its ``weight``, equal ones under the row's slider for alike timbre."""
+    even = apply_overrides(np.full(len(SPACE), 1 / len(SPACE)), {})
+    cells = [F.struct(F.lit(c).alias("feature"), (F.when(slider > 0, 1.0 + 2.0 * slider).otherwise(float(w)) if c == "brightness" else F.lit(float(w))).alias("weight")) for c, w in zip(SPACE, even, strict=True)]
+    return rows.select("*", F.inline(F.array(*cells)))
+
+
 def valid_weights(weights: dict[str, float | None]) -> bool:
     """All features, none negative, in sum 1."""
     values = [weights.get(c) for c in SPACE]
@@ -213,17 +286,58 @@ class KMeans:
     inertia: float
 
 
-def seeds(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++ on a sample."""
-    chosen = [sample[rng.integers(len(sample))]]
-    gap = ((sample - chosen[0]) ** 2).sum(axis=1)
+def seeds(candidates: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ on candidates that stand for so many rows each."""
+    p = weights / weights.sum()
+    chosen = [candidates[rng.choice(len(candidates), p=p)]]
+    gap = ((candidates - chosen[0]) ** 2).sum(axis=1)
     for _ in range(1, k):
-        p = gap / gap.sum() if gap.sum() > 0 else np.full(len(sample), 1 / len(sample))
-        chosen.append(sample[rng.choice(len(sample), p=p)])
-        gap = np.minimum(gap, ((sample - chosen[-1]) ** 2).sum(axis=1))
+        heavy = gap * weights
+        chosen.append(candidates[rng.choice(len(candidates), p=heavy / heavy.sum() if heavy.sum() > 0 else p)])
+        gap = np.minimum(gap, ((candidates - chosen[-1]) ** 2).sum(axis=1))
     return np.stack(chosen)
 
 
+def _gaps(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest, squared distance) of the nearest centre, 0 where it is the row itself."""
+    gap = distances(x, centers)
+    at = gap.argmin(axis=1)
+    least = gap[np.arange(len(x)), at]
+    return at, np.where(least <= 1e-12 * ((x * x).sum(axis=1) + 1e-300), 0.0, least)
+
+
+def drawn_seeds(points: Points, ks: list[int], restarts: int, seed: int) -> list[np.ndarray]:
+    """First centres for each number of clusters and restart, from all rows."""
+    rng = np.random.default_rng(seed)
+    turn = iter(range(seed << 20, (seed << 20) + (1 << 20)))
+    firsts = [next(turn) for _ in range(restarts)]
+
+    def waiting(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        hashes = value_hash(x)
+        return np.stack([-np.log(draws(hashes, t)) / w for t in firsts], axis=1)
+
+    sets = points.first_by(waiting, restarts)
+    wanted = OVERSAMPLING * max(ks)
+    for _ in range(SEED_ROUNDS):
+        now = list(sets)
+        cost = points.sums(lambda x, w, now=now: np.array([(w * _gaps(x, c)[1]).sum() for c in now]), restarts)
+        if not cost.any():
+            break
+        turns = [next(turn) for _ in range(restarts)]
+
+        def comes(x: np.ndarray, w: np.ndarray, now=now, cost=cost, turns=turns) -> np.ndarray:
+            hashes, out = value_hash(x), []
+            for c, whole, t in zip(now, cost, turns, strict=True):
+                p = np.minimum(wanted * _gaps(x, c)[1] / whole, 1.0) if whole > 0 else np.zeros(len(x))
+                out.append(draws(hashes, t) < -np.expm1(w * np.log1p(-np.minimum(p, 1 - 1e-16))))
+            return np.stack(out, axis=1)
+
+        sets = [np.concatenate([c, new]) if len(new) else c for c, new in zip(now, points.drawn(comes, restarts), strict=True)]
+    at = np.cumsum([0, *map(len, sets)])
+    stands = points.sums(lambda x, w: np.concatenate([np.bincount(_gaps(x, c)[0], weights=w, minlength=len(c)) for c in sets]), int(at[-1]))
+    return [seeds(c, np.maximum(stands[a : a + len(c)], 1e-9), k, rng) for k in ks for c, a in zip(sets, at, strict=False)]
+
+
 def distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centers.T + (centers * centers).sum(axis=1), 0)
 
@@ -235,23 +349,21 @@ def fit(rows: DataFrame, ks: list[int], *, column: str = "x", restarts: int = 10
 
 
 def _fit(points: Points, ks: list[int], restarts: int, turns: int, seed: int) -> dict[int, KMeans]:
-    sample = points.sample(SAMPLE)
-    d = sample.shape[1]
-    rng = np.random.default_rng(seed)
-    models = [seeds(sample, k, rng) for k in ks for _ in range(restarts)]
+    models = drawn_seeds(points, ks, restarts, seed)
+    d = models[0].shape[1]
     at = np.cumsum([0, *(len(m) * (d + 1) + 1 for m in models)])
 
     for _ in range(turns):
         now = list(models)
 
-        def work(x: np.ndarray, now=now) -> np.ndarray:
+        def work(x: np.ndarray, w: np.ndarray, now=now) -> np.ndarray:
             out = []
             for centers in now:
                 gap = distances(x, centers)
                 label = gap.argmin(axis=1)
-                count = np.bincount(label, minlength=len(centers))
-                total = np.stack([np.bincount(label, weights=x[:, j], minlength=len(centers)) for j in range(x.shape[1])], axis=1)
-                out += [total.ravel(), count, [gap.min(axis=1).sum()]]
+                count = np.bincount(label, weights=w, minlength=len(centers))
+                total = np.stack([np.bincount(label, weights=w * x[:, j], minlength=len(centers)) for j in range(x.shape[1])], axis=1)
+                out += [total.ravel(), count, [(w * gap.min(axis=1)).sum()]]
             return np.concatenate(out)
 
         s = points.sums(work, int(at[-1]))
@@ -278,48 +390,175 @@ def assign(rows: DataFrame, centers: np.ndarray, column: str = "x", weights: np.
     return rows.withColumn("label", F.array_min(cells)["k"])
 
 
-def silhouettes(points: Points, models: list[np.ndarray]) -> list[float]:
-    """The mean Euclidean silhouette of the rows under each model's labels.
+def _labels(x: np.ndarray, models: list[np.ndarray]) -> np.ndarray:
+    return np.stack([distances(x, m).argmin(axis=1) for m in models], axis=1)
 
-    Distances are to all rows, whatever their number. The mean is over all rows
-    that are held in memory, else over a sample of ``SILHOUETTE`` of them, as
-    the distances of all rows to all would be a square of the library.
-    """
-    width = sum(map(len, models))
-    if not width:
-        return []
-
-    def hot(x: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.eye(len(m))[distances(x, m).argmin(axis=1)] for m in models], axis=1)
-
-    asked = points.local if points.local is not None else points.sample(SILHOUETTE)
-    if not len(asked):
-        return [-1.0] * len(models)
-    own, starts = hot(asked), np.cumsum([0, *map(len, models)])
-    counts = points.sums(lambda x: hot(x).sum(axis=0), width)
-    if points.local is None:
-        sums = points.sums(lambda x: (np.sqrt(distances(asked, x)) @ hot(x)).ravel(), len(asked) * width).reshape(len(asked), width)
-        total = _scores(sums, own > 0, counts, starts)
-    else:
-        total, step = np.zeros(len(models)), max(1, (1 << 24) // len(asked))
-        for at in range(0, len(asked), step):
-            sums = np.sqrt(distances(asked[at : at + step], asked)) @ own
-            total += _scores(sums, own[at : at + step] > 0, counts, starts)
-    several = [(counts[a:b] > 0).sum() > 1 for a, b in zip(starts[:-1], starts[1:], strict=True)]
-    return [float(t) / len(asked) if many else -1.0 for t, many in zip(total, several, strict=True)]
+
+def _hot(labels: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """One column for each cluster of each model."""
+    out = np.zeros((len(labels), int(starts[-1])))
+    for m, a in enumerate(starts[:-1]):
+        out[np.arange(len(labels)), a + labels[:, m]] = 1
+    return out
 
 
-def _scores(sums: np.ndarray, own: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Per model, the sum of the rows' silhouettes, from the sums of their distances to each cluster."""
+def _row_scores(low: np.ndarray, high: np.ndarray, own: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows x models) least and greatest silhouettes, from bounds of the sums of distances to each cluster."""
     out = []
-    for a, b in zip(starts[:-1], starts[1:], strict=True):
-        mine = own[:, a:b]
-        size = (mine * counts[a:b]).sum(axis=1)
-        inner = (sums[:, a:b] * mine).sum(axis=1) / np.maximum(size - 1, 1)
-        outer = np.where(mine | (counts[a:b] == 0), np.inf, sums[:, a:b] / np.maximum(counts[a:b], 1)).min(axis=1)
-        gap = np.where(np.isfinite(outer), (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300), 0.0)
-        out.append(np.where(size > 1, gap, 0.0).sum())
-    return np.array(out)
+    for least in (True, False):
+        mates, others = (high, low) if least else (low, high)
+        scores = []
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            mine = own[:, a:b] > 0
+            size = (mine * counts[a:b]).sum(axis=1)
+            inner = (mates[:, a:b] * mine).sum(axis=1) / np.maximum(size - 1, 1)
+            outer = np.where(mine | (counts[a:b] == 0), np.inf, others[:, a:b] / np.maximum(counts[a:b], 1)).min(axis=1)
+            top = np.maximum(np.maximum(inner, np.where(np.isfinite(outer), outer, 0)), 1e-300)
+            scores.append(np.where((size > 1) & np.isfinite(outer), (np.where(np.isfinite(outer), outer, 0) - inner) / top, 0.0))
+        out.append(np.stack(scores, axis=1))
+    return out[0], out[1]
+
+
+class Cells:
+    """A tree of cells, each cut at the mean of its widest dimension."""
+
+    def __init__(self, d: int):
+        self.d = d
+        self.dim, self.cut, self.kids = np.array([-1]), np.array([0.0]), np.array([[0, 0]])
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(x), np.int64)
+        while True:
+            open_ = np.flatnonzero(self.dim[at] >= 0)
+            if not len(open_):
+                return at
+            node = at[open_]
+            at[open_] = self.kids[node, (x[open_, self.dim[node]] > self.cut[node]).astype(int)]
+
+    def grow(self, points: Points, most: int) -> None:
+        """Cuts every cell that has different rows, until there are so many."""
+        while int((self.dim < 0).sum()) < most:
+            nodes, d = len(self.dim), self.d
+
+            def work(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+                at = self.leaf(x)
+                cells = [np.bincount(at, weights=v, minlength=nodes) for v in (w, *(w * c for c in x.T), *(w * c * c for c in x.T))]
+                return np.stack(cells, axis=1).ravel()
+
+            s = points.sums(work, nodes * (1 + 2 * d)).reshape(nodes, -1)
+            n = np.maximum(s[:, :1], 1)
+            mean = s[:, 1 : 1 + d] / n
+            wide = s[:, 1 + d :] / n - mean**2
+            split = np.flatnonzero((self.dim < 0) & (wide.max(axis=1) > 1e-12 * np.maximum((mean**2).max(axis=1), 1e-12)))
+            if not len(split):
+                return
+            self.dim[split] = wide[split].argmax(axis=1)
+            self.cut[split] = mean[split, self.dim[split]]
+            self.kids[split] = nodes + np.arange(2 * len(split)).reshape(-1, 2)
+            more = 2 * len(split)
+            self.dim, self.cut = np.append(self.dim, np.full(more, -1)), np.append(self.cut, np.zeros(more))
+            self.kids = np.concatenate([self.kids, np.zeros((more, 2), int)])
+
+
+class Bounds:
+    """Bounds of every row's silhouette from the cells of each cluster.
+
+    The mean distance of a row to a cell's rows is at least its distance to
+    their centre (distance is convex) and at most the root of its square and
+    the cell's variance (the root is concave).
+    """
+
+    def __init__(self, points: Points, models: list[np.ndarray], starts: np.ndarray, counts: np.ndarray, cells: Cells):
+        self.models, self.starts, self.counts = models, starts, counts
+        nodes, width, d = len(cells.dim), int(starts[-1]), cells.d
+
+        def work(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+            at, labels = cells.leaf(x), _labels(x, models)
+            out = np.zeros((nodes * width, 2 + d))
+            for m, a in enumerate(starts[:-1]):
+                spot = at * width + a + labels[:, m]
+                for j, v in enumerate((w, w * (x * x).sum(axis=1), *(w * c for c in x.T))):
+                    out[:, j] += np.bincount(spot, weights=v, minlength=len(out))
+            return out.ravel()
+
+        s = points.sums(work, nodes * width * (2 + d)).reshape(nodes * width, -1)
+        used = np.flatnonzero(s[:, 0] > 0)
+        self.n, self.cluster = s[used, 0], used % width
+        self.centre = s[used, 2:] / self.n[:, None]
+        self.spread = np.maximum(s[used, 1] / self.n - (self.centre**2).sum(axis=1), 0)
+
+    def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = _hot(_labels(x, self.models), self.starts)
+        by_cluster = np.zeros((len(self.n), int(self.starts[-1])))
+        by_cluster[np.arange(len(self.n)), self.cluster] = self.n
+        parts, step = [], max(1, (1 << 22) // max(len(self.n), 1))
+        for at in range(0, len(x), step):
+            gap = distances(x[at : at + step], self.centre)
+            low, high = np.sqrt(gap) @ by_cluster, np.sqrt(gap + self.spread) @ by_cluster
+            parts.append(_row_scores(low, high, own[at : at + step], self.counts, self.starts))
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def silhouettes(points: Points, models: list[np.ndarray], settled=lambda low, high: False) -> tuple[list[float], list[float]]:
+    """Bounds of the mean Euclidean silhouette of all rows under each model's labels.
+
+    In memory, they are equal. Beyond, cells bound every row's score, finer
+    ones where ``settled`` (least, greatest -> bool) says that the bounds don't
+    do; and then rows are measured against all rows, those of the widest bounds
+    first, until they do or all are measured.
+    """
+    if not models:
+        return [], []
+    starts = np.cumsum([0, *map(len, models)])
+    width = int(starts[-1])
+    counts = points.sums(lambda x, w: w @ _hot(_labels(x, models), starts), width)
+    n = counts[starts[0] : starts[1]].sum()
+    several = np.array([(counts[a:b] > 0).sum() > 1 for a, b in zip(starts[:-1], starts[1:], strict=True)])
+    mean = lambda total: np.where(several, total / max(n, 1), -1.0).tolist()
+    if n == 0:
+        return mean(np.full(len(models), -1.0)), mean(np.full(len(models), -1.0))
+    if points.local is not None:
+        x, w = points.local
+        own, total, step = _hot(_labels(x, models), starts), np.zeros(len(models)), max(1, (1 << 24) // len(x))
+        for at in range(0, len(x), step):
+            sums = np.sqrt(distances(x[at : at + step], x)) @ (own * w[:, None])
+            total += w[at : at + step] @ _row_scores(sums, sums, own[at : at + step], counts, starts)[0]
+        return mean(total), mean(total)
+    cells = Cells(models[0].shape[1])
+    for most in CELLS:
+        cells.grow(points, most)
+        bounds = Bounds(points, models, starts, counts, cells)
+        low, high = points.sums(lambda x, w: np.concatenate([w @ b for b in bounds.of(x)]), 2 * len(models)).reshape(2, -1)
+        if settled(mean(low), mean(high)):
+            return mean(low), mean(high)
+    return _refined(points, models, starts, counts, bounds, low, high, mean, settled)
+
+
+def _refined(points: Points, models, starts, counts, bounds: Bounds, low: np.ndarray, high: np.ndarray, mean, settled) -> tuple[list[float], list[float]]:
+    """Bounds after so many rows as it takes are measured against all rows."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch["v"].to_numpy())
+                least, most = bounds.of(x)
+                gap = batch["w"].to_numpy() * (most - least).max(axis=1)
+                yield pd.DataFrame({"v": batch["v"], "w": batch["w"], "low": least.tolist(), "high": most.tolist(), "gap": gap, "h": value_hash(x).view(np.int64)})
+
+    rows = points.rows.mapInPandas(each, "v array<double>, w double, low array<double>, high array<double>, gap double, h long").persist()
+    last = None
+    while not settled(mean(low), mean(high)):
+        rest = rows if last is None else rows.where((F.col("gap") < last.gap) | ((F.col("gap") == last.gap) & (F.col("h") < last.h)))
+        found = rest.orderBy(F.desc("gap"), F.desc("h")).limit(REFINED).collect()
+        if not found:
+            break
+        asked, weight, last = np.array([r.v for r in found]), np.array([r.w for r in found]), found[-1]
+        sums = points.sums(lambda x, w, asked=asked: (np.sqrt(distances(asked, x)) @ (_hot(_labels(x, models), starts) * w[:, None])).ravel(), len(asked) * int(starts[-1])).reshape(len(asked), -1)
+        exact = weight @ _row_scores(sums, sums, _hot(_labels(asked, models), starts), counts, starts)[0]
+        low = low + exact - weight @ np.array([r.low for r in found])
+        high = high + exact - weight @ np.array([r.high for r in found])
+    rows.unpersist()
+    return mean(low), mean(high)
 
 
 def constraint(n: int, duration: float, least: int, most: int, target_tracks: int | None, target_duration: float | None) -> int | None:
@@ -339,14 +578,29 @@ def choose_k(rows: DataFrame, n: int, *, column: str = "x", least: int = 2, most
         return least, {}
     with Points(rows, column) as points:
         models = _fit(points, ks, restarts, 60, 42)
-        scores = [-1.0] * (ks[0] < 2) + silhouettes(points, [models[k].centers for k in ks if k > 1])
-    drops = np.abs(np.diff([models[k].inertia for k in ks]))
-    elbow = least + int(np.argmax(drops)) if len(drops) else least
-    best = ks[int(np.argmax(scores))]
-    k = best if max(scores) >= STRONG else elbow if max(scores) < WEAK else round((best + elbow) / 2)
+        drops = np.abs(np.diff([models[k].inertia for k in ks]))
+        elbow = least + int(np.argmax(drops)) if len(drops) else least
+        single = [-1.0] * (ks[0] < 2)
+        choices = lambda low, high: _choices(ks, single + list(low), single + list(high), elbow)
+        low, high = silhouettes(points, [models[k].centers for k in ks if k > 1], lambda low, high: len(choices(low, high)) == 1)
+    k = min(choices(low, high))
     return (wanted if wanted and abs(wanted - k) <= 2 else k), models
 
 
+def _choices(ks: list[int], low: list[float], high: list[float], elbow: int) -> set[int]:
+    """The numbers of clusters that scores between these bounds may choose."""
+    top = max(low)
+    best = [ks[int(np.argmax(low))]] if low == high else [k for k, h in zip(ks, high, strict=True) if h >= top]
+    out: set[int] = set()
+    if max(high) >= STRONG:
+        out |= set(best)
+    if top < WEAK:
+        out.add(elbow)
+    if top < STRONG and max(high) >= WEAK:
+        out |= {round((k + elbow) / 2) for k in best}
+    return out
+
+
 def ewkm(rows: DataFrame, centers: np.ndarray, *, column: str = "z", gamma: float = 1.0, turns: int = MOST_TURNS, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Entropy-weighted k-means: centres and weights that the labels are made with, and the weights after them.
 
@@ -363,11 +617,11 @@ def _ewkm(points: Points, centers: np.ndarray, gamma: float, turns: int, start:
     before = centers, np.tile(start, (k, 1)) if start is not None else None
     for _ in range(turns):
 
-        def work(x: np.ndarray, centers=centers, weights=weights, before=before) -> np.ndarray:
-            nearest = lambda c, w: (w[None] * (x[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+        def work(x: np.ndarray, w: np.ndarray, centers=centers, weights=weights, before=before) -> np.ndarray:
+            nearest = lambda c, v: (v[None] * (x[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
             label = nearest(centers, weights)
             changed = len(x) if before[1] is None else (label != nearest(*before)).sum()
-            hot = np.eye(k)[label]
+            hot = np.eye(k)[label] * w[:, None]
             return np.concatenate([[changed], hot.sum(axis=0), (hot.T @ x).ravel(), (hot.T @ (x * x)).ravel()])
 
         s = points.sums(work, 1 + k + 2 * k * d)

@@ -80,11 +80,11 @@ def cluster_dedup(v: Views):
     return v.known.join(near, "pos").where("home = cluster_id").select("cluster_id", "pos")
 
 
-@query("SELECT feature, CASE WHEN feature = 'brightness' THEN 1.5::DOUBLE ELSE 0.125::DOUBLE END AS weight FROM (SELECT unnest(['bpm', 'rms_energy', 'brightness', 'sub_bass_energy', 'kick_energy', 'bass_harmonics', 'percussiveness', 'onset_strength']) AS feature)")
+@query(f"WITH {KNOWN}, sliders AS (SELECT cluster_id, round(avg(brightness), 6) AS slider FROM known GROUP BY cluster_id) SELECT cluster_id, feature, CASE WHEN feature = 'brightness' AND slider > 0 THEN 1.0 + 2.0 * slider ELSE 0.125::DOUBLE END AS weight FROM sliders, (SELECT unnest(['bpm', 'rms_energy', 'brightness', 'sub_bass_energy', 'kick_energy', 'bass_harmonics', 'percussiveness', 'onset_strength']) AS feature)")
 def timbre_weights(v: Views):
-    """Equal weights under the timbre slider at a quarter."""
-    weights = M.apply_overrides(M.np.full(len(M.SPACE), 1 / len(M.SPACE)), M.timbre_overrides(0.25))
-    return v.spark.createDataFrame([(c, float(w)) for c, w in zip(M.SPACE, weights, strict=True)], "feature string, weight double")
+    """Equal weights under a timbre slider that stands where each cluster's mean brightness does."""
+    sliders = v.known.groupBy("cluster_id").agg(F.round(F.avg("brightness"), 6).alias("slider"))
+    return M.slider_weights(sliders, F.col("slider")).select("cluster_id", "feature", "weight")
 
 
 # -- clusterings whose right answer is planted: three blobs of tracks, told by the position
@@ -144,6 +144,39 @@ def bpm_kmeans_planted(v: Views):
     return _led(M.assign(rows, M.fit(rows, [3], restarts=3)[3].centers).withColumn("cluster_id", F.col("label").cast("string")))
 
 
+@query("SELECT pos, min(pos) OVER (PARTITION BY pos % 3) AS leader FROM tracks WHERE bpm IS NOT NULL")
+def bpm_kmeans_repeated(v: Views):
+    """Three tempi, each of a third of all tracks: seeds see rows, not values that happen to come first."""
+    tempo = (F.col("pos") % 3 * 10 + 118).cast("double")
+    rows = M.zscore(v.tracks.where("bpm IS NOT NULL").select("pos", tempo.alias("bpm")), ("bpm",)).withColumn("x", F.col("z"))
+    return _led(M.assign(rows, M.fit(rows, [3], restarts=3)[3].centers).withColumn("cluster_id", F.col("label").cast("string")))
+
+
+def _one_feature(v: Views, useful: str):
+    """Tracks that one feature alone parts, among noise of the others."""
+    p = F.col("pos")
+    noise = {c: F.pmod(F.xxhash64(p, F.lit(j)), F.lit(1000)) / 1000.0 for j, c in enumerate(X.FEATURES)}
+    tempo = F.when(F.col("bpm").isNotNull(), 120 + F.pmod(F.xxhash64(p, F.lit(99)), F.lit(100)) / 100.0)
+    return v.known.withColumns({**noise, useful: p % 2 * 0.8 + F.pmod(F.xxhash64(p, F.lit(7)), F.lit(100)) / 1000.0, "bpm": tempo})
+
+
+@query(f"WITH {KNOWN} SELECT pos, min(pos) OVER (PARTITION BY pos % 2) AS leader FROM known WHERE bpm IS NOT NULL")
+def weights_decide_planted(v: Views):
+    """Weights that stand on the one useful feature part the tracks by it; equal ones would follow the noise."""
+    light = {c: 0.001 for c in M.SPACE}
+    return _led(M.cluster(_one_feature(v, "kick_energy"), k=2, restarts=3, overrides={**light, "kick_energy": 5.0}, use_ewkm=False).labelled)
+
+
+@query(f"WITH {KNOWN} SELECT pos, min(pos) OVER (PARTITION BY pos % 2) AS leader FROM known WHERE bpm IS NOT NULL")
+def ewkm_relabels_planted(v: Views):
+    """Refinement from labels that are a third wrong: weights move to the useful feature, and the labels with them."""
+    rows = M.zscore(_one_feature(v, "brightness").where("bpm IS NOT NULL").select("pos", *M.SPACE))
+    given = rows.withColumn("g", F.when(F.col("pos") % 3 == 0, 1 - F.col("pos") % 2).otherwise(F.col("pos") % 2))
+    first = given.groupBy("g").agg(*[F.avg(F.get("z", F.lit(j))).alias(f"m{j}") for j in range(len(M.SPACE))]).orderBy("g").collect()
+    centers, used, _ = M.ewkm(rows, M.np.array([[r[f"m{j}"] for j in range(len(M.SPACE))] for r in first]))
+    return _led(M.assign(rows, centers, "z", used).withColumn("cluster_id", F.col("label").cast("string")))
+
+
 @query()
 def pca_weights(v: Views):
     weights, width = M.pca_weights(_zs(v))

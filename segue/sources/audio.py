@@ -1,7 +1,7 @@
-"""Audio features from WAV files: a source of feature rows.
+"""Audio features from WAV and FLAC files: a source of feature rows.
 
 Files are read by Spark as binary rows and analysed in their tasks with numpy;
-a file that can't be read gives a row with its error. Features have the ranges
+a file that can't be read, and one of another kind, gives a row with its error. Features have the ranges
 of the feature table; filters and transforms are plain textbook ones, so values
 are close to, not equal with, those of other audio libraries.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segue.functions import exprs as X
+from segue.sources import flac
 
 RATE, WINDOW, HOP, SECONDS = 22050, 2048, 512, 300
 NAMES = (
@@ -27,8 +28,12 @@ NAMES = (
 SCHEMA = "path string, file_hash string, " + ", ".join(f"{n} double" for n in NAMES) + ", camelot_key string, error string"
 
 
+#: What a file that can't be read raises.
+UNREADABLE = (wave.Error, EOFError, ValueError)
+
+
 def read_wav(content: bytes) -> np.ndarray:
-    """Mono samples at RATE, of the first SECONDS."""
+    """Mono samples at RATE, of the first SECONDS of a WAV file."""
     with wave.open(io.BytesIO(content)) as f:
         rate, width, channels = f.getframerate(), f.getsampwidth(), f.getnchannels()
         raw = f.readframes(min(f.getnframes(), rate * SECONDS))
@@ -39,7 +44,17 @@ def read_wav(content: bytes) -> np.ndarray:
         y = (((b[:, 2] << 24) | (b[:, 1] << 16) | (b[:, 0] << 8)) >> 8) / float(1 << 23)
     else:
         y = np.frombuffer(raw, f"<i{width}") / float(1 << (8 * width - 1))
-    y = y.reshape(-1, channels).mean(axis=1)
+    return _mono(y.reshape(-1, channels), rate)
+
+
+def read_flac(content: bytes) -> np.ndarray:
+    """Mono samples at RATE, of the first SECONDS of a FLAC file."""
+    y, about = flac.decode(content, SECONDS)
+    return _mono(y / float(1 << (about.bits - 1)), about.rate)
+
+
+def _mono(y: np.ndarray, rate: int) -> np.ndarray:
+    y = y.mean(axis=1) if len(y) else np.empty(0)
     if not len(y):
         raise ValueError("no samples")
     if rate != RATE:
@@ -48,6 +63,15 @@ def read_wav(content: bytes) -> np.ndarray:
     return y
 
 
+def read_samples(content: bytes) -> np.ndarray:
+    """Mono samples at RATE of a file, told by its first bytes."""
+    if content[:4] == b"RIFF":
+        return read_wav(content)
+    if content[:4] == b"fLaC":
+        return read_flac(content)
+    raise ValueError("no decoder for this kind of file")
+
+
 def frames_of(y: np.ndarray) -> np.ndarray:
     padded = np.pad(y, WINDOW // 2)
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::HOP]
@@ -150,8 +174,8 @@ def _analyse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, file_hash, content in zip(batch.path, batch.file_hash, batch.content, strict=True):
             row = {"path": path, "file_hash": file_hash, "error": None}
             try:
-                row |= analyse(read_wav(bytes(content)))
-            except (wave.Error, EOFError, ValueError) as problem:
+                row |= analyse(read_samples(bytes(content)))
+            except UNREADABLE as problem:
                 row["error"] = f"{type(problem).__name__}: {problem}"
             rows.append(row)
         yield pd.DataFrame(rows, columns=["path", "file_hash", *NAMES, "camelot_key", "error"]).astype({c: object for c in ("path", "file_hash", "camelot_key", "error")})
@@ -162,25 +186,25 @@ def _tempo_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for path, content in zip(batch.path, batch.content, strict=True):
             try:
-                rows.append((path, tempo(read_wav(bytes(content)))))
-            except (wave.Error, EOFError, ValueError):
+                rows.append((path, tempo(read_samples(bytes(content)))))
+            except UNREADABLE:
                 rows.append((path, None))
         yield pd.DataFrame(rows, columns=["path", "bpm"]).astype({"path": object, "bpm": "Float64"})
 
 
 def tempos(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, bpm): the estimated tempo of the WAV files below a folder; null where there is none or no sound."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(X.suffix("path") == ".wav")
+    """(path, bpm): the estimated tempo of the audio files below a folder; null where there is none, no sound, or no decoder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(X.suffix("path").isin(*X.AUDIO_EXTENSIONS))
     return files.select("path", "content").mapInPandas(_tempo_files, "path string, bpm double")
 
 
 def features(spark: SparkSession, folder: str, cache: DataFrame | None = None) -> DataFrame:
-    """Feature rows of the WAV files below a folder, one per path.
+    """Feature rows of the audio files below a folder, one per path; what can't be decoded has nulls and the error.
 
     ``cache`` has rows of earlier runs by file_hash (MD5 of the first MiB);
     files that it has are not analysed again.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(X.suffix("path") == ".wav")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(X.suffix("path").isin(*X.AUDIO_EXTENSIONS))
     files = files.select("path", F.md5(F.substring("content", 1, 1 << 20)).alias("file_hash"), "content")
     if cache is None:
         return files.mapInPandas(_analyse_files, SCHEMA)

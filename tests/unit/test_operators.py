@@ -257,8 +257,9 @@ def test_harmonic_pairs_cover_all_tracks(spark, monkeypatch):
 
 def test_row_draws_are_the_rows_own():
     x = np.random.default_rng(0).normal(size=(5000, 3))
-    whole = M.row_draws(x, 20, 1)
-    assert np.array_equal(whole, np.concatenate([M.row_draws(x[:77], 20, 1), M.row_draws(x[77:], 20, 1)], axis=1))
+    one = np.ones(5000)
+    whole = M.row_draws(x, one, 20, 1)
+    assert np.array_equal(whole, np.concatenate([M.row_draws(x[:77], one[:77], 20, 1), M.row_draws(x[77:], one[77:], 20, 1)], axis=1))
     assert abs(whole.mean() - 1) < 0.02 and abs(whole.var() - 1) < 0.05 and abs(np.corrcoef(whole[0], whole[1])[0, 1]) < 0.05
 
 

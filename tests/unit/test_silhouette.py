@@ -1,6 +1,7 @@
-"""The silhouette against its definition, on rows in memory and out of it."""
+"""The silhouette against its definition, in memory and out of it; seeds and draws of repeated rows."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from segue.ml import clustering as M
 
@@ -21,12 +22,68 @@ def by_hand(x, labels):
 def test_silhouettes(spark, monkeypatch):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(0, 1, (60, 3)), rng.normal(4, 1, (40, 3)), [[50.0, 50.0, 50.0]]])
+    x = np.concatenate([x, x[:10], x[:5]])
     models = [np.array([[0.0] * 3, [4.0] * 3, [50.0] * 3]), np.array([[0.0] * 3, [9.0] * 3]), np.array([[1.0] * 3, [500.0] * 3, [600.0] * 3])]
     rows = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>")
     want = [by_hand(x, M.distances(x, m).argmin(axis=1)) for m in models[:2]] + [-1.0]
     with M.Points(rows, "x") as points:
-        assert np.allclose(M.silhouettes(points, models), want, atol=1e-6)
+        low, high = M.silhouettes(points, models)
+        assert low == high and np.allclose(low, want, atol=1e-6)
     monkeypatch.setattr(M, "IN_MEMORY", 10)
+    monkeypatch.setattr(M, "CELLS", (4, 16))
+    monkeypatch.setattr(M, "REFINED", 30)
     with M.Points(rows, "x") as points:
         assert points.local is None
-        assert np.allclose(M.silhouettes(points, models), want, atol=1e-6)
+        for asks in range(1, 9):  # bounds narrow with every step, down to the scores themselves
+            asked = []
+            low, high = M.silhouettes(points, models, lambda low, high, asked=asked, asks=asks: asked.append(1) or len(asked) >= asks)
+            assert all(a <= w + 1e-9 and w <= b + 1e-9 for a, b, w in zip(low, high, want, strict=True))
+        assert np.allclose(low, want, atol=1e-6) and np.allclose(high, want, atol=1e-6)
+
+
+def test_number_of_clusters_beyond_memory_is_that_of_all_rows(spark, monkeypatch):
+    """Three blobs, none, and two that touch: the choice is that of all rows against all."""
+    rng = np.random.default_rng(3)
+    spots = [rng.normal(0, 1, (1500, 2)) + np.repeat([[0, 0], [9, 0], [0, 9]], 500, axis=0), rng.uniform(0, 1, (1200, 2)), rng.normal(0, 1, (1500, 2)) + np.repeat([[0, 0], [3.2, 0], [0, 9.0]], 500, axis=0)]
+    for x in spots:
+        rows = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").repartition(3).persist()
+        monkeypatch.setattr(M, "IN_MEMORY", 1 << 16)
+        near, _ = M.choose_k(rows, len(x), most=5, restarts=2)
+        monkeypatch.setattr(M, "IN_MEMORY", 100)
+        far, models = M.choose_k(rows, len(x), most=5, restarts=2)
+        assert near == far and len(models) == 4
+
+
+def test_seeds_of_repeated_rows(spark, monkeypatch):
+    """Three values of 6,000 rows each, whatever is held in memory."""
+    rows = spark.range(18_000).select(F.array((F.col("id") % 3 * 10).cast("double")).alias("x"))
+    for held in (1 << 16, 2):
+        monkeypatch.setattr(M, "IN_MEMORY", held)
+        model = M.fit(rows, [3], restarts=3)[3]
+        assert sorted(model.centers.ravel().tolist()) == [0, 10, 20] and model.inertia < 1e-6
+
+
+def test_a_million_rows_of_fifty_values(spark):
+    value = F.col("id") % 50
+    rows = spark.range(1_000_000).select(F.array((value % 5 * 100 + value / 50).cast("double"), (value % 2 * 0.1).cast("double")).alias("x"))
+    model = M.fit(rows, [5], restarts=2)[5]
+    assert sorted(round(c / 100) for c in model.centers[:, 0]) == [0, 1, 2, 3, 4]
+    assert model.inertia < 1_000_000
+
+
+def test_fewer_values_than_clusters(spark):
+    rows = spark.createDataFrame([([1.0],), ([1.0],), ([2.0],)], "x array<double>")
+    assert sorted(set(M.fit(rows, [3], restarts=1)[3].centers.ravel().tolist())) == [1.0, 2.0]
+
+
+def test_equal_rows_are_drawn_each_for_itself(spark):
+    """Draws of a group of equal rows vary as so many rows' draws do."""
+    x = np.arange(3.0)[:, None]
+    w = np.array([1, 900, 200_000])
+    counts = M.row_draws(x, w, 2000, 5)
+    assert np.allclose(counts.mean(axis=0), w, rtol=0.05)
+    assert np.allclose(counts.var(axis=0), w, rtol=0.12)
+    rng = np.random.default_rng(0)
+    base = rng.normal(0, 1, (50, len(M.SPACE))) @ rng.normal(0, 1, (len(M.SPACE),) * 2)
+    widths = [M.pca_weights(spark.createDataFrame([(r.tolist(),) for r in np.repeat(base, n, axis=0)], "z array<double>"), boots=60)[1] for n in (1, 40)]
+    assert widths[1] < widths[0] / 3
