@@ -84,6 +84,23 @@ class Stretches:
         self.n = np.diff(np.append(first, len(key)))
 
 
+def stretches_of(flat: np.ndarray, size: np.ndarray, width: int, k: int, at_once: int = 1 << 19) -> Stretches:
+    """The stretches of texts that lie one behind the other, found some texts at a time."""
+    ends = np.cumsum(size)
+    parts, a = [], 0
+    while a < len(size):
+        begin = int(ends[a] - size[a])
+        b = max(a + 1, int(np.searchsorted(ends, begin + at_once, side="right")))
+        s = Stretches(flat[begin : int(ends[b - 1])], np.append(0, ends[a:b] - begin), width, k)
+        s.row, s.at, s.codes = s.row + a, s.at + begin, None
+        parts.append(s)
+        a = b
+    whole = parts[0]
+    for name in ("key", "row", "pos", "at", "n"):
+        setattr(whole, name, np.concatenate([getattr(s, name) for s in parts]))
+    return whole
+
+
 def segments(run: Run, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(place in the text, bytes, offsets): the run itself, or parts of a long text that overlap by a window less one."""
     if run.rows > 1 or len(run.data) <= SEGMENT + width:
@@ -164,6 +181,26 @@ def _send_anchors(buckets: int, width: int):
     return work
 
 
+def cut_out(flat: np.ndarray, first: np.ndarray, lengths: np.ndarray, at_once: int = 1 << 14) -> np.ndarray:
+    """The concatenation of flat[first:first + length], some at a time, so that places take little memory."""
+    out = np.empty(int(lengths.sum()), flat.dtype)
+    at = 0
+    for k in range(0, len(first), at_once):
+        part = gather(flat, first[k : k + at_once], lengths[k : k + at_once])
+        out[at : at + len(part)] = part
+        at += len(part)
+    return out
+
+
+def packed(data: bytes) -> bytes:
+    """Text of many pieces in little room: its length, then its bytes by Zstandard."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 class Pieces:
     """Pieces of text of a task. Of equal ones only the least document's go on,
     the text once; the others' windows are late, and go to their document's bucket in ranges."""
@@ -201,10 +238,10 @@ class Pieces:
         batch = pack({c: both[c].astype(t, copy=False) for c, t in PIECES.items()}, bucket)
         inner = np.argsort(bucket, kind="stable")
         lengths = both["size"][inner]
-        text = gather(flat, np.concatenate([begin[order], none])[inner], lengths)
+        text = cut_out(flat, np.concatenate([begin[order], none])[inner], lengths)
         tail = np.flatnonzero(np.append(bucket[inner][1:] != bucket[inner][:-1], True))
         cuts = np.append(0, np.cumsum(lengths)[tail]).tolist()
-        blob = pa.array([text[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+        blob = pa.array([packed(text[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
         yield pa.RecordBatch.from_arrays([*batch.columns, blob], [*batch.schema.names, "data"])
 
 
@@ -268,15 +305,18 @@ def _late_places(width: int, flat: np.ndarray, size: np.ndarray, doc: np.ndarray
     Pieces are distinct; ``doc`` is the least document that has each.
     """
     begin = np.cumsum(size) - size
-    s = Stretches(flat, np.append(begin, len(flat)), width, spans_of(width)[0])
-    key = s.key[np.searchsorted(s.row, np.arange(len(size)))]  # of the first window, and so of all
+    key = np.empty(len(size), np.uint64)  # of a piece's first window, and so of all
+    for k in range(0, len(size), 1 << 14):
+        part = slice(k, k + (1 << 14))
+        s = Stretches(cut_out(flat, begin[part], np.full(len(size[part]), width)), width * np.arange(len(size[part]) + 1), width, spans_of(width)[0])
+        key[part] = s.key
     group = np.unique(key, return_inverse=True)[1]
     several = np.flatnonzero(np.bincount(group)[group] > 1)
     none = np.empty(0, np.int64), np.empty(0, np.int64)
     if not len(several):
         return none
-    text = gather(flat, begin[several], size[several])
-    s = Stretches(text, np.append(0, np.cumsum(size[several])), width, spans_of(width)[1])
+    text = cut_out(flat, begin[several], size[several])
+    s = stretches_of(text, size[several], width, spans_of(width)[1])
     order = np.lexsort([doc[several[s.row]], s.key])
     holder = doc[several[s.row[order]]]
     shared = np.zeros(len(s.key), bool)
@@ -295,9 +335,12 @@ def _late_places(width: int, flat: np.ndarray, size: np.ndarray, doc: np.ndarray
     ends = np.cumsum(lengths + 1)
     symbols = np.ones(int(ends[-1]) + 1, np.int32)
     symbols[-1] = 0
-    of, step = spread(lengths)
     first = ends - lengths - 1
-    symbols[first[of] + step] = text[at[of] + step].astype(np.int32) + 2
+    del s, order, holder, shared
+    for k in range(0, len(lengths), 1 << 14):
+        of, step = spread(lengths[k : k + (1 << 14)])
+        of += k
+        symbols[first[of] + step] = text[at[of] + step].astype(np.int32) + 2
     with tempfile.TemporaryDirectory() as folder:
         order, lcp = induction.suffix_array(symbols, folder)
         piece = np.searchsorted(ends, order, side="right").astype(np.int32)
@@ -317,7 +360,7 @@ def _shard(width: int):
 
     def work(rows: pa.Table) -> pa.Table:
         x = unpack(rows, PIECES)
-        flat = np.frombuffer(b"".join(rows.column("data").to_pylist()), np.uint8)
+        flat = np.frombuffer(b"".join(unpacked(d) for d in rows.column("data").to_pylist()), np.uint8)
         x = {"doc": _docs(x), "size": x["size"].astype(np.int64), "tkey": x["tkey"], "pos": x["pos"].astype(np.int64), "n": x["n"].astype(np.int64)}
         over = x["n"] > 0
         late = [{c: x[c][over] for c in ("doc", "tkey", "pos", "n")}]
@@ -333,7 +376,7 @@ def _shard(width: int):
             np.minimum.at(doc, piece, asks["doc"])
             after = asks["doc"] > doc[piece]
             late.append({c: asks[c][after] for c in ("doc", "tkey", "pos")} | {"n": size[piece[after]] - (width - 1)})
-            which, place = _late_places(width, gather(flat, begin, size), size, doc)
+            which, place = _late_places(width, cut_out(flat, begin, size), size, doc)
             # each late window at all places of the least document's piece
             mine = np.flatnonzero(~after)
             mine = mine[np.argsort(piece[mine], kind="stable")]
