@@ -13,13 +13,13 @@ comparison joins stays joined outside the lists (its bridges), so full lists
 part no component. An
 audit compares a bounded sample of nodes with all rows. Its recall is a mean over
 nodes, taken for nodes of few links and for others each; while either is under
-the goal, or unseen, new hyperplanes are added, and at last whole labels are
-compared in tiles where it is under the goal still.
+the goal, new hyperplanes are added, and at last whole labels are compared in
+tiles where it is under the goal still. Where no audited node has a few links,
+recall can't be seen, and whole labels are compared at once.
 """
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -309,15 +309,13 @@ def near_copies(vectors: DataFrame, *, id_col: str = "vec_id", label_col: str =
         counted = scratch.keep(counted.union(members.where("settled").select("nid", F.col("all") - F.col("mult"))))
         share = F.least("true", F.coalesce("links", F.lit(0))) / F.col("true")
         recall = {r.few: r.recall for r in truth.join(counted, "nid", "left").groupBy("few").agg(F.avg(share).alias("recall")).collect()}
-        if all(x >= GOAL for x in recall.values()) and not unseen:
+        if unseen or all(x >= GOAL for x in recall.values()):
             break
-    if any(x < GOAL for x in recall.values()):  # the exact way: all pairs of a label
+    if unseen or any(x < GOAL for x in recall.values()):  # the exact way: all pairs of a label
         pairs = _in_tiles(nodes.select("grp", "nid", "x", "mult"), "grp")
         roots = scratch.keep(components(scratch.keep(pairs.groupBy("grp", "lo", "hi").applyInArrow(_tile_joins(threshold), "u long, v long").distinct()), scratch))
         counted = pairs.groupBy("grp", "lo", "hi").applyInArrow(_tile(threshold), "nid long, links long").groupBy("nid").agg(F.sum("links").alias("links"))
         counted = scratch.keep(counted)
-    elif unseen:
-        warnings.warn(f"none of {MORE * AUDIT} audited vectors has a few near copies, so recall could not be measured", stacklevel=2)
 
     named = nodes.join(roots.withColumnRenamed("node", "nid"), "nid", "left").join(counted, "nid", "left")
     named = named.select("grp", "x", "least", F.coalesce("root", "nid").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))

@@ -8,11 +8,14 @@ their ends. Coverage is the share of the notice's words that are aligned.
 
 A stretch is a number of words in a row, from a word of the notice to another;
 ``WIDER`` says how much longer than the notice the widest may be, for words put
-in. Every place of the text where a notice word stands ends such a stretch, one
-of each width. No stretch is aligned that cannot reach the least coverage: the
-words that it and the notice have in common, counted, bound it from above, and
-the counts are slid over the text. So a notice that is repeated, or has some
-words elsewhere in the text, is found as well.
+in. All stretches of a text count, wherever they begin and end, and the best of
+them is what the notice covers; but only those are aligned that could be better
+than the best so far. The words that a stretch and the notice have in common,
+counted, bound it from above: ends are taken in the order of that bound. So does
+the longest common subsequence, which one pass of bit operations from an end to
+the left gives for all beginnings. So a notice that is repeated, or whose words
+stand before it too, is found as well, and a text of nothing but notices takes
+little time.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +34,8 @@ from ._text import BYTE_CODE, Run, runs, span_hashes
 
 LEAST = 0.75
 
-#: Most words of a stretch, by the notice's words: a quarter more, and as many again.
-WIDER = (1.25, 2.0)
+#: Most words of a stretch, by the notice's words: as many again.
+WIDER = 2.0
 
 PLAIN = np.full(256, 32, np.uint8)
 PLAIN[48:58] = np.arange(48, 58)
@@ -117,28 +121,52 @@ def plain_words(run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return (span_hashes(BYTE_CODE[data], starts, ends) if len(starts) else np.empty(0, np.uint64)), first, starts, ends
 
 
-def full_stretches(words: list[int], hits: list[int], have: list[int], width: int, need: float) -> list[tuple[int, int]]:
-    """Stretches of ``width`` words at most, from one notice word to another, that hold ``need`` of the notice's words.
+def widest(n: int) -> int:
+    """Most words of the stretches for a notice of n words."""
+    return int(n * WIDER) + 2
+
 
-    ``hits`` are the notice's words in the text; ``have`` is how often each is in the notice.
+def common_counts(words: list[int], hits: list[int], have: list[int], width: int) -> list[tuple[int, int, int]]:
+    """(words in common, first, last) of the widest stretch at each end, as indexes of ``hits``.
+
+    ``hits`` are the places of the notice's words in the text; ``have`` is how often each is in the notice.
     """
     seen, total, a, out = Counter(), 0, 0, []
-    for i in hits:
-        seen[words[i]] += 1
-        total += seen[words[i]] <= have[words[i]]
-        while hits[a] <= i - width:
+    for i, place in enumerate(hits):
+        seen[words[place]] += 1
+        total += seen[words[place]] <= have[words[place]]
+        while hits[a] <= place - width:
             w = words[hits[a]]
             total -= seen[w] <= have[w]
             seen[w] -= 1
             a += 1
-        if total >= need:
-            out.append((hits[a], i + 1))
+        out.append((total, a, i))
     return out
 
 
-def widths(n: int) -> list[int]:
-    """Most words of the stretches for a notice of n words."""
-    return [int(n * x) + 2 for x in WIDER]
+def best_stretch(words: list[int], notice: list[int], hits: list[int], have: list[int], least: int) -> tuple[int, int, int] | None:
+    """(words aligned, first, last place) of the best of all stretches, or None where none aligns ``least`` words."""
+    n, best, found = len(notice), least - 1, None
+    full, masks = (1 << n) - 1, {}
+    for j, w in enumerate(notice):
+        masks[w] = masks.get(w, 0) | 1 << (n - 1 - j)
+    ends = [x for x in common_counts(words, hits, have, widest(n)) if x[0] > best]
+    for total, a, i in sorted(ends, key=lambda x: (-x[0], x[2])):
+        if total <= best:
+            break
+        row, common = full, []  # of the notice and the stretch from each beginning, from the end to the left
+        for x in range(i, a - 1, -1):
+            same = row & masks[words[hits[x]]]
+            row = ((row + same) | (row - same)) & full
+            common.append(n - row.bit_count())
+        for x in range(a, i + 1):
+            if common[i - x] <= best:
+                break
+            lo = hits[x]
+            pairs = patience(words[lo : hits[i] + 1], notice)
+            if len(pairs) > best:
+                best, found = len(pairs), (len(pairs), lo + pairs[0][0], lo + pairs[-1][0])
+    return found
 
 
 def found_notices(words: list[int], t: Templates, which: list[int], least: float) -> list[tuple]:
@@ -152,17 +180,12 @@ def found_notices(words: list[int], t: Templates, which: list[int], least: float
             at.setdefault(w, []).append(i)
     out = []
     for k in which:
-        notice, best = t.words[k], None
+        notice = t.words[k]
         n = len(notice)
         hits = sorted(i for w in set(notice) for i in at.get(w, ()))
-        stretches = {x for width in widths(n) for x in full_stretches(words, hits, t.counts[k].tolist(), width, least * n)}
-        for lo, hi in sorted(stretches):
-            pairs = patience(words[lo:hi], notice)
-            if len(pairs) >= least * n:
-                found = (len(pairs) / n, len(pairs), -k, lo + pairs[0][0], lo + pairs[-1][0])
-                best = max(best, found) if best else found
+        best = best_stretch(words, notice, hits, t.counts[k].tolist(), max(1, ceil(least * n - 1e-9)))
         if best:
-            out.append(best)
+            out.append((best[0] / n, best[0], -k, best[1], best[2]))
     return sorted(out, reverse=True)
 
 
@@ -202,7 +225,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", not
     licenses names all notices that reach ``least`` somewhere in the text, the
     best first; none where none does. The other columns tell of the notice with the highest coverage, of equals the longest, then the first
     by order; all null where none reaches ``least``, as for null and empty
-    texts. Whole texts are scanned; rows are scanned each for themselves, so
+    texts. Of equally good stretches of a notice one is told, the same on every
+    run. Whole texts are scanned; rows are scanned each for themselves, so
     repeated rows come out as often as they came in. Other columns aren't read.
     """
     schema = "doc_id long, license string, coverage double, n_aligned long, first_word long, last_word long, found_text string, licenses array<string>"

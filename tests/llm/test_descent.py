@@ -84,3 +84,17 @@ def test_a_hot_group_hides_no_lost_pairs(spark, monkeypatch):
         centre = rng.normal(size=24)
         rows += [(len(rows) + k, 1, (centre + rng.normal(0, 0.16, 24)).tolist()) for k in range(2)]
     assert run(spark, rows) == by_hand(rows)
+
+
+def test_recall_that_cannot_be_seen_goes_the_exact_way(spark, monkeypatch):
+    """Two near copies among many vectors, none of which is audited, and lists that would miss them."""
+    monkeypatch.setattr(descent, "AUDIT", 2)
+    monkeypatch.setattr(descent, "MORE", 2)
+    monkeypatch.setattr(descent, "_codes", lambda turn: lambda batches: iter(()))
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 12))
+    x[200] = x[10] + 0.05 * rng.normal(size=12)
+    rows = [(k, k % 2, e) for k, e in enumerate(x.tolist())]
+    want = by_hand(rows)
+    assert want[200][2] == 10
+    assert run(spark, rows) == want
