@@ -35,20 +35,22 @@ from . import induction
 from ._common import Scratch, buckets_for, table
 from ._exchange import Outbox, exchange, first_of, grouped, last_of, pack, schema_of, unpack
 from ._text import BYTE_CODE, Run, gather, mix64, runs, span_hashes, spread, window_hashes
-from .substrings import keyed
 
 WIDTH = 50
 
 #: Bytes of a first and a second anchor, for windows of 50.
 ANCHOR, SECOND = 16, 32
 
+#: Bits of an anchor that are kept: two of a bucket that agree in them are taken for one, and the bytes tell.
+KEY = np.uint64((1 << 48) - 1)
+
 #: Bytes of a text that are looked at at once; windows of a piece; pieces held in a task.
 SEGMENT, LONGEST, HELD = 1 << 22, 2048, 1 << 18
 
 #: Pieces of a shard, on average; an anchor is hot with so many holders, and this share of all.
 IN_SHARD, HOT, HOT_SHARE = 1 << 17, 4096, 1 / (1 << 18)
 
-ANCHORS = {"key": "u8", "doc": "u4", "doc_high": "u4", "n": "u4", "done": "u1"}
+ANCHORS = {"key": "u4", "key_high": "u2", "doc": "u4", "doc_high": "u4", "n": "u4", "done": "u1"}
 PIECES = {"size": "u4", "doc": "u4", "doc_high": "u4", "tkey": "i8", "pos": "u4", "n": "u4"}
 
 
@@ -76,7 +78,7 @@ class Stretches:
         self.codes = BYTE_CODE[data]
         row, pos = spread(np.maximum(np.diff(offsets) - width + 1, 0))
         at = offsets[row] + pos
-        key = anchors(self.codes, width, k)[at] & ~np.uint64(1)
+        key = anchors(self.codes, width, k)[at] & KEY
         turn = np.ones(len(key), bool)
         turn[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | (pos[1:] % LONGEST == 0)
         first = np.flatnonzero(turn)
@@ -115,9 +117,9 @@ def _combine_anchors(x: dict) -> tuple[dict, np.ndarray]:
     """One entry for an anchor and document. Anchors that two documents of the
     task have are known to be shared: their holders pass through, and two of
     them ask, for hot ones must be told."""
-    doc = _docs(x)
-    order = np.lexsort([doc, x["key"]])
-    key, doc = x["key"][order], doc[order]
+    key, doc = _keys(x), _docs(x)
+    order = np.lexsort([doc, key])
+    key, doc = key[order], doc[order]
     new = first_of(key, doc) == np.arange(len(key))
     key, doc = key[new], doc[new]
     here = np.arange(len(key))
@@ -125,17 +127,25 @@ def _combine_anchors(x: dict) -> tuple[dict, np.ndarray]:
     shared = first != last
     edge = shared & ((first == here) | (last == here))
     n = np.where(first == here, last - first + 1, 0)
+    keys = np.concatenate([key, key[edge]])
     out = {
-        "key": np.concatenate([key, key[edge]]),
         "n": np.concatenate([np.where(shared, 0, 1), n[edge]]).astype(np.uint32),
         "done": np.concatenate([shared, np.full(int(edge.sum()), 2)]).astype(np.uint8),
-    } | _split(np.concatenate([doc, doc[edge]]))
-    spots = mix64(out["key"])
+    } | _split(np.concatenate([doc, doc[edge]])) | _split_key(keys)
+    spots = mix64(keys)
     over = out["done"] == 1
     spots[over] = mix64(_docs(out)[over].astype(np.uint64))
     return {c: out[c] for c in ANCHORS}, spots
 
 
+def _split_key(key: np.ndarray) -> dict:
+    return {"key": (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), "key_high": (key >> np.uint64(32)).astype(np.uint16)}
+
+
+def _keys(x: dict) -> np.ndarray:
+    return x["key_high"].astype(np.uint64) << np.uint64(32) | x["key"]
+
+
 def _split(doc: np.ndarray) -> dict:
     bits = doc.astype(np.int64).view(np.uint64)
     return {"doc": (bits & np.uint64(0xFFFFFFFF)).astype(np.uint32), "doc_high": (bits >> np.uint64(32)).astype(np.uint32)}
@@ -148,7 +158,7 @@ def _docs(x: dict) -> np.ndarray:
 def _shared_anchors(x: dict) -> pa.Table:
     """(doc_id, keys, n): a document's anchors that another has; without a document, an anchor of many, and its holders."""
     asked = x["done"] != 1
-    doc, key, n, done = _docs(x), x["key"], x["n"], x["done"]
+    doc, key, n, done = _docs(x), _keys(x), x["n"], x["done"]
     order = np.flatnonzero(asked)[np.lexsort([doc[asked], key[asked]])]
     k, d = key[order], doc[order]
     first, last = first_of(k), last_of(k)
@@ -174,7 +184,7 @@ def _send_anchors(buckets: int, width: int):
                     s = Stretches(data, offsets, width, k)
                     if len(s.key):
                         zero = np.zeros(len(s.key), np.uint32)
-                        box.add(key=s.key, n=zero, done=zero.astype(np.uint8), **_split(ids[run.first + s.row]))
+                        box.add(n=zero, done=zero.astype(np.uint8), **_split(ids[run.first + s.row]), **_split_key(s.key))
                     yield from box.full()
         yield from box.close()
 
@@ -391,9 +401,8 @@ def _shard(width: int):
 
 
 def late_windows(docs: DataFrame, scratch: Scratch, width: int = WIDTH) -> DataFrame:
-    """(doc_id, tkey, starts array<binary>) for rows with windows that an earlier document has. ``docs`` has doc_id, text and tkey."""
+    """(doc_id, late array<struct<tkey, starts>>) of documents with windows that an earlier one has. ``docs`` has doc_id, text and tkey, and no null ids."""
     spark = docs.sparkSession
-    docs = docs.where("doc_id IS NOT NULL")
     sent = docs.select("doc_id", "text").mapInArrow(_send_anchors(128, width), schema_of(ANCHORS))
     found = scratch.keep(exchange(sent, ANCHORS, _shared_anchors, "doc_id long, keys binary, n long"))
     asked = found.where("doc_id IS NOT NULL")
@@ -404,7 +413,7 @@ def late_windows(docs: DataFrame, scratch: Scratch, width: int = WIDTH) -> DataF
     buckets = buckets_for(total, IN_SHARD)
     sent = docs.join(shared, "doc_id").mapInArrow(_send_pieces(buckets, width, spark.sparkContext.broadcast(hot)), schema_of(PIECES) + ", data binary")
     late = sent.groupBy("bucket").applyInArrow(_shard(width), "doc_id long, tkey long, starts binary")
-    return scratch.keep(late.groupBy("doc_id", "tkey").agg(F.collect_list("starts").alias("starts")))
+    return late.groupBy("doc_id").agg(F.collect_list(F.struct("tkey", "starts")).alias("late"))
 
 
 DEDUPED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>"
@@ -413,7 +422,8 @@ DEDUPED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 def _strip(width: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("starts").to_pylist()
+            tkeys = batch.column("tkey").to_pylist()
+            lists = [[x["starts"] for x in some or () if x["tkey"] == k] for some, k in zip(batch.column("late").to_pylist(), tkeys, strict=True)]
             for run in runs(batch.column("text")):
                 rows = []
                 for r in range(run.rows):
@@ -437,6 +447,14 @@ def _strip(width: int):
     return work
 
 
+def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, tkey); tkey tells apart rows that share an id. Columns that are so already stay as they are, so that Spark sees one exchange where the rows are used twice."""
+    kinds = dict(docs.dtypes)
+    did = F.col(id_col) if id_col == "doc_id" and kinds[id_col] == "bigint" else F.col(id_col).cast("long").alias("doc_id")
+    text = F.col(text_col) if text_col == "text" and kinds[text_col] == "string" else F.col(text_col).cast("string").alias("text")
+    return docs.select(did, text).select("doc_id", "text", F.xxhash64("text").alias("tkey"))
+
+
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans.
 
@@ -452,9 +470,13 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     if width < 1:
         raise ValueError(f"a window has a byte at least, not {width}")
     scratch = Scratch(docs.sparkSession, "suffixes")
-    own = keyed(docs, id_col, text_col)
-    late = late_windows(own, scratch, width)
-    return scratch.result(own.join(late, ["doc_id", "tkey"], "left").mapInArrow(_strip(width), DEDUPED))
+    own = rows_of(docs, id_col, text_col)
+    named = own.where("doc_id IS NOT NULL")
+    late = late_windows(named, scratch, width)
+    # the documents are dealt by id once, for their anchors and for what is late
+    both = named.join(late, "doc_id", "left").select("doc_id", "tkey", "text", "late")
+    rest = own.where("doc_id IS NULL").select("doc_id", "tkey", "text", F.lit(None).cast(late.schema["late"].dataType).alias("late"))
+    return scratch.result(both.union(rest).mapInArrow(_strip(width), DEDUPED))
 
 
 def op11_suffix_dedup(spark, sf_dir: str) -> DataFrame:
