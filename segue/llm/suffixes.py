@@ -211,6 +211,17 @@ def unpacked(data: bytes) -> bytes:
     return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
 
 
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as ``packed``, so that dealing the documents by id takes less room."""
+    for batch in batches:
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tkey"), pa.array([None if t is None else packed(t) for t in texts], pa.binary())], ["doc_id", "tkey", "packed"])
+
+
+def _texts(column: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else unpacked(t) for t in column.to_pylist()], pa.large_binary())
+
+
 class Pieces:
     """Pieces of text of a task. Of equal ones only the least document's go on,
     the text once; the others' windows are late, and go to their document's bucket in ranges."""
@@ -284,7 +295,7 @@ def _send_pieces(buckets: int, width: int, hot):
         for batch in batches:
             ids, tkeys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tkey"))
             lists = batch.column("keys").to_pylist()
-            for run in runs(batch.column("text")):
+            for run in runs(_texts(batch.column("packed"))):
                 known = [np.frombuffer(b"".join(lists[run.first + r]), np.uint64) for r in range(run.rows)]
                 rows = np.repeat(np.arange(run.rows), [len(x) for x in known])
                 shared = np.unique(np.concatenate(known) ^ mix64(rows.astype(np.uint64) * salt))
@@ -400,8 +411,11 @@ def _shard(width: int):
     return work
 
 
-def late_windows(docs: DataFrame, scratch: Scratch, width: int = WIDTH) -> DataFrame:
-    """(doc_id, late array<struct<tkey, starts>>) of documents with windows that an earlier one has. ``docs`` has doc_id, text and tkey, and no null ids."""
+def late_windows(docs: DataFrame, dealt: DataFrame, scratch: Scratch, width: int = WIDTH) -> DataFrame:
+    """(doc_id, late array<struct<tkey, starts>>) of documents with windows that an earlier one has.
+
+    ``docs`` has doc_id and text, ``dealt`` has doc_id, tkey and the packed text, and both have no null ids.
+    """
     spark = docs.sparkSession
     sent = docs.select("doc_id", "text").mapInArrow(_send_anchors(128, width), schema_of(ANCHORS))
     found = scratch.keep(exchange(sent, ANCHORS, _shared_anchors, "doc_id long, keys binary, n long"))
@@ -411,7 +425,7 @@ def late_windows(docs: DataFrame, scratch: Scratch, width: int = WIDTH) -> DataF
     hot = np.unique(np.frombuffer(b"".join(hot.column(0).to_pylist()), np.uint64))  # fewer than one in HOT_SHARE
     shared = asked.groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
     buckets = buckets_for(total, IN_SHARD)
-    sent = docs.join(shared, "doc_id").mapInArrow(_send_pieces(buckets, width, spark.sparkContext.broadcast(hot)), schema_of(PIECES) + ", data binary")
+    sent = dealt.join(shared, "doc_id").mapInArrow(_send_pieces(buckets, width, spark.sparkContext.broadcast(hot)), schema_of(PIECES) + ", data binary")
     late = sent.groupBy("bucket").applyInArrow(_shard(width), "doc_id long, tkey long, starts binary")
     return late.groupBy("doc_id").agg(F.collect_list(F.struct("tkey", "starts")).alias("late"))
 
@@ -424,7 +438,7 @@ def _strip(width: int):
         for batch in batches:
             tkeys = batch.column("tkey").to_pylist()
             lists = [[x["starts"] for x in some or () if x["tkey"] == k] for some, k in zip(batch.column("late").to_pylist(), tkeys, strict=True)]
-            for run in runs(batch.column("text")):
+            for run in runs(_texts(batch.column("packed"))):
                 rows = []
                 for r in range(run.rows):
                     data = run.data[run.offsets[r] : run.offsets[r + 1]]
@@ -471,11 +485,12 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
         raise ValueError(f"a window has a byte at least, not {width}")
     scratch = Scratch(docs.sparkSession, "suffixes")
     own = rows_of(docs, id_col, text_col)
-    named = own.where("doc_id IS NOT NULL")
-    late = late_windows(named, scratch, width)
+    named, pack = own.where("doc_id IS NOT NULL"), "doc_id long, tkey long, packed binary"
+    dealt = named.mapInArrow(_pack_texts, pack).where("doc_id IS NOT NULL")  # as a join asks, so that both joins read one exchange
+    late = late_windows(named, dealt, scratch, width)
     # the documents are dealt by id once, for their anchors and for what is late
-    both = named.join(late, "doc_id", "left").select("doc_id", "tkey", "text", "late")
-    rest = own.where("doc_id IS NULL").select("doc_id", "tkey", "text", F.lit(None).cast(late.schema["late"].dataType).alias("late"))
+    both = dealt.join(late, "doc_id", "left").select("doc_id", "tkey", "packed", "late")
+    rest = own.where("doc_id IS NULL").mapInArrow(_pack_texts, pack).withColumn("late", F.lit(None).cast(late.schema["late"].dataType))
     return scratch.result(both.union(rest).mapInArrow(_strip(width), DEDUPED))
 
 
