@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segue.ml import clustering as M
 from segue.operators import naming, playlists, render, sequencing, sequential
+from segue.sources import audio, media
 
 
 @dataclass(frozen=True)
@@ -26,6 +27,28 @@ class Library:
     order: DataFrame | None = None
     names: DataFrame | None = None
 
+    @classmethod
+    def from_folders(cls, spark: SparkSession, *folders: str, cache: DataFrame | None = None) -> tuple[Library, DataFrame]:
+        """The library of the audio files below some folders, and (path, error) of those that could not be read.
+
+        Tags give what they have; a tempo that they lack is estimated from the
+        sound. Positions follow the order of paths. Files without features are
+        no part of the library. ``cache`` has feature rows of earlier runs.
+        """
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(folders))
+        tags = media.read_tags(spark, *folders).dropDuplicates(["path"]).withColumnRenamed("error", "tag_error")
+        heard = audio.analysed(audio.hashed(files).dropDuplicates(["path"]), cache)
+        rows = tags.join(heard.drop("file_hash"), "path", "left").persist()
+        good = rows.where("error IS NULL AND rms_energy IS NOT NULL").select("path", "bpm")
+        blank = files.join(good.where("bpm IS NULL").select("path"), "path", "left_semi")
+        beats = audio.tempos_of(blank.dropDuplicates(["path"])).withColumnRenamed("bpm", "heard_bpm")
+        placed = rows.join(good.select("path"), "path", "left_semi").join(beats, "path", "left").orderBy("path").withColumn("pos", F.monotonically_increasing_id()).persist()
+        where = F.regexp_replace("path", "^file:/+", "/")
+        tracks = placed.select("pos", where.alias("path"), F.coalesce("bpm", "heard_bpm").alias("bpm"), "duration", "artist", "title", "album", "genre", "year", "mood")
+        features = placed.select("pos", *audio.NAMES, "camelot_key")
+        failed = rows.where("error IS NOT NULL OR rms_energy IS NULL").select(where.alias("path"), F.coalesce("error", "tag_error").alias("error"))
+        return cls(tracks, features), failed
+
     @property
     def known(self) -> DataFrame:
         """Tracks with features, in their clusters if there are any."""
@@ -62,6 +85,10 @@ class Library:
             out = sequencing.sequence(known, strategy)
         return replace(self, order=out.select("cluster_id", "pos", "seq"))
 
+    def arranged(self, **wishes) -> Library:
+        """Several wishes at once, by their precedence; see ``sequential.arranged``."""
+        return replace(self, order=sequential.arranged(self.known, **wishes))
+
     def name(self) -> Library:
         profile = playlists.profiles(self.known)
         return replace(self, names=naming.name_clusters(profile, playlists.salience(profile)))

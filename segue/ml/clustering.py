@@ -725,3 +725,39 @@ def embedding_block(vectors: DataFrame, components: int = 12) -> DataFrame:
     scale = np.sqrt(np.maximum(values[::-1][: len(axes)], 1e-300))
     cells = [F.aggregate(F.zip_with(F.col("v"), F.array(*[F.lit(float(a)) for a in axis]), lambda x, a: x * a), F.lit(float(-(axis @ mean))), lambda s, x: s + x) / float(s) for axis, s in zip(axes, scale, strict=True)]
     return rows.select("pos", F.array(*cells).alias("block"))
+
+
+#: Labels of a mood block, at most: each is a coordinate of every track.
+MOST_LABELS = 4096
+
+
+def mood_block(moods: DataFrame, tracks: DataFrame) -> DataFrame:
+    """(pos, block): for each track its scaled probabilities of all mood labels, in the labels' order.
+
+    moods: pos, label, prob, one row for each label that a track has; what it
+    lacks counts as 0, and of one label twice the greater counts. Labels' means
+    and deviations come from the rows that are there and the number of
+    tracks, so no column is made for a label; a track's few labels meet all
+    labels' values in one array. Labels that all tracks have alike are 0.
+    Without labels the block is empty.
+    """
+    sparse = moods.join(tracks.select("pos"), "pos", "left_semi").where("label IS NOT NULL AND prob IS NOT NULL").groupBy("pos", "label").agg(F.max("prob").cast("double").alias("prob"))
+    n = tracks.count()
+    labels = sparse.groupBy("label").agg((F.sum("prob") / n).alias("mean"), (F.sum(F.col("prob") * F.col("prob")) / n).alias("square")).orderBy("label").limit(MOST_LABELS + 1).toPandas()
+    if len(labels) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels of moods")
+    mean = labels["mean"].to_numpy(float)
+    wide = labels["square"].to_numpy(float) - mean**2
+    scale = np.sqrt(np.where(wide > 1e-12 * np.maximum(labels["square"].to_numpy(float), 1e-300), wide, np.inf))
+    own = sparse.groupBy("pos").agg(F.map_from_entries(F.collect_list(F.struct("label", "prob"))).alias("own"))
+    table = tracks.sparkSession.createDataFrame([([(str(c), float(m), float(d)) for c, m, d in zip(labels["label"], mean, scale, strict=True)],)], "labels array<struct<label:string,mean:double,scale:double>>")
+    rows = tracks.select("pos").join(own, "pos", "left").crossJoin(F.broadcast(table))
+    value = lambda c: (F.coalesce(F.element_at(F.coalesce("own", F.create_map().cast("map<string,double>")), c["label"]), F.lit(0.0)) - c["mean"]) / c["scale"]
+    return rows.select("pos", F.transform("labels", value).alias("block"))
+
+
+def semantic_block(vectors: DataFrame, moods: DataFrame, components: int = 12) -> DataFrame:
+    """(pos, block): the embedding's scaled components, then the scaled moods."""
+    parts = embedding_block(vectors, components)
+    more = mood_block(moods, vectors).withColumnRenamed("block", "moods")
+    return parts.join(more, "pos").select("pos", F.concat("block", "moods").alias("block"))

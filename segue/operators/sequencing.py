@@ -10,6 +10,9 @@ from segue.functions import exprs as X
 #: The order of the five phases.
 PHASES = ("flowing", "staccato", "chaos", "lyrical", "stillness")
 
+#: Fixed: the strategies that ``sequence`` knows.
+STRATEGIES = ("ramp", "build", "descent", "bpm_asc", "bpm_desc", "intro_asc", "intro_desc", "fixed", "alternating")
+
 
 def ordered(rows: DataFrame, *keys: Column, cluster: str = "cluster_id") -> DataFrame:
     """``seq`` from 1 in each cluster; ties keep the order of positions."""
@@ -27,7 +30,7 @@ def sequence(known: DataFrame, strategy: str) -> DataFrame:
     if strategy == "alternating":
         return alternating(known)
     if strategy not in keys:
-        raise ValueError(f"unknown strategy {strategy!r}; there are {', '.join([*keys, 'alternating'])}")
+        raise ValueError(f"unknown strategy {strategy!r}; there are {', '.join(STRATEGIES)}")
     return ordered(known, *keys[strategy])
 
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import random
 from bisect import bisect_left
-from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -17,6 +16,9 @@ from pyspark.sql import functions as F
 
 from segue.functions import exprs as X
 
+from . import sequencing
+from .neartree import NearTree
+
 ORDER = "cluster_id string, pos long, seq int"
 
 
@@ -36,20 +38,6 @@ def key_score(a: str | None, b: str | None) -> int:
     return int(gap == 0)
 
 
-def _walk(rows: pd.DataFrame, start: int, choose) -> pd.DataFrame:
-    """Goes from track to track; ``choose`` gives the next of those that are left."""
-    left = list(range(len(rows)))
-    at, path = start, []
-    while True:
-        path.append(at)
-        left.remove(at)
-        if not left:
-            break
-        at = choose(at, left)
-    out = rows.iloc[path]
-    return pd.DataFrame({"cluster_id": out.cluster_id.to_numpy(), "pos": out.pos.to_numpy(), "seq": np.arange(1, len(out) + 1, dtype=np.int32)})
-
-
 class _Shelf:
     """Tracks by energy, then place; the nearest that is left is found without passing over those taken."""
 
@@ -120,19 +108,41 @@ def harmonic(known: DataFrame) -> DataFrame:
 
 
 def timbre(known: DataFrame) -> DataFrame:
-    """From the most varied timbre on, the nearest next."""
+    """From the most varied timbre on, the nearest next.
+
+    The tracks that are left stand in a k-d tree, so a step looks at those near
+    by and not at all of the cluster.
+    """
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos").reset_index(drop=True)
-        x = rows[list(X.TIMBRE)].to_numpy()
+        tree = NearTree(rows[list(X.TIMBRE)].to_numpy())
+        at, path = int(rows.mfcc_variance.argmax()), []
+        while at is not None:
+            path.append(at)
+            tree.take(at)
+            at = tree.nearest(at)
+        out = rows.iloc[path]
+        return pd.DataFrame({"cluster_id": out.cluster_id.to_numpy(), "pos": out.pos.to_numpy(), "seq": np.arange(1, len(out) + 1, dtype=np.int32)})
 
-        def choose(i: int, left: list[int]) -> int:
-            gaps = np.round(np.sqrt(((x[left] - x[i]) ** 2).sum(axis=1)), 12)
-            return left[int(np.argmin(gaps))]
+    return known.select("cluster_id", "pos", *X.TIMBRE).groupBy("cluster_id").applyInPandas(work, ORDER)
 
-        return _walk(rows, int(rows.mfcc_variance.argmax()), choose)
 
-    return known.select("cluster_id", "pos", *X.TIMBRE).groupBy("cluster_id").applyInPandas(work, ORDER)
+#: Fixed: what the choice of intros asks for.
+INTROS = {"short": "intro_asc", "long": "intro_desc"}
+
+
+def arranged(known: DataFrame, *, strategy: str | None = None, intro: str | None = None, harmonic_order: bool = False) -> DataFrame:
+    """(cluster_id, pos, seq) under several wishes at once: matching keys go before a choice of intros (short or long), that before a strategy.
+
+    Without any wish, and for a strategy that isn't known, tracks keep their positions.
+    """
+    if harmonic_order:
+        return harmonic(known)
+    if intro is not None and intro not in INTROS:
+        raise ValueError(f"intros are {' or '.join(INTROS)} first, not {intro!r}")
+    wish = INTROS[intro] if intro is not None else strategy
+    return sequencing.sequence(known, wish if wish in sequencing.STRATEGIES else "fixed").select("cluster_id", "pos", "seq")
 
 
 def mix_scores(bpm: np.ndarray, keys: list, rms: np.ndarray, bright: np.ndarray, i: int) -> np.ndarray:
@@ -179,51 +189,67 @@ def fill(rows: DataFrame, limit_sec: float, order: str = "distance") -> DataFram
     return folded.select("cluster_id", F.posexplode("s.taken").alias("seq", "pos")).withColumn("seq", F.col("seq") + 1)
 
 
+#: Left-over tracks that are offered at once in the second pass of a duration build.
+OFFERED = 4096
+
+
 def duration_build(rows: DataFrame, distances: DataFrame, target_min: float, tolerance: float = 0.1) -> DataFrame:
     """Both passes: what is left of the first is offered to clusters by distance, in the order of positions.
 
     rows: cluster_id, pos, duration, distance; distances: pos, cluster_id, distance
-    (all equal where the two spaces differ in length). The second pass
-    is one fold over what is left, whose state is the clusters' durations.
+    (all equal where the two spaces differ in length). A track goes to the
+    nearest cluster that has room for it, and room only shrinks: a track that
+    fits nowhere now fits nowhere later. So the second pass is rounds. All tasks
+    look for tracks that some cluster has room for, past those offered before;
+    the first ``OFFERED`` of them, with the clusters that they fit, are placed
+    one after the other, and the next round looks with the room that is left. A
+    round's work is spread over all tracks; what meets is a number for each
+    cluster and one block of tracks.
     """
     limit = target_min * 60 * (1 + tolerance)
-    first = fill(rows, limit)
+    first = fill(rows, limit).persist()
     left = rows.join(first.select("pos"), "pos", "left_anti").where("duration > 0").select("pos", "duration")
     used = rows.join(first.select("pos"), "pos").groupBy("cluster_id").agg(F.sum("duration").alias("used"))
-    offers = left.join(distances, "pos").groupBy("pos", "duration").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.round("distance", 9).alias("d"), "cluster_id"))), lambda x: x["cluster_id"]).alias("clusters"))
+    offers = left.join(distances, "pos").groupBy("pos", "duration").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.round("distance", 9).alias("d"), "cluster_id"))), lambda x: x["cluster_id"]).alias("clusters")).persist()
     clusters = rows.select("cluster_id").distinct().join(used, "cluster_id", "left").select("cluster_id", F.coalesce("used", F.lit(0.0)).alias("used"))
-    state = {r.cluster_id: r.used for r in clusters.collect()}
-
-    def work(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        total = dict(state)
-        for batch in batches:
-            out = []
-            for pos, duration, order in zip(batch.pos, batch.duration, batch.clusters, strict=True):
-                home = next((c for c in order if total[c] + duration <= limit), None)
-                if home is not None:
-                    total[home] += duration
-                    out.append((home, pos))
-            yield pd.DataFrame(out, columns=["cluster_id", "pos"])
-
-    second = offers.coalesce(1).sortWithinPartitions("pos").mapInPandas(work, "cluster_id string, pos long")
+    total = {r.cluster_id: r.used for r in clusters.collect()}
+    placed, last = [], None
+    while total:
+        names = sorted(total)
+        room = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.lit(float(total[c])) for c in names]))
+        fits = F.filter("clusters", lambda c: F.element_at(F.col("room"), c) + F.col("duration") <= limit)
+        rest = offers if last is None else offers.where(F.col("pos") > last)
+        some = rest.where(F.col("duration") + min(total.values()) <= limit).withColumn("room", room).select("pos", "duration", fits.alias("fits")).where("size(fits) > 0")
+        block = some.orderBy("pos").limit(OFFERED).collect()
+        for r in block:
+            home = next((c for c in r.fits if total[c] + r.duration <= limit), None)
+            if home is not None:
+                total[home] += r.duration
+                placed.append((home, r.pos))
+        if len(block) < OFFERED:
+            break
+        last = block[-1].pos
+    offers.unpersist()
+    second = rows.sparkSession.createDataFrame(placed, "cluster_id string, pos long")
     return first.select("cluster_id", "pos", F.lit(1).alias("pass")).union(second.select("cluster_id", "pos", F.lit(2).alias("pass")))
 
 
+def shuffled(n: int, seed: int) -> list[int]:
+    """The seeded order of so many tracks."""
+    places = list(range(n))
+    random.Random(seed).shuffle(places)
+    return places
+
+
 def split(rows: DataFrame, size: int, seed: int = 42) -> DataFrame:
     """Clusters over a size in parts of it, tracks dealt by the seeded shuffle of their number.
 
     A permutation depends on the number of tracks only; the sizes that occur are few.
     """
     ranked = rows.groupBy("cluster_id").agg(F.array_sort(F.collect_list("pos")).alias("all")).withColumn("n", F.size("all"))
-
-    def order(n: int) -> list[int]:
-        places = list(range(n))
-        random.Random(seed).shuffle(places)
-        return places
-
     sizes = [r.n for r in ranked.select("n").distinct().collect() if r.n > size]
     if sizes:
-        table = rows.sparkSession.createDataFrame([(n, order(n)) for n in sizes], "n int, places array<int>")
+        table = rows.sparkSession.createDataFrame([(n, shuffled(n, seed)) for n in sizes], "n int, places array<int>")
         ranked = ranked.join(F.broadcast(table), "n", "left")
     else:
         ranked = ranked.withColumn("places", F.lit(None).cast("array<int>"))

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import io
+import os
+import sqlite3
+import tempfile
+import uuid
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from segue.functions import exprs as X
 from segue.operators import render as R
 from segue.sources import library as L
+from segue.sources import npy, sqlite_source
 from segue.sources.fixtures import Views
 
 from .base import Catalogue
@@ -196,3 +205,61 @@ def import_summary(v: Views):
     p = F.col("pos")
     rows = v.tracks.where(p % 4 != 0).select(F.when(p % 5 != 0, F.col("bpm")).alias("bpm"), F.when(p % 3 == 1, "").otherwise("8B").alias("key"), F.when(p % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array().cast("array<int>")).alias("cues"))
     return rows.agg(F.count("*").alias("tracks"), F.count("bpm").alias("with_bpm"), F.sum((F.col("key") != "").cast("long")).alias("with_key"), F.sum(F.size("cues")).alias("cues"))
+
+
+def _numpy_file(batches):
+    """(path, content): each vector as a numpy file, as a square by rows or by columns, single or double."""
+    for batch in batches:
+        rows = []
+        for k, x in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
+            out = io.BytesIO()
+            kind, order = (np.float32, np.float64)[k % 2], "CF"[k // 2 % 2]
+            np.lib.format.write_array(out, np.asarray(np.array(x, kind).reshape(8, -1), order=order))
+            rows.append((str(k), out.getvalue()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary())], ["path", "content"])
+
+
+@query("SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n, round(CAST(embedding[2] AS DOUBLE), 6) AS second, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) % 8 = 0 AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL)) = 0")
+def npy_vectors(v: Views):
+    """Vectors that went through numpy files of four layouts."""
+    good = v.table("embeddings").where("embedding IS NOT NULL AND size(embedding) % 8 = 0 AND size(embedding) > 0 AND NOT exists(embedding, x -> x IS NULL)")
+    files = good.select("vec_id", "embedding").mapInArrow(_numpy_file, "path string, content binary")
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)
+    return npy.vectors(files).select(F.col("path").cast("long").alias("vec_id"), F.size("vector").cast("long").alias("n"), F.round(F.get("vector", F.lit(1)), 6).alias("second"), F.round(total, 6).alias("total"))
+
+
+def _sqlite_library(v: Views) -> str:
+    """A fresh library file in the shared folder, with the known locations."""
+    folder = sqlite_source.local(v.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="segue-sqlite-"))
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"library-{uuid.uuid4().hex}.sqlite")
+    con = sqlite3.connect(path)
+    with con:
+        con.execute("CREATE TABLE track_locations (id INTEGER PRIMARY KEY, location TEXT UNIQUE, fs_deleted INTEGER)")
+        con.execute("CREATE TABLE crates (id INTEGER PRIMARY KEY, name TEXT UNIQUE)")
+        con.execute("CREATE TABLE crate_tracks (crate_id INTEGER, track_id INTEGER, PRIMARY KEY (crate_id, track_id))")
+        con.execute("CREATE TABLE cues (id INTEGER PRIMARY KEY, track_id INTEGER, type INTEGER, position INTEGER, length INTEGER, hotcue INTEGER, label TEXT)")
+    con.close()
+    sqlite_source.put(v.track_locations, path, "track_locations")
+    return path
+
+
+@query("SELECT 'Set 1' AS crate, o_orderkey AS track_id FROM orders WHERE o_custkey % 20 = 1")
+def sqlite_crate(v: Views):
+    """A crate that was written, written anew with fewer tracks, and read back."""
+    path = _sqlite_library(v)
+    for last in (2, 1):
+        wanted = v.table("orders").where(f"o_custkey % 20 BETWEEN 1 AND {last}").select(F.concat(F.lit("/music/o"), F.col("o_orderkey").cast("string")).alias("location"))
+        sqlite_source.write_crate(v.spark, path, "Set 1", wanted)
+    crates = sqlite_source.table(v.spark, path, "crates").select(F.col("id").alias("crate_id"), F.col("name").alias("crate"))
+    return sqlite_source.table(v.spark, path, "crate_tracks", rows=1000).join(crates, "crate_id").select("crate", "track_id")
+
+
+@query("SELECT t.id AS track_id, CAST(k + 4 AS INT) AS hotcue, concat('Cue ', CAST(k + 1 AS VARCHAR), ' Ms') AS label, trunc(ms / 1000.0::DOUBLE * 44100) AS position FROM (SELECT pos, k, CASE k WHEN 0 THEN intro_length_secs * 1000.5::DOUBLE ELSE rms_energy * 300000 END AS ms FROM features, (VALUES (0), (1)) v(k)) c JOIN track_locations t ON t.location = concat('/music/o', CAST(pos AS VARCHAR)) WHERE t.fs_deleted = 0")
+def sqlite_cues(v: Views):
+    """Hot cues that were written to the library file and read back."""
+    path = _sqlite_library(v)
+    both = F.array(F.struct(F.lit("cue_1_ms").alias("name"), (F.col("intro_length_secs") * 1000.5).alias("ms")), F.struct(F.lit("cue_2_ms").alias("name"), (F.col("rms_energy") * 300000).alias("ms")))
+    cues = v.features.select(F.concat(F.lit("/music/o"), F.col("pos").cast("string")).alias("location"), F.posexplode(both).alias("slot", "c"))
+    sqlite_source.write_cues(v.spark, path, cues.select("location", "slot", F.col("c.name").alias("name"), F.col("c.ms").alias("position_ms")))
+    return sqlite_source.table(v.spark, path, "cues", rows=1000).select("track_id", "hotcue", "label", "position")

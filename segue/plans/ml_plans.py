@@ -177,6 +177,29 @@ def ewkm_relabels_planted(v: Views):
     return _led(M.assign(rows, centers, "z", used).withColumn("cluster_id", F.col("label").cast("string")))
 
 
+_MOODS = "moods AS (SELECT pos, tag AS label, CAST(pos * 7 % 10 + 1 AS DOUBLE) / 10 AS prob FROM tags)"
+
+
+@query(f"""WITH {_MOODS}, n AS (SELECT count(*) AS n FROM tracks), s AS (SELECT label, sum(prob) / any_value(n) AS m, sqrt(sum(prob * prob) / any_value(n) - (sum(prob) / any_value(n)) ** 2) AS d FROM moods, n GROUP BY label)
+SELECT t.pos, s.label, round((coalesce(o.prob, 0) - s.m) / s.d, 6) AS z FROM tracks t CROSS JOIN s LEFT JOIN moods o ON o.pos = t.pos AND o.label = s.label""")
+def mood_block(v: Views):
+    """Scaled probabilities of every tag for every track."""
+    moods = v.tags.select("pos", F.col("tag").alias("label"), ((F.col("pos") * 7 % 10 + 1).cast("double") / 10).alias("prob"))
+    names = v.tags.agg(F.array_sort(F.collect_set("tag")).alias("names"))
+    rows = M.mood_block(moods, v.tracks.select("pos")).crossJoin(F.broadcast(names))
+    return rows.select("pos", F.inline(F.arrays_zip(F.col("names").alias("label"), F.col("block").alias("z")))).select("pos", "label", F.round("z", 6).alias("z"))
+
+
+@query(_LED)
+def moods_planted(v: Views):
+    """Sound that says nothing and moods that tell: three kinds of tracks by their moods alone."""
+    known = v.known.withColumns({c: F.pmod(F.xxhash64("pos", F.lit(j)), F.lit(1000)) / 1000.0 for j, c in enumerate(X.FEATURES)})
+    known = known.withColumn("bpm", F.when(F.col("bpm").isNotNull(), 120 + F.pmod(F.xxhash64("pos"), F.lit(9)) / 10.0))
+    mood = F.element_at(F.array(*[F.array(*map(F.lit, m)) for m in (("dark", "raw", "slow", "cold", "dry"), ("warm", "soft", "light", "sweet", "calm"), ("wild", "loud", "fast", "hot", "hard"))]), (F.col("pos") % 3 + 1).cast("int"))
+    moods = known.select("pos", F.explode(mood).alias("label")).withColumn("prob", 0.9 - F.col("pos") % 5 / 100)
+    return _led(M.cluster(known, k=3, restarts=5, extra=M.mood_block(moods, known.select("pos"))).labelled)
+
+
 @query()
 def pca_weights(v: Views):
     weights, width = M.pca_weights(_zs(v))

@@ -172,7 +172,14 @@ def duration_build(v: Views):
     return sequential.duration_build(rows, every.select("pos", F.col("c.cluster_id").alias("cluster_id"), gap.alias("distance")), 30)
 
 
-@query()
+#: Sizes of clusters whose order the SQL of ``split_clusters`` knows.
+_SIZES = range(26, 141)
+_DEALT = ", ".join(f"({n}, {sequential.shuffled(n, 42)})" for n in _SIZES)
+
+
+@query(f"""WITH dealt(n, places) AS (VALUES {_DEALT}), c AS (SELECT cluster_id, list(pos ORDER BY pos) AS ps, CAST(count(*) AS INT) AS n FROM tracks GROUP BY cluster_id),
+p AS (SELECT c.cluster_id, c.n, c.ps, coalesce(d.places, range(c.n)) AS places FROM c LEFT JOIN dealt d ON d.n = c.n), x AS (SELECT cluster_id, n, ps, places, unnest(range(n)) AS k FROM p)
+SELECT CASE WHEN n > 25 THEN concat(cluster_id, '_', CAST(k // 25 AS VARCHAR)) ELSE cluster_id END AS cluster_id, ps[places[k + 1] + 1] AS pos, CAST(CASE WHEN n > 25 THEN k % 25 ELSE k END + 1 AS INT) AS seq FROM x""")
 def split_clusters(v: Views):
     return sequential.split(v.tracks, 25)
 

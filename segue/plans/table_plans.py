@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from segue.functions import exprs as X
 from segue.operators import playlists as P
+from segue.operators import ranges, sequential
 from segue.operators import selecting as C
 from segue.operators import sequencing as S
 from segue.operators import tags as T
@@ -396,3 +397,41 @@ def chapter_fill(v: Views):
 @query(f"""WITH {KNOWN} SELECT pos, cluster_id, {cue_sql("coalesce(sum(coalesce(duration, 0)) OVER (PARTITION BY cluster_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")} AS index_time FROM tracks""")
 def cue_index_times(v: Views):
     return S.offsets(v.tracks).select("pos", "cluster_id", X.cue_time(F.col("offset")).alias("index_time"))
+
+
+_ORDER = "CASE block " + " ".join(f"WHEN '{name}' THEN {k}" for k, (name, _, _) in enumerate(P.BLOCKS)) + " END"
+
+
+@query(f"WITH {_ENERGY}, {_CUT}, spans AS (SELECT {_ORDER} AS o, round(min(energy), 6) AS lo, round(max(energy), 6) AS hi FROM blocks GROUP BY block) SELECT f.pos, CAST(min(s.o) AS BIGINT) AS block_no FROM features f LEFT JOIN spans s ON f.rms_energy BETWEEN s.lo AND s.hi GROUP BY f.pos")
+def block_range_join(v: Views):
+    """The first block whose range of energy holds each track's."""
+    blocks = rounded(P.energy_blocks(P.cluster_energy(v.known)), "energy_min", "energy_max")
+    numbers = F.create_map(*[x for k, (name, _, _) in enumerate(P.BLOCKS) for x in (F.lit(name), F.lit(k).cast("long"))])
+    return ranges.first_range(v.features.select("pos", "rms_energy"), "rms_energy", blocks.withColumn("o", numbers[F.col("block")]), "energy_min", "energy_max", "o", "block_no").drop("rms_energy")
+
+
+@query("SELECT t.pos, min(l.id) AS first_id FROM tracks t LEFT JOIN library l ON t.bpm BETWEEN l.bpm AND l.bpm + CAST(l.id % 5 AS DOUBLE) / 10 GROUP BY t.pos")
+def tempo_range_join(v: Views):
+    """The first library row whose range of tempi, which overlap as they like, holds each track's."""
+    spans = v.library.select("id", "bpm", (F.col("bpm") + (F.col("id") % 5).cast("double") / 10).alias("upto"))
+    return ranges.first_range(v.tracks.select("pos", "bpm"), "bpm", spans, "bpm", "upto", "id", "first_id").drop("bpm")
+
+
+@query(f"WITH {KNOWN}, c AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY pos) - 1 AS place FROM known), spans AS (SELECT CAST(p_partkey AS BIGINT) AS chapter, CAST(p_partkey % 40 AS DOUBLE) AS lo, CAST(p_partkey % 40 + p_partkey % 7 AS DOUBLE) AS hi FROM part WHERE p_partkey <= 100) SELECT c.pos, min(s.chapter) AS chapter FROM c LEFT JOIN spans s ON c.place BETWEEN s.lo AND s.hi GROUP BY c.pos")
+def chapter_index_ranges(v: Views):
+    """The first chapter whose range of places, ends included, holds a track's place in its playlist."""
+    places = v.known.select("pos", (F.row_number().over(Window.partitionBy("cluster_id").orderBy("pos")) - 1).cast("double").alias("place"))
+    p = F.col("p_partkey").cast("long")
+    spans = v.table("part").where("p_partkey <= 100").select(p.alias("chapter"), (p % 40).cast("double").alias("lo"), (p % 40 + p % 7).cast("double").alias("hi"))
+    return ranges.first_range(places, "place", spans, "lo", "hi", "chapter", "chapter").drop("place")
+
+
+_WISHES = {"intro": "intro_length_secs DESC", "strategy": "rms_energy DESC", "unknown": "pos"}
+
+
+@query(f"WITH {KNOWN} " + " UNION ALL ".join(f"SELECT '{w}' AS wish, cluster_id, pos, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY {o}, pos) AS INT) AS seq FROM known" for w, o in _WISHES.items()))
+def playlist_order(v: Views):
+    """What comes of several wishes: intros go before a strategy, and a strategy that isn't known changes nothing."""
+    wishes = {"intro": {"intro": "long", "strategy": "ramp"}, "strategy": {"strategy": "descent"}, "unknown": {"strategy": "by moon"}}
+    parts = [sequential.arranged(v.known, **options).select(F.lit(w).alias("wish"), "cluster_id", "pos", "seq") for w, options in wishes.items()]
+    return parts[0].union(parts[1]).union(parts[2])

@@ -192,22 +192,36 @@ def _tempo_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["path", "bpm"]).astype({"path": object, "bpm": "Float64"})
 
 
+def tempos_of(files: DataFrame) -> DataFrame:
+    """(path, bpm) of files (path, content): the estimated tempo; null where there is none, no sound, or no decoder."""
+    return files.where(X.suffix("path").isin(*X.AUDIO_EXTENSIONS)).select("path", "content").mapInPandas(_tempo_files, "path string, bpm double")
+
+
 def tempos(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, bpm): the estimated tempo of the audio files below a folder; null where there is none, no sound, or no decoder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(X.suffix("path").isin(*X.AUDIO_EXTENSIONS))
-    return files.select("path", "content").mapInPandas(_tempo_files, "path string, bpm double")
+    """(path, bpm): the estimated tempo of the audio files below a folder."""
+    return tempos_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder))
+
+
+def hashed(files: DataFrame) -> DataFrame:
+    """(path, file_hash, content) of audio files; the hash is the MD5 of the first MiB."""
+    return files.where(X.suffix("path").isin(*X.AUDIO_EXTENSIONS)).select("path", F.md5(F.substring("content", 1, 1 << 20)).alias("file_hash"), "content")
+
+
+def analysed(files: DataFrame, cache: DataFrame | None = None) -> DataFrame:
+    """Feature rows of hashed files; those whose hash is in the cache are not analysed again."""
+    if cache is None:
+        return files.mapInPandas(_analyse_files, SCHEMA)
+    known = cache.where("error IS NULL" if "error" in cache.columns else "true").dropDuplicates(["file_hash"])
+    hits = files.select("path", "file_hash").join(known.select("file_hash", *NAMES, "camelot_key"), "file_hash").select("path", "file_hash", *NAMES, "camelot_key", F.lit(None).cast("string").alias("error"))
+    misses = files.join(known.select("file_hash"), "file_hash", "left_anti").select("path", "file_hash", "content")
+    return hits.unionByName(misses.mapInPandas(_analyse_files, SCHEMA))
 
 
 def features(spark: SparkSession, folder: str, cache: DataFrame | None = None) -> DataFrame:
     """Feature rows of the audio files below a folder, one per path; what can't be decoded has nulls and the error.
 
     ``cache`` has rows of earlier runs by file_hash (MD5 of the first MiB);
-    files that it has are not analysed again.
+    files that it has without an error are not analysed again.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(X.suffix("path").isin(*X.AUDIO_EXTENSIONS))
-    files = files.select("path", F.md5(F.substring("content", 1, 1 << 20)).alias("file_hash"), "content")
-    if cache is None:
-        return files.mapInPandas(_analyse_files, SCHEMA)
-    hits = files.select("path", "file_hash").join(cache.drop("path"), "file_hash").select("path", "file_hash", *NAMES, "camelot_key", "error")
-    misses = files.join(cache.select("file_hash"), "file_hash", "left_anti").select("path", "file_hash", "content")
-    return hits.unionByName(misses.mapInPandas(_analyse_files, SCHEMA))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return analysed(hashed(files), cache)

@@ -23,3 +23,48 @@ def test_harmonic_against_a_plain_walk(spark):
                 break
             at = min(left, key=lambda j: (-sequential.key_score(k[at], k[j]), abs(e[at] - e[j]), j))
         assert got[got.cluster_id == cluster].sort_values("seq").pos.tolist() == path
+
+
+def test_timbre_against_a_plain_walk(spark):
+    """Ties and repeated tracks too: of equal gaps the first position."""
+    rng = np.random.default_rng(2)
+    n = 700
+    rows = pd.DataFrame({"cluster_id": rng.choice(list("abc"), n), "pos": rng.permutation(n), **{c: rng.integers(0, 6, n) / 5 for c in sequential.X.TIMBRE}})
+    kinds = ", ".join(["cluster_id string, pos long", *(f"{c} double" for c in sequential.X.TIMBRE)])
+    got = sequential.timbre(spark.createDataFrame(rows, kinds)).toPandas()
+    for cluster, part in rows.groupby("cluster_id"):
+        part = part.sort_values("pos").reset_index(drop=True)
+        x = part[list(sequential.X.TIMBRE)].to_numpy()
+        at, left, path = int(part.mfcc_variance.argmax()), list(range(len(part))), []
+        while True:
+            path.append(int(part.pos[at]))
+            left.remove(at)
+            if not left:
+                break
+            at = left[int(np.argmin(np.round(np.sqrt(((x[left] - x[at]) ** 2).sum(axis=1)), 12)))]
+        assert got[got.cluster_id == cluster].sort_values("seq").pos.tolist() == path
+
+
+def test_duration_build_against_one_fold(spark, monkeypatch):
+    """Rounds of a few tracks give what one pass over all left-over tracks does."""
+    monkeypatch.setattr(sequential, "OFFERED", 7)
+    rng = np.random.default_rng(3)
+    n, names = 500, list("abcde")
+    cluster, duration, gap = rng.choice(names, n), rng.integers(0, 400, n).astype(float), np.round(rng.random((n, 5)), 3)
+    rows = spark.createDataFrame([(str(c), k, d, float(gap[k, names.index(c)])) for k, (c, d) in enumerate(zip(cluster, duration.tolist(), strict=True))], "cluster_id string, pos long, duration double, distance double")
+    offers = spark.createDataFrame([(k, c, float(gap[k, j])) for k in range(n) for j, c in enumerate(names)], "pos long, cluster_id string, distance double")
+    got = sorted((r["pass"], r.cluster_id, r.pos) for r in sequential.duration_build(rows, offers, 60).collect())
+    limit, total, want, taken = 60 * 60 * 1.1, dict.fromkeys(names, 0.0), [], set()
+    for c in names:
+        for k in sorted((k for k in range(n) if cluster[k] == c), key=lambda k: (gap[k, names.index(c)], k)):
+            if duration[k] > 0 and total[c] + duration[k] <= limit:
+                total[c] += duration[k]
+                taken.add(k)
+                want.append((1, c, k))
+    for k in range(n):
+        if k not in taken and duration[k] > 0:
+            home = next((c for _, c in sorted((gap[k, j], c) for j, c in enumerate(names)) if total[c] + duration[k] <= limit), None)
+            if home:
+                total[home] += duration[k]
+                want.append((2, home, k))
+    assert got == sorted(want) and any(p == 2 for p, _, _ in got)
