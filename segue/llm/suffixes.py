@@ -48,7 +48,7 @@ KEY = np.uint64((1 << 48) - 1)
 SEGMENT, LONGEST, HELD = 1 << 22, 2048, 1 << 18
 
 #: Pieces of a shard, on average; an anchor is hot with so many holders, and this share of all.
-IN_SHARD, HOT, HOT_SHARE = 1 << 17, 4096, 1 / (1 << 18)
+IN_SHARD, HOT, HOT_SHARE = 1 << 16, 4096, 1 / (1 << 18)
 
 ANCHORS = {"key": "u4", "key_high": "u2", "doc": "u4", "doc_high": "u4", "n": "u4", "done": "u1"}
 PIECES = {"size": "u4", "doc": "u4", "doc_high": "u4", "tkey": "i8", "pos": "u4", "n": "u4"}
