@@ -103,7 +103,7 @@ def compat_score(v: Views):
     return both.select("x.pos", F.col("y.pos").alias("other"), F.round(X.compatibility("x", "y"), 9).alias("score"))
 
 
-@query(f"""SELECT t.pos, CASE WHEN h.times_used IS NULL OR h.times_used = 0 OR h.last_used IS NULL THEN 1.0::DOUBLE
+@query(f"""SELECT t.pos, CASE WHEN h.times_used IS NULL OR h.last_used IS NULL THEN 1.0::DOUBLE
  ELSE round(greatest(0.0::DOUBLE, 1 - ln(h.times_used + 1) / ln(31.0::DOUBLE)) * least(1.0::DOUBLE, date_diff('day', h.last_used, DATE '{AS_OF}') / 30.0::DOUBLE), 9) END AS freshness
 FROM tracks t LEFT JOIN history h USING (pos)""")
 def freshness(v: Views):
@@ -111,6 +111,13 @@ def freshness(v: Views):
     return both.select("pos", F.round(X.freshness("times_used", "last_used", F.lit(AS_OF).cast("date")), 9).alias("freshness"))
 
 
+@query(f"""SELECT pos, round(least(1.0::DOUBLE, date_diff('day', last_used, DATE '{AS_OF}') / 30.0::DOUBLE) * CASE WHEN pos % 3 = 0 THEN 1 ELSE greatest(0.0::DOUBLE, 1 - ln(times_used + 1) / ln(31.0::DOUBLE)) END, 9) AS freshness FROM history""")
+def freshness_unused(v: Views):
+    """A third of the history with no use, but a date: only the date counts."""
+    rows = v.history.withColumn("times_used", F.when(F.col("pos") % 3 == 0, F.lit(0)).otherwise(F.col("times_used")))
+    return rows.select("pos", F.round(X.freshness("times_used", "last_used", F.lit(AS_OF).cast("date")), 9).alias("freshness"))
+
+
 @query("""SELECT pos, CASE WHEN bpm < 100 THEN 'Slow' WHEN bpm < 120 THEN 'Mid-Tempo' WHEN bpm <= 135 THEN 'Peak Hour' ELSE 'High Energy' END AS bpm_bucket,
  CASE WHEN rms_energy < 0.3 THEN 'Subtle' WHEN rms_energy < 0.5 THEN 'Groovy' WHEN rms_energy <= 0.7 THEN 'Energetic' ELSE 'Intense' END AS energy_bucket
 FROM tracks JOIN features USING (pos) WHERE bpm IS NOT NULL""")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segue.functions import exprs as X
-from segue.sources import flac
+from segue.sources import beats, flac
 
 RATE, WINDOW, HOP, SECONDS = 22050, 2048, 512, 300
 NAMES = (
@@ -86,39 +86,9 @@ def _median(s: np.ndarray, axis: int, width: int = 31) -> np.ndarray:
 
 
 def tempo(y: np.ndarray) -> float | None:
-    """Whole beats a minute, from the autocorrelation of the first minute's onsets; null for silence and scraps.
-
-    Lags are weighed by their distance in octaves from 120 beats a minute.
-    """
-    y = y[: 60 * RATE]
-    if len(y) < 100 or np.abs(y).max() < 1e-4:
-        return None
-    s = np.log1p(100 * np.abs(np.fft.rfft(frames_of(y) * np.hanning(WINDOW), axis=1)))
-    onset = np.maximum(0, np.diff(s, axis=0)).mean(axis=1) if len(s) > 1 else np.zeros(1)
-    onset = onset - onset.mean()
-    n = len(onset)
-    again = np.fft.irfft(np.abs(np.fft.rfft(onset, 2 * n)) ** 2)[:n]
-    lags = np.arange(1, n)
-    beats = 60.0 * RATE / HOP / lags
-    heard = (beats >= 30) & (beats <= 300)
-    if not heard.any() or again[0] <= 0:
-        return None
-    lags, beats = lags[heard], beats[heard]
-    score = again[lags] * np.exp(-0.5 * np.log2(beats / 120) ** 2)
-    at = int(lags[score.argmax()])
-    left, mid, right = again[at - 1], again[at], again[at + 1] if at + 1 < n else again[at]
-    bend = left - 2 * mid + right
-    shift = 0.5 * (left - right) / bend if bend < 0 else 0.0
-    found = float(round(60.0 * RATE / HOP / (at + np.clip(shift, -0.5, 0.5))))
-    return found if score.max() > 0 and found > 0 else None
-
-
-def _mel(n: int = 40) -> np.ndarray:
-    hz = np.fft.rfftfreq(WINDOW, 1 / RATE)
-    points = 700 * (10 ** (np.linspace(0, 2595 * np.log10(1 + RATE / 2 / 700), n + 2) / 2595) - 1)
-    rise = (hz[None] - points[:-2, None]) / np.diff(points)[:-1, None]
-    fall = (points[2:, None] - hz[None]) / np.diff(points)[1:, None]
-    return np.maximum(0, np.minimum(rise, fall))
+    """Whole beats a minute of the first minute; null for silence and scraps."""
+    bpm, _ = beats.beats(y[: 60 * RATE])
+    return float(round(bpm)) if bpm and round(bpm) > 0 else None
 
 
 def _share(s: np.ndarray, hz: np.ndarray, lo: float, hi: float) -> float:
@@ -142,7 +112,7 @@ def analyse(y: np.ndarray) -> dict:
     mask = struck**2 / np.maximum(steady**2 + struck**2, 1e-12)
     norm = lambda x: np.sqrt((x**2).mean())
     power = s**2 + 1e-10
-    mel = np.log(_mel() @ power + 1e-10)
+    mel = np.log(beats.mel(40, WINDOW) @ power + 1e-10)
     k = np.arange(mel.shape[0])
     dct = np.cos(np.pi * np.arange(13)[:, None] * (2 * k + 1) / (2 * len(k))) * np.sqrt(2 / len(k))
     upto = np.cumsum(s, axis=0)
