@@ -35,7 +35,7 @@ DEPTHS = (0.125, 0.5, 0.75, 0.9, 1.0)
 #: Queries and candidates that meet at once; candidates of a cell; cells of the first wave, and of the next for each before.
 QUERIES_IN_BLOCK, ROWS_IN_BLOCK, ROWS_IN_CELL, WAVE, GROWTH = 1024, 4096, 16384, 64, 7
 
-#: A query stops when so many candidates for each of the k, or this share of the block, are left to resolve.
+#: A query stops when so many candidates for each of the k (a quarter of the block at most), or this share of the block, are left to resolve.
 FEW, SHARE = 4, 1 / 16
 
 LEAST = np.iinfo(np.int64).min + 1
@@ -89,7 +89,7 @@ def best_of_block(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: n
         kth = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(open_), nothing)
         kth = np.maximum(kth, floor[open_])
         alive = upper >= kth
-        done = np.ones(len(open_), bool) if depth == n else alive.sum(axis=0) <= max(FEW * k, SHARE * n)
+        done = np.ones(len(open_), bool) if depth == n else alive.sum(axis=0) <= max(min(FEW * k, n / 4), SHARE * n)
         for j in np.flatnonzero(done).tolist():
             i = open_[j]
             at = np.flatnonzero(alive[:, j])

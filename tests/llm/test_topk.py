@@ -50,6 +50,17 @@ def test_lists_stop_early():
         assert at.tolist() == want.tolist() and s.tolist() == (x @ q[i])[want].tolist()
 
 
+def test_small_blocks_are_read_too():
+    """A block of fewer rows than are resolved at once is still narrowed by its lists."""
+    rng = np.random.default_rng(6)
+    x, q = rng.integers(-50, 50, (60, 8)), rng.integers(-50, 50, (10, 8))
+    best, read = topk.best_of_block(q, np.arange(-10, 0), x, np.arange(60), np.arange(60), 20, np.full(10, topk.LEAST))
+    assert (read > topk.DEPTHS[1]).all()
+    for i, (at, s) in enumerate(best):
+        want = np.lexsort([np.arange(60), -(x @ q[i])])[:20]
+        assert at.tolist() == want.tolist() and s.tolist() == (x @ q[i])[want].tolist()
+
+
 @pytest.mark.parametrize("top", [3, 1 << 20, 1 << 29])
 def test_numbers_of_any_size(top):
     rng = np.random.default_rng(4)
