@@ -45,7 +45,7 @@ ANCHOR, SECOND = 16, 32
 KEY = np.uint64((1 << 48) - 1)
 
 #: Bytes of a text that are looked at at once; windows of a piece; pieces held in a task.
-SEGMENT, LONGEST, HELD = 1 << 22, 2048, 1 << 18
+SEGMENT, LONGEST, HELD = 1 << 22, 2048, 1 << 17
 
 #: Pieces of a shard, on average; an anchor is hot with so many holders, and this share of all.
 IN_SHARD, HOT, HOT_SHARE = 1 << 16, 4096, 1 / (1 << 18)
@@ -218,6 +218,13 @@ def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tkey"), pa.array([None if t is None else packed(t) for t in texts], pa.binary())], ["doc_id", "tkey", "packed"])
 
 
+def _in_parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, so that less text is unpacked at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _texts(column: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unpacked(t) for t in column.to_pylist()], pa.large_binary())
 
@@ -292,7 +299,7 @@ def _send_pieces(buckets: int, width: int, hot):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box = Pieces(buckets, width)
         hot_keys = hot.value
-        for batch in batches:
+        for batch in _in_parts(batches):
             ids, tkeys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tkey"))
             lists = batch.column("keys").to_pylist()
             for run in runs(_texts(batch.column("packed"))):
@@ -435,7 +442,7 @@ DEDUPED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 def _strip(width: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _in_parts(batches):
             tkeys = batch.column("tkey").to_pylist()
             lists = [[x["starts"] for x in some or () if x["tkey"] == k] for some, k in zip(batch.column("late").to_pylist(), tkeys, strict=True)]
             for run in runs(_texts(batch.column("packed"))):
