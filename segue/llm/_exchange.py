@@ -48,8 +48,9 @@ def pack(fields: Fields, bucket: np.ndarray) -> pa.RecordBatch | None:
 class Outbox:
     """Collects entries; ``full``/``close`` hand out packed batches."""
 
-    def __init__(self, dtypes: dict[str, str], buckets: int, combine: Callable[[Fields], tuple[Fields, np.ndarray]]):
+    def __init__(self, dtypes: dict[str, str], buckets: int, combine: Callable[[Fields], tuple[Fields, np.ndarray]], held: int | None = None):
         self.dtypes, self.buckets, self.combine = dtypes, buckets, combine
+        self.held = HELD if held is None else held
         self.parts: list[Fields] = []
         self.n = 0
 
@@ -67,7 +68,7 @@ class Outbox:
                 yield batch
 
     def full(self) -> Iterator[pa.RecordBatch]:
-        if self.n >= HELD:
+        if self.n >= self.held:
             yield from self.close()
 
 

@@ -44,8 +44,8 @@ ANCHOR, SECOND = 16, 32
 #: Bits of an anchor that are kept: two of a bucket that agree in them are taken for one, and the bytes tell.
 KEY = np.uint64((1 << 48) - 1)
 
-#: Bytes of a text that are looked at at once; windows of a piece; pieces held in a task.
-SEGMENT, LONGEST, HELD = 1 << 22, 2048, 1 << 17
+#: Bytes of a text that are looked at at once; windows of a piece; pieces and anchors held in a task.
+SEGMENT, LONGEST, HELD, ANCHORS_HELD = 1 << 22, 2048, 1 << 15, 1 << 18
 
 #: Pieces of a shard, on average; an anchor is hot with so many holders, and this share of all.
 IN_SHARD, HOT, HOT_SHARE = 1 << 16, 4096, 1 / (1 << 18)
@@ -176,7 +176,7 @@ def _send_anchors(buckets: int, width: int):
     k = spans_of(width)[0]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        box = Outbox(ANCHORS, buckets, _combine_anchors)
+        box = Outbox(ANCHORS, buckets, _combine_anchors, ANCHORS_HELD)
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for run in runs(batch.column("text")):
@@ -323,6 +323,7 @@ def _send_pieces(buckets: int, width: int, hot):
                     if box.held >= HELD:
                         yield from box.close()
         yield from box.close()
+        pa.default_memory_pool().release_unused()
 
     return work
 
@@ -413,6 +414,7 @@ def _shard(width: int):
             at = mine[lo[of] + step]
             late.append({"doc": asks["doc"][at], "tkey": asks["tkey"][at], "pos": asks["pos"][at] + place[of], "n": np.ones(len(at), np.int64)})
         out = _merged({c: np.concatenate([p[c] for p in late]) for c in ("doc", "tkey", "pos", "n")})
+        pa.default_memory_pool().release_unused()
         return grouped([out["doc"], out["tkey"]], out["pos"].astype(np.uint64) << np.uint64(32) | out["n"].astype(np.uint64), ["doc_id", "tkey", "starts"])
 
     return work
