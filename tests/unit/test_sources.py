@@ -67,7 +67,7 @@ def test_folder_with_cache(spark, tmp_path):
     (tmp_path / "b.WAV").write_bytes(b"not audio")
     (tmp_path / "c.mp3").write_bytes(b"x")
     rows = {r.path.rsplit("/", 1)[-1]: r for r in audio.features(spark, str(tmp_path)).collect()}
-    assert set(rows) == {"a.wav", "b.WAV"} and rows["a.wav"].error is None and rows["b.WAV"].error
+    assert set(rows) == {"a.wav", "b.WAV", "c.mp3"} and rows["a.wav"].error is None and rows["b.WAV"].error and rows["c.mp3"].error
     cache = spark.createDataFrame([rows["a.wav"]], audio.SCHEMA).withColumn("rms_energy", audio.F.lit(0.125))
     again = {r.path.rsplit("/", 1)[-1]: r for r in audio.features(spark, str(tmp_path), cache).collect()}
     assert again["a.wav"].rms_energy == 0.125 and again["b.WAV"].error
