@@ -211,4 +211,28 @@ def op13_vector_codes(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op13_vector_codes": op13_vector_codes}
-ORACLE: dict[str, str] = {}
+_GAP = "list_sum(list_transform(list_zip(a.x, b.c), lambda q: (q[1] - q[2]) * (q[1] - q[2])))"
+
+
+def _round_sql(k: int) -> str:
+    """Assignment to the entries of round k, and the entries after it."""
+    return f"""near{k} AS (SELECT vec_id, label, p, x, k, d FROM (SELECT a.*, b.k, {_GAP} AS d, row_number() OVER (PARTITION BY a.vec_id, a.p ORDER BY {_GAP}, b.k) AS r FROM parts a JOIN book{k} b ON a.p = b.p) WHERE r = 1),
+sums{k} AS (SELECT p, k, j, CAST(floor(CAST(sum(x[j]) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM (SELECT p, k, x, unnest(range(1, len(x) + 1)) AS j FROM near{k}) GROUP BY p, k, j),
+book{k + 1} AS (SELECT b.p, b.k, coalesce(n.c, b.c) AS c FROM book{k} b LEFT JOIN (SELECT p, k, list(m ORDER BY j) AS c FROM sums{k} GROUP BY p, k) n ON n.p = b.p AND n.k = b.k)"""
+
+
+ORACLE = {
+    "op13_vector_codes": f"""
+WITH good AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, label, p, v[p * (len(v) // {PARTS}) + 1 : (p + 1) * (len(v) // {PARTS})] AS x FROM good, range({PARTS}) t(p)),
+book0 AS (SELECT p, k, x AS c FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k FROM parts) WHERE k < {ENTRIES}),
+{_round_sql(0)},
+{_round_sql(1)},
+{_round_sql(2)},
+codes AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near2 GROUP BY vec_id),
+sha AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM book2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM codes, sha
+"""
+}
