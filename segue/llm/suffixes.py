@@ -241,7 +241,7 @@ class Pieces:
 
     def add(self, data: np.ndarray, at: np.ndarray, **fields: np.ndarray) -> None:
         self.fields.append(fields)
-        self.data.append(gather(data, at, fields["size"].astype(np.int64)))
+        self.data.append(cut_out(data, at, fields["size"].astype(np.int64)))
         self.held += len(at)
 
     def close(self) -> Iterator[pa.RecordBatch]:
@@ -317,11 +317,12 @@ def _send_pieces(buckets: int, width: int, hot):
                         one_at = at[is_hot][of] + step
                         whole = span_hashes(s.codes, one_at, one_at + width)
                         key, row, pos, at, n = (np.concatenate([v[~is_hot], w]) for v, w in ((key, whole), (row, row[is_hot][of]), (pos, pos[is_hot][of] + step), (at, one_at), (n, np.ones(len(of), np.int64))))
-                    if len(key):
-                        spot = run.first + row
-                        box.add(data, at, key=key, size=n + width - 1, doc=ids[spot], tkey=tkeys[spot], pos=begin + pos)
-                    if box.held >= HELD:
-                        yield from box.close()
+                    for k0 in range(0, len(key), HELD):
+                        part = slice(k0, k0 + HELD)
+                        spot = run.first + row[part]
+                        box.add(data, at[part], key=key[part], size=n[part] + width - 1, doc=ids[spot], tkey=tkeys[spot], pos=begin + pos[part])
+                        if box.held >= HELD:
+                            yield from box.close()
         yield from box.close()
         pa.default_memory_pool().release_unused()
 
