@@ -440,10 +440,11 @@ def late_windows(docs: DataFrame, dealt: DataFrame, scratch: Scratch, width: int
     return late.groupBy("doc_id").agg(F.collect_list(F.struct("tkey", "starts")).alias("late"))
 
 
-DEDUPED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>"
+DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+DEDUPED = f"{DIGESTS}, kept binary, spans array<struct<start:long,end:long>>"
 
 
-def _strip(width: int):
+def _strip(width: int, texts: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _in_parts(batches):
             tkeys = batch.column("tkey").to_pylist()
@@ -465,8 +466,10 @@ def _strip(width: int):
                     kept = data[~gone].tobytes()
                     rows.append((len(data), int(gone.sum()), len(edge) // 2, hashlib.sha256(kept).hexdigest(), kept, [{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()]))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(run.first, run.rows), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
+                told = 6 if texts else 4
+                columns = [pa.array(c, t) for c, t in list(zip(zip(*rows, strict=True), kinds, strict=True))[:told]]
+                names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(run.first, run.rows), *columns], ["doc_id", *names[:told]])
 
     return work
 
@@ -479,8 +482,8 @@ def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(did, text).select("doc_id", "text", F.xxhash64("text").alias("tkey"))
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans.
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, texts: bool = True) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``texts`` kept, spans.
 
     Bytes are those of the text in UTF-8. ``spans`` are the maximal removed
     runs (start, end); ``kept`` is what remains, null where nothing is removed;
@@ -501,11 +504,11 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     # the documents are dealt by id once, for their anchors and for what is late
     both = dealt.join(late, "doc_id", "left").select("doc_id", "tkey", "packed", "late")
     rest = own.where("doc_id IS NULL").mapInArrow(_pack_texts, pack).withColumn("late", F.lit(None).cast(late.schema["late"].dataType))
-    return scratch.result(both.union(rest).mapInArrow(_strip(width), DEDUPED))
+    return scratch.result(both.union(rest).mapInArrow(_strip(width, texts), DEDUPED if texts else DIGESTS))
 
 
 def op11_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents")).drop("kept", "spans")
+    return dedup(table(spark, sf_dir, "documents"), texts=False)
 
 
 QUERIES = {"op11_suffix_dedup": op11_suffix_dedup}
