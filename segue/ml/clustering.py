@@ -13,11 +13,13 @@ population's.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,46 +62,97 @@ def weighted(rows: DataFrame, weights: np.ndarray) -> DataFrame:
     return rows.withColumn("x", F.array(*[F.get("z", F.lit(j)) * float(w) for j, w in enumerate(np.sqrt(weights))]))
 
 
+#: Vectors of a block, at most; sums of more numbers meet in a shuffle, of fewer on the driver.
+BLOCK_ROWS, MOST_SUMS = 1 << 14, 1 << 14
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors and weights as blocks of bytes, so that a pass reads matrices."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK_ROWS):
+            part = batch.slice(at, BLOCK_ROWS)
+            x = part.column("v").flatten().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(c, np.float64).tobytes()], pa.binary()) for c in (x, part.column("w").to_numpy(zero_copy_only=False))], ["x", "w"])
+
+
 class Points:
     """A column of vectors to pass over again and again, equal ones as one with a weight.
 
     Up to ``IN_MEMORY`` distinct vectors they are held as one matrix here;
-    beyond, every pass is a job over the rows. Either way a pass does the same.
+    beyond, every pass is a job over blocks of them. Either way a pass does the same.
     """
 
     def __init__(self, rows: DataFrame, column: str):
         self.rows = rows.groupBy(F.col(column).alias("v")).agg(F.count("*").cast("double").alias("w")).persist()
-        head = self.rows.limit(IN_MEMORY + 1).toArrow().combine_chunks()
-        self.local = None
-        if len(head) <= IN_MEMORY:
+        self.local, self.blocks, self.scale = None, None, None
+        if self.rows.count() <= IN_MEMORY:
+            head = self.rows.toArrow().combine_chunks()
             v = head.column("v").combine_chunks()
             width = len(v[0]) if len(v) else 0
             x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), width)
             order = np.lexsort(x.T[::-1]) if width else np.arange(len(v))
             self.local = x[order], head.column("w").to_numpy()[order]
+        else:
+            self.blocks = self.rows.mapInArrow(_blocks, "x binary, w binary").rdd.map(tuple).persist()
 
     def __enter__(self) -> Points:
         return self
 
     def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
         self.rows.unpersist()
+        if self.blocks is not None:
+            self.blocks.unpersist()
+
+    def times(self, scale: np.ndarray) -> Points:
+        """The same vectors with their components times numbers other than 0; what is kept stays this one's."""
+        out = copy(self)
+        out.scale = scale if self.scale is None else self.scale * scale
+        out.rows = self.rows.withColumn("v", F.array(*[F.get("v", F.lit(j)) * float(c) for j, c in enumerate(scale)]))
+        out.local = None if self.local is None else (self.local[0] * scale, self.local[1])
+        return out
+
+    def each_block(self, work):
+        """What ``work`` (iterator of matrices and weights -> iterator) gives for all tasks' blocks, as an RDD."""
+        scale = self.scale
+
+        def task(blocks):
+            def read():
+                for x, w in blocks:
+                    w = np.frombuffer(w)
+                    x = np.frombuffer(x).reshape(len(w), -1)
+                    yield (x if scale is None else x * scale), w
+
+            return work(read())
+
+        return self.blocks.mapPartitions(task)
 
     def sums(self, work, size: int) -> np.ndarray:
         """The sum over tasks of ``work`` (matrix, weights -> array of a fixed size)."""
         if self.local is not None:
             return np.asarray(work(*self.local), float) if len(self.local[0]) else np.zeros(size)
 
-        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def whole(blocks):
             total = np.zeros(size)
-            for batch in batches:
-                if len(batch):
-                    total += work(np.stack(batch["v"].to_numpy()), batch["w"].to_numpy())
-            used = np.flatnonzero(total)
-            yield pd.DataFrame({"k": used.astype(np.int32), "s": total[used]})
+            for x, w in blocks:
+                total += work(x, w)
+            return total
+
+        if size <= MOST_SUMS:
+            return sum(self.each_block(lambda blocks: [whole(blocks)]).collect(), np.zeros(size))
+
+        def parts(blocks):
+            total = whole(blocks)
+            for at in range(0, size, MOST_SUMS):
+                part = total[at : at + MOST_SUMS]
+                if part.any():
+                    yield at, part
 
-        out = self.rows.mapInPandas(each, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).toPandas()
         found = np.zeros(size)
-        found[out.k.to_numpy()] = out.s.to_numpy()
+        for at, part in self.each_block(parts).reduceByKey(lambda a, b: a + b).collect():
+            found[at : at + len(part)] = part
         return found
 
     def first_by(self, key, models: int) -> list[np.ndarray]:
@@ -107,14 +160,8 @@ class Points:
         least = lambda x, w: [(m, float(k[at]), x[at].tolist()) for m, k in enumerate(key(x, w).T) for at in [int(k.argmin())]]
         if self.local is not None:
             return [np.array([v]) for _, _, v in least(*self.local)]
-
-        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    yield pd.DataFrame(least(np.stack(batch["v"].to_numpy()), batch["w"].to_numpy()), columns=["m", "key", "v"])
-
-        out = self.rows.mapInPandas(each, "m int, key double, v array<double>").groupBy("m").agg(F.min_by("v", "key").alias("v")).orderBy("m").collect()
-        return [np.array([r.v]) for r in out]
+        out = self.each_block(lambda blocks: (r for block in blocks for r in least(*block))).map(lambda r: (r[0], r[1:])).reduceByKey(min).collect()
+        return [np.array([v]) for _, (_, v) in sorted(out)]
 
     def drawn(self, chance, models: int) -> list[np.ndarray]:
         """For each model the rows whose draw comes out; ``chance`` is (matrix, weights -> rows x models, true for those)."""
@@ -122,17 +169,13 @@ class Points:
             x, _ = self.local
             return [x[hit] for hit in chance(*self.local).T]
 
-        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    x = np.stack(batch["v"].to_numpy())
-                    at, m = np.nonzero(chance(x, batch["w"].to_numpy()))
-                    if len(at):
-                        yield pd.DataFrame({"m": m.astype(np.int32), "v": x[at].tolist()})
+        def hits(blocks):
+            for x, w in blocks:
+                for at, m in np.argwhere(chance(x, w)).tolist():
+                    yield m, x[at].tolist()
 
-        out = self.rows.mapInPandas(each, "m int, v array<double>").collect()
-        found = [np.array(sorted(r.v for r in out if r.m == m)) for m in range(models)]
-        return found
+        out = self.each_block(hits).collect()
+        return [np.array(sorted(v for k, v in out if k == m)) for m in range(models)]
 
 
 def covariance(points: Points, d: int) -> tuple[int, np.ndarray, np.ndarray]:
@@ -235,12 +278,12 @@ def _pca_weights(points: Points, d: int, boots: int, seed: int) -> tuple[np.ndar
     return weights, width
 
 
-def choose_weights(rows: DataFrame, n: int, genre: str | None = None, overrides: np.ndarray | None = None) -> tuple[np.ndarray, str]:
-    """Overrides, else stable PCA weights, else the genre's, else all equal."""
+def choose_weights(rows: DataFrame, n: int, genre: str | None = None, overrides: np.ndarray | None = None, points: Points | None = None) -> tuple[np.ndarray, str]:
+    """Overrides, else stable PCA weights, else the genre's, else all equal. ``points`` are the rows' z, where there are some already."""
     if overrides is not None:
         return overrides, "user"
     if n >= LEAST_FOR_PCA:
-        weights, width = pca_weights(rows)
+        weights, width = pca_weights(rows) if points is None else _pca_weights(points, len(SPACE), BOOTSTRAPS, 42)
         if width <= MOST_CI:
             return weights, "pca"
     if genre is not None:
@@ -577,12 +620,16 @@ def choose_k(rows: DataFrame, n: int, *, column: str = "x", least: int = 2, most
     if not ks:
         return least, {}
     with Points(rows, column) as points:
-        models = _fit(points, ks, restarts, 60, 42)
-        drops = np.abs(np.diff([models[k].inertia for k in ks]))
-        elbow = least + int(np.argmax(drops)) if len(drops) else least
-        single = [-1.0] * (ks[0] < 2)
-        choices = lambda low, high: _choices(ks, single + list(low), single + list(high), elbow)
-        low, high = silhouettes(points, [models[k].centers for k in ks if k > 1], lambda low, high: len(choices(low, high)) == 1)
+        return _choose_k(points, ks, least, wanted, restarts)
+
+
+def _choose_k(points: Points, ks: list[int], least: int, wanted: int | None, restarts: int) -> tuple[int, dict[int, KMeans]]:
+    models = _fit(points, ks, restarts, 60, 42)
+    drops = np.abs(np.diff([models[k].inertia for k in ks]))
+    elbow = least + int(np.argmax(drops)) if len(drops) else least
+    single = [-1.0] * (ks[0] < 2)
+    choices = lambda low, high: _choices(ks, single + list(low), single + list(high), elbow)
+    low, high = silhouettes(points, [models[k].centers for k in ks if k > 1], lambda low, high: len(choices(low, high)) == 1)
     k = min(choices(low, high))
     return (wanted if wanted and abs(wanted - k) <= 2 else k), models
 
@@ -667,27 +714,33 @@ def cluster(known: DataFrame, *, k: int | None = None, genre: str | None = None,
     rows = rows.persist()
     n = rows.count()
     given = apply_overrides(np.full(len(SPACE), 1 / len(SPACE)), overrides) if overrides else None
-    weights, source = choose_weights(rows, n, genre, given)
+    shared = Points(rows, "z")
+    weights, source = choose_weights(rows, n, genre, given, shared)
     placed = weighted(rows, weights)
     if extra is not None:
         placed = placed.join(extra, "pos").withColumn("x", F.concat(F.transform("x", lambda x: x * 0.70), F.transform("block", lambda x: x * 0.30))).drop("block")
         source = "block_pca"
     placed = placed.persist()
+    # distinct z are distinct x where no weight is 0
+    points = shared.times(np.sqrt(weights)) if extra is None and (weights > 0).all() else Points(placed, "x")
     duration = known.agg(F.sum(F.coalesce("duration", F.lit(0.0)))).first()[0] or 0.0
     if k is None:
-        k, models = choose_k(placed, n, least=least, most=most, wanted=constraint(n, duration, least, most, target_tracks, target_duration), restarts=restarts)
+        ks = list(range(least, min(most + 1, n)))
+        k, models = _choose_k(points, ks, least, constraint(n, duration, least, most, target_tracks, target_duration), restarts) if ks else (least, {})
     else:
         k, models = max(least, min(k, n)), {}
-    model = models.get(k) or fit(placed, [k], restarts=restarts)[k]
+    model = models.get(k) or _fit(points, [k], restarts, 60, 42)[k]
     first = assign(placed, model.centers)
     spread = model.centers[:, : len(SPACE)].var(axis=0)
     importance = np.tile(spread / spread.sum() if spread.sum() > 0 else np.full(len(SPACE), 1 / len(SPACE)), (k, 1))
     labelled = first.withColumn("cluster_id", F.col("label").cast("string"))
     if use_ewkm and extra is None and n >= LEAST_FOR_EWKM:
-        centers, used, importance = ewkm(placed, model.centers / np.sqrt(np.maximum(weights, 1e-12)), start=weights)
+        centers, used, importance = _ewkm(shared, model.centers / np.sqrt(np.maximum(weights, 1e-12)), 1.0, MOST_TURNS, weights)
         labelled = assign(first.withColumnRenamed("label", "nearest"), centers, "z", used).withColumn("cluster_id", F.col("label").cast("string"))
         if dedup == "reference":
             labelled = labelled.where("label = nearest")
+    points.close()
+    shared.close()
     return Clustering(labelled.select("pos", "cluster_id", "z", "x"), model.centers, importance, source)
 
 
@@ -697,7 +750,7 @@ def per_genre(known: DataFrame, **options) -> DataFrame:
     ``known`` has ``resolved``, the genre of each track; genres are few.
     """
     least = options.get("least", 2)
-    out = None
+    known, out = known.persist(), None
     for r in sorted(known.where("bpm IS NOT NULL").groupBy("resolved").count().collect(), key=lambda r: r.resolved):
         rows = known.where(F.col("resolved") == r.resolved)
         if r["count"] < max(least, 3):

@@ -87,3 +87,49 @@ def test_equal_rows_are_drawn_each_for_itself(spark):
     base = rng.normal(0, 1, (50, len(M.SPACE))) @ rng.normal(0, 1, (len(M.SPACE),) * 2)
     widths = [M.pca_weights(spark.createDataFrame([(r.tolist(),) for r in np.repeat(base, n, axis=0)], "z array<double>"), boots=60)[1] for n in (1, 40)]
     assert widths[1] < widths[0] / 3
+
+
+def test_a_round_beyond_memory_is_one_stage(spark, monkeypatch):
+    """Rounds over blocks move no rows: each is a job of one stage, and gives what a matrix in memory does."""
+    x = np.random.default_rng(2).normal(0, 1, (500, 3))
+    rows = spark.createDataFrame([(r.tolist(),) for r in np.concatenate([x, x[:50]])], "x array<double>").repartition(4)
+    work = lambda x, w: np.concatenate([[w.sum()], w @ x])
+    with M.Points(rows, "x") as near:
+        want = [p.sums(work, 4) for p in (near, near.times(np.array([1.0, -2.0, 0.5])))]
+    monkeypatch.setattr(M, "IN_MEMORY", 10)
+    sc = spark.sparkContext
+    with M.Points(rows, "x") as far:
+        assert far.local is None
+        far.sums(work, 4)
+        sc.setJobGroup("rounds", "rounds")
+        got = [p.sums(work, 4) for p in (far, far.times(np.array([1.0, -2.0, 0.5])))]
+        jobs = sc.statusTracker().getJobIdsForGroup("rounds")
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        assert np.allclose(got, want)
+        told = sc.statusTracker()
+        ran = [i for i in (told.getStageInfo(s) for j in jobs for s in told.getJobInfo(j).stageIds) if i is not None and i.numCompletedTasks]
+        assert len(jobs) == 2 and len(ran) == 2  # those that gave the rows are skipped
+        monkeypatch.setattr(M, "MOST_SUMS", 3)  # more sums than are sent whole meet in a shuffle
+        assert np.allclose(far.sums(work, 4), want[0])
+        again = M.silhouettes(far, [np.zeros((1, 3)), np.array([[1.0] * 3, [-1.0] * 3])])
+        assert again[0][0] == -1.0
+
+
+def test_a_clustering_beyond_memory_groups_its_rows_once(spark, monkeypatch):
+    """Weights, fit and refinement pass over the same vectors."""
+    rng = np.random.default_rng(4)
+    at = np.repeat(rng.normal(0, 5, (3, len(M.SPACE))), 100, axis=0) + rng.normal(0, 1, (300, len(M.SPACE)))
+    known = spark.createDataFrame([(k, 60.0, *r.tolist()) for k, r in enumerate(at)], f"pos long, duration double, {', '.join(f'{c} double' for c in M.SPACE)}")
+    made, plain = [], M.Points.__init__
+    monkeypatch.setattr(M.Points, "__init__", lambda self, *a: made.append(a[1]) or plain(self, *a))
+    led = {}
+    for held in (1 << 16, 50):
+        monkeypatch.setattr(M, "IN_MEMORY", held)
+        made.clear()
+        out = M.cluster(known, k=3, restarts=3, dedup="keep").labelled.select("pos", "cluster_id").collect()
+        assert made == ["z"]
+        groups = {}
+        for r in out:
+            groups.setdefault(r.cluster_id, set()).add(r.pos)
+        led[held] = sorted(map(sorted, groups.values()))
+    assert led[50] == led[1 << 16] and [len(g) for g in led[50]] == [100, 100, 100]
