@@ -6,12 +6,14 @@ executors share; a local folder is set only where the session names none.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
 import weakref
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,12 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def free(self) -> None:
+        """Lets Spark drop the shuffles of what is written by now, as it does when the driver's objects go; and what the driver itself no longer needs."""
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        self.spark.sparkContext._jvm.System.gc()
+
     def result(self, df: DataFrame) -> DataFrame:
         out = df.checkpoint(eager=True)
         self.drop()

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import induction
@@ -146,6 +146,21 @@ def _keys(x: dict) -> np.ndarray:
     return x["key_high"].astype(np.uint64) << np.uint64(32) | x["key"]
 
 
+def _narrow(blobs: pa.Array) -> pa.Array:
+    """Lists of anchors in the six bytes of each that are kept."""
+    cuts = np.frombuffer(blobs.buffers()[1], np.int32)[: len(blobs) + 1] // 8 * 6
+    data = np.frombuffer(blobs.buffers()[2] or b"", np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(blobs), [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(data.reshape(-1, 8)[:, :6].tobytes())])
+
+
+def _wide(blobs: list[bytes]) -> np.ndarray:
+    """The anchors of lists of six bytes each."""
+    data = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(data), 8), np.uint8)
+    out[:, :6] = data
+    return out.view(np.uint64).ravel()
+
+
 def _split(doc: np.ndarray) -> dict:
     bits = doc.astype(np.int64).view(np.uint64)
     return {"doc": (bits & np.uint64(0xFFFFFFFF)).astype(np.uint32), "doc_high": (bits >> np.uint64(32)).astype(np.uint32)}
@@ -164,7 +179,8 @@ def _shared_anchors(x: dict) -> pa.Table:
     first, last = first_of(k), last_of(k)
     found = (done[order] == 0) & (d[first] != d[last])
     out = grouped([np.concatenate([doc[~asked], d[found]])], np.concatenate([key[~asked], k[found]]), ["doc_id", "keys"])
-    out = out.append_column("n", pa.array(np.array([len(b) // 8 for b in out.column("keys").to_pylist()], np.int64)))
+    keys = _narrow(out.column("keys").combine_chunks() if out.num_rows else pa.array([b""], pa.binary()).slice(0, 0))
+    out = pa.table({"doc_id": out.column("doc_id"), "keys": keys, "n": pa.array(np.array([len(b) // 6 for b in keys.to_pylist()], np.int64))})
     heads = np.flatnonzero(first == np.arange(len(k)))
     sums = np.add.reduceat(n[order].astype(np.int64), heads) if len(heads) else np.empty(0, np.int64)
     many = sums >= HOT
@@ -303,7 +319,7 @@ def _send_pieces(buckets: int, width: int, hot):
             ids, tkeys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tkey"))
             lists = batch.column("keys").to_pylist()
             for run in runs(_texts(batch.column("packed"))):
-                known = [np.frombuffer(b"".join(lists[run.first + r]), np.uint64) for r in range(run.rows)]
+                known = [_wide(lists[run.first + r]) for r in range(run.rows)]
                 rows = np.repeat(np.arange(run.rows), [len(x) for x in known])
                 shared = np.unique(np.concatenate(known) ^ mix64(rows.astype(np.uint64) * salt))
                 for begin, data, offsets in segments(run, width):
@@ -429,6 +445,7 @@ def late_windows(docs: DataFrame, dealt: DataFrame, scratch: Scratch, width: int
     spark = docs.sparkSession
     sent = docs.select("doc_id", "text").mapInArrow(_send_anchors(128, width), schema_of(ANCHORS))
     found = scratch.keep(exchange(sent, ANCHORS, _shared_anchors, "doc_id long, keys binary, n long"))
+    scratch.free()  # what the anchors were dealt with
     asked = found.where("doc_id IS NOT NULL")
     total = asked.agg(F.sum("n")).first()[0] or 0
     hot = found.where("doc_id IS NULL").where(F.col("n") >= max(HOT, int(total * HOT_SHARE))).select("keys").toArrow()
@@ -500,6 +517,8 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     own = rows_of(docs, id_col, text_col)
     named, pack = own.where("doc_id IS NOT NULL"), "doc_id long, tkey long, packed binary"
     dealt = named.mapInArrow(_pack_texts, pack).where("doc_id IS NOT NULL")  # as a join asks, so that both joins read one exchange
+    alone = F.count("*").over(Window.partitionBy("doc_id")) == 1
+    dealt = dealt.withColumn("tkey", F.when(alone, F.lit(0)).otherwise(F.col("tkey")))  # no key where there is nothing to tell apart
     late = late_windows(named, dealt, scratch, width)
     # the documents are dealt by id once, for their anchors and for what is late
     both = dealt.join(late, "doc_id", "left").select("doc_id", "tkey", "packed", "late")

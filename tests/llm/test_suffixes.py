@@ -133,3 +133,22 @@ def test_queues_spill_and_files_go(tmp_path, monkeypatch):
     again = induction.suffix_array(text, str(tmp_path))
     assert np.array_equal(order, again[0]) and np.array_equal(lcp, again[1])
     assert max(spilled) > 0 and not list(tmp_path.iterdir())
+
+
+def test_lists_of_anchors_take_six_bytes_each():
+    keys = np.array([0, 1, 255, 1 << 20, (1 << 48) - 1], np.uint64)
+    lists = suffixes.pa.array([keys[:2].tobytes(), b"", keys[2:].tobytes()], suffixes.pa.binary())
+    for part, want in ((lists, [keys[:2], keys[:0], keys[2:]]), (lists.slice(0, 0), [])):
+        narrow = suffixes._narrow(part).to_pylist()
+        assert [len(x) for x in narrow] == [6 * len(w) for w in want]
+        assert all(np.array_equal(suffixes._wide([x]), w) for x, w in zip(narrow, want, strict=True))
+    assert np.array_equal(suffixes._wide([]), keys[:0])
+
+
+def test_shuffles_of_anchors_go_before_pieces_are_dealt(spark, monkeypatch):
+    """What the anchors were dealt with is let go of as soon as they are written."""
+    calls, free, send = [], suffixes.Scratch.free, suffixes._send_pieces
+    monkeypatch.setattr(suffixes.Scratch, "free", lambda self: calls.append("free") or free(self))
+    monkeypatch.setattr(suffixes, "_send_pieces", lambda *a: calls.append("send") or send(*a))
+    compare(spark, passages(5, "abc", 20))
+    assert calls == ["free", "send"]
