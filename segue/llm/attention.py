@@ -14,8 +14,8 @@ The attention part starts from a few texts, then all training rows are learned
 from: each task goes on from that start over its own rows, whole texts in
 windows. Every subword counts for one distribution, drawn by its part in the
 subword's probability, and the counts of all rows together make the
-distributions (stochastic expectation maximisation); one window in ``EVERY`` of each row also makes steps of
-attention and gates, and the tasks' changes are averaged by use.
+distributions (stochastic expectation maximisation). Every window of each row makes steps of
+attention and gates, too, and the tasks' changes are averaged by use.
 
 Texts are scored in overlapping windows: each block of ``BLOCK`` subwords
 attends to itself and the block before, so every subword is scored once.
@@ -51,8 +51,8 @@ HEAD = 1 << 19
 #: Bounds of what the attention part starts from, before it learns from all rows: texts, and characters of one.
 SAMPLE, SAMPLE_TEXT = 700, 20_000
 
-#: Of a text's windows, one in so many makes steps of attention and gates; all add to the distributions.
-EVERY = 16
+#: Windows of a step of a learning task.
+STEP = 1024
 
 #: Bytes of text that a learning task has at least, where that leaves every core a task.
 LEARN_BYTES = 32 << 20
@@ -142,13 +142,6 @@ class Net:
             p[which] = part @ one / (g @ one)
         return np.log10(p)
 
-    def draw(self, ids: np.ndarray, first: np.ndarray, rng: np.random.Generator, drawn: np.ndarray) -> None:
-        """Adds to ``drawn``, for each subword, one to a distribution drawn by its part in the subword's probability."""
-        for _, wanted, _, part in self.slabs(ids, first):
-            np.cumsum(part, axis=1, out=part)
-            spot = (part < (rng.random(len(part), np.float32) * part[:, -1])[:, None]).sum(axis=1)
-            np.add.at(drawn.ravel(), wanted * part.shape[1] + np.minimum(spot, part.shape[1] - 1), np.float32(1))
-
 
 def layout(ids: np.ndarray, first: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
     """Blocks of what is given at each place, the subword before, with a block
@@ -170,14 +163,14 @@ def causal_bias(free: np.ndarray) -> np.ndarray:
     return np.where(gap >= 0, free[np.clip(gap, 0, 2 * BLOCK - 1)], -np.inf).astype(np.float32)
 
 
-def windows(ids: np.ndarray, first: np.ndarray, size: int, every: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows(ids: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Windows of a block and the one before it: all their keys, the block's, the
-    subwords wanted, and which are real. Of texts' blocks in a row, one in ``every``."""
+    subwords wanted, and which are real."""
     given, place = layout(ids, first, size - 1)
     wanted, real = np.zeros(given.size, np.int32), np.zeros(given.size, bool)
     wanted[place], real[place] = ids, True
     wanted, real = wanted.reshape(given.shape), real.reshape(given.shape)
-    at = np.flatnonzero(real[:, 0])[::every]
+    at = np.flatnonzero(real[:, 0])
     return np.concatenate([given[at - 1], given[at]], axis=1), given[at], wanted[at], real[at]
 
 
@@ -202,33 +195,43 @@ class Learner:
         own = lambda d: {k: x.copy() for k, x in d.items()}
         return Learner(own(self.w), own(self.mean), own(self.var), self.out, self.steps)
 
-    def step(self, xs: np.ndarray, xn: np.ndarray, t: np.ndarray, real: np.ndarray, expected: np.ndarray | None = None, rate: float = 0.01, pace: float = 0.3) -> None:
-        """One step of attention and gates; adds the responsibilities to ``expected``."""
+    def step(self, xs: np.ndarray, xn: np.ndarray, t: np.ndarray, real: np.ndarray, expected: np.ndarray, rate: float = 0.01, pace: float = 0.3, rng: np.random.Generator | None = None) -> None:
+        """One step of attention and gates; adds the responsibilities to ``expected``, or with ``rng`` one for each subword, drawn by them."""
         w, mean, var = self.w, self.mean, self.var
         self.steps += 1
         flat = lambda x: x.reshape(-1, x.shape[2])
         es = w["e"][xs]
         en = es[:, BLOCK:]
         q, k, v = en @ w["q"], es @ w["k"], es @ w["v"]
-        s = np.clip(q @ k.transpose(0, 2, 1), -MOST, MOST) + causal_bias(w["b"])
-        np.exp(s, out=s)
-        a = s / s.sum(axis=2, keepdims=True)
+        a = q @ k.transpose(0, 2, 1)
+        np.clip(a, -MOST, MOST, out=a)
+        a += causal_bias(w["b"])
+        np.exp(a, out=a)
+        a /= (a @ np.ones(2 * BLOCK, a.dtype))[:, :, None]
         o = a @ v
-        g = np.clip(o @ w["m"] + en @ w["r"], -MOST, MOST)
+        g = o @ w["m"]
+        g += en @ w["r"]
+        np.clip(g, -MOST, MOST, out=g)
         np.exp(g, out=g)
         one = np.ones(g.shape[2], g.dtype)
         g /= (g @ one)[:, :, None]
         r = g * self.out[t]
         r /= (r @ one)[:, :, None]
-        if expected is not None:
-            wanted = t[real]
+        wanted = t[real]
+        if rng is not None:
+            part = np.cumsum(r[real], axis=1)
+            spot = (part < (rng.random(len(part), np.float32) * part[:, -1])[:, None]).sum(axis=1)
+            np.add.at(expected.ravel(), wanted * part.shape[1] + np.minimum(spot, part.shape[1] - 1), np.float32(1))
+        else:
             order = np.argsort(wanted, kind="stable")
             heads = np.flatnonzero(first_of(wanted[order]) == np.arange(len(order)))
             expected[wanted[order[heads]]] += np.add.reduceat(r[real][order], heads)
-        d = (g - r) * real[:, :, None] / np.float32(real.sum())
+        d = g - r
+        d *= (real / np.float32(real.sum()))[:, :, None]
         do = d @ w["m"].T
         da = do @ v.transpose(0, 2, 1)
-        ds = a * (da - (a * da).sum(axis=2, keepdims=True))
+        ds = a * da
+        ds -= a * (ds @ np.ones(2 * BLOCK, ds.dtype))[:, :, None]
         dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do
         grads = {"q": flat(en).T @ flat(dq), "k": flat(es).T @ flat(dk), "v": flat(es).T @ flat(dv), "m": flat(o).T @ flat(d), "r": flat(en).T @ flat(d), "b": np.bincount(GAP.ravel(), weights=ds.sum(axis=0).ravel(), minlength=2 * BLOCK)}
         for name, grad in grads.items():
@@ -237,9 +240,13 @@ class Learner:
             w[name] = f4(w[name] - rate * mean[name] / (1 - 0.9**self.steps) / (np.sqrt(var[name] / (1 - 0.99**self.steps)) + 1e-8))
         at = np.concatenate([xn.ravel(), xs.ravel()])
         back = np.concatenate([flat(dq @ w["q"].T + d @ w["r"].T), flat(dk @ w["k"].T + dv @ w["v"].T)])
-        order = np.argsort(at, kind="stable")
-        heads = np.flatnonzero(np.concatenate([[True], at[order][1:] != at[order][:-1]]))
-        spots, grad = at[order][heads], np.add.reduceat(back[order], heads)
+        used = np.zeros(len(w["e"]), bool)
+        used[at] = True
+        spots = np.flatnonzero(used)
+        number = np.empty(len(used), np.int64)
+        number[spots] = np.arange(len(spots))
+        cells = number[at][:, None] * back.shape[1] + np.arange(back.shape[1])
+        grad = f4(np.bincount(cells.ravel(), weights=back.ravel(), minlength=spots.size * back.shape[1])).reshape(len(spots), -1)
         var["e"][spots] += grad**2
         w["e"][spots] -= pace * grad / (np.sqrt(var["e"][spots]) + 1e-8)
 
@@ -287,8 +294,8 @@ def train(ids: np.ndarray, first: np.ndarray, size: int, **how) -> Net:
 
 
 def _learn(shared, buckets: int):
-    """What a task's rows change, by subword. Every subword of every row adds to the
-    distributions' counts, and one window in ``EVERY`` makes steps of attention and gates."""
+    """What a task's rows change, by subword. Every window of every row makes steps of
+    attention and gates, and every subword adds to the distributions' counts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, start = shared.value
@@ -298,11 +305,10 @@ def _learn(shared, buckets: int):
         for batch in batches:
             for run in runs(batch.column("text")):
                 _, first, subwords, upto, _ = spell.words(run)
-                parts = windows(subwords, upto[first], size, EVERY)
-                for some in np.array_split(rng.permutation(len(parts[0])), max(1, len(parts[0]) // 256)):
-                    now.step(*(x[some] for x in parts))
+                parts = windows(subwords, upto[first], size)
+                for some in np.array_split(rng.permutation(len(parts[0])), max(1, len(parts[0]) // STEP)):
+                    now.step(*(x[some] for x in parts), expected, rng=rng)
                 n += np.bincount(parts[1].ravel(), minlength=size)
-                now.net().draw(subwords, upto[first], rng, expected)
                 places += len(subwords)
         if not places:
             return

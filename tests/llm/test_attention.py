@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from segue.llm import attention
+from segue.llm._exchange import unpack
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -166,3 +167,27 @@ def test_scores_against_naive_attention(spark):
             want += math.log10(seen + share * 10**logp) if seen > 0 else math.log10(share) + logp
         assert len(tokens) == len(words(t)) + 1
         assert got[d] == pytest.approx(want, rel=2e-4, abs=2e-3)
+
+
+def test_every_window_makes_steps():
+    """What a task learns from holds every subword of every row, in steps as in distributions."""
+    path = attention.default_path()
+    spell = attention.Speller(path)
+    texts = [f"w{k} " * 30 + "the end of it " * k for k in range(40)]
+    ids, first = [], [0]
+    for run in attention.runs(attention.pa.array(texts, attention.pa.large_string())):
+        _, cut, subwords, upto, _ = spell.words(run)
+        ids.append(subwords)
+        first += upto[cut][1:].tolist()
+    ids = np.concatenate(ids)
+
+    class Shared:
+        value = path, attention.begin(ids[: first[3]], np.array(first[:4]), spell.size, epochs=1)
+
+    batch = attention.pa.RecordBatch.from_arrays([attention.pa.array(texts)], ["text"])
+    (sent,) = attention._learn(Shared, 1)(iter([batch]))
+    got = unpack(attention.pa.Table.from_batches([sent]), attention.LEARNED)
+    own = got["token"] < spell.size
+    assert got["n"][own].sum() == sum(-(-(b - a) // attention.BLOCK) for a, b in zip(first[:-1], first[1:], strict=True)) * attention.BLOCK
+    drawn = got["row"].view(np.float32).reshape(len(own), -1)[own][:, attention.WIDTH :].sum(axis=1)
+    assert np.array_equal(np.bincount(got["token"][own], weights=drawn, minlength=spell.size), np.bincount(ids, minlength=spell.size))
