@@ -70,11 +70,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written to the shared folder and reread; the tables between are dropped."""
+    """All stages over the documents, each written to the shared folder and reread; the tables between are dropped, and after each stage what it left in the driver."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = scratch.keep(docs)
+            scratch.free()
     return scratch.result(docs)
