@@ -43,7 +43,7 @@ from .language import held_out
 BLOCK, KEYS, VALUES, MIX = 16, 8, 16, 32
 
 #: Greatest exponent either way, so that sums of powers need no greatest one taken off; blocks at once.
-MOST, SLAB = 30.0, 1024
+MOST, SLAB = 30.0, 256
 
 #: Words whose counts are broadcast, at most; 12 bytes each.
 HEAD = 1 << 19
@@ -51,8 +51,8 @@ HEAD = 1 << 19
 #: Bounds of what the attention part starts from, before it learns from all rows: texts, and characters of one.
 SAMPLE, SAMPLE_TEXT = 700, 20_000
 
-#: Windows of a step of a learning task.
-STEP = 1024
+#: Windows of a step of a learning task; windows in a row, that share keys and values; windows that a step works on together.
+STEP, PIECE, TOGETHER = 1024, 16, 128
 
 #: Bytes of text that a learning task has at least, where that leaves every core a task.
 LEARN_BYTES = 32 << 20
@@ -102,45 +102,34 @@ class Net:
         return len(self.out) - 2
 
     def gates(self, given: np.ndarray) -> np.ndarray:
-        """Gates of all places of all blocks but the first, each times an unknown number."""
-        near, here = self.near[given], self.here[given[1:]]
+        """Gates of all places of all blocks but the first, each times an unknown number; a column for each place."""
+        near, here = self.near.take(given, axis=0), self.here.take(given[1:].ravel(), axis=0)
         keys = self.here.shape[1] - self.mix.shape[1]
         one, place, number = near.strides
         near = np.lib.stride_tricks.as_strided(near, (len(given) - 1, 2 * BLOCK, near.shape[2]), (one, place, number), writeable=False)
-        s = here[:, :, :keys] @ near[:, :, :keys].transpose(0, 2, 1)
+        s = here[:, :keys].reshape(-1, BLOCK, keys) @ near[:, :, :keys].transpose(0, 2, 1)
         if not self.small[0]:
-            np.clip(s, -MOST, MOST, out=s)
+            bounded(s)
         s += self.bias
         np.exp(s, out=s)
-        o = s @ near[:, :, keys:]
-        o = o.reshape(-1, o.shape[2])
-        g = (o[:, :-1] / o[:, -1:]) @ self.mix
-        g += here[:, :, keys:].reshape(g.shape)
+        o = np.empty((near.shape[2] - keys, len(here)), s.dtype)
+        np.matmul(near[:, :, keys:].transpose(0, 2, 1), s.transpose(0, 2, 1), out=o.reshape(len(o), -1, BLOCK).transpose(1, 0, 2))
+        g = self.mix.T @ (o[:-1] * (1 / o[-1]))
+        g += here[:, keys:].T
         if not self.small[1]:
-            np.clip(g, -MOST, MOST, out=g)
+            bounded(g)
         return np.exp(g, out=g)
 
-    def slabs(self, ids: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """The blocks of texts, a slab at a time: the places of ids, the ids, their gates, and each mixture's part in their probability."""
+    def log10(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """log10 probability of each subword; ``first`` cuts the ids into texts."""
         given, place = layout(ids, first, self.pad)
-        where = np.full(given.size, -1)
-        where[place] = np.arange(len(ids))
-        where = where.reshape(given.shape)
+        wanted, p = np.zeros(given.size, np.int32), np.ones(given.size)
+        wanted[place] = ids
         for at in range(1, len(given), SLAB):
             g = self.gates(given[at - 1 : at + SLAB])
-            which = where[at : at + SLAB].ravel()
-            real = np.flatnonzero(which >= 0)
-            if len(real):
-                which, g = which[real], g[real]
-                yield which, ids[which], g, g * self.out[ids[which]]
-
-    def log10(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 probability of each subword; ``first`` cuts the ids into texts."""
-        p = np.ones(len(ids))
-        for which, _, g, part in self.slabs(ids, first):
-            one = np.ones(g.shape[1], g.dtype)
-            p[which] = part @ one / (g @ one)
-        return np.log10(p)
+            which = slice(at * BLOCK, (at + SLAB) * BLOCK)
+            p[which] = (g * self.out.take(wanted[which], axis=0).T).sum(axis=0) / g.sum(axis=0)
+        return np.log10(p[place])
 
 
 def layout(ids: np.ndarray, first: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,19 +152,38 @@ def causal_bias(free: np.ndarray) -> np.ndarray:
     return np.where(gap >= 0, free[np.clip(gap, 0, 2 * BLOCK - 1)], -np.inf).astype(np.float32)
 
 
-def windows(ids: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of a block and the one before it: all their keys, the block's, the
-    subwords wanted, and which are real."""
+def pieces(ids: np.ndarray, first: np.ndarray, size: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of so many blocks in a row and the one before them: what is given, the
+    subwords wanted in all but that one, and which are real. Each real block is wanted in one piece."""
     given, place = layout(ids, first, size - 1)
     wanted, real = np.zeros(given.size, np.int32), np.zeros(given.size, bool)
     wanted[place], real[place] = ids, True
-    wanted, real = wanted.reshape(given.shape), real.reshape(given.shape)
-    at = np.flatnonzero(real[:, 0])
-    return np.concatenate([given[at - 1], given[at]], axis=1), given[at], wanted[at], real[at]
+    more = -(len(given) - 1) % length
+    given = np.concatenate([given, np.full((more, BLOCK), size - 1, np.int32)])
+    wanted, real = (np.concatenate([x.reshape(-1, BLOCK), np.zeros((more, BLOCK), x.dtype)]) for x in (wanted, real))
+    at = np.arange(0, len(given) - 1, length)[:, None] + np.arange(length + 1)
+    at = at[real[at[:, 1:], 0].any(axis=1)]
+    return given[at], wanted[at[:, 1:]], real[at[:, 1:]]
 
 
 GAP = np.clip(BLOCK + np.arange(BLOCK)[:, None] - np.arange(2 * BLOCK)[None, :], 0, 2 * BLOCK - 1)
 
+def bounded(x: np.ndarray) -> np.ndarray:
+    """``x``, with exponents cut to ``MOST`` either way in place where one passes it."""
+    return np.clip(x, -MOST, MOST, out=x) if x.max() > MOST or x.min() < -MOST else x
+
+
+def by_block(x: np.ndarray, pieces: int, first: int = 0) -> np.ndarray:
+    """Of rows of all places of pieces: for each piece and each block from ``first``, the rows at its places; a view."""
+    return x.reshape(len(x), pieces, -1, BLOCK)[:, :, first:].transpose(1, 2, 0, 3)
+
+
+def in_pairs(x: np.ndarray, pieces: int) -> np.ndarray:
+    """As ``by_block`` from 1, of the places of the block before and of the block; a view of what lies in a row."""
+    blocks = by_block(x, pieces)
+    n, m, rows, _ = blocks.shape
+    return np.ndarray((n, m - 1, rows, 2 * BLOCK), x.dtype, x, 0, blocks.strides)
+
 
 def f4(x) -> np.ndarray:
     return np.ascontiguousarray(x, np.float32)
@@ -195,60 +203,99 @@ class Learner:
         own = lambda d: {k: x.copy() for k, x in d.items()}
         return Learner(own(self.w), own(self.mean), own(self.var), self.out, self.steps)
 
-    def step(self, xs: np.ndarray, xn: np.ndarray, t: np.ndarray, real: np.ndarray, expected: np.ndarray, rate: float = 0.01, pace: float = 0.3, rng: np.random.Generator | None = None) -> None:
-        """One step of attention and gates; adds the responsibilities to ``expected``, or with ``rng`` one for each subword, drawn by them."""
+    def step(self, given: np.ndarray, wanted: np.ndarray, real: np.ndarray, expected: np.ndarray, rate: float = 0.01, pace: float = 0.3, rng: np.random.Generator | None = None) -> None:
+        """One step of attention and gates on ``pieces``; adds the responsibilities to ``expected``, or with ``rng`` one for each subword, drawn by them."""
         w, mean, var = self.w, self.mean, self.var
         self.steps += 1
-        flat = lambda x: x.reshape(-1, x.shape[2])
-        es = w["e"][xs]
-        en = es[:, BLOCK:]
-        q, k, v = en @ w["q"], es @ w["k"], es @ w["v"]
-        a = q @ k.transpose(0, 2, 1)
-        np.clip(a, -MOST, MOST, out=a)
-        a += causal_bias(w["b"])
-        np.exp(a, out=a)
-        a /= (a @ np.ones(2 * BLOCK, a.dtype))[:, :, None]
-        o = a @ v
-        g = o @ w["m"]
-        g += en @ w["r"]
-        np.clip(g, -MOST, MOST, out=g)
-        np.exp(g, out=g)
-        one = np.ones(g.shape[2], g.dtype)
-        g /= (g @ one)[:, :, None]
-        r = g * self.out[t]
-        r /= (r @ one)[:, :, None]
-        wanted = t[real]
-        if rng is not None:
-            part = np.cumsum(r[real], axis=1)
-            spot = (part < (rng.random(len(part), np.float32) * part[:, -1])[:, None]).sum(axis=1)
-            np.add.at(expected.ravel(), wanted * part.shape[1] + np.minimum(spot, part.shape[1] - 1), np.float32(1))
-        else:
-            order = np.argsort(wanted, kind="stable")
-            heads = np.flatnonzero(first_of(wanted[order]) == np.arange(len(order)))
-            expected[wanted[order[heads]]] += np.add.reduceat(r[real][order], heads)
-        d = g - r
-        d *= (real / np.float32(real.sum()))[:, :, None]
-        do = d @ w["m"].T
-        da = do @ v.transpose(0, 2, 1)
-        ds = a * da
-        ds -= a * (ds @ np.ones(2 * BLOCK, ds.dtype))[:, :, None]
-        dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do
-        grads = {"q": flat(en).T @ flat(dq), "k": flat(es).T @ flat(dk), "v": flat(es).T @ flat(dv), "m": flat(o).T @ flat(d), "r": flat(en).T @ flat(d), "b": np.bincount(GAP.ravel(), weights=ds.sum(axis=0).ravel(), minlength=2 * BLOCK)}
-        for name, grad in grads.items():
-            mean[name] = 0.9 * mean[name] + 0.1 * grad
-            var[name] = 0.99 * var[name] + 0.01 * grad**2
-            w[name] = f4(w[name] - rate * mean[name] / (1 - 0.9**self.steps) / (np.sqrt(var[name] / (1 - 0.99**self.steps)) + 1e-8))
-        at = np.concatenate([xn.ravel(), xs.ravel()])
-        back = np.concatenate([flat(dq @ w["q"].T + d @ w["r"].T), flat(dk @ w["k"].T + dv @ w["v"].T)])
+        width = w["e"].shape[1]
+        # what a subword is turned into, key, value, a one and query; and all that the gates come of, attended values and embedding
+        into = np.concatenate([w["k"], w["v"], np.zeros((width, 1), np.float32), w["q"]], axis=1)
+        gate, bias, share = np.concatenate([w["m"], w["r"]]), causal_bias(w["b"]), np.float32(1 / real.sum())
+        grads: dict[str, np.ndarray] = {"into": np.zeros_like(into), "gate": np.zeros_like(gate), "gap": np.zeros(bias.size, np.float32)}
         used = np.zeros(len(w["e"]), bool)
-        used[at] = True
+        used[given.ravel()] = True
         spots = np.flatnonzero(used)
         number = np.empty(len(used), np.int64)
         number[spots] = np.arange(len(spots))
-        cells = number[at][:, None] * back.shape[1] + np.arange(back.shape[1])
-        grad = f4(np.bincount(cells.ravel(), weights=back.ravel(), minlength=spots.size * back.shape[1])).reshape(len(spots), -1)
-        var["e"][spots] += grad**2
-        w["e"][spots] -= pace * grad / (np.sqrt(var["e"][spots]) + 1e-8)
+        which, rows = number[given.ravel()], w["e"][spots]
+        back, each = np.empty((width, given.size), np.float32), given[0].size
+        some = max(1, TOGETHER // wanted.shape[1])
+        for at in range(0, len(given), some):
+            part, places = slice(at, at + some), slice(at * each, (at + some) * each)
+            self._back(into, gate, bias, rows.take(which[places], axis=0), wanted[part], real[part], share, expected, rng, grads, back[:, places])
+        cut = np.cumsum([KEYS, VALUES, 1])
+        grads["k"], grads["v"], _, grads["q"] = np.split(grads.pop("into"), cut, axis=1)
+        grads["m"], grads["r"] = np.split(grads.pop("gate"), [VALUES])
+        grads["b"] = np.bincount(GAP.ravel(), weights=grads.pop("gap"), minlength=2 * BLOCK)
+        for name, grad in grads.items():
+            mean[name] = 0.9 * mean[name] + 0.1 * grad
+            var[name] = 0.99 * var[name] + 0.01 * grad**2
+            w[name] = f4(w[name] - rate * mean[name] / (1 - 0.9**self.steps) / (np.sqrt(var[name] / (1 - 0.99**self.steps)) + 1e-8))
+        cells = which + len(spots) * np.arange(width)[:, None]
+        grad = f4(np.bincount(cells.ravel(), weights=back.ravel(), minlength=len(spots) * width).reshape(width, -1).T)
+        seen = var["e"][spots] + grad**2
+        var["e"][spots] = seen
+        w["e"][spots] = rows - pace * grad / (np.sqrt(seen) + 1e-8)
+
+    def _back(self, into: np.ndarray, gate: np.ndarray, bias: np.ndarray, es: np.ndarray, wanted: np.ndarray, real: np.ndarray, share: np.float32, expected: np.ndarray, rng: np.random.Generator | None, grads: dict[str, np.ndarray], back: np.ndarray) -> None:
+        """Adds some pieces' part to a step's gradients, and puts that of the embeddings ``es`` of all places in ``back``.
+
+        Arrays have a row for each number and a column for each place, so what holds for a place goes along rows. A block's
+        keys and values are worked out once for both blocks that attend to it. Weights of attention stay undivided: what
+        goes back to them is divided by their sum instead, and less its own mean by the one beside the values.
+        """
+        ones, n, width = KEYS + VALUES, len(wanted), len(into)
+        x = into.T @ es.T
+        x[ones] = 1
+        k, v, q = in_pairs(x[:KEYS], n), in_pairs(x[KEYS : ones + 1], n), by_block(x[ones + 1 :], n, 1)
+        s = bounded(q.swapaxes(2, 3) @ k)
+        s += bias
+        np.exp(s, out=s)
+        t, real = wanted.ravel(), real.ravel()
+        o = np.empty((VALUES + 1, len(t)), np.float32)
+        np.matmul(v, s.swapaxes(2, 3), out=by_block(o, n))
+        z = 1 / o[-1]
+        of = np.empty((VALUES + width, len(t)), np.float32)
+        o = np.multiply(o[:-1], z, out=of[:VALUES])
+        of[VALUES:].reshape(width, n, -1)[...] = es.reshape(n, -1, width)[:, BLOCK:].transpose(2, 0, 1)
+        g = bounded(gate.T @ of)
+        np.exp(g, out=g)
+        r = g * self.out.take(t, axis=0).T
+        if rng is None:
+            total = r.sum(axis=0)
+            chosen = np.flatnonzero(real)
+            chosen = chosen[np.argsort(t[chosen], kind="stable")]
+            heads = np.flatnonzero(first_of(t[chosen]) == np.arange(len(chosen)))
+            expected[t[chosen[heads]]] += np.add.reduceat((r / total).T[chosen], heads)
+        else:
+            upto = r.copy()
+            for below, row in zip(upto[:-1], upto[1:], strict=True):
+                row += below
+            total = upto[-1]
+            spot = (upto < rng.random(len(t), np.float32) * total).view(np.int8).sum(axis=0, dtype=np.int8)
+            np.add.at(expected.ravel(), (t * np.int64(MIX) + np.minimum(spot, MIX - 1))[real], np.float32(1))
+        weight = real * share
+        g *= weight / g.sum(axis=0)
+        r *= weight / total
+        g -= r
+        grads["gate"] += of @ g.T
+        d = gate @ g
+        do = np.empty((VALUES + 1, len(t)), np.float32)
+        np.multiply(d[:VALUES], z, out=do[:-1])
+        np.negative((do[:-1] * o).sum(axis=0), out=do[-1])
+        to = by_block(do, n)
+        ds = to.swapaxes(2, 3) @ v
+        ds *= s
+        grads["gap"] += np.ones(len(t) // BLOCK, np.float32) @ ds.reshape(-1, bias.size)
+        dx, before = np.zeros_like(x), np.empty((ones, len(t)), np.float32)
+        for to_k, to_v, at in ((by_block(before[:KEYS], n), by_block(before[KEYS:], n), slice(BLOCK)), (by_block(dx[:KEYS], n, 1), by_block(dx[KEYS:ones], n, 1), slice(BLOCK, None))):
+            np.matmul(q, ds[..., at], out=to_k)
+            np.matmul(to[:, :, :-1], s[..., at], out=to_v)
+        dx[:ones].reshape(ones, n, -1)[:, :, :-BLOCK] += before.reshape(ones, n, -1)
+        np.matmul(k, ds.swapaxes(2, 3), out=by_block(dx[ones + 1 :], n, 1))
+        grads["into"] += es.T @ dx.T
+        np.matmul(into, dx, out=back)
+        back.reshape(width, n, -1)[:, :, BLOCK:] += d[VALUES:].reshape(width, n, -1)
 
     def net(self) -> Net:
         w, e = self.w, self.w["e"]
@@ -273,7 +320,7 @@ def begin(ids: np.ndarray, first: np.ndarray, size: int, *, width: int = WIDTH,
     w = {k: f4(rng.normal(0, scale.get(k, 0.3), x)) for k, x in shapes.items()} | {"b": np.zeros(2 * BLOCK, np.float32)}
     w["e"][size - 1] = 0
     now = Learner(w, {k: np.zeros_like(x) for k, x in w.items() if k != "e"}, {k: np.zeros_like(x) for k, x in w.items()}, out)
-    parts = windows(ids, first, size)
+    parts = pieces(ids, first, size, 1)
     n = len(parts[0])
     expected = np.zeros((size, MIX), np.float32)
     every = max(20, n // batch // 8)
@@ -305,10 +352,11 @@ def _learn(shared, buckets: int):
         for batch in batches:
             for run in runs(batch.column("text")):
                 _, first, subwords, upto, _ = spell.words(run)
-                parts = windows(subwords, upto[first], size)
-                for some in np.array_split(rng.permutation(len(parts[0])), max(1, len(parts[0]) // STEP)):
+                parts = pieces(subwords, upto[first], size, PIECE)
+                blocks = parts[2][:, :, 0]
+                for some in np.array_split(rng.permutation(len(parts[0])), max(1, blocks.sum() // STEP)):
                     now.step(*(x[some] for x in parts), expected, rng=rng)
-                n += np.bincount(parts[1].ravel(), minlength=size)
+                n += np.bincount(parts[0][:, 1:][blocks].ravel(), minlength=size)
                 places += len(subwords)
         if not places:
             return
@@ -370,9 +418,10 @@ class Speller:
     def size(self) -> int:
         return self.end + 2
 
-    def words(self, run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
         """Token hashes (each row's words, then an end), each row's first token
-        (rows + 1 long), the subwords of all tokens, and each token's first (tokens + 1 long)."""
+        (rows + 1 long), the subwords of all tokens, and each token's first (tokens + 1 long);
+        and the distinct token hashes, and which of them each token's is."""
         data = LOWER[run.data]
         starts, ends, first = run.words(data)
         n = len(starts)
@@ -392,7 +441,9 @@ class Speller:
         upto = np.concatenate([[0], np.cumsum(size)])
         subwords = np.full(int(upto[-1]), self.end, np.int64)
         subwords[np.repeat(is_word, size)] = ids
-        return tokens, np.concatenate([[0], token_row_end + 1]), subwords, upto, distinct
+        kind = np.full(n + run.rows, len(distinct))
+        kind[is_word] = which
+        return tokens, np.concatenate([[0], token_row_end + 1]), subwords, upto, (np.append(distinct, END), kind)
 
 
 _spellers: dict[str, Speller] = {}
@@ -469,10 +520,9 @@ def _score(shared):
         spell = speller(m.path)
         for batch in batches:
             for run in runs(batch.column("text")):
-                tokens, first, subwords, upto, distinct = spell.words(run)
+                tokens, first, subwords, upto, (uniq, which) = spell.words(run)
                 logs = m.net.log10(subwords, upto[first])
                 logp = np.add.reduceat(logs, upto[:-1])
-                uniq, which = np.unique(tokens, return_inverse=True)
                 spot = np.minimum(np.searchsorted(m.heads, uniq), max(len(m.heads) - 1, 0))
                 known = m.heads[spot] == uniq if len(m.heads) else np.zeros(len(uniq), bool)
                 c = np.where(known, m.counts[spot] if len(m.heads) else 0, 0)[which]

@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import unicodedata
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,9 @@ LONG_SLICE = 64
 #: So many bytes of slices' ids are cached in a worker before the cache is emptied.
 CACHE_SLICES = 400_000
 
+#: The table of pairs that merge has 2 to this many slots.
+SLOT_BITS = 19
+
 _classes: np.ndarray | None = None
 
 
@@ -133,15 +137,34 @@ class Vocabulary:
                 if a is not None and b is not None:
                     pairs[a * self.size + b] = rank
         self.pairs = pairs
-        self.pair_keys = np.sort(np.fromiter(pairs, np.int64, len(pairs)))
-        self.pair_rank = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
+        keys, rank = np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
+        slot = self.slot_of(keys)
+        order = np.argsort(slot, kind="stable")
+        self.pair_keys, self.pair_rank = keys[order], rank[order]
+        self.slot_first = np.searchsorted(slot[order], np.arange((1 << SLOT_BITS) + 1)).astype(np.int32)
         self.none = np.int64(1 << 40)
+        self.byte_pairs = self.rank_of(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))
+
+    @staticmethod
+    def slot_of(keys: np.ndarray) -> np.ndarray:
+        """The slot of each pair's key, in a table of so many pairs in a row for each slot."""
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank that each pair merges into; ``none`` if it doesn't."""
         keys = left * self.size + right
-        spot = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[spot] == keys, self.pair_rank[spot], self.none)
+        slot = self.slot_of(keys)
+        at, to = self.slot_first[slot], self.slot_first[slot + 1]
+        out = np.full(len(keys), self.none)
+        left_over = np.flatnonzero(at < to)
+        keys, at, to = keys[left_over], at[left_over], to[left_over]
+        while len(left_over):
+            hit = self.pair_keys[at] == keys
+            out[left_over[hit]] = self.pair_rank[at[hit]]
+            at += 1
+            more = ~hit & (at < to)
+            left_over, keys, at, to = left_over[more], keys[more], at[more], to[more]
+        return out
 
     def merge_one(self, piece: bytes) -> list[int]:
         """A long slice: a heap of pairs over a linked list."""
@@ -174,7 +197,7 @@ class Vocabulary:
 
     def merge_many(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all slices, one after the other, and how many each has."""
-        whole = np.fromiter((self.ranks.get(x, -1) for x in pieces), np.int64, len(pieces))
+        whole = np.fromiter(map(self.ranks.get, pieces, repeat(-1)), np.int64, len(pieces))
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         out: dict[int, list[int]] = {}
         for k in np.flatnonzero((whole < 0) & (lengths > LONG_SLICE)).tolist():
@@ -185,12 +208,13 @@ class Vocabulary:
             counts[k] = len(ids)
         done_owner, done_ids, done_at = [], [], []
         if len(todo):
-            ids = self.byte_ids[np.frombuffer(b"".join([pieces[k] for k in todo.tolist()]), np.uint8)]
+            raw = np.frombuffer(b"".join([pieces[k] for k in todo.tolist()]), np.uint8).astype(np.int64)
+            ids = self.byte_ids[raw]
             owner = np.repeat(np.arange(len(todo)), lengths[todo])
             # a pair's rank stands at its left symbol
             rank = np.full(len(ids), self.none)
             same = np.flatnonzero(owner[1:] == owner[:-1])
-            rank[same] = self.rank_of(ids[same], ids[same + 1])
+            rank[same] = self.byte_pairs[256 * raw[same] + raw[same + 1]]
             while len(ids):
                 heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
                 best = np.minimum.reduceat(rank, heads)

@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -191,3 +192,53 @@ def test_every_window_makes_steps():
     assert got["n"][own].sum() == sum(-(-(b - a) // attention.BLOCK) for a, b in zip(first[:-1], first[1:], strict=True)) * attention.BLOCK
     drawn = got["row"].view(np.float32).reshape(len(own), -1)[own][:, attention.WIDTH :].sum(axis=1)
     assert np.array_equal(np.bincount(got["token"][own], weights=drawn, minlength=spell.size), np.bincount(ids, minlength=spell.size))
+
+
+def a_learner(size=40, n=6000):
+    rng = np.random.default_rng(3)
+    ids, first = rng.integers(0, size - 2, n), np.array([0, 5, 300, n])
+    return ids, first, attention.begin(ids[:300], np.array([0, 300]), size, epochs=1)
+
+
+def test_blocks_in_a_row_learn_as_single_windows_do():
+    """A step on pieces of many blocks, worked on some at a time, changes what one on the same windows one by one does."""
+    ids, first, start = a_learner()
+    got = []
+    for length in (1, 5, 16):
+        now, expected = start.copy(), np.zeros_like(start.out)
+        parts = attention.pieces(ids, first, len(start.out), length)
+        assert parts[2].sum() == len(ids)
+        now.step(*parts, expected)
+        got.append({**now.w, "expected": expected})
+    assert np.allclose(got[0]["expected"].sum(axis=1), np.bincount(ids, minlength=len(start.out)), rtol=1e-4)
+    for other in got[1:]:
+        for name, x in got[0].items():
+            assert np.allclose(x, other[name], rtol=1e-3, atol=1e-4 if name != "expected" else 1e-2), name
+
+
+def test_gradients_against_differences():
+    """What a step takes for the gradient is what the mean log probability changes by."""
+    ids, first, start = a_learner()
+    now, rng = start.copy(), np.random.default_rng(1)
+    now.mean = {k: np.zeros_like(x) for k, x in now.mean.items()}
+    now.step(*attention.pieces(ids, first, len(start.out), 16), np.zeros_like(start.out))
+    for name, mean in now.mean.items():
+        way = rng.normal(0, 1, mean.shape).astype(np.float32)
+        loss = []
+        for far in (0.01, -0.01):
+            moved = start.copy()
+            moved.w[name] = moved.w[name] + np.float32(far) * way
+            loss.append(-math.log(10) * moved.net().log10(ids, first).mean())
+        assert (loss[0] - loss[1]) / 0.02 == pytest.approx(10 * float((mean * way).sum()), rel=0.05, abs=2e-4), name
+
+
+def test_a_step_needs_little_memory():
+    """A step's arrays are of some windows at a time, not of all its windows, so they stay near the processor."""
+    ids, first, start = a_learner(n=16 * 1024)
+    now, expected = start.copy(), np.zeros_like(start.out)
+    parts = attention.pieces(ids, first, len(start.out), attention.PIECE)
+    tracemalloc.start()
+    now.step(*parts, expected, rng=np.random.default_rng(0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 << 20

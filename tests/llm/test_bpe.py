@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -49,3 +50,15 @@ def test_query(spark, reference):
         assert out[r.doc_id].n_tokens == len(ids)
         assert out[r.doc_id].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert out[r.doc_id].decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+
+
+def test_ranks_of_all_pairs():
+    """The table of pairs that merge holds each of them, and no other."""
+    vocab = bpe.vocabulary(bpe.default_path())
+    keys = np.fromiter(vocab.pairs, np.int64)
+    keys = np.concatenate([keys, np.random.default_rng(0).integers(0, vocab.size**2, 50_000), (256 * np.arange(vocab.size, dtype=np.int64)) % vocab.size**2])
+    want = [vocab.pairs.get(k, int(vocab.none)) for k in keys.tolist()]
+    assert vocab.rank_of(keys // vocab.size, keys % vocab.size).tolist() == want
+    pairs = [(a, b) for a in range(256) for b in range(256)]
+    want = [vocab.pairs.get(int(vocab.byte_ids[a]) * vocab.size + int(vocab.byte_ids[b]), int(vocab.none)) for a, b in pairs]
+    assert vocab.byte_pairs.tolist() == want
