@@ -8,9 +8,10 @@ k-gram in it with the least hash; windows in a row with one anchor are a piece
 of text. A first round tells each document which of its anchors another has, a
 second one deals the pieces with those to shards, where pieces with an anchor
 are together. Equal pieces are one there, of the least document that has it:
-in all others all its windows are late. A piece whose anchor no different piece
-has, and windows whose second, longer anchor only one document has, are equal
-to nothing else and stay out.
+in all others all its windows are late. A piece whose anchor no other document's
+piece has, and windows whose longer anchor only one document has, are equal to
+nothing else and stay out. That is asked with longer and longer anchors, at last
+the window itself, and what is left of equal pieces is one piece again.
 
 What is left of a shard is one text, and ``induction`` sorts its suffixes. A
 stretch of the suffix array whose common prefixes reach the width holds the
@@ -38,8 +39,8 @@ from ._text import BYTE_CODE, Run, gather, mix64, runs, span_hashes, spread, win
 
 WIDTH = 50
 
-#: Bytes of a first and a second anchor, for windows of 50.
-ANCHOR, SECOND = 16, 32
+#: Bytes of the first and of further anchors, for windows of 50.
+ANCHOR, FURTHER = 16, (32, 50, 50)
 
 #: Bits of an anchor that are kept: two of a bucket that agree in them are taken for one, and the bytes tell.
 KEY = np.uint64((1 << 48) - 1)
@@ -66,9 +67,9 @@ def anchors(codes: np.ndarray, width: int, k: int) -> np.ndarray:
     return np.minimum(least[: len(least) - (left - span)], least[left - span :]) if span < left else least
 
 
-def spans_of(width: int) -> tuple[int, int]:
-    """Lengths of both anchors, for windows of a width."""
-    return max(1, width * ANCHOR // WIDTH), max(1, width * SECOND // WIDTH)
+def spans_of(width: int) -> tuple[int, ...]:
+    """Lengths of all anchors, for windows of a width."""
+    return tuple(max(1, width * k // WIDTH) for k in (ANCHOR, *FURTHER))
 
 
 class Stretches:
@@ -76,14 +77,21 @@ class Stretches:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, width: int, k: int):
         self.codes = BYTE_CODE[data]
-        row, pos = spread(np.maximum(np.diff(offsets) - width + 1, 0))
-        at = offsets[row] + pos
-        key = anchors(self.codes, width, k)[at] & KEY
+        key = anchors(self.codes, width, k)
+        key &= KEY
+        windows = np.maximum(np.diff(offsets) - width + 1, 0)
         turn = np.ones(len(key), bool)
-        turn[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | (pos[1:] % LONGEST == 0)
+        np.not_equal(key[1:], key[:-1], out=turn[1:])
+        turn[offsets[:-1][windows > 0]] = True
+        for r in np.flatnonzero(windows > LONGEST):
+            turn[offsets[r] : offsets[r] + windows[r] : LONGEST] = True
         first = np.flatnonzero(turn)
-        self.key, self.row, self.pos, self.at = key[first], row[first], pos[first], at[first]
-        self.n = np.diff(np.append(first, len(key)))
+        row = np.searchsorted(offsets, first, side="right") - 1
+        end = (offsets[:-1] + windows)[row]
+        n = np.minimum(np.append(first[1:], len(key))[: len(first)], end) - first
+        some = np.flatnonzero(first < end)  # others begin in a text's last bytes, where windows would span two
+        self.row, self.at, self.n = row[some], first[some], n[some]
+        self.key, self.pos = key[self.at], self.at - offsets[self.row]
 
 
 def stretches_of(flat: np.ndarray, size: np.ndarray, width: int, k: int, at_once: int = 1 << 19) -> Stretches:
@@ -345,60 +353,98 @@ def _send_pieces(buckets: int, width: int, hot):
     return work
 
 
-def _late_places(width: int, flat: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(piece, place) of the windows that a piece of a smaller document has, too.
+def _held_by_several(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether two documents have a key, for each place of it."""
+    order = np.lexsort([doc, keys])
+    key, holder = keys[order], doc[order]
+    out = np.empty(len(keys), bool)
+    out[order] = holder[first_of(key)] != holder[last_of(key)]
+    return out
 
-    Pieces are distinct; ``doc`` is the least document that has each.
-    """
-    begin = np.cumsum(size) - size
-    key = np.empty(len(size), np.uint64)  # of a piece's first window, and so of all
-    for k in range(0, len(size), 1 << 14):
-        part = slice(k, k + (1 << 14))
-        s = Stretches(cut_out(flat, begin[part], np.full(len(size[part]), width)), width * np.arange(len(size[part]) + 1), width, spans_of(width)[0])
-        key[part] = s.key
-    group = np.unique(key, return_inverse=True)[1]
-    several = np.flatnonzero(np.bincount(group)[group] > 1)
-    none = np.empty(0, np.int64), np.empty(0, np.int64)
-    if not len(several):
-        return none
-    text = cut_out(flat, begin[several], size[several])
-    s = stretches_of(text, size[several], width, spans_of(width)[1])
-    order = np.lexsort([doc[several[s.row]], s.key])
-    holder = doc[several[s.row[order]]]
-    shared = np.zeros(len(s.key), bool)
-    shared[order] = holder[first_of(s.key[order])] != holder[last_of(s.key[order])]
-    # stretches in a row that stay are one piece
-    stay = np.flatnonzero(shared)
-    if not len(stay):
-        return none
-    head = np.ones(len(stay), bool)
-    head[1:] = (s.row[stay[1:]] != s.row[stay[:-1]]) | (s.pos[stay[1:]] != s.pos[stay[:-1]] + s.n[stay[:-1]])
-    heads = stay[head]
-    windows = np.add.reduceat(s.n[stay], np.flatnonzero(head))
-    row, pos, at = s.row[heads], s.pos[heads], s.at[heads]
-    lengths = windows + width - 1
+
+def _sorted_out(width: int, flat: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, place) of the windows that a piece of a smaller document has, too, by the suffix array of all pieces."""
     # one text: bytes are symbols from 2 on, 1 ends a piece, 0 ends the text
-    ends = np.cumsum(lengths + 1)
+    ends = np.cumsum(size + 1)
     symbols = np.ones(int(ends[-1]) + 1, np.int32)
     symbols[-1] = 0
-    first = ends - lengths - 1
-    del s, order, holder, shared
-    for k in range(0, len(lengths), 1 << 14):
-        of, step = spread(lengths[k : k + (1 << 14)])
-        of += k
-        symbols[first[of] + step] = text[at[of] + step].astype(np.int32) + 2
+    inside = np.ones(int(ends[-1]), bool)
+    inside[ends - 1] = False
+    symbols[:-1][inside] = flat
+    symbols[:-1][inside] += 2
+    del inside
+    first, windows = ends - size - 1, size - (width - 1)
     with tempfile.TemporaryDirectory() as folder:
         order, lcp = induction.suffix_array(symbols, folder)
         piece = np.searchsorted(ends, order, side="right").astype(np.int32)
         piece[0] = 0
         place = order - first[piece]
         valid = (place < windows[piece]) & (order < len(symbols) - 1)
-        owner = doc[several[row[piece]]]
+        owner = doc[piece]
         heads = np.flatnonzero(np.concatenate([[True], lcp[1:] < width]))
         least = np.repeat(np.minimum.reduceat(np.where(valid, owner, np.iinfo(np.int64).max), heads), np.diff(np.append(heads, len(order))))
         late = np.flatnonzero(valid & (owner > least))
-        piece, place = piece[late], np.asarray(place[late])
-    return several[row[piece]], pos[piece] + place
+        return piece[late], np.asarray(place[late])
+
+
+def _narrowed(width: int, flat: np.ndarray, size: np.ndarray, doc: np.ndarray, spans: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_late_ranges`` of distinct pieces: windows whose anchor of the first of ``spans`` no other document has stay out, and what is left is less of the pieces."""
+    none = np.empty(0, np.int64)
+    if not len(size):
+        return none, none, none
+    if not spans:
+        piece, place = _sorted_out(width, flat, size, doc)
+        return piece, place, np.ones(len(piece), np.int64)
+    s = stretches_of(flat, size, width, spans[0])
+    stay = np.flatnonzero(_held_by_several(s.key, doc[s.row]))
+    if not len(stay):
+        return none, none, none
+    # stretches in a row that stay are one piece
+    head = np.ones(len(stay), bool)
+    head[1:] = (s.row[stay[1:]] != s.row[stay[:-1]]) | (s.pos[stay[1:]] != s.pos[stay[:-1]] + s.n[stay[:-1]])
+    windows = np.add.reduceat(s.n[stay], np.flatnonzero(head))
+    row, pos, at = (v[stay[head]] for v in (s.row, s.pos, s.at))
+    del s, stay, head
+    size = windows + width - 1
+    piece, place, n = _late_ranges(width, cut_out(flat, at, size), size, doc[row], spans[1:])
+    return row[piece], pos[piece] + place, n
+
+
+def _late_ranges(width: int, flat: np.ndarray, size: np.ndarray, doc: np.ndarray, spans: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, place, windows): ranges of windows that a piece of a smaller document has, too.
+
+    Equal pieces are one, of the least document that has it; all windows of the others are late.
+    """
+    same = distinct(flat, size)
+    _, one = np.unique(same, return_index=True)
+    least = np.full(len(one), np.iinfo(np.int64).max)
+    np.minimum.at(least, same, doc)
+    after = doc > least[same]
+    whole = np.flatnonzero(after)
+    which, place, n = _narrowed(width, cut_out(flat, (np.cumsum(size) - size)[one], size[one]), size[one], least, spans)
+    mine = np.flatnonzero(~after)
+    piece, place, n = _at_all(mine[np.argsort(same[mine], kind="stable")], same, which, place, n)
+    return np.concatenate([whole, piece]), np.concatenate([np.zeros(len(whole), np.int64), place]), np.concatenate([size[whole] - (width - 1), n])
+
+
+def _at_all(mine: np.ndarray, same: np.ndarray, which: np.ndarray, place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of distinct pieces at all of ``mine``, which are in order of what piece they are."""
+    lo, hi = np.searchsorted(same[mine], which), np.searchsorted(same[mine], which, side="right")
+    of, step = spread(hi - lo)
+    return mine[lo[of] + step], place[of], n[of]
+
+
+def _late_places(width: int, flat: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_late_ranges`` of distinct pieces, each of one first anchor; ``doc`` is the least document that has each."""
+    begin = np.cumsum(size) - size
+    key = np.empty(len(size), np.uint64)  # of a piece's first window, and so of all
+    for k in range(0, len(size), 1 << 14):
+        part = slice(k, k + (1 << 14))
+        s = Stretches(cut_out(flat, begin[part], np.full(len(size[part]), width)), width * np.arange(len(size[part]) + 1), width, spans_of(width)[0])
+        key[part] = s.key
+    several = np.flatnonzero(_held_by_several(key, doc))
+    piece, place, n = _narrowed(width, cut_out(flat, begin[several], size[several]), size[several], doc[several], spans_of(width)[1:])
+    return several[piece], place, n
 
 
 def _shard(width: int):
@@ -422,14 +468,11 @@ def _shard(width: int):
             np.minimum.at(doc, piece, asks["doc"])
             after = asks["doc"] > doc[piece]
             late.append({c: asks[c][after] for c in ("doc", "tkey", "pos")} | {"n": size[piece[after]] - (width - 1)})
-            which, place = _late_places(width, cut_out(flat, begin, size), size, doc)
-            # each late window at all places of the least document's piece
+            which, place, windows = _late_places(width, cut_out(flat, begin, size), size, doc)
+            # each late range at all places of the least document's piece
             mine = np.flatnonzero(~after)
-            mine = mine[np.argsort(piece[mine], kind="stable")]
-            lo, hi = np.searchsorted(piece[mine], which), np.searchsorted(piece[mine], which, side="right")
-            of, step = spread(hi - lo)
-            at = mine[lo[of] + step]
-            late.append({"doc": asks["doc"][at], "tkey": asks["tkey"][at], "pos": asks["pos"][at] + place[of], "n": np.ones(len(at), np.int64)})
+            at, place, windows = _at_all(mine[np.argsort(piece[mine], kind="stable")], piece, which, place, windows)
+            late.append({"doc": asks["doc"][at], "tkey": asks["tkey"][at], "pos": asks["pos"][at] + place, "n": windows})
         out = _merged({c: np.concatenate([p[c] for p in late]) for c in ("doc", "tkey", "pos", "n")})
         pa.default_memory_pool().release_unused()
         return grouped([out["doc"], out["tkey"]], out["pos"].astype(np.uint64) << np.uint64(32) | out["n"].astype(np.uint64), ["doc_id", "tkey", "starts"])

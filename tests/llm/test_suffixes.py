@@ -152,3 +152,29 @@ def test_shuffles_of_anchors_go_before_pieces_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "_send_pieces", lambda *a: calls.append("send") or send(*a))
     compare(spark, passages(5, "abc", 20))
     assert calls == ["free", "send"]
+
+
+def test_windows_that_no_other_document_has_are_not_sorted(monkeypatch):
+    """A line shorter than a window, in many documents among other words, and a passage that some have."""
+    sizes, sort = [], induction.suffix_array
+    monkeypatch.setattr(induction, "suffix_array", lambda text, *a: sizes.append(len(text)) or sort(text, *a))
+    rng = random.Random(11)
+    text = lambda k: bytes(rng.choices(range(97, 123), k=k))
+    line, passage = text(45), text(80)
+    texts = [text(60) + line + text(60) for _ in range(200)]
+    for d in (10, 20, 30):
+        texts[d] += passage[: 80 - d // 2] + text(20)
+    offsets = np.append(0, np.cumsum([len(t) for t in texts]))
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    s = suffixes.Stretches(data, offsets, 50, suffixes.spans_of(50)[0])
+    box = suffixes.Pieces(1, 50)
+    box.add(data, s.at, key=s.key, size=s.n + 49, doc=s.row, tkey=np.zeros(len(s.key), np.int64), pos=s.pos)
+    found = suffixes._shard(50)(suffixes.pa.Table.from_batches(list(box.close())))
+    late = {(d, p) for d, ranges in zip(found["doc_id"].to_pylist(), found["starts"].to_pylist(), strict=True) for x in np.frombuffer(ranges, np.uint64).tolist() for p in range(x >> 32, (x >> 32) + (x & 0xFFFFFFFF))}
+    first, want = {}, set()
+    for d, t in enumerate(texts):
+        for p in range(len(t) - 49):
+            if first.setdefault(t[p : p + 50], d) < d:
+                want.add((d, p))
+    assert late == want and want
+    assert max(sizes, default=0) < 300
