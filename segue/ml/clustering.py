@@ -13,13 +13,16 @@ population's.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from copy import copy
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
+from threading import Lock
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +68,12 @@ def weighted(rows: DataFrame, weights: np.ndarray) -> DataFrame:
 #: Vectors of a block, at most; sums of more numbers meet in a shuffle, of fewer on the driver.
 BLOCK_ROWS, MOST_SUMS = 1 << 14, 1 << 14
 
+#: Full blocks that a task of a light pass has, about: such a pass over fewer is shorter than a task's start.
+LIGHT_BLOCKS = 4
+
+#: Genres that are clustered at once; of what is held in memory, one at a time is passed over.
+AT_ONCE, _ONE_IN_MEMORY = 8, Lock()
+
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Vectors and weights as blocks of bytes, so that a pass reads matrices."""
@@ -84,8 +93,9 @@ class Points:
 
     def __init__(self, rows: DataFrame, column: str):
         self.rows = rows.groupBy(F.col(column).alias("v")).agg(F.count("*").cast("double").alias("w")).persist()
-        self.local, self.blocks, self.scale = None, None, None
-        if self.rows.count() <= IN_MEMORY:
+        self.local, self.blocks, self.light, self.scale = None, None, None, None
+        n = self.rows.count()
+        if n <= IN_MEMORY:
             head = self.rows.toArrow().combine_chunks()
             v = head.column("v").combine_chunks()
             width = len(v[0]) if len(v) else 0
@@ -94,6 +104,7 @@ class Points:
             self.local = x[order], head.column("w").to_numpy()[order]
         else:
             self.blocks = self.rows.mapInArrow(_blocks, "x binary, w binary").rdd.map(tuple).persist()
+            self.light = self.blocks.coalesce(-(-n // (LIGHT_BLOCKS * BLOCK_ROWS)))
 
     def __enter__(self) -> Points:
         return self
@@ -114,8 +125,8 @@ class Points:
         out.local = None if self.local is None else (self.local[0] * scale, self.local[1])
         return out
 
-    def each_block(self, work):
-        """What ``work`` (iterator of matrices and weights -> iterator) gives for all tasks' blocks, as an RDD."""
+    def each_block(self, work, light: bool = False):
+        """What ``work`` (iterator of matrices and weights -> iterator) gives for all tasks' blocks, as an RDD; light work in fewer tasks."""
         scale = self.scale
 
         def task(blocks):
@@ -127,12 +138,13 @@ class Points:
 
             return work(read())
 
-        return self.blocks.mapPartitions(task)
+        return (self.light if light else self.blocks).mapPartitions(task)
 
-    def sums(self, work, size: int) -> np.ndarray:
+    def sums(self, work, size: int, light: bool = False) -> np.ndarray:
         """The sum over tasks of ``work`` (matrix, weights -> array of a fixed size)."""
         if self.local is not None:
-            return np.asarray(work(*self.local), float) if len(self.local[0]) else np.zeros(size)
+            with _ONE_IN_MEMORY:
+                return np.asarray(work(*self.local), float) if len(self.local[0]) else np.zeros(size)
 
         def whole(blocks):
             total = np.zeros(size)
@@ -141,7 +153,7 @@ class Points:
             return total
 
         if size <= MOST_SUMS:
-            return sum(self.each_block(lambda blocks: [whole(blocks)]).collect(), np.zeros(size))
+            return sum(self.each_block(lambda blocks: [whole(blocks)], light).collect(), np.zeros(size))
 
         def parts(blocks):
             total = whole(blocks)
@@ -151,7 +163,7 @@ class Points:
                     yield at, part
 
         found = np.zeros(size)
-        for at, part in self.each_block(parts).reduceByKey(lambda a, b: a + b).collect():
+        for at, part in self.each_block(parts, light).reduceByKey(lambda a, b: a + b).collect():
             found[at : at + len(part)] = part
         return found
 
@@ -160,7 +172,7 @@ class Points:
         least = lambda x, w: [(m, float(k[at]), x[at].tolist()) for m, k in enumerate(key(x, w).T) for at in [int(k.argmin())]]
         if self.local is not None:
             return [np.array([v]) for _, _, v in least(*self.local)]
-        out = self.each_block(lambda blocks: (r for block in blocks for r in least(*block))).map(lambda r: (r[0], r[1:])).reduceByKey(min).collect()
+        out = self.each_block(lambda blocks: (r for block in blocks for r in least(*block)), light=True).map(lambda r: (r[0], r[1:])).reduceByKey(min).collect()
         return [np.array([v]) for _, (_, v) in sorted(out)]
 
     def drawn(self, chance, models: int) -> list[np.ndarray]:
@@ -174,7 +186,7 @@ class Points:
                 for at, m in np.argwhere(chance(x, w)).tolist():
                     yield m, x[at].tolist()
 
-        out = self.each_block(hits).collect()
+        out = self.each_block(hits, light=True).collect()
         return [np.array(sorted(v for k, v in out if k == m)) for m in range(models)]
 
 
@@ -246,8 +258,9 @@ def row_draws(x: np.ndarray, w: np.ndarray, boots: int, seed: int) -> np.ndarray
         first, chances = _poisson(size)
         for turn in range(int(times.max())):
             some = np.flatnonzero(times > turn)
+            mine = hashes[some]
             for b in range(boots):
-                out[b, some] += first + np.minimum(np.searchsorted(chances, draws(hashes[some], (seed << 40) + (bit << 32) + (turn << 16) + b)), len(chances) - 1)
+                out[b, some] += first + np.minimum(np.searchsorted(chances, draws(mine, (seed << 40) + (bit << 32) + (turn << 16) + b)), len(chances) - 1)
         left, bit = left >> 1, bit + 1
     return out
 
@@ -363,7 +376,7 @@ def drawn_seeds(points: Points, ks: list[int], restarts: int, seed: int) -> list
     wanted = OVERSAMPLING * max(ks)
     for _ in range(SEED_ROUNDS):
         now = list(sets)
-        cost = points.sums(lambda x, w, now=now: np.array([(w * _gaps(x, c)[1]).sum() for c in now]), restarts)
+        cost = points.sums(lambda x, w, now=now: np.array([(w * _gaps(x, c)[1]).sum() for c in now]), restarts, light=True)
         if not cost.any():
             break
         turns = [next(turn) for _ in range(restarts)]
@@ -377,7 +390,7 @@ def drawn_seeds(points: Points, ks: list[int], restarts: int, seed: int) -> list
 
         sets = [np.concatenate([c, new]) if len(new) else c for c, new in zip(now, points.drawn(comes, restarts), strict=True)]
     at = np.cumsum([0, *map(len, sets)])
-    stands = points.sums(lambda x, w: np.concatenate([np.bincount(_gaps(x, c)[0], weights=w, minlength=len(c)) for c in sets]), int(at[-1]))
+    stands = points.sums(lambda x, w: np.concatenate([np.bincount(_gaps(x, c)[0], weights=w, minlength=len(c)) for c in sets]), int(at[-1]), light=True)
     return [seeds(c, np.maximum(stands[a : a + len(c)], 1e-9), k, rng) for k in ks for c, a in zip(sets, at, strict=False)]
 
 
@@ -409,7 +422,7 @@ def _fit(points: Points, ks: list[int], restarts: int, turns: int, seed: int) ->
                 out += [total.ravel(), count, [(w * gap.min(axis=1)).sum()]]
             return np.concatenate(out)
 
-        s = points.sums(work, int(at[-1]))
+        s = points.sums(work, int(at[-1]), light=True)
         still, inertia = True, []
         for i, centers in enumerate(now):
             part = s[at[i] : at[i + 1]]
@@ -671,7 +684,7 @@ def _ewkm(points: Points, centers: np.ndarray, gamma: float, turns: int, start:
             hot = np.eye(k)[label] * w[:, None]
             return np.concatenate([[changed], hot.sum(axis=0), (hot.T @ x).ravel(), (hot.T @ (x * x)).ravel()])
 
-        s = points.sums(work, 1 + k + 2 * k * d)
+        s = points.sums(work, 1 + k + 2 * k * d, light=True)
         still, s = s[0] == 0, s[1:]
         count, total, squares = s[:k], s[k : k + k * d].reshape(k, d), s[k + k * d :].reshape(k, d)
         full = count[:, None] > 0
@@ -747,19 +760,25 @@ def cluster(known: DataFrame, *, k: int | None = None, genre: str | None = None,
 def per_genre(known: DataFrame, **options) -> DataFrame:
     """(pos, cluster_id): clusters inside each genre; genres of fewer tracks than clusters are one.
 
-    ``known`` has ``resolved``, the genre of each track; genres are few.
+    ``known`` has ``resolved``, the genre of each track; genres are few. They are
+    clustered at the same time, as a round of one leaves most tasks' places free.
     """
     least = options.get("least", 2)
-    known, out = known.persist(), None
-    for r in sorted(known.where("bpm IS NOT NULL").groupBy("resolved").count().collect(), key=lambda r: r.resolved):
+    known = known.select("pos", "resolved", "duration", *SPACE).persist()
+    genres = sorted(known.where("bpm IS NOT NULL").groupBy("resolved").count().collect(), key=lambda r: r.resolved)
+
+    def part(r) -> DataFrame:
         rows = known.where(F.col("resolved") == r.resolved)
         if r["count"] < max(least, 3):
-            part = rows.where("bpm IS NOT NULL").select("pos", F.lit("0").alias("cluster_id"))
-        else:
-            part = cluster(rows, genre=None if r.resolved == "unknown" else r.resolved, **options).labelled.select("pos", "cluster_id")
-        part = part.select("pos", F.concat(F.lit(f"{r.resolved}_"), "cluster_id").alias("cluster_id"))
-        out = part if out is None else out.unionByName(part)
-    return out
+            return rows.where("bpm IS NOT NULL").select("pos", F.lit("0").alias("cluster_id"))
+        return cluster(rows, genre=None if r.resolved == "unknown" else r.resolved, **options).labelled.select("pos", "cluster_id")
+
+    if not genres:
+        return None
+    with ThreadPoolExecutor(min(len(genres), AT_ONCE)) as pool:
+        parts = [pool.submit(inheritable_thread_target(known.sparkSession)(part), r) for r in genres]
+        named = [p.result().select("pos", F.concat(F.lit(f"{r.resolved}_"), "cluster_id").alias("cluster_id")) for r, p in zip(genres, parts, strict=True)]
+    return reduce(DataFrame.unionByName, named)
 
 
 def genre_scale(known: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """The silhouette against its definition, in memory and out of it; seeds and draws of repeated rows."""
 
+from threading import Barrier
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -133,3 +135,27 @@ def test_a_clustering_beyond_memory_groups_its_rows_once(spark, monkeypatch):
             groups.setdefault(r.cluster_id, set()).add(r.pos)
         led[held] = sorted(map(sorted, groups.values()))
     assert led[50] == led[1 << 16] and [len(g) for g in led[50]] == [100, 100, 100]
+
+
+def test_genres_are_clustered_at_the_same_time(spark, monkeypatch):
+    """Every genre's clustering waits until the others' have begun; what comes out is what each gives alone."""
+    def spots(j, k):
+        return (F.pmod(F.xxhash64("pos", F.lit(j)), F.lit(1000)) / 1000.0 + k * (F.col("pos") % 3)).alias(M.SPACE[j])
+
+    genre = F.element_at(F.array(*map(F.lit, ("dnb", "house", "techno"))), (F.col("pos") % 7 % 3 + 1).cast("int"))
+    known = spark.range(600).withColumnRenamed("id", "pos").select("pos", F.lit(200.0).alias("duration"), genre.alias("resolved"), *[spots(j, 5.0) for j in range(len(M.SPACE))])
+    want = {(r.pos, f"{g}_{r.cluster_id}") for g in ("dnb", "house", "techno") for r in M.cluster(known.where(F.col("resolved") == g), genre=g, k=3, restarts=2).labelled.collect()}
+    gate, cluster = Barrier(3, timeout=30), M.cluster
+    monkeypatch.setattr(M, "cluster", lambda *a, **k: gate.wait() is not None and cluster(*a, **k))
+    assert {(r.pos, r.cluster_id) for r in M.per_genre(known, k=3, restarts=2).collect()} == want
+
+
+def test_a_light_pass_has_no_more_tasks_than_full_blocks(spark, monkeypatch):
+    """A round over few rows is one task, whatever the partitions; its sums are those of all rows."""
+    monkeypatch.setattr(M, "IN_MEMORY", 10)
+    rows = spark.range(500).select(F.array(F.col("id").cast("double"), F.lit(1.0)).alias("x")).repartition(6)
+    with M.Points(rows, "x") as points:
+        whole = points.sums(lambda x, w: w @ x, 2)
+        assert points.blocks.getNumPartitions() > 1
+        assert points.each_block(lambda blocks: [1], light=True).count() == 1
+        assert np.array_equal(points.sums(lambda x, w: w @ x, 2, light=True), whole) and whole.tolist() == [500 * 499 / 2, 500.0]
