@@ -760,8 +760,9 @@ def cluster(known: DataFrame, *, k: int | None = None, genre: str | None = None,
 def per_genre(known: DataFrame, **options) -> DataFrame:
     """(pos, cluster_id): clusters inside each genre; genres of fewer tracks than clusters are one.
 
-    ``known`` has ``resolved``, the genre of each track; genres are few. They are
-    clustered at the same time, as a round of one leaves most tasks' places free.
+    ``known`` has ``resolved``, the genre of each track; genres are few. Those
+    that may not fit in memory are clustered at the same time, as a round of one
+    leaves most tasks' places free; the others one by one, to spare the driver's memory.
     """
     least = options.get("least", 2)
     known = known.select("pos", "resolved", "duration", *SPACE).persist()
@@ -775,9 +776,11 @@ def per_genre(known: DataFrame, **options) -> DataFrame:
 
     if not genres:
         return None
-    with ThreadPoolExecutor(min(len(genres), AT_ONCE)) as pool:
-        parts = [pool.submit(inheritable_thread_target(known.sparkSession)(part), r) for r in genres]
-        named = [p.result().select("pos", F.concat(F.lit(f"{r.resolved}_"), "cluster_id").alias("cluster_id")) for r, p in zip(genres, parts, strict=True)]
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        large = {r.resolved: pool.submit(inheritable_thread_target(known.sparkSession)(part), r) for r in genres if r["count"] > IN_MEMORY}
+        small = {r.resolved: part(r) for r in genres if r.resolved not in large}
+        parts = {g: p.result() for g, p in large.items()} | small
+    named = [parts[r.resolved].select("pos", F.concat(F.lit(f"{r.resolved}_"), "cluster_id").alias("cluster_id")) for r in genres]
     return reduce(DataFrame.unionByName, named)
 
 

@@ -138,7 +138,9 @@ def test_a_clustering_beyond_memory_groups_its_rows_once(spark, monkeypatch):
 
 
 def test_genres_are_clustered_at_the_same_time(spark, monkeypatch):
-    """Every genre's clustering waits until the others' have begun; what comes out is what each gives alone."""
+    """Beyond memory, every genre's clustering waits until the others' have begun; what comes out is what each gives alone."""
+    monkeypatch.setattr(M, "IN_MEMORY", 10)
+
     def spots(j, k):
         return (F.pmod(F.xxhash64("pos", F.lit(j)), F.lit(1000)) / 1000.0 + k * (F.col("pos") % 3)).alias(M.SPACE[j])
 
